@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +69,49 @@ def locate(points: DataFrame, at: str, spans: DataFrame, carry: list[str], width
     order = Window.partitionBy("_slice").orderBy("_at", F.col("_point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_span", F.last("_span", ignorenulls=True).over(order)).where("_point is not null")
     return found.select("_point.*", *[F.col(f"_span.{c}").alias(c) for c in carry])
+
+
+_CHUNK = 1 << 22
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        size = max(n, 1 << 16)
+        _POWERS[:] = [np.cumprod(np.full(size, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, the same on every machine: a
+    polynomial over bytes, read off one running sum for each chunk of the text."""
+    out, at = [], 0
+    while len(raw) - at > _CHUNK:
+        cut = max(raw.rfind(s, at, at + _CHUNK) for s in (b" ", b"\n"))
+        if cut <= at:  # one long word: up to its end
+            cut = min((x for s in (b" ", b"\n") if (x := raw.find(s, at + _CHUNK)) > 0), default=len(raw))
+        out.append(_hashes(raw[at:cut]))
+        at = cut
+    out.append(_hashes(raw[at:]))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def _hashes(raw) -> np.ndarray:
+    a = np.frombuffer(raw, np.uint8)
+    if not len(a):
+        return np.empty(0, np.uint64)
+    gap = np.ones(len(a) + 2, bool)
+    gap[1:-1] = (a == 32) | ((a >= 9) & (a <= 13))
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(a))
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=total[1:])
+    return _mixed((total[ends] - total[starts]) * down[starts])
