@@ -63,3 +63,15 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {}
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_lm
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = ngram_lm.judged(docs, ngram_lm.trusted_ids(read(spark, sf_dir, "labels")))
+    per_symbol = F.col("_bits") / F.greatest("_n", F.lit(1))
+    return out.select("doc_id", "lang", F.col("_n").alias("n_symbols"), F.pow(F.lit(2.0), per_symbol).alias("perplexity"), F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept"))
+
+
+QUERIES["op4_quality"] = op4_quality
