@@ -88,3 +88,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_pii"] = op5_pii
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op8_topk"] = op8_topk
