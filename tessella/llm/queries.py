@@ -97,3 +97,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_topk"] = op8_topk
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_main
+
+    return html_main.extracted(read(spark, sf_dir, "pages"))
+
+
+QUERIES["op2_html"] = op2_html
