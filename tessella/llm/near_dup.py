@@ -283,3 +283,25 @@ def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = by_unit(kept.join(chosen.drop("id"), "fp").join(texts, "fp")).mapInPandas(_verify, "fp binary, texts_linked long, docs_linked long, root binary")
     found = table(found)
     return found, found.where("fp != root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of join(): of its least id and that id's least
+    fingerprint, repeated rows once. All columns stay."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = fingerprinted(docs.select("*"), text_col, sign=False)
+    chosen = _chosen(rows)
+    same = marked[id_col].eqNullSafe(chosen["_id"]) & (marked["_fp"] == chosen["_f"])
+    return marked.join(chosen, same, "left_semi").dropDuplicates([id_col, "_fp"]).select(*docs.columns)
+
+
+def _chosen(rows: DataFrame) -> DataFrame:
+    """_id and _f of the row of each class that stays."""
+    signed = table(fingerprinted(rows).drop("text"))
+    classes = signed.groupBy("_fp").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("_n").alias("n"), F.first("_sig").alias("sig"))
+    classes = table(classes.withColumnRenamed("_fp", "fp"))
+    _, forest = _links(rows, classes)
+    roots = components(forest).withColumnRenamed("u", "fp")
+    named = classes.select("fp", "copy_id").join(roots, "fp", "left")
+    first = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("copy_id", "fp")).alias("m"))
+    return table(first.select(F.col("m.copy_id").alias("_id"), F.col("m.fp").alias("_f")))
