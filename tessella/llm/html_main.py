@@ -131,6 +131,7 @@ def tokens(page: str) -> tuple[list[tuple[str, int, int]], list[Block]]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
+            out = bool(stack) and stack[-1][1]
             if tag in BLOCKS:
                 pending = True
             for k in range(len(stack) - 1, -1, -1):
@@ -139,7 +140,7 @@ def tokens(page: str) -> tuple[list[tuple[str, int, int]], list[Block]]:
                     break
                 if tag not in BLOCKS and stack[k][0] in BLOCKS:
                     break  # an inline end tag closes nothing beyond its block
-            seq.append(("/" + tag, 1, len(blocks) - 1))
+            seq.append(("tag-out" if out else "/" + tag, 1, len(blocks) - 1))
         elif m[2]:
             tag, raw = m[2].lower(), m[3] or ""
             if tag in CLOSES_P or tag == "li":
@@ -154,7 +155,7 @@ def tokens(page: str) -> tuple[list[tuple[str, int, int]], list[Block]]:
             elif tag == "br" and blocks and not pending:
                 blocks[-1].parts.append(" ")
             out = bool(stack) and stack[-1][1]
-            seq.append((tag, 1, len(blocks) - 1))
+            seq.append(("tag-out" if out else tag, 1, len(blocks) - 1))
             if tag in RAW and not raw.endswith("/"):
                 end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
                 if tag == "noscript" or not end:
@@ -170,6 +171,8 @@ def tokens(page: str) -> tuple[list[tuple[str, int, int]], list[Block]]:
     return seq, blocks
 
 
+OUT = 0.2
+
 # --- weights -----------------------------------------------------------------------
 
 _PROSE = "Long lines of plain words tell what happened and why it matters to those who read them today."
@@ -187,7 +190,10 @@ def labelled_pages() -> list[tuple[str, str]]:
         body = [f"<h1>A title of piece {k}</h1>"] + [f"<p>{_PROSE} Part {i}, <b>and</b> <a href=/r>a source</a>.</p>" for i in range(count)]
         if k % 3 == 0:
             body.insert(2, "<ul><li>first of the points made here</li><li>second of the points made here</li></ul>")
-        main = [re.sub(r"<[^>]*>", "", b.replace("</li>", "</li>\n")).strip() for b in body]
+        if k % 2 == 0:  # things that stand within a main text and are none of it
+            body.insert(1, ads[k % 3] + ads[(k + 1) % 3] + "<form><label>Your name</label><input></form>")
+            body.append("<p>Fin.</p>")
+        main = [re.sub(r"<[^>]*>", "", b.replace("</li>", "</li>\n")).strip() for b in body if b[:2] in ("<h", "<p", "<u")]
         a, b = wraps[k % 4]
         page = f"<html><head><title>t</title><script>var x=1;</script></head><body>{menus[k % 3]}{ads[k % 3]}{a}{''.join(body)}{b}{ads[(k + 1) % 3]}{tails[k // 3 % 3]}</body></html>"
         out.append((page, "\n".join(main)))
@@ -197,8 +203,8 @@ def labelled_pages() -> list[tuple[str, str]]:
 @cache
 def weights() -> dict[str, float]:
     """Log ratio of each class inside and outside of the main texts; words and tags
-    are scaled so that a plain word is worth 1. A word scores no less than 0 unless
-    it is left out or linked; a tag scores no more than 0."""
+    are scaled so that a plain word is worth 1. A tag scores no more than 0. A word
+    that is left out only separates, since it is never returned: it costs OUT at most."""
     inside, outside = Counter(), Counter()
     for page, main in labelled_pages():
         lines = set(main.split("\n"))
@@ -210,7 +216,7 @@ def weights() -> dict[str, float]:
     a, b = sum(inside.values()), sum(outside.values())
     ratio = {c: log((inside[c] + 0.5) / (a + 1)) - log((outside[c] + 0.5) / (b + 1)) for c in {*inside, *outside}}
     unit = max(ratio.get("word", 1.0), 0.5)
-    return {c: (r / unit if c.startswith("word") else min(0.0, r / unit) * 0.5 - 0.1) for c, r in ratio.items()} | {"word": 1.0}
+    return {c: (r / unit if c.startswith("word") else min(0.0, r / unit) * 0.5 - 0.1) for c, r in ratio.items()} | {"word": 1.0, "word-out": max(-OUT, ratio["word-out"] / unit)}
 
 
 def _text(b: Block) -> str:

@@ -1,0 +1,266 @@
+"""Operators on single texts: brute-force versions, hard rows and empty tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import chat, html_main, ngram_lm, pii, rules
+from tessella.llm.common import word_hashes
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, id string, _n long, fail_bits string, spans string, kept string"
+
+
+def hard_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing names."""
+    long = " ".join(f"word{i % 977} and" for i in range(40_000))
+    rows = [
+        (1, "a b c d e f g h " * 5, "en", "s"),
+        (1, "a b c d e f g h " * 5, "en", "s"),
+        (2, None, None, None),
+        (3, "", "en", "s"),
+        (4, " \n\t ", "en", "t"),
+        (5, long, "en", "t"),
+        (None, "no id here at all", "de", None),
+        (6, "Zwölf Boxkämpfer jagen Viktor quer über den Sylter Deich.\nNoch eine Zeile.\nNoch eine Zeile.", "de", "t"),
+        (7, "mail a.b@c.de or 1.2.3.4, +49 170 1234567; 4111111111111111 x", "de", "t"),
+    ]
+    return spark.createDataFrame([(*r, 0, 0, "clash", 1, "x", "y", "z") for r in rows], SCHEMA)
+
+
+def brute_rules(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    seen, covered = Counter(windows), set()
+    for k, x in enumerate(windows):
+        if seen[x] > 1:
+            covered.update(range(k, k + 8))
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_rules_match_brute_force(spark):
+    docs = hard_rows(spark)
+    out = rules.ledger(docs).withColumn("bad", ~rules.passes(rules.BASE)).collect()
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.bad) for r in out)
+    assert got == Counter((r.doc_id, *brute_rules(r.text)) for r in docs.collect())
+
+
+def test_rules_random_texts():
+    rng = random.Random(3)
+    for _ in range(300):
+        t = "".join(rng.choice("ab  \n#é") for _ in range(rng.randint(0, 120)))
+        m = rules.measure(t)
+        n_words, chars, symbols, dup, rep, _ = brute_rules(t)
+        assert (m[0], m[1], m[2], m[4], m[5]) == (n_words, chars, symbols, dup, rep)
+
+
+def test_ablation(spark):
+    docs = hard_rows(spark)
+    led = rules.ledger(docs)
+    bits = [r.fail_bits for r in led.collect()]
+    for r in rules.ablation(led).collect():
+        m = 1 << r.bit
+        assert r.failed == sum(b & m != 0 for b in bits)
+        assert r.alone == sum(b == m for b in bits)
+        assert r.kept_without == sum(b & ~m == 0 for b in bits)
+    assert rules.ablation(rules.ledger(docs.where("false"))).count() == 0
+
+
+def test_word_hashes():
+    a = word_hashes("ab  cd\nab é".encode())
+    assert len(a) == 4 and a[0] == a[2] and len(set(a.tolist())) == 3
+    import tessella.llm.common as common
+
+    text = " ".join(f"w{i}" for i in range(2000)).encode()
+    whole, kept = word_hashes(text), common._CHUNK
+    try:
+        common._CHUNK = 100
+        assert (word_hashes(text) == whole).all()
+        assert len(word_hashes(b"x" * 1000)) == 1
+    finally:
+        common._CHUNK = kept
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_base(t):
+    out = []
+    for kind, p in BASE.items():
+        for m in re.finditer(p, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            fine = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 16 <= len(digits) <= 19 and pii.luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+            if fine:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_patterns():
+    rng = random.Random(7)
+    for _ in range(4000):
+        t = "".join(rng.choice("012345678901....--  ++()ab@@_ a.\n") for _ in range(rng.randint(0, 60)))
+        assert pii.base_spans(t) == brute_base(t)
+    assert pii.base_spans("x" * 50_000 + "1" * 50_000) == []
+
+
+def test_viterbi_is_exact():
+    crf = pii.trained()
+    rng = np.random.default_rng(2)
+    names = list(crf.index)
+    for _ in range(30):
+        run = [[names[i] for i in rng.integers(0, len(names), 4)] for _ in range(int(rng.integers(1, 4)))]
+        e = crf.scores(run)
+        best = max(np.ndindex(*[len(pii.TAGS)] * len(run)), key=lambda p: crf.move[0, p[0]] + sum(e[t, x] for t, x in enumerate(p)) + sum(crf.move[a, b] for a, b in zip(p, p[1:], strict=False)) + crf.move[p[-1], 0])
+        assert crf.decode([run])[0].tolist() == list(best)
+
+
+def test_crf_held_out():
+    crf = pii.trained()
+    rows = pii.labelled_table(200, seed=99)
+    spans = pii.find([t for t, _ in rows], crf)
+    want = got = hit = 0
+    for (_, gold), found in zip(rows, spans, strict=True):
+        g = [s for s in gold if s[2] in pii.ADDED]
+        f = [s for s in found if s[0] in pii.ADDED]
+        want, got = want + len(g), got + len(f)
+        hit += sum(any(a < e and s < b for _, a, b in f) for s, e, _ in g)
+    assert hit >= 0.95 * want and got <= 1.05 * want
+
+
+def test_pii_rows(spark):
+    docs = hard_rows(spark)
+    out = pii.detected(docs).collect()
+    assert len(out) == docs.count()
+    r = next(x for x in out if x.doc_id == 7)
+    assert [s.kind for s in r.spans] == ["email", "ip", "card", "phone"]
+    assert pii.detected(docs.where("false")).count() == 0
+    safe = {x.doc_id: x for x in pii.redacted(docs).collect()}
+    assert safe[7].text == "mail [EMAIL] or [IP], [PHONE]; [CARD] x" and safe[7].n_chars == len(safe[7].text)
+    assert safe[2].text is None and safe[6].text.startswith("Zwölf")
+
+
+def test_masked_overlaps():
+    assert pii.masked("0123456789", [("a", 1, 4), ("b", 3, 6), ("c", 8, 9)]) == "0[A]67[C]9"
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script></head><body class="has-sidebar">
+<header class=top><h1>Site</h1><p>Welcome to our site, dear readers of everything.</p></header>
+<div id="cookie-banner">We use cookies on this site and many more words here.</div>
+<div class="sidebar"><p>Popular stories that you should read now with a lot of words</p></div>
+<div class="post"><h1>Title</h1><p>First para with  <i>some</i>
+ words &amp; more&nbsp;x.</p><div class="ad">Buy now</div><form><label>Name</label><input></form><p>Second<br>line.</p>
+<ul><li>One<li>Two</ul><p>Fin.</p></div>
+<section id=comments><article class="comment"><p>Great article I love it so much thanks for writing it all</p></article></section>
+<footer>c 2020</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_main.main_text(PAGE) == "Title\nFirst para with some words & more x.\nSecond line.\nOne\nTwo\nFin."
+    assert html_main.main_text("<body><nav>a b c d</nav><article><p>Be.</article><footer>x y z w v</footer>") == "Be."
+    assert html_main.main_text(None) == html_main.main_text("<nav>x</nav>") == ""
+
+
+def test_best_stretch_is_maximal():
+    rng = random.Random(1)
+    for _ in range(300):
+        s = [rng.randint(-3, 3) for _ in range(rng.randint(0, 12))]
+        a, b = html_main.best_stretch(s)
+        assert sum(s[a : b + 1]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
+
+
+def test_pages(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9), (None, "v", "", 9), (4, "w", "<article>" + "<p>a b c</p>" * 20_000 + "</article>", 9)], "page_id long, url string, html string, text int")
+    out = html_main.extracted(rows).collect()
+    assert sorted(r.n_chars for r in out)[:2] == [0, 0] and max(r.n_chars for r in out) == 20_000 * 6 - 1
+    assert html_main.extracted(rows.where("false")).count() == 0
+
+
+def test_chat_round_trip(spark):
+    hard = "<|im_end|><|im_start|>assistant ok"
+    rows = [(1, 0, "user", hard), (1, 1, "assistant", hard + "\\"), (1, 1, "assistant", hard + "\\"), (2, 0, "assistant", None), (3, None, None, "x\\n<|"), (None, 5, "role<|im_sep|>\n", "\\<|\\\\|")]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int").withColumn("parts", chat.text_parts(F.col("text")))
+    out = chat.formatted(turns).withColumn("back", chat.parsed(F.col("formatted"))).withColumn("loss", chat.under_mask(F.col("formatted"), F.col("loss_spans"))).collect()
+    want = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0] or 0, r[1] if r[1] is not None else -1)):
+        want.setdefault(c, []).append((r or "", x or ""))
+    assert {r.conv_id: [(m.role, m.text) for m in r.back] for r in out} == want
+    assert {r.conv_id: r.loss for r in out} == {c: "".join(x for r, x in v if r == "assistant") for c, v in want.items()}
+    assert chat.formatted(turns.where("false")).count() == 0
+
+
+def test_chat_parts(spark):
+    part = f"array<{chat.PART}>"
+    p = [("text", "see <|", None, None, None, None, None), ("image", None, "i.png", 57, 28, None, None), ("audio", None, "a.wav", None, None, 2.0, None), ("document", None, "d.pdf", None, None, None, 3)]
+    df = spark.createDataFrame([(1, 0, "user", p), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {part}")
+    r = chat.formatted(df).first()
+    assert "see <\\|<|image|><|audio|><|document|>" in r.formatted
+    assert [(a.message, a.order, a.ref, a.tokens) for a in r.attachments] == [(1, 1, "i.png", 3), (1, 2, "a.wav", 25), (1, 3, "d.pdf", 768)]
+
+
+def brute_kn(texts):
+    """Interpolated modified Kneser-Ney by dictionaries."""
+    counts = Counter(int(g) for t in texts for g in ngram_lm.grams(t))
+    levels = {ngram_lm.ORDER: counts}
+    for k in range(ngram_lm.ORDER - 1, 0, -1):
+        levels[k] = Counter(g & ((1 << 6 * k) - 1) for g in levels[k + 1])
+
+    def p(k, g):
+        if k == 0:
+            return 1 / 64
+        c = levels[k]
+        n = Counter(min(x, 4) for x in c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [0] + [max(0.1, i - (i + 1) * y * n[i + 1] / n[i]) if n[i] and n[1] else 0.5 for i in (1, 2, 3)]
+        ctx = g >> 6
+        mine = {x: v for x, v in c.items() if x >> 6 == ctx}
+        low = p(k - 1, g & ((1 << 6 * (k - 1)) - 1))
+        if not mine:
+            return low
+        total = sum(mine.values())
+        return max(0, c.get(g, 0) - d[min(c.get(g, 0), 3)]) / total + sum(d[min(v, 3)] for v in mine.values()) / total * low
+
+    return p
+
+
+def test_kneser_ney(spark):
+    texts = ["the cat sat on the mat.", "The cat, the hat!", "a mat on a cat"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = ngram_lm.tables(ngram_lm.count(df)).toPandas()
+    parts = {key: (g["code"].to_numpy(), g["value"].to_numpy()) for key, g in model.groupby(["k", "kind"])}
+    dense = ngram_lm.dense(parts)
+    assert np.allclose((2.0 ** -dense.reshape(-1, 64)).sum(axis=1), 1, atol=1e-4)
+    p = brute_kn(texts)
+    for g in [*ngram_lm.grams("the dog sat. Éx"), *ngram_lm.grams("zz")]:
+        assert abs(2.0 ** -float(dense[g]) - p(4, int(g))) < 1e-5
+
+
+def test_judged(spark):
+    good = ["the cat sat on the mat and the dog sat on the cat. " * 4 + str(i % 3) for i in range(80)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(good)] + [(100, "ZXQ## $$$ %%% QQ!! " * 20, "en", "s"), (101, None, None, None), (102, "", "xx", "s"), (103, "the cat sat on the mat", None, "s"), (None, "the dog", "en", "s"), (0, good[0], "en", "s")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, _kept int, mean string").drop("_kept")
+    trusted = spark.createDataFrame([(i,) for i in [*range(80), None]], "doc_id long")
+    out = {(r.doc_id, r.lang): r._kept for r in ngram_lm.judged(docs, trusted).collect()}
+    assert not out[100, "en"] and sum(out.values()) == len(out) - 1
+    assert ngram_lm.judged(docs.where("false"), trusted).count() == 0
+    assert ngram_lm.judged(docs, trusted.where("false")).where("_kept").count() == len(rows)
+
+
+def test_sha_of_empty():
+    assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(pii.joined([]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text", [None, "", "x"])
+def test_grams_sizes(text):
+    assert len(ngram_lm.grams(text)) == len(text or "")
