@@ -138,8 +138,8 @@ def grid_merge_covered(spark, sf_dir):
     return c.join(hidden, ["sheet", "row", "col"], "left_anti")
 
 
-# Borders: every cell is boxed, but for some that lack a side and rows that stand apart.
-BORDERED = f"""{CELLS}, bordered AS (SELECT sheet, row, col, value, true AS bt, (row + col) % 9 <> 0 AS bb, true AS bl, col % 5 <> 4 AS br FROM cells WHERE row % 6 < 4 AND sheet < 8)"""
+# Borders: cells are boxed, but for some that lack a side and rows without any.
+BORDERED = f"""{CELLS}, bordered AS (SELECT sheet, row, col, value, row % 6 < 4 AS bt, row % 6 < 4 AND (row + col) % 9 <> 0 AS bb, row % 6 < 4 AS bl, row % 6 < 4 AND col % 5 <> 4 AS br FROM cells)"""
 SEGS = f"""{BORDERED}, segs AS (SELECT sheet, 'h' AS kind, row, col FROM bordered WHERE bt UNION SELECT sheet, 'h', row + 1, col FROM bordered WHERE bb
   UNION SELECT sheet, 'v', row, col FROM bordered WHERE bl UNION SELECT sheet, 'v', row, col + 1 FROM bordered WHERE br)"""
 UNITS = f"""{SEGS}, pts AS (SELECT sheet, row, col FROM segs UNION SELECT sheet, row - 1, col FROM segs WHERE kind = 'h' AND row > 0 UNION SELECT sheet, row, col - 1 FROM segs WHERE kind = 'v' AND col > 0),
@@ -159,7 +159,8 @@ TABLES = f"""{COMPONENTS}, box0 AS (SELECT sheet, root_r, root_c, count(*) AS n,
 
 
 def bordered(spark, sf_dir):
-    return cells(spark, sf_dir).where("row % 6 < 4 AND sheet < 8").selectExpr("sheet", "row", "col", "value", "true AS bt", "(row + col) % 9 <> 0 AS bb", "true AS bl", "col % 5 <> 4 AS br")
+    boxed = "row % 6 < 4"
+    return cells(spark, sf_dir).selectExpr("sheet", "row", "col", "value", f"{boxed} AS bt", f"{boxed} AND (row + col) % 9 <> 0 AS bb", f"{boxed} AS bl", f"{boxed} AND col % 5 <> 4 AS br")
 
 
 def _units(spark, sf_dir):
@@ -218,7 +219,7 @@ def named_split(spark, sf_dir):
     return ranges.cells_in_ranges(c, fine, ["sheet"]).groupBy("sheet", "name").agg(F.count("*").alias("n_cells"), F.sum(F.col("value").cast("long")).alias("total"))
 
 
-HEAD = f"{CELLS}, head AS (SELECT sheet, row // 40 AS tab, row, col, CAST(CAST(value AS BIGINT) % 3 AS VARCHAR) AS value FROM cells WHERE row % 40 < 3)"
+HEAD = f"{CELLS}, head AS (SELECT sheet, row // 3 AS tab, row, col, CAST(CAST(value AS BIGINT) % 3 AS VARCHAR) AS value FROM cells)"
 
 
 @query(
@@ -227,7 +228,7 @@ HEAD = f"{CELLS}, head AS (SELECT sheet, row // 40 AS tab, row, col, CAST(CAST(v
   SELECT sheet, CAST(tab AS BIGINT) AS tab, col, CASE WHEN count(*) OVER (PARTITION BY sheet, tab, label) > 1 THEN label || '（' || CAST(col AS VARCHAR) || '）' ELSE label END AS label FROM l"""
 )
 def header_labels(spark, sf_dir):
-    head = cells(spark, sf_dir).where("row % 40 < 3").selectExpr("sheet", "row div 40 AS tab", "row", "col", "cast(cast(value as bigint) % 3 as string) AS value")
+    head = cells(spark, sf_dir).selectExpr("sheet", "row div 3 AS tab", "row", "col", "cast(cast(value as bigint) % 3 as string) AS value")
     return grid.header_labels(head, ["sheet", "tab"])
 
 
@@ -243,12 +244,12 @@ def column_collapse(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CELLS}, r AS (SELECT sheet, row, '| ' || string_agg(coalesce(value, ''), ' | ' ORDER BY k) || ' |' AS md FROM (SELECT s.sheet, s.row, k, value FROM (SELECT DISTINCT sheet, row FROM cells WHERE row < 60) s
+    f"""WITH {CELLS}, r AS (SELECT sheet, row, '| ' || string_agg(coalesce(value, ''), ' | ' ORDER BY k) || ' |' AS md FROM (SELECT s.sheet, s.row, k, value FROM (SELECT DISTINCT sheet, row FROM cells) s
   CROSS JOIN range(1, 8) q(k) LEFT JOIN cells c ON c.sheet = s.sheet AND c.row = s.row AND c.col = k) GROUP BY 1, 2)
   SELECT sheet, string_agg(md, chr(10) ORDER BY row) AS markdown FROM r GROUP BY sheet"""
 )
 def markdown_table(spark, sf_dir):
-    c = cells(spark, sf_dir).where("row < 60")
+    c = cells(spark, sf_dir)
     by_col = c.groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
     row = markdown.table_row(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.try_element_at(F.col("m"), k)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", row.alias("md")))), lambda x: x["md"]), "\n")
@@ -316,11 +317,11 @@ def edge_direction(spark, sf_dir):
     return e.groupBy("event_type", "k", graph.direction(start, end).alias("direction")).agg(F.count("*").alias("n"))
 
 
-BOXES = """boxes AS (SELECT p_partkey AS id, p_partkey % 4 AS sheet, p_partkey * 37 % 2000 AS x, p_partkey * 53 % 1500 AS y, p_size + 5 AS w, p_size % 20 + 8 AS h FROM part)"""
+BOXES = """boxes AS (SELECT p_partkey AS id, p_partkey % 4 AS sheet, p_partkey * 37 % 400 AS x, p_partkey * 53 % 300 + p_partkey // 500 * 320 AS y, p_size + 5 AS w, p_size % 20 + 8 AS h FROM part)"""
 
 
 def boxes(spark, sf_dir):
-    return t(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey % 4 AS sheet", "p_partkey * 37 % 2000 AS x", "p_partkey * 53 % 1500 AS y", "cast(p_size + 5 as bigint) AS w", "cast(p_size % 20 + 8 as bigint) AS h")
+    return t(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey % 4 AS sheet", "p_partkey * 37 % 400 AS x", "p_partkey * 53 % 300 + p_partkey div 500 * 320 AS y", "cast(p_size + 5 as bigint) AS w", "cast(p_size % 20 + 8 as bigint) AS h")
 
 
 @query(f"WITH {BOXES} SELECT a.id AS a, b.id AS b, a.sheet FROM boxes a JOIN boxes b ON a.sheet = b.sheet AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
@@ -330,24 +331,24 @@ def rect_overlap(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BOXES}, pts AS (SELECT vec_id, vec_id % 4 AS sheet, CAST(floor((embedding[1] + 1) * 1000) AS BIGINT) AS px, CAST(floor((embedding[2] + 1) * 750) AS BIGINT) AS py FROM embeddings),
+    f"""WITH {BOXES}, pts AS (SELECT vec_id, vec_id % 4 AS sheet, CAST(floor((embedding[1] + 1) * 200) AS BIGINT) AS px, CAST(floor((embedding[2] + 1) * 150) AS BIGINT) AS py FROM embeddings),
   hit AS (SELECT vec_id, id FROM pts p JOIN boxes b ON p.sheet = b.sheet AND px BETWEEN x - 1 AND x + w + 1 AND py BETWEEN y - 1 AND y + h + 1 AND NOT (px > x + 1 AND px < x + w - 1 AND py > y + 1 AND py < y + h - 1))
   SELECT vec_id, count(*) AS contacts, CASE WHEN count(*) = 1 THEN min(id) END AS target FROM hit GROUP BY vec_id"""
 )
 def boundary_contact(spark, sf_dir):
     """Line ends on a box's boundary, within a tolerance; the box counts if it is the only one."""
-    p = t(spark, sf_dir, "embeddings").selectExpr("vec_id", "vec_id % 4 AS sheet", "cast(floor((embedding[0] + 1) * 1000) as bigint) AS x", "cast(floor((embedding[1] + 1) * 750) as bigint) AS y", "0L AS w", "0L AS h")
+    p = t(spark, sf_dir, "embeddings").selectExpr("vec_id", "vec_id % 4 AS sheet", "cast(floor((embedding[0] + 1) * 200) as bigint) AS x", "cast(floor((embedding[1] + 1) * 150) as bigint) AS y", "0L AS w", "0L AS h")
     b = boxes(spark, sf_dir).selectExpr("id", "sheet", "x - 1 AS x", "y - 1 AS y", "w + 2 AS w", "h + 2 AS h")
     hit = ranges.overlapping(p, b, ["sheet"], 64, touch=True).where("NOT (x_l > x_r + 2 AND x_l < x_r + w_r - 2 AND y_l > y_r + 2 AND y_l < y_r + h_r - 2)")
     return hit.groupBy(F.col("vec_id_l").alias("vec_id")).agg(F.count("*").alias("contacts"), F.min("id_r").alias("m")).selectExpr("vec_id", "contacts", "CASE WHEN contacts = 1 THEN m END AS target")
 
 
 @query(
-    f"""WITH RECURSIVE {BOXES}, e AS (SELECT a.id AS u, b.id AS v FROM boxes a JOIN boxes b ON a.sheet = b.sheet AND a.id <> b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h WHERE a.id % 3 = 0 AND b.id % 3 = 0),
-  walk(n, root) AS (SELECT id, id FROM boxes WHERE id % 3 = 0 UNION SELECT e.v, w.root FROM walk w JOIN e ON e.u = w.n) SELECT n AS id, min(root) AS root FROM walk GROUP BY n"""
+    f"""WITH RECURSIVE {BOXES}, e AS (SELECT a.id AS u, b.id AS v FROM boxes a JOIN boxes b ON a.sheet = b.sheet AND a.id <> b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h),
+  walk(n, root) AS (SELECT id, id FROM boxes UNION SELECT e.v, w.root FROM walk w JOIN e ON e.u = w.n) SELECT n AS id, min(root) AS root FROM walk GROUP BY n"""
 )
 def drawing_components(spark, sf_dir):
-    b = boxes(spark, sf_dir).where("id % 3 = 0")
+    b = boxes(spark, sf_dir)
     e = ranges.overlapping(b, b, ["sheet"], 64).where("id_l < id_r").selectExpr("id_l AS a", "id_r AS b")
     return graph.components(b.select("id"), e)
 
@@ -391,7 +392,10 @@ PAGES = """edges AS (SELECT sheet, 0.0::DOUBLE AS e FROM range(8) r(sheet) UNION
 
 
 def _pages(spark, sf_dir):
-    p = t(spark, sf_dir, "part").selectExpr("p_partkey % 8 AS sheet", "p_partkey AS k", "cast(p_size as double) AS size")
+    return _sliced(t(spark, sf_dir, "part").selectExpr("p_partkey % 8 AS sheet", "p_partkey AS k", "cast(p_size as double) AS size"))
+
+
+def _sliced(p: DataFrame) -> DataFrame:
     ends = ranges.prefix_offsets(p, ["sheet"], "k", "size").groupBy("sheet").agg(F.array_sort(F.collect_set("end")).alias("edges"))
     bounds = ends.selectExpr("sheet", "concat(array(0D), edges) AS edges", "cast(array() as array<struct<start:double,end:double>>) AS blocks")
     return ranges.slices(bounds, ["sheet"], 200.0)
@@ -402,29 +406,31 @@ def page_slices(spark, sf_dir):
     return _pages(spark, sf_dir)
 
 
+COLS = PAGES.replace("edges", "wedges").replace("ends", "wends").replace("cuts", "wcuts").replace("range(8) r(sheet)", "range(8) wr(sheet)").replace("p_partkey", "s_suppkey").replace("p_size", "(10 + s_suppkey % 50)").replace("FROM part)", "FROM supplier)")
+
+
 @query(
-    f"""WITH RECURSIVE {PAGES} SELECT a.sheet, CAST(row_number() OVER (PARTITION BY a.sheet ORDER BY a.page, b.page) AS INT) AS number, CAST(ceil((b.e - b.s) * 2) AS BIGINT) AS width, CAST(ceil((a.e - a.s) * 2) AS BIGINT) AS height
-  FROM cuts a JOIN cuts b ON a.sheet = b.sheet WHERE a.page < 10 AND b.page < 3"""
+    f"""WITH RECURSIVE {PAGES}, {COLS} SELECT a.sheet, CAST(row_number() OVER (PARTITION BY a.sheet ORDER BY a.page, b.page) AS INT) AS number, CAST(ceil((b.e - b.s) * 2) AS BIGINT) AS width, CAST(ceil((a.e - a.s) * 2) AS BIGINT) AS height
+  FROM cuts a JOIN wcuts b ON a.sheet = b.sheet"""
 )
 def page_grid(spark, sf_dir):
     """Pages left to right within each band, with their pixel sizes at the readable scale."""
     from pyspark.sql import Window
 
-    cut = _pages(spark, sf_dir)
-    rows = cut.where("page < 10").selectExpr("sheet", "page AS i", "end - start AS h")
-    cols = cut.where("page < 3").selectExpr("sheet", "page AS j", "end - start AS w")
+    rows = _pages(spark, sf_dir).selectExpr("sheet", "page AS i", "end - start AS h")
+    cols = _sliced(t(spark, sf_dir, "supplier").selectExpr("s_suppkey % 8 AS sheet", "s_suppkey AS k", "cast(10 + s_suppkey % 50 as double) AS size")).selectExpr("sheet", "page AS j", "end - start AS w")
     scale = geometry.readable_scale(F.lit(2.0), F.lit(1.0), F.lit(5.0), F.lit(12.0))
     n = F.row_number().over(Window.partitionBy("sheet").orderBy("i", "j"))
     return rows.join(cols, "sheet").select("sheet", n.alias("number"), F.ceil(F.col("w") * scale).alias("width"), F.ceil(F.col("h") * scale).alias("height"))
 
 
 @query(
-    f"""WITH {CELLS}, {MERGES}, b AS (SELECT sheet, min(row) AS r1, max(row) AS r2, min(col) AS c1, max(col) AS c2 FROM cells WHERE col > 1 GROUP BY sheet),
+    f"""WITH {CELLS}, {MERGES}, b AS (SELECT sheet, min(row) AS r1, max(row) AS r2, min(col) AS c1, max(col) AS c2 FROM cells GROUP BY sheet),
   w AS (SELECT b.*, m.r1 AS m1, m.r2 AS m2, m.c1 AS n1, m.c2 AS n2 FROM b LEFT JOIN merges m ON m.sheet = b.sheet AND m.r1 <= b.r2 AND m.r2 >= b.r1 AND m.c1 <= b.c2 AND m.c2 >= b.c1)
   SELECT sheet, least(min(r1), min(m1)) AS r1, greatest(max(r2), max(m2)) AS r2, least(min(c1), min(n1)) AS c1, greatest(max(c2), max(n2)) AS c2 FROM w GROUP BY sheet"""
 )
 def used_range(spark, sf_dir):
-    return grid.used_range(cells(spark, sf_dir).where("col > 1"), merges(spark, sf_dir), ["sheet"])
+    return grid.used_range(cells(spark, sf_dir), merges(spark, sf_dir), ["sheet"])
 
 
 @query(
@@ -509,14 +515,14 @@ def style_inheritance(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey * 2 + o_custkey % 3 AS b FROM orders), walk(n, k) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderkey BETWEEN 1 AND 5 UNION SELECT e.b, k + 1 FROM walk JOIN e ON e.a = walk.n)
+    """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey * 2 + o_custkey % 3 AS b FROM orders), walk(n, k) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderpriority LIKE '1%' UNION SELECT e.b, k + 1 FROM walk JOIN e ON e.a = walk.n)
   SELECT n, min(k) AS steps FROM walk GROUP BY n"""
 )
 def footnote_closure(spark, sf_dir):
     """Notes reached from the body, also through other notes."""
     o = t(spark, sf_dir, "orders")
     e = o.selectExpr("o_orderkey AS a", "o_orderkey * 2 + o_custkey % 3 AS b")
-    return graph.closure(e, o.where("o_orderkey BETWEEN 1 AND 5").selectExpr("o_orderkey AS n"))
+    return graph.closure(e, o.where("o_orderpriority LIKE '1%'").selectExpr("o_orderkey AS n"))
 
 
 @query(
@@ -595,7 +601,7 @@ def retention_expired(spark, sf_dir):
     return s.join(F.broadcast(now)).select("job", "status", jobs.expired(at, sent, 7, F.timestamp_seconds("now")).alias("expired"))
 
 
-@query("SELECT s_suppkey, coalesce(n_name, 'UNKNOWN_ALIAS') AS alias FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 5 <> 0")
+@query("SELECT s_suppkey, coalesce(n_name, 'UNKNOWN_ALIAS') AS alias FROM supplier LEFT JOIN nation ON s_nationkey + 3 = n_nationkey")
 def alias_lookup(spark, sf_dir):
-    s, n = t(spark, sf_dir, "supplier"), t(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0")
-    return s.join(n, s["s_nationkey"] == n["n_nationkey"], "left").select("s_suppkey", F.coalesce("n_name", F.lit("UNKNOWN_ALIAS")).alias("alias"))
+    s, n = t(spark, sf_dir, "supplier"), t(spark, sf_dir, "nation")
+    return s.join(n, s["s_nationkey"] + 3 == n["n_nationkey"], "left").select("s_suppkey", F.coalesce("n_name", F.lit("UNKNOWN_ALIAS")).alias("alias"))
