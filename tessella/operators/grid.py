@@ -17,7 +17,7 @@ def segments(cells: DataFrame, by: list[str]) -> DataFrame:
     a bottom border is the top segment of the row below, a right one likewise."""
     sides = [("bt", "h", 0, 0), ("bb", "h", 1, 0), ("bl", "v", 0, 0), ("br", "v", 0, 1)]
     each = F.array(*[F.when(F.col(c), F.struct(F.lit(k).alias("kind"), (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"))) for c, k, dr, dc in sides])
-    return cells.select(*by, F.explode(F.filter(each, lambda s: s.isNotNull())).alias("s")).select(*by, "s.*").distinct()
+    return cells.select(*by, F.explode(F.filter(each, lambda s: s.isNotNull())).alias("_seg")).select(*by, "_seg.*").distinct()
 
 
 def closed(segs: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def closed(segs: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
     v = "transform(sequence(r1, r2), r -> struct('v' as kind, r as row, {c} as col))"
     need = F.expr(f"concat({h.format(r='r1')}, {h.format(r='r2 + 1')}, {v.format(c='c1')}, {v.format(c='c2 + 1')})")
     key = [*by, "r1", "r2", "c1", "c2"]
-    wanted = boxes.select(*key, F.explode(need).alias("s")).select(*key, "s.*")
+    wanted = boxes.select(*key, F.explode(need).alias("_seg")).select(*key, "_seg.*")
     have = wanted.join(segs, [*by, "kind", "row", "col"]).groupBy(*key).agg(F.count("*").alias("n"))
     return have.where("n = 2 * (r2 - r1 + 1) + 2 * (c2 - c1 + 1)").drop("n")
 
@@ -35,7 +35,7 @@ def closed(segs: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
 def units(segs: DataFrame, merges: DataFrame, by: list[str]) -> DataFrame:
     """Closed units beside a border: cells, or whole merges where one holds the cell."""
     near = F.when(F.col("kind") == "h", F.array(F.struct("row", "col"), F.struct((F.col("row") - 1).alias("row"), F.col("col")))).otherwise(F.array(F.struct("row", "col"), F.struct(F.col("row"), (F.col("col") - 1).alias("col"))))
-    points = segs.select(*by, F.explode(near).alias("p")).select(*by, F.col("p.row").alias("row"), F.col("p.col").alias("col")).where("row >= 0 AND col >= 0").distinct()
+    points = segs.select(*by, F.explode(near).alias("_at")).select(*by, F.col("_at.row").alias("row"), F.col("_at.col").alias("col")).where("row >= 0 AND col >= 0").distinct()
     merged = ranges.cells_in_ranges(points, merges.select(*by, "r1", "r2", "c1", "c2"), by)
     single = points.join(merged.select(*by, "row", "col"), [*by, "row", "col"], "left_anti").selectExpr(*by, "row AS r1", "row AS r2", "col AS c1", "col AS c2")
     return closed(segs, merged.select(*by, "r1", "r2", "c1", "c2").unionByName(single).distinct(), by)
@@ -52,7 +52,7 @@ def adjacent(boxes: DataFrame, by: list[str]) -> DataFrame:
     cells shifted right and down."""
     cells = occupied(boxes, by)
     shifted = F.explode(F.array(F.struct("row", (F.col("col") + 1).alias("col")), F.struct((F.col("row") + 1).alias("row"), F.col("col"))))
-    near = cells.select(*by, "ur", "uc", shifted.alias("s")).select(*by, "ur", "uc", "s.row", "s.col")
+    near = cells.select(*by, "ur", "uc", shifted.alias("_at")).select(*by, "ur", "uc", "_at.row", "_at.col")
     there = cells.select(*by, "row", "col", F.col("ur").alias("vr"), F.col("uc").alias("vc"))
     return near.join(there, [*by, "row", "col"]).where("ur <> vr OR uc <> vc").select(*by, "ur", "uc", "vr", "vc").distinct()
 
