@@ -78,3 +78,36 @@ def rotation_text(degrees: Column) -> Column:
     x = F.round(F.pmod(degrees, F.lit(360.0)), 3).cast("decimal(20,3)")
     text = F.regexp_replace(F.regexp_replace(x.cast("string"), r"0+\z", ""), r"\.\z", "")
     return F.when(x % 360 != 0, F.concat(F.lit("時計回り"), text, F.lit("度")))
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """A local reference against the folder of its document, or null where it leaves the
+    root, is absolute, has a scheme, or holds a backslash or a control."""
+    path = F.regexp_replace(ref, r"[?#].*\z", "")
+    folder = F.regexp_replace(base, r"[^/]*\z", "")
+    parts = F.filter(F.split(F.concat(folder, path), "/"), lambda p: (p != "") & (p != "."))
+
+    def step(acc: Column, p: Column) -> Column:
+        up = F.when(F.size(acc["at"]) > 0, F.slice(acc["at"], F.lit(1), F.size(acc["at"]) - 1)).otherwise(acc["at"])
+        return F.struct(F.when(p == "..", up).otherwise(F.concat(acc["at"], F.array(p))).alias("at"), (acc["out"] | ((p == "..") & (F.size(acc["at"]) == 0))).alias("out"))
+
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(False).alias("out"))
+    end = F.aggregate(parts, start, step)
+    bad = path.rlike(r"\A/|\A[a-zA-Z][a-zA-Z0-9+.-]*:|\\|[\x00-\x1f\x7f]") | (path == "")
+    return F.when(~bad & ~end["out"], F.array_join(end["at"], "/"))
+
+
+def hyperlink(formula: Column) -> Column:
+    """(address, label) of a literal HYPERLINK formula; a label that is no literal is
+    null, and anything after the call makes it none."""
+    m = r'(?is)\A\s*HYPERLINK\(\s*"((?:[^"]|"")*)"\s*(?:,\s*(?:"((?:[^"]|"")*)"|([^()"]*(?:\([^()"]*\)[^()"]*)*))\s*)?\)\s*\z'
+    part = lambda i: F.replace(F.regexp_extract(formula, m, i), F.lit('""'), F.lit('"'))
+    return F.when(formula.rlike(m), F.struct(part(1).alias("address"), F.when(part(2) != "", part(2)).alias("label")))
+
+
+def json_alt(value: Column) -> Column:
+    """JSON text whose Markdown characters are written as \\uXXXX."""
+    out = value
+    for c in "[]`*_<>|!":
+        out = F.replace(out, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return out
