@@ -46,6 +46,17 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sealed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under plain column names, and the plain name of each of its own, so that an
+    operator's columns cannot clash with any that the input carries along."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*plain), dict(zip(df.columns, plain, strict=True))
+
+
+def opened(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(p).alias(n) for n, p in names.items()])
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, without building them; 0 for null."""
     marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "x")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, word_hashes
+from .common import opened, sealed, small_batches, table, word_hashes
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -247,9 +247,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     link to nothing else; a text of fewer than five words is one shingle. Repeated
     rows are copies. An empty table gives an empty result; no other column is read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = table(fingerprinted(rows).drop("text"))
-    classes = signed.groupBy("_fp").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("_n").alias("n"), F.first("_sig").alias("sig"))
-    classes = table(classes.withColumnRenamed("_fp", "fp"))
+    signed, classes = _classes(rows)
     links, forest = _links(rows, classes)
     linked = links.groupBy("fp").agg(F.sum("texts_linked").alias("n_text_links"), F.sum("docs_linked").alias("_docs"))
     roots = components(forest).withColumnRenamed("u", "fp")
@@ -260,6 +258,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(F.col("id").alias(id_col), "copy_id", "class_id", (F.coalesce("_docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: id, text. The rows by fingerprint, and a row for each fingerprint."""
+    signed = table(fingerprinted(rows).drop("text"))
+    classes = signed.groupBy("_fp").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("_n").alias("n"), F.first("_sig").alias("sig"))
+    return signed, table(classes.withColumnRenamed("_fp", "fp"))
+
+
 def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keyed = classes.where("n > 0").select("fp", "sig", band.alias("band")).withColumn("key", F.xxhash64("band", F.expr(f"substring(sig, band * {4 * ROWS} + 1, {4 * ROWS})"))).drop("sig")
@@ -289,17 +294,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row of each class of join(): of its least id and that id's least
     fingerprint, repeated rows once. All columns stay."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = fingerprinted(docs.select("*"), text_col, sign=False)
-    chosen = _chosen(rows)
-    same = marked[id_col].eqNullSafe(chosen["_id"]) & (marked["_fp"] == chosen["_f"])
-    return marked.join(chosen, same, "left_semi").dropDuplicates([id_col, "_fp"]).select(*docs.columns)
+    plain, names = sealed(docs)
+    marked, chosen, key = fingerprinted(plain, names[text_col], sign=False), _chosen(rows), names[id_col]
+    same = marked[key].eqNullSafe(chosen["_id"]) & (marked["_fp"] == chosen["_f"])
+    return opened(marked.join(chosen, same, "left_semi").dropDuplicates([key, "_fp"]), names)
 
 
 def _chosen(rows: DataFrame) -> DataFrame:
     """_id and _f of the row of each class that stays."""
-    signed = table(fingerprinted(rows).drop("text"))
-    classes = signed.groupBy("_fp").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("_n").alias("n"), F.first("_sig").alias("sig"))
-    classes = table(classes.withColumnRenamed("_fp", "fp"))
+    _, classes = _classes(rows)
     _, forest = _links(rows, classes)
     roots = components(forest).withColumnRenamed("u", "fp")
     named = classes.select("fp", "copy_id").join(roots, "fp", "left")
