@@ -16,9 +16,7 @@ from tessella.llm.common import read, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    trusted = ngram_lm.trusted_ids(read(spark, sf_dir, "labels"))
-    judged = ngram_lm.judged(docs, trusted, keep_text=True)
-    return judged.where("_kept").select(*docs.columns)
+    return ngram_lm.accepted(docs, ngram_lm.trusted_ids(read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
