@@ -8,8 +8,9 @@ h + s gains one), so it is read off the level array.
 
 Texts never move: a row for each piece (a few numbers) goes to one of
 ``pieces / GROUP`` packers by hash, so a packer's rows are bounded in expectation
-and no key or long document meets in one of them. Only the windows that a packer
-leaves open at its end are padded.
+and no key or long document meets in one of them. A packer's items arrive by falling
+size, which leaves the small ones to fill up. Only the windows that it leaves open at
+its end are padded.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -154,8 +156,8 @@ def pack(cut: DataFrame, id_col: str = "doc_id", *, window: int = WINDOW, group:
     kept = [f for f in rows.schema if f.name not in ("_key", "_g")]
     names = [f.name for f in kept]
 
-    def run(key, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["_key", "start", "length"], kind="stable")
+    def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["length", "_key", "start"], ascending=[False, True, True], kind="stable")
         number, offset = sum_of_squares(b["length"].to_numpy(), window)
         return b[names].assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
 

@@ -16,6 +16,7 @@ task holds one block of each, and a query's partial results are k rows for a blo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -102,7 +103,7 @@ def usable(vector: Column) -> Column:
 
 
 def _packed(rows: DataFrame, name: str, blocks: int, salt: int) -> DataFrame:
-    def run(key, b: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
         dims = max(map(len, b["v"]))
         x = np.zeros((len(b), dims), np.int64)
         for i, v in enumerate(b["v"]):
