@@ -8,9 +8,9 @@ h + s gains one), so it is read off the level array.
 
 Texts never move: a row for each piece (a few numbers) goes to one of
 ``pieces / GROUP`` packers by hash, so a packer's rows are bounded in expectation
-and no key or long document meets in one of them. A packer's items arrive by falling
-size, which leaves the small ones to fill up. Only the windows that it leaves open at
-its end are padded.
+and no key or long document meets in one of them. A packer's items arrive in a random
+order, but for its last TAIL ones, which arrive by falling size, so that small ones fill
+up what is open. Only the windows that it leaves open at its end are padded.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from .common import small_batches, table
 WINDOW = 2048
 END_ID = 1
 GROUP = 20_000
+TAIL = 2000
 TOKENIZER = "word_bpe_49k.json"
 
 CACHED = 400_000  # distinct words that a worker remembers
@@ -157,7 +158,9 @@ def pack(cut: DataFrame, id_col: str = "doc_id", *, window: int = WINDOW, group:
     names = [f.name for f in kept]
 
     def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "_key", "start"], ascending=[False, True, True], kind="stable")
+        b = b.sort_values(["_key", "start", "length"], kind="stable")
+        last = b.iloc[-TAIL:].sort_values("length", ascending=False, kind="stable")
+        b = pd.concat([b.iloc[: len(b) - len(last)], last])
         number, offset = sum_of_squares(b["length"].to_numpy(), window)
         return b[names].assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
 
