@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read
+from .sql import SQL  # noqa: F401
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +63,6 @@ QUERIES = {
     "op10_chat": op10_chat,
 }
 
-SQL: dict[str, str] = {}
-
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_lm
