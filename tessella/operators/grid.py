@@ -133,3 +133,40 @@ def text_rows(cells: DataFrame, inside: DataFrame, by: list[str]) -> DataFrame:
     rest = cells.join(inside.select(*by, "row", "col"), [*by, "row", "col"], "left_anti")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), "　")
     return rest.groupBy(*by, "row").agg(F.min("col").alias("col"), text.alias("text"))
+
+
+def full_height_seeds(members: DataFrame, tables: DataFrame, segs: DataFrame, by: list[str]) -> DataFrame:
+    """Seeds within components that are no tables as a whole, but whose bounding box is
+    closed: runs of neighbouring columns that units cover over the full height. A seed
+    cuts no unit, has two units or more, and is closed itself."""
+    key = [*by, "root_r", "root_c"]
+    rest = members.join(tables.select(*key).distinct(), key, "left_anti")
+    box = rest.groupBy(*key).agg(F.min("r1").alias("b1"), F.max("r2").alias("b2"), F.min("c1").alias("d1"), F.max("c2").alias("d2"), F.count("*").alias("n")).where("n > 1")
+    whole = closed(segs, box.selectExpr(*by, "b1 AS r1", "b2 AS r2", "d1 AS c1", "d2 AS c2"), by).selectExpr(*by, "r1 AS b1", "r2 AS b2", "c1 AS d1", "c2 AS d2")
+    box = box.join(whole, [*by, "b1", "b2", "d1", "d2"])
+    cols = rest.join(box, key).withColumn("col", F.explode(F.sequence("c1", "c2"))).groupBy(*key, "b1", "b2", "col").agg(F.sum(F.expr("r2 - r1 + 1")).alias("h"))
+    full = cols.where("h = b2 - b1 + 1")
+    run = F.col("col") - F.row_number().over(Window.partitionBy(*key).orderBy("col"))
+    seeds = full.withColumn("_run", run).groupBy(*key, "b1", "b2", "_run").agg(F.min("col").alias("s1"), F.max("col").alias("s2"))
+    held = seeds.join(rest, key).where("c1 <= s2 AND c2 >= s1").groupBy(*key, "b1", "b2", "s1", "s2").agg(F.count("*").alias("n"), F.bool_or(F.expr("c1 < s1 OR c2 > s2")).alias("cuts"))
+    fine = held.where("n > 1 AND NOT cuts").selectExpr(*by, "b1 AS r1", "b2 AS r2", "s1 AS c1", "s2 AS c2")
+    return closed(segs, fine, by)
+
+
+def visual_spans(cells: DataFrame, segs: DataFrame, hidden: DataFrame, merged: DataFrame, by: list[str]) -> DataFrame:
+    """Horizontal spans that look merged: neighbouring columns of a row with borders above
+    and below each, a border at both ends and none between. cells: by, row, col of values;
+    hidden: by, col; merged: by, row, col. Spans that touch a hidden column or a merge are none."""
+    h = segs.where("kind = 'h'").drop("kind")
+    both = h.join(h.withColumn("row", F.col("row") - 1), [*by, "row", "col"], "left_semi")
+    open_ = both.join(hidden, [*by, "col"], "left_anti").join(merged, [*by, "row", "col"], "left_anti")
+    walls = segs.where("kind = 'v'").select(*by, "row", "col", F.lit(True).alias("wall"))
+    marked = open_.join(walls, [*by, "row", "col"], "left")
+    w = Window.partitionBy(*by, "row").orderBy("col")
+    new = F.col("wall").isNotNull() | (F.lag("col").over(w) != F.col("col") - 1) | F.lag("col").over(w).isNull()
+    runs = marked.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy(*by, "row", "_run").agg(F.min("col").alias("c1"), F.max("col").alias("c2"), F.bool_or("wall").alias("left_wall")).where("c2 > c1 AND left_wall")
+    end = walls.select(*by, "row", (F.col("col") - 1).alias("c2"))
+    spans = spans.join(end, [*by, "row", "c2"], "left_semi")
+    held = spans.join(cells.select(*by, "row", "col"), [*by, "row"]).where("col BETWEEN c1 AND c2")
+    return held.select(*by, "row", "c1", "c2").distinct()

@@ -201,3 +201,41 @@ def test_probes(spark):
     assert [r.t for r in df.select(probe.markdown_text(F.col("c")).alias("t")).collect()] == list(cases.values())
     pdf = spark.createDataFrame([(bytearray(b"junk%PDF-1.7"),), (bytearray(b"x" * 1100 + b"%PDF-"),)], "c binary")
     assert [r.p for r in pdf.select(probe.is_pdf(F.col("c")).alias("p")).collect()] == [True, False]
+
+
+def test_full_height_seeds(spark):
+    """A regular two-column grid beside a merged block that leaves a hole."""
+    rows = []
+    for r in range(3):
+        for c in range(3):
+            if (r, c) != (1, 2):  # no closed cell here: the outer border runs on, the inner ones do not
+                rows.append((0, r, c, True, True, True, True))
+    rows.append((0, 1, 2, False, False, False, True))
+    cells = spark.createDataFrame(rows, "g int, row int, col int, bt boolean, bb boolean, bl boolean, br boolean")
+    segs = grid.segments(cells, ["g"]).where("NOT (kind = 'h' AND col = 2 AND row IN (1, 2))")
+    none = spark.createDataFrame([], "g int, r1 int, r2 int, c1 int, c2 int")
+    members = grid.component_of(grid.units(segs, none, ["g"]), ["g"])
+    tables = grid.accepted(members, segs, ["g"])
+    out = grid.full_height_seeds(members, tables, segs, ["g"])
+    boxes = {tuple(r)[1:] for r in out.collect()} | {tuple(r) for r in tables.select("r1", "r2", "c1", "c2").collect()}
+    assert boxes == {(0, 2, 0, 1)}
+
+
+def test_visual_spans(spark):
+    line = [("h", r, c) for r in (0, 1) for c in range(5)] + [("v", 0, 0), ("v", 0, 3), ("v", 0, 4), ("v", 0, 5)]
+    segs = spark.createDataFrame([(1, *x) for x in line], "g int, kind string, row int, col int")
+    cells = spark.createDataFrame([(1, 0, 1), (1, 0, 4)], "g int, row int, col int")
+    none = spark.createDataFrame([], "g int, row int, col int")
+    hidden = spark.createDataFrame([], "g int, col int")
+    assert [tuple(r) for r in grid.visual_spans(cells, segs, hidden, none, ["g"]).collect()] == [(1, 0, 0, 2)]
+    merged = spark.createDataFrame([(1, 0, 1)], "g int, row int, col int")
+    assert grid.visual_spans(cells, segs, hidden, merged, ["g"]).count() == 0
+
+
+def test_numbering(spark):
+    from tessella.operators import numbering
+
+    p = [(1, 1, "n", 0, "decimal", "%1.", None, None), (1, 2, "n", 1, "lowerLetter", "%1.%2", None, None), (1, 3, "n", 1, "lowerLetter", "%1.%2", None, None), (1, 4, "n", 0, "decimal", "%1.", None, None), (1, 5, "n", 1, "lowerLetter", "%1.%2", None, None), (1, 6, "m", 0, "upperRoman", "(%1)", 4, None), (1, 7, "m", 0, "bullet", "", None, None), (2, 1, "k", 0, "decimal", "%1", None, None), (2, 2, "k", 1, "decimal", "%2", None, -1), (2, 3, "k", 0, "decimal", "%1", None, None), (2, 4, "k", 1, "decimal", "%2", None, -1)]
+    df = spark.createDataFrame(p, "doc int, ord int, num_id string, level int, format string, pattern string, start int, restart int")
+    got = [r.label for r in numbering.numbered(df, ["doc"]).orderBy("doc", "ord").collect()]
+    assert got == ["1.", "1.a", "1.b", "2.", "2.a", "(IV)", "•", "1", "1", "2", "2"]
