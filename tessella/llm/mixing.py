@@ -8,8 +8,8 @@ below theirs, so the totals are exact. A slot of rank i in its source reads
 block perm(i), where perm is a keyed permutation of the source's block indices
 (swap-or-not), another one on each pass. Slots and blocks meet in an equi-join.
 
-Scale: rows that move are (document, offset) and (slot, block) pairs, never
-texts. The running offsets use (source, hash bucket) windows and a prefix over
+Scale: rows that move are (document, offset) and (slot, block) pairs; texts move
+once, where they are asked for. The running offsets use (source, hash bucket) windows and a prefix over
 bucket totals, so a source with a third of all rows is spread over BUCKETS
 tasks. Only a table with a row for each source passes one task.
 """
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import locate, n_words, table, words
+from .common import locate, n_words, opened, sealed, table, words
 
 BLOCK = 256  # words in a block
 SHARD_SLOTS = 4096  # blocks in an output shard
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 @dataclass
 class Mix:
-    docs: DataFrame  # the kept columns, src, row key (bucket, row), size, lo: the offset in its source
+    docs: DataFrame  # the kept columns, id, mark, src, row key (bucket, row), size, lo: the offset in its source
     sources: DataFrame  # src, src_name, source_size, target
     slots: DataFrame | None  # shard, slot, src, pass, block, take: one row for each block of the mix
 
@@ -76,6 +76,14 @@ class Mix:
         return d.withColumn("at", F.greatest(F.col("lo") - start, F.lit(0))).withColumn("end", F.least(F.col("lo") + F.col("size") - start, F.lit(BLOCK)))
 
 
+def marked(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with id (never null) and mark, a hash of all columns that can be hashed: rows
+    that agree in both count as equal and may stand for each other."""
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    name = F.when(F.col(id_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(id_col).cast("string")))
+    return docs.withColumns({"id": name, "mark": F.xxhash64(*plain)})
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17, keep: list[str] | None = None) -> Mix:
     """Null texts have size 0, a null source is a source of its own (last),
     repeated rows count each, an empty table gives an empty mix. Other columns
@@ -83,16 +91,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     however they are partitioned."""
     keep = [id_col] if keep is None else keep
     src = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col)))
-    sized = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), src.alias("src"), F.col(source_col).alias("src_name"), n_words(F.col(text_col)).alias("size"))
-    sized = table(sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "size")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
+    plain, names = sealed(docs)
+    rows = marked(plain, names[id_col]).select(F.struct(*[F.col(names[c]).alias(c) for c in keep]).alias("kept"), "id", "mark", *[F.col(names[c]).alias(c) for c in dict.fromkeys([text_col, source_col]) if c not in ("id", "mark")])
+    sized = rows.select("kept", "id", "mark", src.alias("src"), F.col(source_col).alias("src_name"), n_words(F.col(text_col)).alias("size"))
+    sized = table(sized.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
 
     per_bucket = sized.groupBy("src", "src_name", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select("src", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("src", "bucket").orderBy("h", "id", "size")
+    inside = Window.partitionBy("src", "bucket").orderBy("h", "id", "size", "mark")
     offset = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     laid = sized.withColumn("row", F.row_number().over(inside)).withColumn("_in", offset)
-    laid = laid.join(starts, ["src", "bucket"]).select("kept", "id", "src", "bucket", "row", "size", (F.col("base") + F.col("_in")).alias("lo"))
+    laid = laid.join(starts, ["src", "bucket"]).select("kept", "id", "mark", "src", "bucket", "row", "size", (F.col("base") + F.col("_in")).alias("lo"))
 
     sources = per_bucket.groupBy("src", "src_name").agg(F.sum("words").alias("source_size"))
     sources = table(targets(sources, weights, share, cap))
@@ -160,19 +170,24 @@ def _few(sources: DataFrame, most: int = 10_000) -> bool:
     return sources.limit(most + 1).count() <= most
 
 
-def mixed_texts(mix: Mix, text_col: str = "text") -> DataFrame:
-    """The kept columns of each document once for every pass that takes words of
-    it, with the words taken in that pass (the text itself if all were)."""
-    key = ["src", "bucket", "row"]
+def mixed_texts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs as the mix takes them: each row once for every pass that takes words of it,
+    with the words taken in that pass (the text itself if all were). docs: the rows that
+    the mix was planned for. Texts are shuffled once, by id and mark."""
     if mix.slots is None:
-        return mix.docs.where("false").select("kept.*")
+        return docs.where("false")
+    key = ["src", "bucket", "row"]
     runs = mix.pieces().join(mix.slots.select("src", "block", "pass", "take"), ["src", "block"])
     runs = runs.withColumn("end", F.least("end", "take")).where("end > at")
     at = F.col("block") * BLOCK + F.col("at") - F.col("lo")
     runs = runs.select(*key, "pass", "size", F.struct(at.alias("a"), (at + F.col("end") - F.col("at")).alias("b")).alias("run"))
     runs = runs.groupBy(*key, "pass", "size").agg(F.array_sort(F.collect_list("run")).alias("runs"), F.sum(F.expr("run.b - run.a")).alias("got"))
-    out = mix.docs.drop("size", "lo").join(runs, key)
-    all_words = words(F.col(f"kept.{text_col}"))
-    some = F.flatten(F.transform("runs", lambda r: F.slice(all_words, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int"))))
-    text = F.when(F.col("got") == F.col("size"), F.col(f"kept.{text_col}")).otherwise(F.array_join(some, " "))
-    return out.select(F.col("kept").withField(text_col, text).alias("kept")).select("kept.*")
+    runs = runs.join(mix.docs.select(*key, "id", "mark"), key).select("id", "mark", "pass", "runs", (F.col("got") == F.col("size")).alias("whole"))
+
+    plain, names = sealed(docs)
+    first = F.row_number().over(Window.partitionBy("id", "mark").orderBy("mark"))
+    texts = marked(plain, names[id_col]).withColumn("_first", first).where("_first = 1")
+    text = F.col(names[text_col])
+    some = F.flatten(F.transform("runs", lambda r: F.slice(words(text), (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int"))))
+    out = texts.join(runs, ["id", "mark"]).withColumn(names[text_col], F.when(F.col("whole"), text).otherwise(F.array_join(some, " ")))
+    return opened(out, names)

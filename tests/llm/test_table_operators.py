@@ -57,7 +57,7 @@ def test_mixing(spark):
     slots = mix.slots.collect()
     assert max(Counter((s.src, s["pass"], s.block) for s in slots).values()) == 1
     # Texts: their words are those taken.
-    texts = mixing.mixed_texts(mixing.plan(docs, keep=["doc_id", "text", "source"])).collect()
+    texts = mixing.mixed_texts(docs, mixing.plan(docs)).collect()
     told = Counter()
     for r in texts:
         told[r.source] += len(words(r.text))
