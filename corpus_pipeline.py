@@ -31,7 +31,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, or the words of them, as often as the mix takes them."""
-    mixed = mixing.mixed_texts(mixing.plan(docs, keep=docs.columns))
+    mixed = mixing.mixed_texts(docs, mixing.plan(docs))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
     return mixed.select(*docs.columns)

@@ -170,3 +170,13 @@ def visual_spans(cells: DataFrame, segs: DataFrame, hidden: DataFrame, merged: D
     spans = spans.join(end, [*by, "row", "c2"], "left_semi")
     held = spans.join(cells.select(*by, "row", "col"), [*by, "row"]).where("col BETWEEN c1 AND c2")
     return held.select(*by, "row", "c1", "c2").distinct()
+
+
+def header_rows(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells: by, row, filled. How many rows from the top are headers: the first with any
+    filled cell, then those with all cells filled, up to the first that fails."""
+    rows = cells.groupBy(*by, "row").agg(F.bool_or("filled").alias("_some"), F.bool_and("filled").alias("_all"))
+    k = F.row_number().over(Window.partitionBy(*by).orderBy("row"))
+    rows = rows.withColumn("_k", k).withColumn("_ok", F.when(F.col("_k") == 1, F.col("_some")).otherwise(F.col("_all")))
+    out = rows.groupBy(*by).agg(F.min(F.when(~F.col("_ok"), F.col("_k"))).alias("_stop"), F.max("_k").alias("_n"))
+    return out.select(*by, F.coalesce(F.col("_stop") - 1, "_n").cast("long").alias("header_rows"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, markdown, names
-from ..operators import blocks, graph, jobs, ordered, ranges
-from .catalog import EDGES, JOBS, _states, boxes, query, t
+from ..operators import blocks, graph, grid, jobs, ordered, ranges
+from .catalog import CELLS, EDGES, JOBS, MERGES, TRACKS, _states, boxes, cells, merges, query, t
 
 
 @query(
@@ -255,3 +255,88 @@ def conversion_outcome(spark, sf_dir):
     code = F.expr("CASE WHEN n_chars < 200 THEN 'FONT_SUBSTITUTED' WHEN n_chars < 9000 THEN 'RANGE_SCALED' WHEN n_chars < 30000 THEN 'HORIZONTAL_PAGINATION' ELSE 'MERGE_SPLIT_ACROSS_PAGES' END")
     w = t(spark, sf_dir, "documents").select("source", code.alias("code"))
     return w.groupBy("source").agg(blocks.outcome(F.col("code")).alias("outcome"), F.countDistinct("code").alias("codes"))
+
+
+@query(
+    f"""WITH {CELLS}, {MERGES}, n AS (SELECT DISTINCT sheet, row // 8 AS tab, row // 8 * 8 AS a1, row // 8 * 8 + 5 AS a2, 2 AS b1, 5 AS b2 FROM cells)
+  SELECT m.sheet, CAST(tab AS BIGINT) AS tab, m.r1 AS mr, m.c1 AS mc, CAST(greatest(m.r1, a1) AS INT) AS r1, CAST(least(m.r2, a2) AS INT) AS r2, greatest(m.c1, b1) AS c1, least(m.c2, b2) AS c2 FROM merges m JOIN n ON n.sheet = m.sheet AND m.r1 <= a2 AND a1 <= m.r2 AND m.c1 <= b2 AND b1 <= m.c2"""
+)
+def range_intersections(spark, sf_dir):
+    n = cells(spark, sf_dir).selectExpr("sheet", "row div 8 AS tab").distinct().selectExpr("sheet", "tab", "cast(tab * 8 as int) AS r1", "cast(tab * 8 + 5 as int) AS r2", "2 AS c1", "5 AS c2")
+    box = lambda df, s: df.selectExpr("sheet", f"struct(*) AS {s}", "c1 AS x", "r1 AS y", "c2 - c1 + 1 AS w", "r2 - r1 + 1 AS h")
+    pairs = ranges.overlapping(box(merges(spark, sf_dir), "m"), box(n, "n"), ["sheet"], 16)
+    side = lambda s: {k: F.col(f"{s}.{k}") for k in ("r1", "r2", "c1", "c2")}
+    cut = ranges.intersection(side("m_l"), side("n_r"))
+    return pairs.select("sheet", F.col("n_r.tab").alias("tab"), F.col("m_l.r1").alias("mr"), F.col("m_l.c1").alias("mc"), cut.alias("i")).select("sheet", "tab", "mr", "mc", "i.*")
+
+
+@query(
+    f"""WITH {CELLS}, f AS (SELECT sheet, row // 10 AS tab, row, bool_or(CAST(value AS BIGINT) % 2 = 0) AS anyf, bool_and(CAST(value AS BIGINT) % 2 = 0) AS allf, row_number() OVER (PARTITION BY sheet, row // 10 ORDER BY row) AS k FROM cells GROUP BY sheet, row),
+  s AS (SELECT sheet, tab, min(CASE WHEN NOT (CASE WHEN k = 1 THEN anyf ELSE allf END) THEN k END) AS stop, max(k) AS n FROM f GROUP BY 1, 2) SELECT sheet, CAST(tab AS BIGINT) AS tab, CAST(coalesce(stop - 1, n) AS BIGINT) AS header_rows FROM s"""
+)
+def colored_headers(spark, sf_dir):
+    """Header rows of each table: any filled cell in the first, all filled in those that follow."""
+    c = cells(spark, sf_dir).selectExpr("sheet", "row div 10 AS tab", "row", "cast(value as bigint) % 2 = 0 AS filled")
+    return grid.header_rows(c, ["sheet", "tab"])
+
+
+@query(
+    f"""WITH {CELLS} SELECT sheet, CAST(row // 6 AS BIGINT) AS band, count(DISTINCT row) AS n_rows, count(DISTINCT col) AS n_cols FROM cells WHERE value <> '' GROUP BY 1, 2 HAVING count(DISTINCT row) >= 2 AND count(DISTINCT col) >= 2"""
+)
+def eligible_bands(spark, sf_dir):
+    """Bands of two visible rows and columns or more that hold a value."""
+    c = cells(spark, sf_dir).where("value <> ''").withColumn("band", F.expr("row div 6"))
+    return c.groupBy("sheet", "band").agg(F.countDistinct("row").alias("n_rows"), F.countDistinct("col").alias("n_cols")).where("n_rows >= 2 AND n_cols >= 2")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, CAST((l_linenumber - 1) // 3 AS INT) AS slice, count(*) AS columns, bool_or(q // 12 > 6) AS truncated FROM c GROUP BY 1, 2"""
+)
+def table_slices(spark, sf_dir):
+    """Wide tables split by a fixed number of columns; cells of over six lines are cut."""
+    c = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    return c.groupBy("l_orderkey", F.expr("cast((l_linenumber - 1) div 3 as int)").alias("slice")).agg(F.count("*").alias("columns"), F.bool_or(F.expr("q div 12 > 6")).alias("truncated"))
+
+
+@query(
+    r"""SELECT doc_id, sha256(replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b-\x1f\x7f]', '', 'g'), chr(160), ' ')) AS sha256, CASE WHEN len(text) - len(replace(text, chr(10), '')) + 1 > 10000 OR len(text) > 200000 THEN 'SHAPE_TEXT_LIMIT' END AS error FROM documents"""
+)
+def pdf_texts(spark, sf_dir):
+    """Texts normalised for a page, and the limits of one shape's text."""
+    d = t(spark, sf_dir, "documents")
+    paragraphs = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return d.select("doc_id", F.sha2(markdown.pdf_text(F.col("text")), 256).alias("sha256"), F.when((paragraphs > 10_000) | (F.length("text") > 200_000), "SHAPE_TEXT_LIMIT").alias("error"))
+
+
+@query("SELECT l.l_partkey AS media, count(*) AS uses FROM lineitem l GROUP BY 1 UNION ALL SELECT p_partkey, 0 FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+def media_references(spark, sf_dir):
+    """References of each medium; those without one are removed from a package."""
+    used = t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("media")).agg(F.count("*").alias("uses"))
+    unused = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("media")).join(used, "media", "left_anti").withColumn("uses", F.lit(0).cast("long"))
+    return used.unionByName(unused)
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS shapes, count(DISTINCT l_returnflag) AS kinds, CASE WHEN count(l_orderkey) <> o_orderkey % 7 + 1 THEN 'COUNT_MISMATCH' END AS error FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def slide_objects(spark, sf_dir):
+    """Objects of each slide, checked against the number that the layout announced."""
+    n = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("shapes"), F.countDistinct("l_returnflag").alias("kinds"))
+    out = t(spark, sf_dir, "orders").select("o_orderkey").join(n, "o_orderkey", "left").fillna(0, ["shapes", "kinds"])
+    return out.withColumn("error", F.when(F.col("shapes") != F.expr("o_orderkey % 7 + 1"), "COUNT_MISMATCH"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, p_size, p_size * 5 / 255.0::DOUBLE AS s FROM part), l AS (SELECT *, CASE WHEN s <= 0.04045 THEN s / 12.92 ELSE pow((s + 0.055) / 1.055, 2.4) END * 0.4 + 0.6 AS m FROM s)
+  SELECT p_partkey, CAST(round((CASE WHEN m <= 0.0031308 THEN m * 12.92 ELSE pow(m, 1 / 2.4::DOUBLE) * 1.055 - 0.055 END) * 255) AS INT) AS channel FROM l"""
+)
+def colour_tint(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", geometry.tint(F.col("p_size") * 5, F.lit(0.4)).alias("channel"))
+
+
+@query(
+    f"""WITH {TRACKS} SELECT p_partkey AS drawing, axis, CAST(start + 1 AS BIGINT) AS x, CAST(start * 12700 + 12700 AS BIGINT) AS emu FROM part JOIN tracks ON tracks.line = p_partkey"""
+)
+def anchor_points(spark, sf_dir):
+    """Absolute places of one-cell anchors: the offset of the cell and the offset within it."""
+    p = t(spark, sf_dir, "part").selectExpr("cast(p_size % 4 as bigint) AS axis", "p_partkey AS drawing", "cast(p_size as bigint) AS size")
+    o = ranges.prefix_offsets(p, ["axis"], "drawing", "size")
+    return o.select("drawing", "axis", (F.col("start") + 1).alias("x"), ((F.col("start") + 1) * geometry.EMU_POINT).alias("emu"))

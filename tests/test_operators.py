@@ -239,3 +239,19 @@ def test_numbering(spark):
     df = spark.createDataFrame(p, "doc int, ord int, num_id string, level int, format string, pattern string, start int, restart int")
     got = [r.label for r in numbering.numbered(df, ["doc"]).orderBy("doc", "ord").collect()]
     assert got == ["1.", "1.a", "1.b", "2.", "2.a", "(IV)", "•", "1", "1", "2", "2"]
+
+
+def test_slides(spark):
+    P, A = "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main"
+    shape = '<p:sp><p:nvSpPr><p:cNvPr id="2" name="Box"/></p:nvSpPr><p:spPr><a:xfrm><a:off x="12700" y="0"/><a:ext cx="25400" cy="12700"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>one</a:t></a:r></a:p><a:p><a:r><a:t>two</a:t></a:r></a:p></p:txBody></p:sp>'
+    deck = pack(
+        {
+            "ppt/presentation.xml": f'<p:presentation xmlns:p="{P}" xmlns:r="{REL}"><p:sldIdLst><p:sldId id="256" r:id="r1"/><p:sldId id="257" r:id="r2"/></p:sldIdLst></p:presentation>',
+            "ppt/_rels/presentation.xml.rels": f'<Relationships xmlns="{PKG}"><Relationship Id="r1" Target="slides/s1.xml"/><Relationship Id="r2" Target="slides/s2.xml"/></Relationships>',
+            "ppt/slides/s1.xml": f'<p:sld xmlns:p="{P}" xmlns:a="{A}"><p:cSld><p:spTree>{shape}</p:spTree></p:cSld></p:sld>',
+            "ppt/slides/s2.xml": f'<p:sld xmlns:p="{P}" xmlns:a="{A}" show="0"><p:cSld><p:spTree>{shape}</p:spTree></p:cSld></p:sld>',
+        }
+    )
+    files = spark.createDataFrame([("a.pptx", bytearray(deck))], "path string, content binary")
+    out = [tuple(r)[1:] for r in ooxml.shapes(files).orderBy("slide").collect()]
+    assert out == [(1, 0, "sp", "Box", "one\ntwo", 12700, 0, 25400, 12700, False), (2, 0, "sp", "Box", "one\ntwo", 12700, 0, 25400, 12700, True)]
