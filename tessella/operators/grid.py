@@ -33,12 +33,16 @@ def closed(segs: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def units(segs: DataFrame, merges: DataFrame, by: list[str]) -> DataFrame:
-    """Closed units beside a border: cells, or whole merges where one holds the cell."""
-    near = F.when(F.col("kind") == "h", F.array(F.struct("row", "col"), F.struct((F.col("row") - 1).alias("row"), F.col("col")))).otherwise(F.array(F.struct("row", "col"), F.struct(F.col("row"), (F.col("col") - 1).alias("col"))))
-    points = segs.select(*by, F.explode(near).alias("_at")).select(*by, F.col("_at.row").alias("row"), F.col("_at.col").alias("col")).where("row >= 0 AND col >= 0").distinct()
+    """Closed units beside a border: cells, or whole merges where one holds the cell.
+    A segment is a side of two cells, so a cell is closed if four sides meet in it: one
+    aggregation, without a join."""
+    first = F.struct("row", "col")
+    near = F.when(F.col("kind") == "h", F.array(first, F.struct((F.col("row") - 1).alias("row"), F.col("col")))).otherwise(F.array(first, F.struct(F.col("row"), (F.col("col") - 1).alias("col"))))
+    points = segs.select(*by, F.explode(near).alias("_at")).select(*by, F.col("_at.row").alias("row"), F.col("_at.col").alias("col")).where("row >= 0 AND col >= 0")
+    points = points.groupBy(*by, "row", "col").agg(F.count("*").alias("_sides"))
     merged = ranges.cells_in_ranges(points, merges.select(*by, "r1", "r2", "c1", "c2"), by)
-    single = points.join(merged.select(*by, "row", "col"), [*by, "row", "col"], "left_anti").selectExpr(*by, "row AS r1", "row AS r2", "col AS c1", "col AS c2")
-    return closed(segs, merged.select(*by, "r1", "r2", "c1", "c2").unionByName(single).distinct(), by)
+    single = points.where("_sides = 4").join(merged.select(*by, "row", "col"), [*by, "row", "col"], "left_anti").selectExpr(*by, "row AS r1", "row AS r2", "col AS c1", "col AS c2")
+    return closed(segs, merged.select(*by, "r1", "r2", "c1", "c2").distinct(), by).unionByName(single)
 
 
 def occupied(boxes: DataFrame, by: list[str]) -> DataFrame:
