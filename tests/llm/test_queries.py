@@ -58,7 +58,7 @@ def test_mixing(spark, duck):
 
 def test_pages(spark, duck):
     out = QUERIES["op2_html"](spark, DATA).toPandas()
-    assert list(out.columns) == ["page_id", "url", "text", "n_chars"] and len(out) == duck.sql("SELECT count(*) FROM pages").fetchone()[0]
+    assert list(out.columns) == ["page_id", "url", "text", "n_chars"] and len(out) == duck.sql("SELECT count(*) FROM pages").fetchall()[0][0]
     assert (out.text.str.len() == out.n_chars).all() and not out.text.str.contains("©|track\\(").any()
 
 
