@@ -82,7 +82,7 @@ def test_archives_repeat(spark):
 
 
 def test_html_queries(spark, duck):
-    n = duck.sql("SELECT count(*) FROM pages").fetchone()[0]
+    n = duck.sql("SELECT count(*) FROM pages").fetchall()[0][0]
     nodes = flows.QUERIES["html_nodes"](spark, DATA)
     assert nodes.where("name = 'html'").count() == n
     bad = flows.QUERIES["html_allowlist"](spark, DATA).groupBy("code").count().collect()
