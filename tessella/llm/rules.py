@@ -27,7 +27,7 @@ RULES = [
     (2, "short_words", "word_chars < 2 * n_words"),
     (3, "long_words", "word_chars > 14 * n_words"),
     (4, "symbols", "10 * n_symbols > n_words"),
-    (5, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    (5, "repeated_lines", "2 * n_dup_lines > n_lines"),
     (6, "shouting", "10 * n_upper > 4 * n_letters"),
     (7, "exclamations", "10 * n_exclaim > 3 * n_words"),
     (8, "digits", "10 * n_digits > 4 * word_chars"),

@@ -16,7 +16,7 @@ twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS
 r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY k),
 f AS (SELECT m.*, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN r USING (k)),
 b AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 14 * n_words THEN 8 ELSE 0 END
-  + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END + CASE WHEN 10 * n_upper > 4 * n_letters THEN 64 ELSE 0 END + CASE WHEN 10 * n_exclaim > 3 * n_words THEN 128 ELSE 0 END + CASE WHEN 10 * n_digits > 4 * word_chars THEN 256 ELSE 0 END AS bits FROM f)
+  + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END + CASE WHEN 10 * n_upper > 4 * n_letters THEN 64 ELSE 0 END + CASE WHEN 10 * n_exclaim > 3 * n_words THEN 128 ELSE 0 END + CASE WHEN 10 * n_digits > 4 * word_chars THEN 256 ELSE 0 END AS bits FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits FROM b"""
 
 SQL["op6_jaccard_join"] = rf"""
