@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a linear-chain CRF for what they miss.
 
 The CRF tags words by their shapes and their neighbours' and is trained, on the
-driver and within seconds, from a small labelled table made by rule. Only a word
-with a digit or an @ may carry a tag; all others are outside by constraint, so a
+driver and within seconds, from a small labelled table made by rule. A word ends at
+white space, at = : & ? , ; quotes and brackets, and where a script without spaces
+begins or ends; it is read whole, however long. Only a word with a digit or an @ may carry a tag; all others are outside by constraint, so a
 text's best path falls apart at them into short runs. The runs of a batch of texts
 are decoded together by Viterbi in numpy, which gives the same path as one pass
 over each whole text.
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, small_batches
+from .common import small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Kinds that the CRF adds; "known" is what the patterns find anyway.
@@ -80,8 +81,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- words and features -------------------------------------------------------
 
 _MARKED = re.compile(r"[0-9@]")
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Scripts written without spaces, with their punctuation (fixed values).
+_WIDE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_GAP = r"\x20\x09-\x0D=:&?,;\"'`()\[\]{}<>"
+#: A word; group 1 is one with a digit or an @.
+_TOKEN = re.compile(rf"([^{_GAP}{_WIDE}0-9@]*+[0-9@][^{_GAP}{_WIDE}]*+)|[{_WIDE}]++|[^{_GAP}{_WIDE}]++")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+QUOTES = "\"'`"
 #: Words whose identity counts (fixed values).
 CUES = frozenset("token key password passwd secret api = : tel phone fax call mobile ssn iban account konto id version page chapter year".split())
 
@@ -89,11 +95,11 @@ CUES = frozenset("token key password passwd secret api = : tel phone fax call mo
 @cache
 def _runs(core: str) -> str:
     out = []
-    for c in core[:80]:
+    for c in core:
         s = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 def _near(word: str | None) -> str:
@@ -107,78 +113,59 @@ def _near(word: str | None) -> str:
     return "number" if _MARKED.search(core) else "word"
 
 
-def features(word: str, before: str | None, before2: str | None, after: str | None) -> list[str]:
-    core = word.strip("\"'.,;[]!?#*$%&|<>{}")
-    tail = re.split(r"[=:]", core)[-1].strip("\"'") if len(core) > 8 else core
-    digits = sum(c.isdigit() for c in tail)
-    letters = sum(c.isalpha() for c in tail)
-    size = len(tail)
+def features(word: str, lead: str, trail: str, before: str | None, before2: str | None, after: str | None) -> list[str]:
+    """lead, trail: the character before and after the word, or nothing."""
+    core = word.strip(".!#*$%|")
+    digits = sum(c.isdigit() for c in core)
+    letters = sum(c.isalpha() for c in core)
+    size = len(core)
     return [
         "bias",
-        "shape=" + (_runs(tail) if size <= 24 else "long"),
+        "shape=" + (_runs(core) if size <= 24 else "long"),
         f"digits={min(digits, 12)}",
         f"size={min(size, 40) // 4}",
         f"mixed={digits >= 4 and letters >= 4}",
-        f"hex={size >= 16 and bool(_HEX.fullmatch(tail))}",
-        f"dense={size >= 20 and digits >= 3 and letters >= 3 and tail.isalnum()}",
-        f"first={core[:1] if not core[:1].isalnum() else ''}",
-        f"quoted={word[:1] in (chr(34), chr(39))}",
-        f"at={'@' in tail}",
+        f"hex={size >= 16 and bool(_HEX.fullmatch(core))}",
+        f"dense={size >= 20 and digits >= 3 and letters >= 3 and core.isalnum()}",
+        f"first={core[:1] if not core[:1].isalnum() else lead if lead in '([{<' else ''}",
+        f"quoted={lead in QUOTES and lead != ''}",
+        f"at={'@' in core}",
+        f"lead={lead if lead in ',:;' else ''}",
+        f"trail={trail if trail in ',:;' else ''}",
         "-1=" + _near(before),
         "-2=" + _near(before2),
         "+1=" + _near(after),
     ]
 
 
-def marked_words(text: str) -> list[tuple[int, int]]:
-    """Bounds of the words with a digit or an @."""
-    out, at = [], 0
-    while m := _MARKED.search(text, at):
-        start = m.start()
-        while start > at and text[start - 1] not in SPACES:
-            start -= 1
-        end = _SPACE.search(text, m.end())
-        at = end.start() if end else len(text)
-        out.append((start, at))
-    return out
-
-
-def _word_before(text: str, start: int) -> tuple[int, int] | None:
-    end = start
-    while end > 0 and text[end - 1] in SPACES:
-        end -= 1
-    at = end
-    while at > 0 and text[at - 1] not in SPACES:
-        at -= 1
-    return (at, end) if end > at else None
-
-
-def _word_after(text: str, end: int) -> tuple[int, int] | None:
-    at = end
-    while at < len(text) and text[at] in SPACES:
-        at += 1
-    m = _SPACE.search(text, at)
-    upto = m.start() if m else len(text)
-    return (at, upto) if upto > at else None
-
-
-def _cut(text: str, w: tuple[int, int] | None) -> str | None:
-    return None if w is None else text[w[0] : min(w[1], w[0] + 80)]
-
-
 def runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
     """Neighbouring marked words with their features."""
+    if not _MARKED.search(text):
+        return []
+    words, marked = [], []
+    for m in _TOKEN.finditer(text):
+        if m.lastindex:
+            marked.append(len(words))
+        words.append(m.span())
+
+    def said(k: int) -> str | None:
+        """A word with the = or : that follows it."""
+        if not 0 <= k < len(words):
+            return None
+        start, end = words[k]
+        gap = text[end : words[k + 1][0] if k + 1 < len(words) else len(text)]
+        return text[start:end] + ("=" if "=" in gap else ":" if ":" in gap else "")
+
     out: list[list] = []
     last = None
-    for w in marked_words(text):
-        b = _word_before(text, w[0])
-        b2 = _word_before(text, b[0]) if b else None
-        row = (*w, features(_cut(text, w) if w[1] - w[0] <= 200 else text[w[0] : w[0] + 200], _cut(text, b), _cut(text, b2), _cut(text, _word_after(text, w[1]))))
-        if b is not None and b == last:
+    for k in marked:
+        start, end = words[k]
+        row = (start, end, features(text[start:end], text[start - 1 : start], text[end : end + 1], said(k - 1), said(k - 2), said(k + 1)))
+        if last is not None and k == last + 1:
             out[-1].append(row)
         else:
             out.append([row])
-        last = w
+        last = k
     return out
 
 
@@ -345,11 +332,8 @@ def trained(steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Crf:
 
 
 def _trim(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
-    if kind == "secret":
-        for sep in "=:":
-            at = text.rfind(sep, start, end - 1)
-            if at >= 0:
-                start = at + 1
+    if kind == "local_phone" and text[start - 1 : start] == "(":
+        start -= 1
     while start < end and not (text[start].isalnum() or text[start] == "(" and kind == "local_phone"):
         start += 1
     while end > start and not text[end - 1].isalnum():

@@ -139,6 +139,21 @@ def test_crf_held_out():
     assert hit >= 0.95 * want and got <= 1.05 * want
 
 
+def test_secrets_within_long_words():
+    crf, key = pii.trained(), "3f9a1c07be52d846901ffe7ab3c4d5e6f7081923"
+    for t in [
+        f"see https://host.example/{'a/b-c' * 20}?session=abc&api_key={key} end",
+        f'{{"a":"{"x" * 90}","token":"{key}","n":1}}',
+        f"cfg {'y' * 150};key={key};z=2",
+        f"cfg {'y' * 400};key={key};z=2",
+        f"{'字' * 300}密钥:{key}。{'字' * 50}",
+        f"{'字' * 300}{key}{'字' * 50}",
+        f"see https://host.example/?a=1&token={key}&b=2 end",
+    ]:
+        assert [t[a:b] for k, a, b in pii.find([t], crf)[0] if k == "secret"] == [key], t
+    assert pii.find(["call (555) 123-4567 now"], crf)[0] == [("local_phone", 5, 19)]
+
+
 def test_pii_rows(spark):
     docs = hard_rows(spark)
     out = pii.detected(docs).collect()
