@@ -101,13 +101,26 @@ def document_orientation(spark, sf_dir):
   SELECT doc_id, CASE WHEN lang = 'es' THEN 'notRequested' WHEN n_chars > 20000 THEN 'skipped' ELSE coalesce(st, 'failed') END AS ocr FROM documents LEFT JOIN o ON sha = md5(substr(text, 1, 40))"""
 )
 def ocr_status(spark, sf_dir):
-    """Status of recognition by content: one result for equal images, none where not asked for."""
-    d = t(spark, sf_dir, "documents").withColumn("sha", F.md5(F.substring("text", 1, 40)))
+    """Status of recognition by the opening of a text, as the SQL has it."""
+    return recognised(t(spark, sf_dir, "documents").withColumn("sha", F.md5(F.substring("text", 1, 40))))
+
+
+def recognised(d):
+    """doc_id and ocr for rows with their content's sha: one result for equal contents, none where not asked for."""
     o = d.where("lang <> 'fr'").groupBy("sha").agg(F.min("n_chars").alias("n")).withColumn("st", F.when(F.col("n") < 100, "noText").when(F.col("n") < 1000, "succeeded").otherwise("failed"))
     status = F.when(F.col("lang") == "es", "notRequested").when(F.col("n_chars") > 20000, "skipped").otherwise(F.coalesce("st", F.lit("failed")))
     return d.join(o.select("sha", "st"), "sha", "left").select("doc_id", status.alias("ocr"))
 
 
+@query(
+    """WITH o AS (SELECT sha256(text) AS sha, CASE WHEN min(n_chars) < 100 THEN 'noText' WHEN min(n_chars) < 1000 THEN 'succeeded' ELSE 'failed' END AS st FROM documents WHERE lang <> 'fr' GROUP BY 1)
+  SELECT doc_id, CASE WHEN lang = 'es' THEN 'notRequested' WHEN n_chars > 20000 THEN 'skipped' ELSE coalesce(st, 'failed') END AS ocr FROM documents LEFT JOIN o ON sha = sha256(text)"""
+)
+def ocr_status_whole(spark, sf_dir):
+    """Status of recognition by the whole content."""
+    return recognised(t(spark, sf_dir, "documents").withColumn("sha", F.sha2("text", 256)))
+
+
 @query(
     """SELECT p_partkey, CASE WHEN a + b < 1 THEN CAST(floor(a * 640) AS INT) END AS first, CASE WHEN a + b < 1 THEN CAST(ceil((1 - b) * 640) AS INT) END AS "end", CASE WHEN p_size <= 25 THEN 2.0::DOUBLE ELSE 2 * sqrt(25.0::DOUBLE / p_size) END AS scale
   FROM (SELECT p_partkey, p_size, p_size * 1000 / 100000.0::DOUBLE AS a, p_size * 1500 / 100000.0::DOUBLE AS b FROM part)"""
