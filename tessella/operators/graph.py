@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markdown
+
 ARROWS, PLAIN = ("triangle", "stealth", "arrow"), ("none", "oval", "diamond")
 
 
@@ -41,6 +43,44 @@ def resolve(vertices: DataFrame, connections: DataFrame, by: list[str]) -> DataF
     return out.select(*by, "id", *vid, way.alias("direction"), F.when(why == "", "resolved").otherwise("unresolved").alias("status"), why.alias("reason"))
 
 
+REASONS = {
+    "MISSING_ENDPOINT": "接続先の保存情報がありません",
+    "TARGET_UNAVAILABLE": "接続先が出力対象にありません",
+    "AMBIGUOUS_TARGET": "接続先IDが重複しています",
+    "UNKNOWN_ARROWHEAD": "矢印の向きを確定できません",
+}
+
+
+def diagram(vertices: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """vertices: by, id, pos, type, text. edges: as of resolve(), listed by id. The
+    Markdown of each diagram: its items with a text or an edge, then all its edges."""
+    name = lambda c: F.replace(markdown.escape(c.cast("string")), F.lit("\\-"), F.lit("-"))
+    blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    ends = edges.select(*by, F.explode(F.array("start_vertex", "end_vertex")).alias("id")).where("id is not null").distinct().withColumn("_ref", F.lit(True))
+    shown = vertices.join(ends, [*by, "id"], "left").where(~blank | F.col("_ref"))
+    told = F.replace(F.replace(markdown.escape(F.col("text")), F.lit("  \n"), F.lit("<br>")), F.lit("\n"), F.lit("<br>"))
+    item = F.concat(F.lit("- "), name(F.col("id")), F.lit("（"), markdown.escape(F.coalesce("type", F.lit(""))), F.lit("）："), F.when(blank, "文字なし").otherwise(told), F.lit("\n"))
+
+    def listed(rows: DataFrame, pos: str, line: Column, head: str) -> DataFrame:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), line.alias("md")))), lambda x: x["md"])
+        return rows.groupBy(*by).agg(F.concat(F.lit(f"{head}:\n\n"), F.array_join(lines, ""), F.lit("\n")).alias(f"_{pos}"))
+
+    label = F.concat(name(F.col("id")), F.when(blank, "（文字なし）").otherwise(F.concat(F.lit("「"), markdown.escape(markdown.single_line(F.col("text"))), F.lit("」"))))
+    lines = edges
+    for end in ("start", "end"):
+        lines = lines.join(vertices.select(*by, F.col("id").alias(f"{end}_vertex"), label.alias(f"_{end}")), [*by, f"{end}_vertex"], "left")
+    a, b, way = F.col("_start"), F.col("_end"), F.col("direction")
+    why = F.coalesce(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("reason")], F.lit("保存情報を解決できません"))
+    relation = (
+        F.when(F.col("status") != "resolved", F.concat(F.lit("接続関係不明（"), why, F.lit("）")))
+        .when(way == "start-to-end", F.concat(a, F.lit(" → "), b)).when(way == "end-to-start", F.concat(b, F.lit(" → "), a))
+        .when(way == "bidirectional", F.concat(a, F.lit(" ↔ "), b)).otherwise(F.concat(a, F.lit(" — "), b, F.lit("（向きなし）")))
+    )
+    line = F.concat(F.lit("- "), name(F.col("id")), F.lit("："), relation, F.lit("\n"))
+    out = listed(shown, "pos", item, "図中の項目").join(listed(lines, "id", line, "接続関係"), by, "full_outer")
+    return out.select(*by, F.concat(F.coalesce("_pos", F.lit("")), F.coalesce("_id", F.lit(""))).alias("markdown"))
+
+
 def _checkpoint_dir(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:

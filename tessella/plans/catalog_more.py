@@ -189,6 +189,26 @@ def diagram_markdown(spark, sf_dir):
     return e.groupBy("section").agg(text.alias("markdown"))
 
 
+@query(
+    f"""WITH {EDGES}, a AS (SELECT section, source_id, min(id) AS vid, count(*) AS n FROM v GROUP BY 1, 2),
+  r AS (SELECT k.section, k.id, CASE WHEN a.n = 1 THEN a.vid END AS s, CASE WHEN b.n = 1 THEN b.vid END AS e, CASE WHEN start_arrow = 'triangle' THEN 1 ELSE 0 END + CASE WHEN end_arrow IN ('stealth', 'arrow') THEN 2 ELSE 0 END AS way,
+  CASE WHEN start_id IS NULL THEN '接続先の保存情報がありません' WHEN a.n IS NULL THEN '接続先が出力対象にありません' WHEN a.n > 1 THEN '接続先IDが重複しています' WHEN b.n IS NULL THEN '接続先が出力対象にありません' WHEN b.n > 1 THEN '接続先IDが重複しています' END AS why
+  FROM k LEFT JOIN a ON a.section = k.section AND a.source_id = k.start_id LEFT JOIN a b ON b.section = k.section AND b.source_id = k.end_id),
+  t AS (SELECT c_nationkey AS section, c_custkey AS pos, 'shape-' || CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS type, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) END AS text FROM customer),
+  l AS (SELECT *, id || CASE WHEN text = '' THEN '（文字なし）' ELSE '「' || text || '」' END AS label FROM t),
+  i AS (SELECT section, string_agg('- ' || id || '（' || type || '）：' || CASE WHEN text = '' THEN '文字なし' ELSE text END || chr(10), '' ORDER BY pos) AS md FROM t WHERE text <> '' OR EXISTS (SELECT 1 FROM r WHERE r.section = t.section AND (r.s = t.id OR r.e = t.id)) GROUP BY 1),
+  c AS (SELECT r.section, string_agg('- ' || CAST(r.id AS VARCHAR) || '：' || CASE WHEN why IS NOT NULL THEN '接続関係不明（' || why || '）' WHEN way = 2 THEN x.label || ' → ' || y.label WHEN way = 1 THEN y.label || ' → ' || x.label WHEN way = 3 THEN x.label || ' ↔ ' || y.label ELSE x.label || ' — ' || y.label || '（向きなし）' END || chr(10), '' ORDER BY r.id) AS md
+  FROM r LEFT JOIN l x ON x.section = r.section AND x.id = r.s LEFT JOIN l y ON y.section = r.section AND y.id = r.e GROUP BY 1)
+  SELECT coalesce(i.section, c.section) AS section, coalesce('図中の項目:' || chr(10) || chr(10) || i.md || chr(10), '') || coalesce('接続関係:' || chr(10) || chr(10) || c.md || chr(10), '') AS markdown FROM i FULL JOIN c ON i.section = c.section"""
+)
+def diagram_document(spark, sf_dir):
+    """Items and all connections of each section."""
+    from . import catalog
+
+    v = t(spark, sf_dir, "customer").selectExpr("c_nationkey AS section", "c_custkey AS pos", "concat('shape-', c_custkey) AS id", "c_mktsegment AS type", "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) END AS text")
+    return graph.diagram(v, catalog.edge_resolve(spark, sf_dir), ["section"])
+
+
 @query(
     r"""SELECT page_id, 'page-' || lpad(CAST(page_id AS VARCHAR), 4, '0') || '.png' AS page_name, regexp_replace(regexp_replace(regexp_replace(url, '.*[/\\]', ''), '\.[^.]*$', ''), '[^A-Za-z0-9_-]', '_', 'g') AS base_name, trim(regexp_replace(html, '\s+', ' ', 'g')) AS one_line FROM pages"""
 )

@@ -96,3 +96,19 @@ def test_ocr_by_whole_content(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.ocr for r in catalog.QUERIES["ocr_status_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: "noText", 2: "succeeded", 3: "succeeded", 4: "failed"}
+
+
+def test_diagram_lists_every_edge(spark):
+    from tessella.operators import graph
+
+    v = spark.createDataFrame([(1, "a", 1, "box", "x*\ny"), (1, "b", 2, "box", ""), (1, "c", 3, "box", " ")], "section int, id string, pos int, type string, text string")
+    ways = ["start-to-end", "end-to-start", "bidirectional", "undirected"]
+    edges = [(1, k, "a", "b", w, "resolved", "") for k, w in enumerate(ways)] + [(1, 9, "a", None, "undirected", "unresolved", "MISSING_ENDPOINT"), (2, 1, None, None, "unknown", "unresolved", "UNKNOWN_ARROWHEAD")]
+    e = spark.createDataFrame(edges, "section int, id int, start_vertex string, end_vertex string, direction string, status string, reason string")
+    got = {r.section: r.markdown for r in graph.diagram(v, e, ["section"]).collect()}
+    a, b = "a「x\\* y」", "b（文字なし）"
+    assert got[1] == (
+        f"図中の項目:\n\n- a（box）：x\\*<br>y\n- b（box）：文字なし\n\n接続関係:\n\n- 0：{a} → {b}\n- 1：{b} → {a}\n- 2：{a} ↔ {b}\n- 3：{a} — {b}（向きなし）\n"
+        "- 9：接続関係不明（接続先の保存情報がありません）\n\n"
+    )
+    assert got[2] == "接続関係:\n\n- 1：接続関係不明（矢印の向きを確定できません）\n\n"
