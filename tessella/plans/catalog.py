@@ -469,12 +469,27 @@ def public_addresses(spark, sf_dir):
 
 @query("SELECT page_id, 1280 AS width, 720 AS height, 'default' AS origin, CAST(1280 * 9525 AS BIGINT) AS width_emu FROM pages WHERE NOT contains(html, 'name=\"slide-width\"')")
 def slide_meta(spark, sf_dir):
-    """Slide size of a page: two meta elements, or the default where both are missing."""
-    p = t(spark, sf_dir, "pages")
-    meta = lambda k: F.try_to_number(F.regexp_extract("html", rf'(?i)<meta name="slide-{k}" content="(\d{{1,5}})"', 1), F.lit("99999")).cast("int")
-    w, h = meta("width"), meta("height")
-    out = p.select("page_id", F.coalesce(w, F.lit(1280)).alias("width"), F.coalesce(h, F.lit(720)).alias("height"), F.when(w.isNull() & h.isNull(), "default").when(w.isNull() | h.isNull(), "error").otherwise("meta").alias("origin"))
-    return out.where("origin <> 'meta'").withColumn("width_emu", (F.col("width") * geometry.EMU_PIXEL).cast("long"))
+    """Slide size of every page and its origin."""
+    return slide_sizes(t(spark, sf_dir, "pages"), "slide")
+
+
+def slide_sizes(p, prefix="pptx-slide"):
+    """page_id, width, height, origin, width_emu: two meta elements, or the default where
+    both are missing. One alone, a repeated one and a size that is no number from 64 to
+    4,096 are errors, without a size."""
+    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->|(?i:<(script|style|title|textarea)\b.*?</\1\s*>)", ""), F.lit(r"""(?i)<meta(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*>"""), 0)
+    part = lambda tag, k: F.concat(*[F.regexp_extract(tag, rf"""(?i)[\s/"']{k}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", g) for g in (1, 2, 3)])
+    p = p.select("page_id", F.transform(tags, lambda x: F.struct(F.lower(part(x, "name")).alias("name"), part(x, "content").alias("content"))).alias("m"))
+    given = lambda k: F.filter("m", lambda x: x["name"] == f"{prefix}-{k}")["content"]
+    p = p.select("page_id", given("width").alias("width"), given("height").alias("height"))
+    size = lambda k: F.when(F.get(k, 0).rlike(r"\A0*[0-9]{1,4}\z"), F.get(k, 0).cast("int"))
+    none = (F.size("width") == 0) & (F.size("height") == 0)
+    fine = (F.size("width") == 1) & (F.size("height") == 1) & size("width").between(64, 4096) & size("height").between(64, 4096)
+    origin = F.when(none, "default").when(F.coalesce(fine, F.lit(False)), "meta").otherwise("error")
+    p = p.select("page_id", size("width").alias("w"), size("height").alias("h"), origin.alias("origin"))
+    pick = lambda c, default: F.when(F.col("origin") == "default", default).when(F.col("origin") == "meta", F.col(c))
+    p = p.select("page_id", pick("w", 1280).alias("width"), pick("h", 720).alias("height"), "origin")
+    return p.withColumn("width_emu", (F.col("width") * geometry.EMU_PIXEL).cast("long"))
 
 
 @query(

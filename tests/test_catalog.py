@@ -112,3 +112,15 @@ def test_diagram_lists_every_edge(spark):
         "- 9：接続関係不明（接続先の保存情報がありません）\n\n"
     )
     assert got[2] == "接続関係:\n\n- 1：接続関係不明（矢印の向きを確定できません）\n\n"
+
+
+def test_slide_sizes_of_every_page(spark, tmp_path):
+    m = lambda k, v: f'<meta name="slide-{k}" content="{v}">'
+    pages = [
+        m("width", 800) + m("height", 600), "<p>x", m("width", 800), m("width", 800) * 2 + m("height", 600), m("width", "8e2") + m("height", 600), m("width", 10) + m("height", 600),
+        "<META content='1024' data-x=1 name='Slide-Width'/><meta content=768 name=slide-height>", f"<!-- {m('width', 800)} --><script>'{m('height', 1)}'</script>", None,
+    ]
+    spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.width, r.height, r.origin, r.width_emu) for r in catalog.QUERIES["slide_meta"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    default, error = (1280, 720, "default", 1280 * 9525), (None, None, "error", None)
+    assert got == [(800, 600, "meta", 800 * 9525), default, error, error, error, error, (1024, 768, "meta", 1024 * 9525), default, default]
