@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, markdown, names, urls
-from ..operators import blocks, graph, grid, jobs, ranges
+from ..operators import blocks, effects, graph, grid, jobs, ranges
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -568,6 +568,21 @@ def animation_eligibility(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", reason.alias("reason"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings)
+  SELECT vec_id, CASE WHEN len(e) < 2 OR len(e) > 257 THEN 'invalid_keyframes' WHEN abs(e[len(e)] - 1) >= 1e-5 THEN 'non_final_base'
+  WHEN len(list_filter(e, lambda x: abs(x - 1) >= 1e-5)) > 0 AND (abs(e[1]) >= 1e-5 OR list_min(e) < 0 OR list_max(e) > 1 OR len(list_filter(range(2, len(e) + 1), lambda i: e[i] < e[i - 1] - 1e-5)) > 0) THEN 'unsupported_opacity'
+  WHEN len(list_filter(e, lambda x: abs(x - 1) > 1e-5)) = 0 THEN 'no_visible_change' END AS reason FROM v"""
+)
+def animation_reasons(spark, sf_dir):
+    """First reason why whole vectors, as opacities of evenly spaced frames, make no native effect."""
+    n = F.size("embedding")
+    frames = F.transform("embedding", lambda v, i: F.struct((i / (n - 1)).alias("offset"), v.cast("double").alias("opacity"), *[F.lit(None).cast("double").alias(k) for k in list(effects.CHANNELS)[1:]], F.lit(False).alias("other")))
+    box = F.struct(*[F.lit(float(v)).alias(k) for k, v in (("x", 0), ("y", 0), ("width", 9), ("height", 9))])
+    reason = effects.reason(F.lit("e"), F.lit(1000.0), F.lit(0.0), frames, box, F.lit(None).cast("struct<x:double,y:double>"))
+    return t(spark, sf_dir, "embeddings").select("vec_id", reason.alias("reason"))
+
+
 @query()
 def rotation_unwrap(spark, sf_dir):
     """Angles without jumps of over half a turn: each sample takes the closest turn to the last."""

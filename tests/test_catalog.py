@@ -124,3 +124,35 @@ def test_slide_sizes_of_every_page(spark, tmp_path):
     got = [(r.width, r.height, r.origin, r.width_emu) for r in catalog.QUERIES["slide_meta"](spark, str(tmp_path)).orderBy("page_id").collect()]
     default, error = (1280, 720, "default", 1280 * 9525), (None, None, "error", None)
     assert got == [(800, 600, "meta", 800 * 9525), default, error, error, error, error, (1024, 768, "meta", 1024 * 9525), default, default]
+
+
+def test_effect_reasons(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import effects
+
+    def frame(offset, other=False, **k):
+        return (offset, *[k.get(c) for c in effects.CHANNELS], other)
+
+    box, fine = (0.0, 0.0, 10.0, 10.0), [frame(0.0, x=5.0), frame(1.0, x=0.0)]
+    ramp = [frame(i / 9, opacity=i / 9) for i in range(10)]
+    cases = [
+        (None, "e", 100.0, 0.0, fine, box, None), (None, "e", 100.0, None, ramp, box, (5.0, 5.0)), ("invalid_effect", "", 0.0, 0.0, fine, box, None), ("invalid_timing", "e", 0.0, 0.0, fine, box, None),
+        ("invalid_keyframes", "e", 1.0, 0.0, fine[:1], box, None), ("invalid_keyframes", "e", 1.0, 0.0, [fine[0], frame(0.5, x=1.0), frame(0.5, x=1.0), fine[1]], box, None),
+        ("unsupported_channel", "e", 1.0, 0.0, [fine[0], frame(0.5, True, x=1.0), fine[1]], box, None), ("invalid_keyframes", "e", 1.0, 0.0, [frame(0.0), fine[1]], box, None),
+        ("invalid_bounds", "e", 1.0, 0.0, fine, (0.0, 0.0, 0.0, 1.0), None), ("unsupported_pivot", "e", 1.0, 0.0, fine, box, (0.0, 5.0)), ("non_final_base", "e", 1.0, 0.0, [frame(0.0, x=0.0), frame(1.0, x=3.0)], box, None),
+        ("unsupported_opacity", "e", 100.0, 0.0, [*ramp[:8], frame(0.85, opacity=0.1), ramp[9]], box, None), ("unsupported_scale", "e", 1.0, 0.0, [frame(0.0, scaleX=-1.0), frame(1.0, scaleX=1.0)], box, None),
+        ("invalid_keyframes", "e", 1.0, 0.0, [frame(0.0, rotation=4e4), frame(1.0, rotation=0.0)], box, None), ("no_visible_change", "e", 1.0, 0.0, [frame(0.0), frame(1.0)], box, None),
+        ("timing_resolution", "e", 1.0, 3_600_000.0, fine, box, None),
+    ]
+    schema = f"want string, id string, duration double, delay double, frames array<{effects.FRAME}>, bounds struct<x:double,y:double,width:double,height:double>, origin struct<x:double,y:double>"
+    df = spark.createDataFrame(cases, schema)
+    got = df.select("want", effects.reason(*[F.col(c) for c in df.columns[1:]]).alias("got")).collect()
+    assert [r.got for r in got] == [c[0] for c in cases]
+    samples = [
+        (None, ramp), ("exit-animation", ramp[::-1]), ("unsupported-opacity", [ramp[5], ramp[9]]), ("no-visible-change", [frame(0.0), frame(1.0)]),
+        ("unsupported-transform", [frame(0.0, scaleX=2.0), frame(1.0, rotation=30.0)]), (None, [frame(0.0, scaleX=2.0), frame(1.0)]),
+    ]
+    full = [(w, [(f[0], *[b if v is None else v for v, b in zip(f[1:7], effects.CHANNELS.values(), strict=True)], False) for f in fs]) for w, fs in samples]
+    got = spark.createDataFrame(full, f"want string, s array<{effects.FRAME}>").select("want", effects.trajectory(F.col("s")).alias("got")).collect()
+    assert [r.got for r in got] == [w for w, _ in samples]
