@@ -106,13 +106,15 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a
             return now.select(F.col("n").alias(node), "root")
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes reachable from start (column n) over edges (a -> b), with the least number
-    of steps; a frontier at a time, so cycles end it."""
+    of steps (depth at most, if given); a frontier at a time, so cycles end it."""
     _checkpoint_dir(edges)
     seen = start.select("n").distinct().withColumn("steps", F.lit(0)).checkpoint()
     front = seen
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         new = front.join(edges, front["n"] == edges["a"]).select(F.col("b").alias("n")).distinct()
         new = new.join(seen.select("n"), "n", "left_anti").withColumn("steps", F.lit(k)).checkpoint()
         if not new.limit(1).count():
@@ -121,12 +123,16 @@ def closure(edges: DataFrame, start: DataFrame, depth: int = 64) -> DataFrame:
     return seen
 
 
-def inherited(styles: DataFrame, columns: list[str], key: str = "id", parent: str = "based_on", depth: int = 16) -> DataFrame:
-    """styles with every column taken from the nearest ancestor that sets it."""
-    out = styles.select(key, *columns, F.col(parent).alias("_up"))
+def inherited(styles: DataFrame, columns: list[str], key: str = "id", parent: str = "based_on", depth: int = 63) -> DataFrame:
+    """styles with every column taken from the nearest ancestor that sets it; a chain is
+    64 styles at most, as in the reference, and ends where it comes back to one of its own."""
+    _checkpoint_dir(styles)
+    out = styles.select(key, *columns, F.col(parent).alias("_up"), F.array(key).alias("_seen"))
     base = styles.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns], F.col(parent).alias("_next"))
-    for _ in range(depth):
+    for k in range(depth):
         if not out.where("_up is not null").limit(1).count():
             break
-        out = out.join(base, out["_up"] == base["_k"], "left").select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in columns], F.col("_next").alias("_up"))
+        out = out.withColumn("_up", F.when(~F.array_contains("_seen", F.col("_up")), F.col("_up"))).join(base, F.col("_up") == base["_k"], "left")
+        out = out.select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in columns], F.col("_next").alias("_up"), F.concat("_seen", F.array("_k")).alias("_seen"))
+        out = out.checkpoint() if k % 4 == 3 else out
     return out.select(key, *columns)

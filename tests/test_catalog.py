@@ -156,3 +156,13 @@ def test_effect_reasons(spark):
     full = [(w, [(f[0], *[b if v is None else v for v, b in zip(f[1:7], effects.CHANNELS.values(), strict=True)], False) for f in fs]) for w, fs in samples]
     got = spark.createDataFrame(full, f"want string, s array<{effects.FRAME}>").select("want", effects.trajectory(F.col("s")).alias("got")).collect()
     assert [r.got for r in got] == [w for w, _ in samples]
+
+
+def test_deep_chains(spark):
+    from tessella.operators import graph
+
+    rows = [(f"s{k}", f"s{k + 1}", None) for k in range(20)] + [("s20", None, 7), ("a", "b", None), ("b", "a", 5)]
+    got = {r.id: r.outline for r in graph.inherited(spark.createDataFrame(rows, "id string, based_on string, outline int"), ["outline"]).collect()}
+    assert got == {**{f"s{k}": 7 for k in range(21)}, "a": 5, "b": 5}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "a int, b int")
+    assert graph.closure(edges, spark.createDataFrame([(0,)], "n int")).count() == 67
