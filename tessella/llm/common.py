@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -28,12 +27,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
-        sc.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -43,7 +41,23 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that nothing still to be computed reads."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_stored", None)):
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def few(df: DataFrame, most: int = 10_000) -> bool:
+    """Whether a table is small enough to be sent to every executor."""
+    return df.limit(most + 1).count() <= most
 
 
 def sealed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import locate, n_words, opened, sealed, table, words
+from .common import few, locate, n_words, opened, sealed, table, words
 
 BLOCK = 256  # words in a block
 SHARD_SLOTS = 4096  # blocks in an output shard
@@ -162,14 +162,10 @@ def taken(mix: Mix) -> DataFrame:
         got = mix.pieces().join(reads, ["src", "block"])
         got = got.withColumn("w", F.col("whole") * (F.col("end") - F.col("at")) + F.greatest(F.least("end", "part") - F.col("at"), F.lit(0)))
         got = got.groupBy(*key).agg(F.sum("w").alias("taken"))
-    out = mix.docs.join(got, key, "left").join(F.broadcast(mix.sources) if _few(mix.sources) else mix.sources, "src")
+    out = mix.docs.join(got, key, "left").join(F.broadcast(mix.sources) if few(mix.sources) else mix.sources, "src")
     return out.select("kept.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def _few(sources: DataFrame, most: int = 10_000) -> bool:
-    return sources.limit(most + 1).count() <= most
-
-
 def mixed_texts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as the mix takes them: each row once for every pass that takes words of it,
     with the words taken in that pass (the text itself if all were). docs: the rows that

@@ -62,11 +62,6 @@ def test_pages(spark, duck):
     assert (out.text.str.len() == out.n_chars).all() and not out.text.str.contains("©|track\\(").any()
 
 
-def test_quality(spark, texts):
-    out = QUERIES["op4_quality"](spark, DATA).toPandas()
-    assert sorted(out.doc_id) == sorted(texts) and (out.kept == (out.score <= out.threshold)).all()
-
-
 def test_personal_data(spark, texts):
     for r in QUERIES["op5_pii"](spark, DATA).collect():
         base = brute_base(texts[r.doc_id])

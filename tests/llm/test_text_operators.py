@@ -6,10 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, html_main, ngram_lm, pii, rules
+from tessella.llm import chat, html_main, pii, rules
 from tessella.llm.common import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, id string, _n long, fail_bits string, spans string, kept string"
@@ -224,109 +223,5 @@ def test_chat_parts(spark):
     assert [(a.message, a.order, a.ref, a.tokens) for a in r.attachments] == [(1, 1, "i.png", 3), (1, 2, "a.wav", 25), (1, 3, "d.pdf", 768)]
 
 
-def brute_kn(texts):
-    """Interpolated modified Kneser-Ney by dictionaries."""
-    counts = Counter(int(g) for t in texts for g in ngram_lm.grams(t))
-    levels = {ngram_lm.ORDER: counts}
-    for k in range(ngram_lm.ORDER - 1, 0, -1):
-        levels[k] = Counter(g & ((1 << 6 * k) - 1) for g in levels[k + 1])
-
-    def p(k, g):
-        if k == 0:
-            return 1 / 64
-        c = levels[k]
-        n = Counter(min(x, 4) for x in c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
-        d = [0] + [max(0.1, i - (i + 1) * y * n[i + 1] / n[i]) if n[i] and n[1] else 0.5 for i in (1, 2, 3)]
-        ctx = g >> 6
-        mine = {x: v for x, v in c.items() if x >> 6 == ctx}
-        low = p(k - 1, g & ((1 << 6 * (k - 1)) - 1))
-        if not mine:
-            return low
-        total = sum(mine.values())
-        return max(0, c.get(g, 0) - d[min(c.get(g, 0), 3)]) / total + sum(d[min(v, 3)] for v in mine.values()) / total * low
-
-    return p
-
-
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat.", "The cat, the hat!", "a mat on a cat"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = ngram_lm.tables(ngram_lm.count(df)).toPandas()
-    parts = {key: (g["code"].to_numpy(), g["value"].to_numpy()) for key, g in model.groupby(["k", "kind"])}
-    dense = ngram_lm.dense(parts)
-    assert np.allclose((2.0 ** -dense.reshape(-1, 64)).sum(axis=1), 1, atol=1e-4)
-    p = brute_kn(texts)
-    for g in [*ngram_lm.grams("the dog sat. Éx"), *ngram_lm.grams("zz")]:
-        assert abs(2.0 ** -float(dense[g]) - p(4, int(g))) < 1e-5
-
-
-def test_judged(spark):
-    good = ["the cat sat on the mat and the dog sat on the cat. " * 4 + str(i % 3) for i in range(80)]
-    rows = [(i, t, "en", "s") for i, t in enumerate(good)] + [(100, "ZXQ## $$$ %%% QQ!! " * 20, "en", "s"), (101, None, None, None), (102, "", "xx", "s"), (103, "the cat sat on the mat", None, "s"), (None, "the dog", "en", "s"), (0, good[0], "en", "s")]
-    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, _kept int, mean string").drop("_kept")
-    trusted = spark.createDataFrame([(i,) for i in [*range(80), None]], "doc_id long")
-    out = {(r.doc_id, r.lang): r._kept for r in ngram_lm.judged(docs, trusted).collect()}
-    assert not out[100, "en"] and sum(out.values()) == len(out) - 1
-    assert ngram_lm.judged(docs.where("false"), trusted).count() == 0
-    assert ngram_lm.judged(docs, trusted.where("false")).where("_kept").count() == len(rows)
-
-
-def test_words_are_visible(spark):
-    """Words that fold to the same symbols as trusted ones, but are none of them."""
-    rng = random.Random(5)
-    known = [str(rng.randrange(10**5, 10**6)) for _ in range(40)]
-    say = lambda words: " ".join(rng.choice(words) for _ in range(120))
-    rows = [(i, say(known), "en") for i in range(90)] + [(100, say([w[::-1] + "7" for w in known]).replace("7 ", " "), "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    out = {r.doc_id: r._kept for r in ngram_lm.judged(docs, docs.where("doc_id < 80").select("doc_id")).collect()}
-    assert not out[100] and all(out[i] for i in range(90))
-
-
-def brute_words(texts, h0):
-    """Surprise of a text under the bigram model of words, by dictionaries."""
-    pairs = Counter(p for t in texts for p in zip(["<", *t.split()], [*t.split(), ">"], strict=True))
-    ends = Counter(w for _, w in pairs)
-
-    def discounts(c):
-        n = Counter(min(x, 4) for x in c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
-        d = [0] + [max(0.1, i - (i + 1) * y * n[i + 1] / n[i]) if n[i] and n[1] else 0.5 for i in (1, 2, 3)]
-        return lambda x: d[min(x, 3)]
-
-    d2, d1 = discounts(pairs), discounts(ends)
-
-    def p(v, w):
-        low = (max(0, ends[w] - d1(ends[w])) + sum(map(d1, ends.values())) * 2.0 ** -h0(w)) / sum(ends.values())
-        mine = [n for (a, _), n in pairs.items() if a == v]
-        return (max(0, pairs[v, w] - d2(pairs[v, w])) + sum(map(d2, mine)) * low) / sum(mine) if mine else low
-
-    return lambda t: -sum(np.log2(p(*x)) for x in zip(["<", *t.split()], [*t.split(), ">"], strict=True))
-
-
-def test_word_model_matches_brute_force(spark):
-    texts = ["the cat sat on the mat", "The cat the hat", "a mat on a cat", "the cat sat"]
-    surprise = np.linspace(1, 3, 64**4).astype(np.float32)
-    h0 = lambda w: float(ngram_lm.spellings(w, surprise)[0]) if w != ">" else 0.0
-    rows = Counter()
-    for t in texts:
-        ids = ngram_lm.word_ids(t)
-        rows.update(zip(ngram_lm.bigrams(ids).tolist(), ids[:-1].tolist(), ids[1:].tolist(), map(h0, [*t.split(), ">"]), strict=True))
-    counts = spark.createDataFrame([(g, v, w, n, h) for (g, v, w, h), n in rows.items()], "gram long, v long, w long, c long, h0 double")
-    model, weight = ngram_lm.word_tables(counts)
-    value = {r.gram: r.value for r in model.collect()}
-    brute = brute_words(texts, h0)
-    for t in [*texts, "the dog sat on THE cat cat", "zz", "", "hat a\n mat\t the"]:
-        ids = ngram_lm.word_ids(t)
-        told = sum(map(h0, t.split())) - len(ids[1:]) * np.log2(weight) + sum(value.get(g, 0.0) for g in [*ids.tolist(), *ngram_lm.bigrams(ids).tolist()])
-        assert abs(told - brute(t)) < 1e-6
-    assert np.allclose(ngram_lm.spellings("the  cat\nsat ", surprise), [h0("the"), h0("cat"), h0("sat")])
-
-
 def test_sha_of_empty():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(pii.joined([]).encode()).hexdigest()
-
-
-@pytest.mark.parametrize("text", [None, "", "x"])
-def test_grams_sizes(text):
-    assert len(ngram_lm.grams(text)) == len(text or "")
