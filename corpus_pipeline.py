@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token streams in windows."""
-    return packing.pack(packing.pieces(docs.select("doc_id", "text")))
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES = [

@@ -1,16 +1,14 @@
 """Packing token streams into windows by the sum-of-squares rule.
 
-A document's ids, closed by one end id, are cut into full windows and a
-remainder. Remainders are placed online: an item of size s goes to the fill level
-h that minimises the sum of squared counts of partially filled windows, where
-N[h] windows have the fill h. The change is local (level h loses a window, level
-h + s gains one), so it is read off the level array.
-
-Texts never move: a row for each piece (a few numbers) goes to one of
-``pieces / GROUP`` packers by hash, so a packer's rows are bounded in expectation
-and no key or long document meets in one of them. A packer's items arrive in a random
-order, but for its last TAIL ones, which arrive by falling size, so that small ones fill
-up what is open. Only the windows that it leaves open at its end are padded.
+A document's ids, closed by one end id, are cut into full windows and a remainder.
+Remainders are placed online, in the order in which a task reads them: an item of size s
+goes to the fill level h that minimises the sum of squared counts of partially filled
+windows, where N[h] windows have the fill h. The change is local (level h loses a window,
+level h + s gains one), so it is read off the level array.
+
+A packer lives within a task, next to the texts: nothing is shuffled, and it holds the
+ids of its open windows only. At a task's end the emptiest open windows are dealt out,
+cut where needed, to the fullest ones, so a task pads one window at most.
 """
 
 from __future__ import annotations
@@ -19,19 +17,17 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches
 
 WINDOW = 2048
 END_ID = 1
-GROUP = 20_000
-TAIL = 2000
 TOKENIZER = "word_bpe_49k.json"
 
 CACHED = 400_000  # distinct words that a worker remembers
@@ -102,67 +98,111 @@ def encoded(texts: list[str], path: str | None) -> Iterator[bytes]:
         yield known.ids(t) + end
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """id, start, length, ids_crc32 and doc_tokens of every piece of every row: full
-    windows and a remainder. A null or empty text is the end id alone; repeated
-    rows are documents each."""
+class Packer:
+    """Open windows by fill level, and the rule that chooses among them."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window, self.made = window, 0
+        self.count = np.zeros(window + 1, np.int64)  # open windows at each level; 0 and window stay 0
+        self.stacks: list[list[int]] = [[] for _ in range(window + 1)]
+
+    def fresh(self) -> int:
+        self.made += 1
+        return self.made - 1
+
+    def level(self, s: int) -> int:
+        """The level whose choice for an item of size s < window leaves the least sum of
+        squares, the fullest of equals; level 0 is a new window."""
+        most = self.window - s
+        left, reached = self.count[: most + 1], self.count[s:]
+        change = 2 * (reached - left) + 2
+        change[0] = 2 * reached[0] + 1
+        change[most] = 1 - 2 * left[most]  # a full window leaves the sum
+        allowed = left > 0
+        allowed[0] = True
+        found = np.flatnonzero(allowed)
+        return int(found[len(found) - 1 - change[found][::-1].argmin()])
+
+    def place(self, s: int) -> tuple[int, int]:
+        """Number of the window that takes an item, and the offset there."""
+        if s == self.window:
+            return self.fresh(), 0
+        h = self.level(s)
+        if h:
+            self.count[h] -= 1
+            number = self.stacks[h].pop()
+        else:
+            number = self.fresh()
+        if h + s < self.window:
+            self.count[h + s] += 1
+            self.stacks[h + s].append(number)
+        return number, h
+
+
+Piece = tuple  # id, start, ids (bytes), tokens of the document
+
+
+def closed(held: dict[int, list[Piece]], window: int) -> dict[int, list[Piece]]:
+    """Open windows after the emptiest have been dealt out, cut where needed, to the
+    fullest: all of them but one at most are full."""
+    fill = {w: sum(len(p[2]) for p in ps) // 4 for w, ps in held.items()}
+    order = sorted(held, key=lambda w: (-fill[w], w))
+    out = {w: list(held[w]) for w in order}
+    at, last = 0, len(order) - 1
+    while at < last:
+        into, source = order[at], order[last]
+        i, start, ids, tokens = out[source].pop()
+        room = window - fill[into]
+        take = min(room, len(ids) // 4)
+        out[into].append((i, start, ids[: 4 * take], tokens))
+        fill[into] += take
+        fill[source] -= take
+        if 4 * take < len(ids):
+            out[source].append((i, start + take, ids[4 * take :], tokens))
+        if not out[source]:
+            del out[source]
+            last -= 1
+        if fill[into] == window:
+            at += 1
+    return out
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece of
+    every row, and with with_ids its ids. A sequence's ids lie gapless from 0; sequence ids
+    are unique; a task leaves one sequence at most shorter than the window.
+
+    A null or empty text is the end id alone; repeated rows are documents each; a text of
+    any length is cut at full windows; a null id is an id like any other. An empty table
+    gives an empty result; other columns are not read."""
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = TaskContext.get().partitionId() << 32
+        packer, held, out = Packer(window), {}, []
+
+        def tell(number: int, pieces: list[Piece]) -> None:
+            at = 0
+            for i, start, ids, tokens in pieces:
+                size = len(ids) // 4
+                out.append((i, start, size, zlib.crc32(ids), tokens, base + number, at, *([ids] if with_ids else [])))
+                at += size
+
         for b in batches:
-            out = []
             for i, ids in zip(b["id"], encoded([t or "" for t in b["text"]], tokenizer_path), strict=True):
                 for at in range(0, len(ids), 4 * window):
                     part = ids[at : at + 4 * window]
-                    out.append((i, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, *([part] if with_ids else [])))
-            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]).astype({"id": b["id"].dtype})
-
-    out = rows.mapInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
-    return out.withColumnRenamed("id", id_col)
-
-
-def sum_of_squares(sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Window number and offset of each item, in the order given."""
-    count = np.zeros(window + 1, np.int64)  # open windows at each fill level; 0 and window stay 0
-    stacks: list[list[int]] = [[] for _ in range(window + 1)]
-    number, offset, made = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
-    for i, s in enumerate(sizes.tolist()):
-        # Twice the change of the sum is 2 + 2 * score: the level left, the level reached.
-        score = count[s:] - count[: window - s + 1]
-        score[-1] = -count[window - s] - 1 if s < window else -1  # a full window leaves the sum
-        score[0] = count[s] if s < window else -1  # a new window leaves no level
-        open_at = count[: window - s + 1] > 0
-        open_at[0] = True
-        h = int(np.where(open_at, score * 2 + np.where(np.arange(len(score)) == 0, 1, 2), np.iinfo(np.int64).max).argmin()) if len(score) > 1 else 0
-        if h:
-            w = stacks[h].pop()
-            count[h] -= 1
-        else:
-            w, made = made, made + 1
-        number[i], offset[i] = w, h
-        if h + s < window:
-            count[h + s] += 1
-            stacks[h + s].append(w)
-    return number, offset
-
-
-def pack(cut: DataFrame, id_col: str = "doc_id", *, window: int = WINDOW, group: int = GROUP, seed: int = 31) -> DataFrame:
-    """cut: the rows of pieces(). Adds sequence_id and offset. A sequence's ids lie
-    gapless from 0; sequence ids are unique. An empty table gives an empty result."""
-    cut = table(cut)
-    groups = max(1, -(-cut.count() // group))
-    rows = cut.withColumnRenamed(id_col, "_id").withColumn("_key", F.xxhash64(F.lit(seed), "_id", "start", "ids_crc32")).withColumn("_g", F.pmod("_key", F.lit(groups)))
-    kept = [f for f in rows.schema if f.name not in ("_key", "_g")]
-    names = [f.name for f in kept]
-
-    def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["_key", "start", "length"], kind="stable")
-        last = b.iloc[-TAIL:].sort_values("length", ascending=False, kind="stable")
-        b = pd.concat([b.iloc[: len(b) - len(last)], last])
-        number, offset = sum_of_squares(b["length"].to_numpy(), window)
-        return b[names].assign(sequence_id=(int(key[0]) << 32) + number, offset=offset)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
-    return rows.groupBy("_g").applyInPandas(run, schema).withColumnRenamed("_id", id_col)
+                    number, offset = packer.place(len(part) // 4)
+                    held.setdefault(number, []).append((i, at // 4, part, len(ids) // 4))
+                    if offset + len(part) // 4 == window:
+                        tell(number, held.pop(number))
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        for number, pieces in closed(held, window).items():
+            tell(number, pieces)
+        yield pd.DataFrame(out, columns=names)
+
+    out = rows.mapInPandas(run, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return out.withColumn("id", F.col("id").cast(dict(docs.dtypes)[id_col])).withColumnRenamed("id", id_col)

@@ -39,7 +39,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(packing.pieces(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

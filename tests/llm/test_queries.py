@@ -6,9 +6,10 @@ import os
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from tessella.llm import pii
+from tessella.llm import packing, pii
 from tessella.llm.queries import QUERIES
 from tessella.llm.sql import SQL
 
@@ -81,6 +82,14 @@ def test_shards(spark, texts):
 def test_packing(spark, texts):
     out = QUERIES["op9_packing"](spark, DATA).toPandas().sort_values(["sequence_id", "offset"])
     ends = (out.offset + out.length).groupby(out.sequence_id).shift().fillna(0)
-    assert (out.offset == ends).all() and out.groupby("sequence_id").length.sum().max() <= 2048
-    per = out.groupby("doc_id")
-    assert (per.length.sum() == per.doc_tokens.first()).all() and len(per) == len(texts)
+    filled = out.groupby("sequence_id").length.sum()
+    assert (out.offset == ends).all() and filled.max() <= 2048 and (filled < 2048).sum() <= 1
+    per = {i: sorted(zip(g.start, g.length, g.ids_crc32, g.doc_tokens, strict=True)) for i, g in out.groupby("doc_id")}
+    whole = packing.Words(None).whole
+    for i, t in texts.items():
+        ids, at = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc, tokens in per[i]:
+            assert start == at and tokens == len(ids) and crc == zlib.crc32(ids[at : at + length].tobytes())
+            at += length
+        assert at == len(ids)
+    assert len(per) == len(texts)

@@ -192,27 +192,59 @@ def test_cached_ids_are_the_tokenizers():
 
 
 def test_packing(spark):
-    docs = hard_rows(spark)
-    cut = packing.pieces(docs, with_ids=True)
-    out = packing.pack(cut, group=4).collect()
-    by = {}
-    for r in out:
-        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
-    for v in by.values():
-        v.sort()
-        assert [o for o, _ in v] == [sum(n for _, n in v[:k]) for k in range(len(v))] and sum(n for _, n in v) <= 2048
-    assert sum(r.length for r in out if r.start == 0 or True) == sum(r.doc_tokens for r in out if r.start == 0)
-    assert packing.pack(packing.pieces(docs.where("false"))).count() == 0
+    known = packing.Words(None)
+    for parts in (1, 4):
+        docs = hard_rows(spark).repartition(parts)
+        out = packing.pack(docs, with_ids=True).collect()
+        by, pieces = {}, {}
+        for r in out:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, bytes(r.ids)))
+            assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        for v in by.values():
+            v.sort()
+            assert [o for o, _ in v] == [sum(n for _, n in v[:k]) for k in range(len(v))] and sum(n for _, n in v) <= 2048
+        assert sum(sum(n for _, n in v) < 2048 for v in by.values()) <= parts
+        assert sum(r.length for r in out) == sum(r.doc_tokens for r in out if r.start == 0)
+        for d in docs.collect():
+            ids = known.whole.encode(d.text or "", add_special_tokens=False).ids + [1]
+            mine = sorted(set(pieces[d.doc_id, len(ids)]))
+            assert np.frombuffer(b"".join(x for _, x in mine), "<u4").tolist() == ids
+    assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_closing_cuts():
+    """Whatever is open, at most one window stays open, and each id keeps its place."""
+    rng = random.Random(8)
+    for _ in range(50):
+        held, want = {}, {}
+        for w in range(rng.randint(0, 12)):
+            sizes, room = [], rng.randint(1, 15)
+            while room > 0:
+                sizes.append(rng.randint(1, room))
+                room -= sizes[-1]
+            held[w] = []
+            for k, n in enumerate(sizes):
+                ids = np.array([rng.randrange(1000) for _ in range(n)], "<u4").tobytes()
+                held[w].append((f"{w}-{k}", 0, ids, n))
+                want[f"{w}-{k}"] = ids
+        out = packing.closed(held, 16)
+        sums = [sum(len(p[2]) for p in ps) // 4 for ps in out.values()]
+        assert sum(x < 16 for x in sums) <= 1 and max(sums, default=0) <= 16
+        got = {}
+        for ps in out.values():
+            for i, start, ids, _ in ps:
+                got.setdefault(i, []).append((start, ids))
+        assert {i: b"".join(x for _, x in sorted(v)) for i, v in got.items()} == want
 
 
 def test_sum_of_squares_rule():
     """Every placement has the least sum of squares among all choices."""
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 17, 400)
-    number, offset = packing.sum_of_squares(sizes, 16)
-    fill = {}
-    for s, w, o in zip(sizes.tolist(), number.tolist(), offset.tolist(), strict=True):
+    packer, fill = packing.Packer(16), {}
+    for s in sizes.tolist():
+        w, o = packer.place(s)
         assert fill.get(w, 0) == o
 
         def after(h, s=s):
