@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, locate, n_words, opened, sealed, table, words
+from .common import few, locate, n_words, opened, sealed, table
 
 BLOCK = 256  # words in a block
 SHARD_SLOTS = 4096  # blocks in an output shard
@@ -85,8 +85,9 @@ def marked(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17, keep: list[str] | None = None) -> Mix:
-    """Null texts have size 0, a null source is a source of its own (last),
-    repeated rows count each, an empty table gives an empty mix. Other columns
+    """Null texts have size 0, a null source is a source of its own (last), a text of any
+    length is cut into blocks, repeated rows count each, an empty table gives an empty mix.
+    Other columns
     are not read unless they are in ``keep``. The same rows give the same mix,
     however they are partitioned."""
     keep = [id_col] if keep is None else keep
@@ -168,8 +169,13 @@ def taken(mix: Mix) -> DataFrame:
 
 def mixed_texts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as the mix takes them: each row once for every pass that takes words of it,
-    with the words taken in that pass (the text itself if all were). docs: the rows that
-    the mix was planned for. Texts are shuffled once, by id and mark."""
+    with the words taken in that pass (the text itself if all were), each with the white
+    space that follows it. docs: the rows that the mix was planned for. Texts are shuffled
+    once, by id and mark.
+
+    Null and empty texts have no words and are not taken; a text of any length is cut where
+    the mix cuts it; repeated rows stand for each other; all columns stay, whatever their
+    names. An empty table or mix gives an empty result."""
     if mix.slots is None:
         return docs.where("false")
     key = ["src", "bucket", "row"]
@@ -184,6 +190,10 @@ def mixed_texts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str
     first = F.row_number().over(Window.partitionBy("id", "mark").orderBy("mark"))
     texts = marked(plain, names[id_col]).withColumn("_first", first).where("_first = 1")
     text = F.col(names[text_col])
-    some = F.flatten(F.transform("runs", lambda r: F.slice(words(text), (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int"))))
-    out = texts.join(runs, ["id", "mark"]).withColumn(names[text_col], F.when(F.col("whole"), text).otherwise(F.array_join(some, " ")))
+    # Each unit is a word with the white space after it. The outer lambda holds the units, so
+    # that a text is split once and not once for every run.
+    units = F.split(F.regexp_replace(text, r"\A[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = lambda u: F.flatten(F.transform("runs", lambda r: F.slice(u, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int"))))
+    some = F.array_join(F.element_at(F.transform(F.array(units), cut), 1), "")
+    out = texts.join(runs, ["id", "mark"]).withColumn(names[text_col], F.when(F.col("whole"), text).otherwise(some))
     return opened(out, names)

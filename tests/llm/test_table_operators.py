@@ -64,6 +64,28 @@ def test_mixing(spark):
     assert told == +got
 
 
+def test_mixed_texts_keep_their_white_space(spark):
+    """Every text of the mix is a row of the plan's runs, character by character."""
+    rng = random.Random(9)
+    gap = lambda: rng.choice([" ", "  ", "\n", "\n\n", "\t", " \r\n "])
+    rows = [(i, "".join(gap() * (k > 0) + f"w{i}-{k}" for k in range(rng.randint(1, 900))), rng.choice("abc")) for i in range(60)]
+    rows += [(100, "\n lead and trail \n", "a"), (101, "x" * 100_000, "b"), (102, " ".join(f"v{k}" for k in range(20_000)) + "\n", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: t for i, t, _ in rows}
+    parts = 0
+    for r in mixing.mixed_texts(docs, mixing.plan(docs)).collect():
+        if r.text == source[r.doc_id]:
+            continue
+        parts += 1
+        units = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", source[r.doc_id])
+        mine = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", r.text)
+        at = -1
+        for u in mine:  # in order, each with the white space that follows it
+            at = units.index(u, at + 1)
+        assert "".join(mine) == r.text
+    assert parts > 3
+
+
 def test_mixing_empty(spark):
     _, docs = mixed_docs(spark)
     assert mixing.taken(mixing.plan(docs.where("false"))).count() == 0
