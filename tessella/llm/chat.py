@@ -5,8 +5,10 @@ each part by its type: text is escaped, every other part becomes an ordered
 placeholder and leaves an attachment reference with its expanded token count.
 A conversation is one string, with the spans of the loss mask beside it.
 
-Escaping: a backslash is doubled and "<|" becomes "<\\|", so no control string
-can stand inside a text and unescaping, left to right, gives the text back.
+Escaping: a backslash is doubled and "<|" becomes "<\\|", and a "|" that begins a later
+part becomes "\\|", since the part before may end with "<". So no control string can stand
+inside the texts of a message, wherever its parts are cut, and unescaping, left to right,
+gives the texts back.
 """
 
 from __future__ import annotations
@@ -45,9 +47,11 @@ def expanded(part: Column) -> Column:
     return F.coalesce(found, F.lit(0)).cast("long")
 
 
-def visit(part: Column) -> Column:
-    """How a part is rendered; a part of an unknown type is rendered as its text."""
-    out = escape(F.coalesce(part["text"], F.lit("")))
+def visit(part: Column, number: Column) -> Column:
+    """How a part is rendered (number: its place in the message, from 0); a part of an
+    unknown type is rendered as its text."""
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    out = F.when((number > 0) & text.startswith("|"), F.concat(F.lit("\\"), text)).otherwise(text)
     for kind, mark in MARKS.items():
         out = F.when(part["type"] == kind, F.lit(mark)).otherwise(out)
     return out
@@ -58,7 +62,7 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     attachments (message, order, type, ref, tokens) of every conversation.
 
     Turns are ordered by turn, then role and parts, nulls first; repeated rows are
-    turns each. A null role or text is empty, null or empty parts render as nothing,
+    turns each. A null role or text is empty, a text of any length is rendered whole, null or empty parts render as nothing,
     a null conversation id is a conversation. An empty table gives an empty result.
     Only the named columns are read."""
     role = F.coalesce(F.col(role_col), F.lit(""))
