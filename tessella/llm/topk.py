@@ -1,13 +1,16 @@
 """Exact top-k inner products over an impact-ordered index.
 
-Vectors become integers. A block of vectors is indexed by dimension: each component
-is quantised to one of LEVELS levels, and the vectors of a level form a posting
-segment. For a query, a segment's impact is the least contribution that its level
-allows, above the dimension's minimum. Segments are read by descending impact into
-one array of scores. What is left unread bounds how far any score can still rise,
-so reading stops once that bound proves that few vectors can be among the best;
-those are scored again exactly. If the proof never comes, all segments are read and
-the quantisation alone decides who is scored again: the result is exact either way.
+Vectors become integers. A block of vectors is indexed by dimension: the size of each
+component is quantised to one of LEVELS levels, and the vectors of a level form a posting
+segment. For a query, a segment's impact is the greatest product that its level allows.
+Segments of all dimensions are read by descending impact, in rounds, into one array of
+scores. What is left unread of a vector adds at most the product of the lengths of the
+unread parts of query and vector (Cauchy-Schwarz), which each posting read shortens.
+
+After a round the most promising vectors are scored exactly; the k-th best of them, or of
+an earlier block, is a line that a member must reach. Reading stops once the bounds prove
+that at most a share FEW of the vectors can reach it; those are scored again exactly. If
+the proof never comes, everything is read: the result is exact either way.
 
 Queries and vectors meet in pairs of blocks of bounded size, each a packed row, so a
 task holds one block of each, and a query's partial results are k rows for a block.
@@ -25,70 +28,70 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEVELS = 64
+LEVELS = 256
 BLOCK = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 512
 #: Share of a query's greatest impact down to which each round reads.
-ROUNDS = (0.5, 0.25, 0.0)
+ROUNDS = (0.2, 0.1, 0.07, 0.06, 0.055, 0.05, 0.045, 0.04, 0.035, 0.03, 0.025, 0.0)
+FEW = 1 / 8
 
 
 class Index:
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
-        self.ids, self.x = ids, x
-        self.low, self.high = x.min(axis=0), x.max(axis=0)
-        self.width = np.maximum(1, -(-(self.high - self.low + 1) // levels))
-        level = (x - self.low) // self.width
-        self.order = np.argsort(level, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.level = np.sort(level, axis=0).T.astype(np.float64).copy()
-
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best, without the query's own id."""
+        if not x.shape[1]:
+            x = np.zeros((len(x), 1), np.int64)
+        self.ids, self.x, self.read = ids, x, 0
+        size = np.abs(x)
+        self.width = np.maximum(1, -(-(size.max(axis=0) + 1) // levels))
+        level = size // self.width
+        self.order = np.argsort(-level, axis=0, kind="stable").T.copy()
+        self.level = -np.sort(-level, axis=0).T
+        self.square = (x.astype(np.float64) ** 2).sum(axis=1)
+
+    def search(self, query_id: int, q: np.ndarray, k: int, line: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best, without the query's own id and without those
+        below line, and at least k of those that reach it, if there are so many."""
         n, dims = self.x.shape
+        q = np.pad(q, (0, dims - len(q)))
         others = self.ids != query_id
         k = min(k, int(others.sum()))
         if not k:
             return self.ids[:0], self.ids[:0]
-        step = np.abs(q) * self.width  # impact of one level
-        slack = float((np.abs(q) * (self.width - 1)).sum())
-        top = (self.high - self.low) // self.width  # levels above the lowest
-        best = (step * top).max()
-        up = q > 0
-        upto = np.where(up, n, 0).tolist()  # read so far, from the end of rising and the start of falling dimensions
-        score = np.zeros(n)
-        few = max(4 * k, n // 64)
+        size = np.abs(q)
+        top = (size * self.width * (self.level[:, 0] + 1)).max()
+        upto = np.zeros(dims, np.int64)  # postings of a dimension read so far
+        score, left, own = np.zeros(n), self.square.copy(), np.full(n, float((q.astype(np.float64) ** 2).sum()))
         for share in ROUNDS:
-            least = share * best
-            ids, gains, rest = [], [], 0.0
-            for d in range(dims):
-                if not q[d]:
-                    continue
-                # Levels whose impact reaches ``least``; the impact counts up to ``top``.
-                first = int(-(-least // step[d]))
-                rest += float(step[d]) * min(max(0, first - 1), int(top[d]))
-                if up[d]:
-                    at = int(np.searchsorted(self.level[d], first)) if first else 0
-                    part = slice(at, upto[d])
-                    gain = self.level[d][part] * step[d]
-                    upto[d] = min(at, upto[d])
-                else:
-                    at = int(np.searchsorted(self.level[d], top[d] - first, "right")) if first else n
-                    part = slice(upto[d], at)
-                    gain = (top[d] - self.level[d][part]) * step[d]
-                    upto[d] = max(at, upto[d])
-                if part.stop > part.start:
-                    ids.append(self.order[d][part])
-                    gains.append(gain)
+            ids, values, factors = [], [], []
+            for d in np.flatnonzero(size):
+                # Levels whose impact, size * width * (level + 1), reaches the round's line.
+                least = int(np.ceil(share * top / (size[d] * self.width[d]))) - 1
+                at = n - int(np.searchsorted(self.level[d][::-1], least)) if least > 0 else n
+                if at > upto[d]:
+                    part = self.order[d][upto[d] : at]
+                    ids.append(part)
+                    values.append(self.x[part, d].astype(np.float64))
+                    factors.append(np.full(len(part), float(q[d])))
+                    upto[d] = at
             if ids:
-                score += np.bincount(np.concatenate(ids), np.concatenate(gains), minlength=n)
-            line = np.partition(score[others], -k)[-k]  # k scores reach this at least
-            possible = score + rest + slack >= line
-            if possible.sum() <= few:
+                i, v, f = np.concatenate(ids), np.concatenate(values), np.concatenate(factors)
+                self.read += len(i)
+                score += np.bincount(i, v * f, minlength=n)
+                left -= np.bincount(i, v * v, minlength=n)
+                own -= np.bincount(i, f * f, minlength=n)
+            near = np.argpartition(np.where(others, -score, np.inf), min(4 * k, n) - 1)[: 4 * k]
+            near = near[others[near]]
+            line = max(line, float(np.partition(self.x[near] @ q, -k)[-k]) if len(near) >= k else -np.inf)
+            bound = np.sqrt(np.maximum(0.0, left) * np.maximum(0.0, own))
+            possible = others & (score + bound + 1e-9 * (np.abs(score) + bound) + 1e-6 >= line)
+            if possible.sum() <= max(4 * k, FEW * n):
                 break
-        at = np.flatnonzero(possible & others)
+        at = np.flatnonzero(possible)
         exact = self.x[at] @ q
+        at, exact = at[exact >= line], exact[exact >= line]
         if len(at) > k:  # ties with the last one stay for the order by id
-            line = np.partition(exact, -k)[-k]
-            at, exact = at[exact >= line], exact[exact >= line]
+            last = np.partition(exact, -k)[-k]
+            at, exact = at[exact >= last], exact[exact >= last]
         order = np.lexsort((self.ids[at], -exact))[:k]
         return self.ids[at][order], exact[order]
 
@@ -104,7 +107,7 @@ def usable(vector: Column) -> Column:
 
 def _packed(rows: DataFrame, name: str, blocks: int, salt: int) -> DataFrame:
     def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
-        dims = max(map(len, b["v"]))
+        dims = max(map(len, b["v"]), default=0)
         x = np.zeros((len(b), dims), np.int64)
         for i, v in enumerate(b["v"]):
             x[i, : len(v)] = v
@@ -124,33 +127,38 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
     condition under which a row is one.
 
     Vectors that are null, or hold null or non-finite components, and rows without an
-    id take no part; a shorter vector counts as filled up with zeros. Ties go to the
-    smaller id. Rows with a query's own id are not its candidates; repeated rows are
-    candidates each for others, and one query. Fewer than k candidates are all
-    returned; an empty table gives an empty result. Scores are exact below 2 ** 53."""
+    id take no part; a shorter vector counts as filled up with zeros, so one without
+    components scores 0. Ties go to the smaller id. Rows with a query's own id are not its
+    candidates; repeated rows are candidates each for others, and one query; of different
+    vectors under one id, the least asks. Fewer than k candidates are all returned; an
+    empty table gives an empty result; other columns are not read. Scores are exact below
+    2 ** 53."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", scaled(F.col("raw"), scale).alias("v"), "q")
     rows = table(rows)
-    asked = rows.where("q").dropDuplicates(["id"])
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
     n, m = rows.count(), asked.count()
     vb, qb = max(1, -(-n // block)), max(1, -(-m // query_block))
     left = _packed(rows.drop("q"), "vb", vb, 1).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("qb", F.col("qb").cast("long"))
-    right = _packed(asked.drop("q"), "qb", qb, 2).select("qb", *[F.col(c).alias("q_" + c) for c in ("ids", "x", "dims", "wide")]).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))).withColumn("vb", F.col("vb").cast("long"))
+    right = _packed(asked, "qb", qb, 2).select("qb", *[F.col(c).alias("q_" + c) for c in ("ids", "x", "dims", "wide")]).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))).withColumn("vb", F.col("vb").cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, at, lines = None, None, {}
         for b in batches:
             for r in b.itertuples(index=False):
-                ids, x = _unpacked(r.ids, r.x, r.dims, r.wide)
                 qids, q = _unpacked(r.q_ids, r.q_x, r.q_dims, r.q_wide)
-                dims = max(x.shape[1], q.shape[1])
-                x, q = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (x, q))
-                index, out = Index(ids, x), []
-                for i, v in zip(qids, q, strict=True):
-                    got, score = index.search(i, v, k)
+                if at != r.vb:  # the units of a block stand together
+                    index, at = Index(*_unpacked(r.ids, r.x, r.dims, r.wide)), r.vb
+                dims, out = index.x.shape[1], []
+                for i, v in zip(qids.tolist(), q, strict=True):
+                    got, score = index.search(i, v[:dims], k, lines.get(i, -np.inf))
+                    if len(got) == k:
+                        lines[i] = max(lines.get(i, -np.inf), float(score[-1]))
                     out.append(pd.DataFrame({"query_id": np.full(len(got), i), "id": got, "score": score}))
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-    parts = left.join(right, ["vb", "qb"]).repartition("vb", "qb").mapInPandas(run, "query_id long, id long, score long")
+    units = left.join(right, ["vb", "qb"]).repartition("vb", "qb").sortWithinPartitions("vb", "qb")
+    parts = units.mapInPandas(run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

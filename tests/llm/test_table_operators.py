@@ -203,6 +203,31 @@ def test_topk(spark):
     assert topk.search(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_topk_without_components(spark):
+    df = spark.createDataFrame([(0, []), (1, []), (50, []), (51, None)], "vec_id long, embedding array<float>")
+    out = topk.search(df, F.col("vec_id") % 50 == 0).collect()
+    assert {tuple(r) for r in out} == {(0, 1, 1, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0)}
+    mixed = spark.createDataFrame([(0, []), (1, [1.0, -2.0]), (50, [-1.0]), (50, [2.0]), (2, [0.5, 0.5, 0.5])], "vec_id long, embedding array<float>")
+    out = topk.search(mixed, F.col("vec_id") % 50 == 0, k=2).collect()
+    assert {tuple(r) for r in out} == {(0, 1, 1, 0), (0, 2, 2, 0), (50, 1, 0, 0), (50, 2, 2, -256 * 128)}
+
+
+def test_topk_proof_stops_early():
+    """The proof comes before half of the postings are read, and the result is exact."""
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.normal(size=(8192, 64)) * 32).astype(np.int64)
+    ids = rng.permutation(8192) * 3
+    index = topk.Index(ids, x)
+    for k in range(20):
+        got, score = index.search(int(ids[k]), x[k], 5)
+        exact = x @ x[k]
+        order = [i for i in np.lexsort((ids, -exact)) if i != k][:5]
+        assert got.tolist() == ids[order].tolist() and score.tolist() == exact[order].tolist()
+    assert index.read < 0.5 * 20 * x.size
+    line = float(np.sort(x @ x[0])[-4])
+    assert set(index.search(int(ids[0]), x[0], 5, line)[1].tolist()) == {s for s in (x[1:] @ x[0]).tolist() if s >= line}
+
+
 def test_cached_ids_are_the_tokenizers():
     known = packing.Words(None)
     rng = random.Random(6)
