@@ -2,12 +2,13 @@
 
 A page is a sequence of words and tags. Each word and each tag scores by its class
 (where it stands, which tag it is); the scores are log ratios of how often the class
-occurs inside and outside the main text of a few labelled pages. One linear scan
-finds the contiguous stretch of greatest sum. The stretch is rounded to whole blocks
-and widened to the closest article or main element around it, and what stands in
-menus, adverts, forms and the like within it is left out.
+occurs inside and outside the main text of labelled pages. One linear scan finds the
+contiguous stretch of greatest sum. The stretch is rounded to whole blocks and widened to
+the closest article or main element around it. What stands within elements whose tag,
+role or names weigh against main text, by the same labelled pages, is left out of it.
 
-A page is handled within one task by a tokeniser that reads it once.
+A page is handled within one task by a tokeniser that reads it once; its time is linear in
+the page, however deep the markup.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import log
 
@@ -30,22 +31,16 @@ from .common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input menu nav noembed noframes noscript object script search select style svg template textarea title video".split())
 CONTAINERS = frozenset(["article", "main"])
 CLOSES_P = BLOCKS - frozenset(["body", "html", "head", "option"])
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-#: Words in a class or id that name what is not main text (fixed values).
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar sidebar side rail widget widgets aside related recommended recommendations share sharing social "
-    "comment comments reply replies discussion disqus respondform feedback search toolbar skip copyright legal disclaimer".split()
-)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a start tag closes when it is the innermost open block (a p goes before any block).
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 _NAME_WORD = re.compile(r"[a-z]+")
-#: Names that are an article's own within one.
-OWN = frozenset("header masthead banner toc".split())
 _NEGATED = re.compile(r"\b(?:has|no|with|without)[-_]\w+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote begins a value only right after "="; a value without its end quote ends at ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _GAPS = re.compile(r"\s+")
 
@@ -57,40 +52,87 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def left_out(tag: str, raw: str, inside: bool) -> bool:
-    """Whether an element is no main text. A header within an article is."""
-    if tag in SKIPPED or tag == "header" and not inside:
-        return True
+def features(tag: str, raw: str, inside: bool) -> list[list[str]]:
+    """What an element says of itself: its tag and role, and the words of each of its
+    names; ``inside``: it stands within an article or main element."""
+    at = "in:" if inside else ""
+    out = [[f"{at}<{tag}>"]]
     if "=" not in raw and "hidden" not in raw:
-        return False
+        return out
     a = attributes(raw)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
-        return True
     style = a.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    if tag in ("body", "html", "main"):
-        return False
-    named = f"{a.get('class', '')} {a.get('id', '')}".strip()
-    if not named:
-        return False
-    names = set(_NAME_WORD.findall(_NEGATED.sub(" ", _CAMEL.sub(" ", named).lower())))
-    return not names.isdisjoint(NAMES - OWN if inside else NAMES)
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+        out.append(["hidden"])
+    if role := a.get("role", "").lower():
+        out.append([f"role:{role}"])
+    if tag not in ("body", "html", "main"):
+        for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+            if words := _NAME_WORD.findall(_NEGATED.sub(" ", _CAMEL.sub(" ", name).lower())):
+                out.append([at + w for w in words])
+    return out
+
+
+class Container:
+    """An article or main element: the blocks from first to last, and the one around it."""
+
+    __slots__ = ("first", "last", "around")
+
+    def __init__(self, first: int, around: "Container | None"):
+        self.first, self.last, self.around = first, 1 << 62, around
 
 
 class Block:
-    __slots__ = ("parts", "out", "link", "words", "where")
+    __slots__ = ("parts", "out", "link", "words", "within", "tag")
+
+    def __init__(self, out: bool, within: Container | None, tag: str):
+        self.parts, self.out, self.link, self.words, self.within, self.tag = [], out, 0, 0, within, tag
+
 
-    def __init__(self, out: bool, where: tuple):
-        self.parts, self.out, self.link, self.words, self.where = [], out, 0, 0, where
+class Open:
+    """The open elements, innermost last: tag, left out, container within."""
 
+    def __init__(self):
+        self.stack: list[tuple[str, bool, Container | None]] = []
+        self.places: dict[str, list[int]] = {}  # of a tag's open elements
+        self.blocks: list[int] = []  # places of open blocks
 
-def tokens(page: str) -> tuple[list[tuple[str, int, int]], list[Block]]:
+    def out(self) -> bool:
+        return bool(self.stack) and self.stack[-1][1]
+
+    def within(self) -> Container | None:
+        return self.stack[-1][2] if self.stack else None
+
+    def block(self) -> str:
+        return self.stack[self.blocks[-1]][0] if self.blocks else ""
+
+    def push(self, tag: str, out: bool, within: Container | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, out, within))
+
+    def pop_to(self, place: int, made: int) -> None:
+        """Closes the element at a place and all within it; ``made``: blocks so far."""
+        while len(self.stack) > place:
+            tag, _, within = self.stack.pop()
+            self.places[tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            if tag in CONTAINERS and within is not self.within():
+                within.last = made - 1
+
+    def end(self, tag: str, made: int) -> None:
+        at = self.places.get(tag)
+        # An inline end tag closes nothing beyond its block.
+        if at and (tag in BLOCKS or not self.blocks or at[-1] > self.blocks[-1]):
+            self.pop_to(at[-1], made)
+
+
+def tokens(page: str, left_out: Callable[[str, str, bool], bool]) -> tuple[list[tuple[str, int, int]], list[Block]]:
     """(class, count, block) of each run of words and each tag, and the blocks."""
     seq: list[tuple[str, int, int]] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, element number
-    number, links, pending = 0, 0, True
+    open_, pending = Open(), True
     at, n = 0, len(page)
 
     def say(text: str) -> None:
@@ -100,20 +142,15 @@ def tokens(page: str) -> tuple[list[tuple[str, int, int]], list[Block]]:
             if blocks and not pending and text:
                 blocks[-1].parts.append(" ")
             return
-        out = bool(stack) and stack[-1][1]
+        out, links = open_.out(), bool(open_.places.get("a"))
         if pending or blocks[-1].out != out:
-            blocks.append(Block(out, tuple(x[2] for x in stack if x[0] in CONTAINERS)))
+            blocks.append(Block(out, open_.within(), open_.block()))
             pending = False
         blocks[-1].parts.append(text)
         blocks[-1].words += count
-        blocks[-1].link += count * bool(links)
+        blocks[-1].link += count * links
         seq.append(("word-out" if out else "word-link" if links else "word", count, len(blocks) - 1))
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[k:])
-        del stack[k:]
-
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -131,55 +168,61 @@ def tokens(page: str) -> tuple[list[tuple[str, int, int]], list[Block]]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            out = bool(stack) and stack[-1][1]
-            if tag in BLOCKS:
-                pending = True
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
-                    break  # an inline end tag closes nothing beyond its block
+            pending |= tag in BLOCKS
+            out = open_.out()
+            open_.end(tag, len(blocks))
             seq.append(("tag-out" if out else "/" + tag, 1, len(blocks) - 1))
         elif m[2]:
             tag, raw = m[2].lower(), m[3] or ""
-            if tag in CLOSES_P or tag == "li":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] == "li" == tag:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
+            if tag in CLOSES_P and open_.block() == "p":
+                open_.pop_to(open_.blocks[-1], len(blocks))
+            if open_.block() in CLOSES.get(tag, ()):
+                open_.pop_to(open_.blocks[-1], len(blocks))
+                if tag == "tr" and open_.block() == "tr":
+                    open_.pop_to(open_.blocks[-1], len(blocks))
             if tag in BLOCKS:
                 pending = True
             elif tag == "br" and blocks and not pending:
                 blocks[-1].parts.append(" ")
-            out = bool(stack) and stack[-1][1]
+            out, within = open_.out(), open_.within()
             seq.append(("tag-out" if out else tag, 1, len(blocks) - 1))
             if tag in RAW and not raw.endswith("/"):
-                end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-                if tag == "noscript" or not end:
-                    at = end.start() if end else n
-                else:
-                    at = end.start()
+                end = _raw_end(tag).search(page, at)
+                at = end.start() if end else n
                 continue
             if tag not in VOID:
-                number += 1
-                inside = any(x[0] in CONTAINERS for x in stack)
-                stack.append((tag, out and tag != "main" or left_out(tag, raw, inside), number))
-                links += tag == "a"
+                out = out and tag != "main" or left_out(tag, raw, within is not None)
+                open_.push(tag, out, Container(len(blocks), within) if tag in CONTAINERS else within)
+    open_.pop_to(0, len(blocks))
     return seq, blocks
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}[\\s/>]", re.I)
+
+
 OUT = 0.2
 
 # --- weights -----------------------------------------------------------------------
 
 _PROSE = "Long lines of plain words tell what happened and why it matters to those who read them today."
+#: The labelled table's material (fixed values): names and roles of what is not main text, words that go
+#: along with them, names of what is, and what an article's own parts are called within it.
+NAMES = (
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar sidebar side rail widget widgets aside related recommended recommendations share sharing social "
+    "comment comments reply replies discussion disqus respondform feedback search toolbar skip copyright legal disclaimer"
+).split()
+ALONG = "site page box block container wrapper wrap list inner outer section bar area button buttons link links item items row col column slot unit panel group module left right top bottom user reader form id js main global thread count".split()
+OWN = "header masthead banner toc legal copyright disclaimer".split()
+GOOD = "content article post entry story body text paragraph lead".split()
+ROLES = "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split()
+SKIPPED = "aside audio button canvas datalist dialog embed footer form head iframe input menu nav noembed noframes noscript object script search select style svg template textarea title video".split()
 
 
 def labelled_pages() -> list[tuple[str, str]]:
-    """A small labelled table: pages and their main texts, made by rule."""
+    """The labelled table: pages and their main texts, made by rule."""
     menus = ["<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>About us</a></li></ul></nav>", '<div class="menu"><a href="/">Start</a> <a href="/x">Shop</a></div>', "<header><h2>Daily site</h2><form><input name=q><button>Go</button></form></header>"]
     tails = ["<footer>All rights reserved. <a href=/t>Terms</a></footer>", '<div id="comments"><p>Nice piece!</p><p>I do not agree at all.</p></div><footer>Imprint</footer>', '<aside><h3>Related</h3><ul><li><a href=/1>One more</a></li><li><a href=/2>Another</a></li></ul></aside>']
     ads = ['<div class="ad">Buy two and pay for one.</div>', '<div class="cookie-notice">We use cookies. <button>Accept</button></div>', ""]
@@ -200,6 +243,56 @@ def labelled_pages() -> list[tuple[str, str]]:
     return out
 
 
+def labelled_elements() -> list[tuple[str, str, bool, bool]]:
+    """Tag, attributes, whether within an article, and whether it belongs to the main text."""
+    out = []
+    for inside in (False, True):
+        for tag in SKIPPED:
+            out += [(tag, "", inside, False)] * 4
+        for tag in sorted(BLOCKS - set(SKIPPED) - {"header"}):
+            out += [(tag, "", inside, True)] * 4
+        out += [("header", "", inside, inside)] * 4
+        for n in NAMES:
+            for along in ("", f"-{ALONG[len(n) % len(ALONG)]}"):
+                out += [("div", f'class="{n}{along}"', inside, inside and n in OWN)] * 4
+        for n in GOOD:
+            out += [("div", f'class="{n}"', inside, True)] * 4
+        for n in ALONG:
+            out += [("div", f'class="{n}"', inside, True), ("div", f'class="{n}"', inside, False)]
+        for r in ROLES:
+            out += [("div", f'role="{r}"', inside, False)] * 4
+        for hidden in ("hidden", 'aria-hidden="true"', 'style="display:none"'):
+            out += [("div", hidden, inside, False)] * 4
+    return out
+
+
+@cache
+def element_weights() -> dict[str, float]:
+    """Log ratio of each feature among elements inside and outside the main texts. An
+    element with attributes counts for them and not for its tag, and a name of several
+    words for its first."""
+    good, bad = Counter(), Counter()
+    for tag, raw, inside, main in labelled_elements():
+        for names in features(tag, raw, inside)[1 if raw else 0 :]:
+            (good if main else bad)[names[0]] += 1
+    return {f: log((good[f] + 0.5) / (bad[f] + 0.5)) for f in {*good, *bad}}
+
+
+#: A feature of this weight, or less, leaves its element out.
+AGAINST = -1.0
+#: A word that no labelled page has speaks for an element as much.
+UNKNOWN = 1.5
+
+
+def _told(words: list[str]) -> float:
+    return sum(element_weights().get(x, UNKNOWN) for x in words)
+
+
+def left_out(tag: str, raw: str, inside: bool) -> bool:
+    """Whether an element's tag, role or one of its names weighs against main text."""
+    return any(_told(f) <= AGAINST for f in features(tag, raw, inside))
+
+
 @cache
 def weights() -> dict[str, float]:
     """Log ratio of each class inside and outside of the main texts; words and tags
@@ -208,7 +301,7 @@ def weights() -> dict[str, float]:
     inside, outside = Counter(), Counter()
     for page, main in labelled_pages():
         lines = set(main.split("\n"))
-        seq, blocks = tokens(page)
+        seq, blocks = tokens(page, left_out)
         good = {i for i, b in enumerate(blocks) if _text(b) in lines}
         edge = (min(good), max(good)) if good else (1, 0)
         for cls, n, b in seq:
@@ -216,7 +309,7 @@ def weights() -> dict[str, float]:
     a, b = sum(inside.values()), sum(outside.values())
     ratio = {c: log((inside[c] + 0.5) / (a + 1)) - log((outside[c] + 0.5) / (b + 1)) for c in {*inside, *outside}}
     unit = max(ratio.get("word", 1.0), 0.5)
-    return {c: (r / unit if c.startswith("word") else min(0.0, r / unit) * 0.5 - 0.1) for c, r in ratio.items()} | {"word": 1.0, "word-out": max(-OUT, ratio["word-out"] / unit)}
+    return {c: (r / unit if c.startswith("word") else min(0.0, r / unit) * 0.5 - 0.1) for c, r in ratio.items()} | {"word-out": max(-OUT, ratio["word-out"] / unit)}
 
 
 def _text(b: Block) -> str:
@@ -237,7 +330,7 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str | None) -> str:
-    seq, blocks = tokens(page or "")
+    seq, blocks = tokens(page or "", left_out)
     w = weights()
     first, last = best_stretch([w.get(c, -0.3) * n for c, n, _ in seq])
     hit = [b for c, _, b in seq[first : last + 1] if c == "word"]
@@ -245,23 +338,23 @@ def main_text(page: str | None) -> str:
         return ""
     lo, hi = min(hit), max(hit)
     # The innermost article or main around all of the stretch; among siblings, the stretch stays.
-    around = None
-    for level in zip(*(blocks[b].where for b in range(lo, hi + 1) if not blocks[b].out), strict=False):
-        if len(set(level)) > 1:
-            break
-        around = level[0]
+    around = blocks[lo].within
+    while around is not None and not around.first <= lo <= hi <= around.last:
+        around = around.around
     if around is not None:
-        kept = [i for i, b in enumerate(blocks) if around in b.where]
-        lo, hi = kept[0], kept[-1]
-    found = (_text(b) for b in blocks[lo : hi + 1] if not b.out and not (around is None and b.words == b.link))
+        lo, hi = around.first, min(around.last, len(blocks) - 1)
+    else:  # a heading that is a link belongs to what follows it
+        while lo and blocks[lo - 1].tag in HEADINGS and not blocks[lo - 1].out and blocks[lo - 1].words:
+            lo -= 1
+    found = (_text(b) for b in blocks[lo : hi + 1] if not b.out and not (around is None and b.tag == "li" and b.words == b.link))
     return "\n".join(t for t in found if t)
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns, text and n_chars for every row.
 
-    A null or empty page, or one without a word of main text, gives an empty text;
-    repeated rows give a row each; an empty table an empty result; other columns are
+    A null or empty page, or one without a word of main text, gives an empty text; pages
+    of any length and depth are read whole; repeated rows give a row each; an empty table an empty result; other columns are
     not read."""
     small_batches(pages.sparkSession)
     rows = pages.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(html_col).alias("_html"))

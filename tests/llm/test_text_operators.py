@@ -1,6 +1,8 @@
 """Operators on single texts: brute-force versions, hard rows and empty tables."""
 
 import hashlib
+import html
+import os
 import random
 import re
 from collections import Counter
@@ -186,6 +188,62 @@ def test_main_text():
     assert html_main.main_text(None) == html_main.main_text("<nav>x</nav>") == ""
 
 
+#: Hand-marked pages: html, main text.
+MARKED = [
+    ('<article><p title=5" wide>one two three</p><p>four five</p></article>', "one two three\nfour five"),
+    ("<article><p data-x=don't>one two three</p><p>four five</p></article>", "one two three\nfour five"),
+    ('<article><p title="a > b" class=x>one two three</p><p title="open>four five</p></article><footer>no</footer>', "one two three\nfour five"),
+    ('<div><h1><a href=/x>A linked title</a></h1><p>Some words of the body text here.</p><p><a href=/y>A paragraph that is a link.</a></p><p>More words that end the body.</p></div>', "A linked title\nSome words of the body text here.\nA paragraph that is a link.\nMore words that end the body."),
+    ('<article><h2>Shares</h2><div class="share-price-table"><p>up five percent</p></div><p class="legal">All of this is law.</p><div class="share-buttons">Tweet this</div><p>The end of it.</p></article>', "Shares\nup five percent\nAll of this is law.\nThe end of it."),
+    ('<article><div class="ad-slot-7">Buy now</div><p>Body words.</p><section id="user-comments"><p>First!</p></section><div class="newsletterSignup">Join us</div></article>', "Body words."),
+    ('<nav>Home News</nav><main><header><h1>Title here</h1></header><p>Text &amp; more&nbsp;text &#233;.</p><aside>See also</aside></main><footer>Imprint</footer>', "Title here\nText & more text é."),
+    ("<body><div class='site-footer'>Footer words that are many and long enough to win</div><div class=post><p>Short body of a post, though it is the main text.</p><p>And it goes on for a while, as texts do.</p></div></body>", "Short body of a post, though it is the main text.\nAnd it goes on for a while, as texts do."),
+    ("<table><tr><td><p>cell one<td>cell two<tr><td>cell three</table>", "cell one\ncell two\ncell three"),
+    ("<article><ul><li>one<li>two <b>bold<li>three</ul><dl><dt>term<dd>meaning</dl></article>", "one\ntwo bold\nthree\nterm\nmeaning"),
+    ('<article><p>seen</p><p hidden>unseen</p><p style="display: none">unseen</p><div aria-hidden="true">x</div><p>end</p></article>', "seen\nend"),
+    ("<script>var a = '<p>no</p>';</script><style>p{}</style><article>plain &lt;b&gt; words</article><noscript>no</noscript>", "plain <b> words"),
+    ("<article><p>a < b and c > d</p><!-- <p>no</p> --><p>x<br>y</p></article>", "a < b and c > d\nx y"),
+]
+
+
+def test_marked_pages():
+    for page, want in MARKED:
+        assert html_main.main_text(page) == want, page
+    # Labelled pages are read back whole.
+    got = [html_main.main_text(p) == t for p, t in html_main.labelled_pages()]
+    assert sum(got) >= 0.9 * len(got)
+
+
+def test_deep_markup_is_linear():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        page = "<article>" + "<div><b>" * n + "word " + "</i></p>" * n + "<article><p>x" * n
+        began = time.perf_counter()
+        assert "x" in html_main.main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def plain_main(page):
+    """The main text of the tables' pages, by expressions: the article's blocks."""
+    body = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", page or "")
+    m = re.search(r"(?s)<article>(.*?)</article>", body)
+    blocks = re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", re.sub(r"<br>", " ", m[1])) if m else []
+    texts = [" ".join(html.unescape(re.sub(r"</?(?:b|a)\b[^>]*>", "", b)).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+def test_pages_match_plain_version(spark):
+    at = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(at):
+        return
+    pages = spark.read.parquet(at)
+    got = {(r.page_id, r.text) for r in html_main.extracted(pages).collect()}
+    assert got == {(r.page_id, plain_main(r.html)) for r in pages.collect()}
+
+
 def test_best_stretch_is_maximal():
     rng = random.Random(1)
     for _ in range(300):
