@@ -1,11 +1,13 @@
 """Exact top-k inner products over an impact-ordered index.
 
-Vectors become integers. A block of vectors is indexed by dimension: the size of each
-component is quantised to one of LEVELS levels, and the vectors of a level form a posting
-segment. For a query, a segment's impact is the greatest product that its level allows.
-Segments of all dimensions are read by descending impact, in rounds, into one array of
-scores. What is left unread of a vector adds at most the product of the lengths of the
-unread parts of query and vector (Cauchy-Schwarz), which each posting read shortens.
+Vectors become integers. A block of vectors is indexed by dimension: the components are
+quantised to LEVELS levels, and the vectors of a level form a posting segment.
+
+With any a > 0, q.x = (a |q|^2 + |x|^2 / a - sum over dimensions of (sqrt(a) q - x / sqrt(a))^2) / 2.
+So the sum without its last term bounds a score from above, and each posting read lowers its
+vector's bound by its own term. A segment's impact for a query is the least term that its
+level allows. Segments of all dimensions are read by descending impact, in rounds, into
+one array of bounds; a is the ratio of the block's mean length to the query's.
 
 After a round the most promising vectors are scored exactly; the k-th best of them, or of
 an earlier block, is a line that a member must reach. Reading stops once the bounds prove
@@ -31,8 +33,8 @@ from .common import table
 LEVELS = 256
 BLOCK = 8192
 QUERY_BLOCK = 512
-#: Share of a query's greatest impact down to which each round reads.
-ROUNDS = (0.2, 0.1, 0.07, 0.06, 0.055, 0.05, 0.045, 0.04, 0.035, 0.03, 0.025, 0.0)
+#: Share of the root of a query's greatest impact down to which each round reads.
+ROUNDS = (0.35, 0.27, 0.23, 0.2, 0.17, 0.14, 0.1, 0.05, 0.0)
 FEW = 1 / 8
 
 
@@ -41,12 +43,14 @@ class Index:
         if not x.shape[1]:
             x = np.zeros((len(x), 1), np.int64)
         self.ids, self.x, self.read = ids, x, 0
-        size = np.abs(x)
-        self.width = np.maximum(1, -(-(size.max(axis=0) + 1) // levels))
-        level = size // self.width
-        self.order = np.argsort(-level, axis=0, kind="stable").T.copy()
-        self.level = -np.sort(-level, axis=0).T
+        self.low, high = x.min(axis=0), x.max(axis=0)
+        self.width = np.maximum(1, -(-(high - self.low + 1) // levels))
+        level = (x - self.low) // self.width
+        self.order = np.argsort(level, axis=0, kind="stable").T.copy()
+        self.value = np.take_along_axis(x.T, self.order, axis=1).astype(np.float64)
+        self.starts = np.array([np.searchsorted(level[self.order[d], d], np.arange(levels + 1)) for d in range(x.shape[1])])
         self.square = (x.astype(np.float64) ** 2).sum(axis=1)
+        self.top = np.maximum(np.abs(self.low), np.abs(high))
 
     def search(self, query_id: int, q: np.ndarray, k: int, line: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best, without the query's own id and without those
@@ -57,33 +61,37 @@ class Index:
         k = min(k, int(others.sum()))
         if not k:
             return self.ids[:0], self.ids[:0]
-        size = np.abs(q)
-        top = (size * self.width * (self.level[:, 0] + 1)).max()
-        upto = np.zeros(dims, np.int64)  # postings of a dimension read so far
-        score, left, own = np.zeros(n), self.square.copy(), np.full(n, float((q.astype(np.float64) ** 2).sum()))
+        own = float((q.astype(np.float64) ** 2).sum())
+        a = float(np.sqrt(self.square.mean() / own)) if own and self.square.any() else 1.0
+        at_q = a * q.astype(np.float64)  # the terms are (at_q - x) ** 2 / a
+        far = (np.abs(at_q) + self.top).max()
+        bound = (a * own + self.square / a) / 2
+        levels = self.starts.shape[1] - 1
+        left, right = np.zeros(dims, np.int64), np.full(dims, n, np.int64)  # what is not read yet, by dimension
         for share in ROUNDS:
-            ids, values, factors = [], [], []
-            for d in np.flatnonzero(size):
-                # Levels whose impact, size * width * (level + 1), reaches the round's line.
-                least = int(np.ceil(share * top / (size[d] * self.width[d]))) - 1
-                at = n - int(np.searchsorted(self.level[d][::-1], least)) if least > 0 else n
-                if at > upto[d]:
-                    part = self.order[d][upto[d] : at]
-                    ids.append(part)
-                    values.append(self.x[part, d].astype(np.float64))
-                    factors.append(np.full(len(part), float(q[d])))
-                    upto[d] = at
+            # Levels that lie at least so far from the query, below and above.
+            below = np.clip(np.floor((at_q - share * far - self.low + 1) / self.width), 0, levels).astype(np.int64)
+            above = np.clip(np.ceil((at_q + share * far - self.low) / self.width), 0, levels).astype(np.int64)
+            ends = np.take_along_axis(self.starts, below[:, None], axis=1)[:, 0]
+            begins = np.take_along_axis(self.starts, above[:, None], axis=1)[:, 0]
+            ids, terms = [], []
+            for d in range(dims):
+                lo, hi = max(int(ends[d]), int(left[d])), min(int(begins[d]), int(right[d]))
+                if share == 0.0 or hi < lo:
+                    lo = hi = int(right[d])
+                for part in (slice(left[d], lo), slice(hi, right[d])):
+                    if part.stop > part.start:
+                        ids.append(self.order[d][part])
+                        terms.append((self.value[d][part] - at_q[d]) ** 2)
+                left[d], right[d] = lo, hi
             if ids:
-                i, v, f = np.concatenate(ids), np.concatenate(values), np.concatenate(factors)
+                i = np.concatenate(ids)
                 self.read += len(i)
-                score += np.bincount(i, v * f, minlength=n)
-                left -= np.bincount(i, v * v, minlength=n)
-                own -= np.bincount(i, f * f, minlength=n)
-            near = np.argpartition(np.where(others, -score, np.inf), min(4 * k, n) - 1)[: 4 * k]
+                bound -= np.bincount(i, np.concatenate(terms), minlength=n) / (2 * a)
+            near = np.argpartition(np.where(others, -bound, np.inf), min(4 * k, n) - 1)[: 4 * k]
             near = near[others[near]]
             line = max(line, float(np.partition(self.x[near] @ q, -k)[-k]) if len(near) >= k else -np.inf)
-            bound = np.sqrt(np.maximum(0.0, left) * np.maximum(0.0, own))
-            possible = others & (score + bound + 1e-9 * (np.abs(score) + bound) + 1e-6 >= line)
+            possible = others & (bound + 1e-9 * (np.abs(bound) + a * own + self.square / a) + 1e-6 >= line)
             if possible.sum() <= max(4 * k, FEW * n):
                 break
         at = np.flatnonzero(possible)
