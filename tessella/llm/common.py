@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -27,11 +28,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a
+    session on one machine gets a folder of its own; a cluster's is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+        found = sc.getCheckpointDir()
     return found
 
 
