@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: IPv4 blocks that are not public: (first address, prefix length) (fixed values).
-SPECIAL_V4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4)]
+SPECIAL_V4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("168.63.129.16", 32), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4)]
 
 
 def v4_number(ip: Column) -> Column:
@@ -24,6 +24,32 @@ def is_public_v4(ip: Column) -> Column:
     return F.coalesce(n.isNotNull() & ~special, F.lit(False))
 
 
+def v6_words(ip: Column) -> Column:
+    """The eight 16-bit words of an IPv6 address; null if it is none. One "::" stands for at
+    least one word of zeros; a dotted quad may stand for the last two."""
+    quad = F.regexp_extract(ip, r":([0-9.]+)\z", 1)
+    n = v4_number(quad)
+    plain = F.when(quad.contains("."), F.concat(F.regexp_extract(ip, r"\A(.*:)[0-9.]+\z", 1), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(0xFFFF)))).otherwise(ip)
+    halves = F.split(plain, "::")
+    words = lambda part: F.filter(F.split(part, ":"), lambda w: w != "")
+    left, right = words(F.element_at(halves, 1)), F.when(F.size(halves) == 2, words(F.element_at(halves, -1))).otherwise(F.array().cast("array<string>"))
+    short = F.size(halves) == 2
+    whole = F.concat(left, F.when(short, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))).otherwise(F.array().cast("array<string>")), right)
+    fine = plain.rlike(r"(?i)\A[0-9a-f:]+\z") & ~plain.rlike(r":::|\A:[^:]|[^:]:\z|[0-9a-fA-F]{5}") & (F.size(halves) <= 2) & (F.size(whole) == 8) & (~short | (F.size(left) + F.size(right) < 8))
+    return F.when(fine, F.transform(whole, lambda w: F.conv(w, 16, 10).cast("int")))
+
+
+def is_public_v6(ip: Column) -> Column:
+    """Global unicast without the special, documentation, mapped and tunnel ranges."""
+    first, second = (F.element_at(v6_words(ip), i) for i in (1, 2))
+    special = (first == 0x2002) | ((first == 0x2001) & ((second < 0x0200) | (second == 0x0DB8))) | ((first == 0x3FFF) & (second < 0x1000))
+    return F.coalesce(first.between(0x2000, 0x3FFF) & ~special, F.lit(False))
+
+
+def is_public(ip: Column) -> Column:
+    return is_public_v4(ip) | is_public_v6(ip)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"\A[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)", 1))
 

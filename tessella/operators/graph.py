@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import markdown
 
 ARROWS, PLAIN = ("triangle", "stealth", "arrow"), ("none", "oval", "diamond")
@@ -82,9 +81,13 @@ def diagram(vertices: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _checkpoint_dir(df: DataFrame) -> None:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-"))
+    shared.folder(df.sparkSession)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder, for what is read more than once."""
+    _checkpoint_dir(df)
+    return df.checkpoint()
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:

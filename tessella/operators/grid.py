@@ -64,28 +64,80 @@ def adjacent(boxes: DataFrame, by: list[str]) -> DataFrame:
 def component_of(boxes: DataFrame, by: list[str]) -> DataFrame:
     """boxes with root_r, root_c: the first unit (by section, row, column) of the component."""
     name = lambda r, c: F.struct(*by, F.col(r).alias("r"), F.col(c).alias("c"))
+    boxes = graph.settled(boxes)
     nodes = boxes.select(name("r1", "c1").alias("id"))
     edges = adjacent(boxes, by).select(name("ur", "uc").alias("a"), name("vr", "vc").alias("b"))
     roots = graph.components(nodes, edges)
-    return boxes.withColumn("id", name("r1", "c1")).join(roots, "id").select(*by, "r1", "r2", "c1", "c2", F.col("root.r").alias("root_r"), F.col("root.c").alias("root_c"))
+    return graph.settled(boxes.withColumn("id", name("r1", "c1")).join(roots, "id").select(*by, "r1", "r2", "c1", "c2", F.col("root.r").alias("root_r"), F.col("root.c").alias("root_c")))
 
 
-def accepted(members: DataFrame, segs: DataFrame, by: list[str]) -> DataFrame:
-    """Components that are tables: two units or more that cover their bounding box, the
-    box closed, and no vertical border standing out above or below it."""
-    key = [*by, "root_r", "root_c"]
+def _boxes(members: DataFrame, by: list[str]) -> DataFrame:
+    """Bounding box, units and covered cells of each component."""
     area = F.expr("(r2 - r1 + 1) * (c2 - c1 + 1)")
-    box = members.groupBy(*key).agg(F.count("*").alias("n"), F.sum(area).alias("covered"), F.min("r1").alias("r1"), F.max("r2").alias("r2"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
-    box = box.where("n > 1 AND covered = (r2 - r1 + 1) * (c2 - c1 + 1)").drop("covered")
-    box = box.join(closed(segs, box.select(*by, "r1", "r2", "c1", "c2"), by), [*by, "r1", "r2", "c1", "c2"])
+    return members.groupBy(*by, "root_r", "root_c").agg(F.count("*").alias("n"), F.sum(area).alias("covered"), F.min("r1").alias("r1"), F.max("r2").alias("r2"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
+
+
+def _component_cells(members: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of units with the unit, its last row and its component (fr, fc)."""
+    named = members.selectExpr(*by, "r1 AS ur", "c1 AS uc", "r2 AS ur2", "root_r AS fr", "root_c AS fc")
+    return occupied(members, by).join(named, [*by, "ur", "uc"])
+
+
+def _standing(box: DataFrame, members: DataFrame, segs: DataFrame, by: list[str]) -> DataFrame:
+    """Components with a vertical border right above or below their box that no unit of
+    another component accounts for."""
+    key = [*by, "root_r", "root_c"]
     beside = F.explode(F.array(F.expr("r1 - 1"), F.expr("r2 + 1")))
     outer = box.select(*key, F.expr("sequence(c1, c2 + 1) as cs"), beside.alias("row")).select(*key, "row", F.explode("cs").alias("col")).where("row >= 0")
-    foreign = occupied(members, by).join(members.selectExpr(*by, "r1 AS ur", "c1 AS uc", "root_r AS fr", "root_c AS fc"), [*by, "ur", "uc"]).select(*by, "row", "col", "fr", "fc")
-    reach = foreign.withColumn("col", F.explode(F.array("col", F.col("col") + 1)))
+    reach = _component_cells(members, by).select(*by, "row", "col", "fr", "fc").withColumn("col", F.explode(F.array("col", F.col("col") + 1)))
     out = outer.join(segs.where("kind = 'v'").drop("kind"), [*by, "row", "col"])
     explained = out.join(reach, [*by, "row", "col"]).where("fr <> root_r OR fc <> root_c").select(*key, "row", "col").distinct()
-    standing = out.join(explained, [*key, "row", "col"], "left_anti").select(*key).distinct()
-    return box.join(standing, key, "left_anti")
+    return out.join(explained, [*key, "row", "col"], "left_anti").select(*key).distinct()
+
+
+def accepted(members: DataFrame, segs: DataFrame, by: list[str]) -> DataFrame:
+    """Components that are tables: two units or more that cover their bounding box, the
+    box closed, and no vertical border standing out above or below it."""
+    box = _boxes(members, by).where("n > 1 AND covered = (r2 - r1 + 1) * (c2 - c1 + 1)").drop("covered")
+    box = box.join(closed(segs, box.select(*by, "r1", "r2", "c1", "c2"), by), [*by, "r1", "r2", "c1", "c2"])
+    return box.join(_standing(box, members, segs, by), [*by, "root_r", "root_c"], "left_anti")
+
+
+def open_top(members: DataFrame, segs: DataFrame, merges: DataFrame, cells: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Tables whose top row has gaps, and the cells of the gaps. The rows below the top must
+    be closed, filled by units and divided in both directions; a gap has no border of its own,
+    no merge and holds text or nothing; a gap at the right end needs a closed merge with a
+    caption in the top row. cells: by, row, col, text, plain (text or blank), own (any border)."""
+    key = [*by, "root_r", "root_c"]
+    box = _boxes(members, by).where("n > 1 AND covered < (r2 - r1 + 1) * (c2 - c1 + 1) AND r1 < r2 AND c1 < c2").drop("covered")
+    lower = closed(segs, box.selectExpr(*by, "r1 + 1 AS r1", "r2", "c1", "c2"), by).selectExpr(*by, "r1 - 1 AS r1", "r2", "c1", "c2")
+    box = box.join(lower.distinct(), [*by, "r1", "r2", "c1", "c2"])
+    held = _component_cells(members, by)
+    grid = box.withColumn("row", F.explode(F.sequence("r1", "r2"))).withColumn("col", F.explode(F.sequence("c1", "c2")))
+    grid = grid.join(held, [*by, "row", "col"], "left").withColumn("unit", F.when(F.col("ur").isNotNull(), F.struct("ur", "uc")))
+
+    below = grid.where("row > r1")
+    above = F.lag("unit").over(Window.partitionBy(*key, "col").orderBy("row"))
+    below = below.withColumn("_split", above.isNotNull() & (above != F.col("unit")))
+    rows = below.groupBy(*key, "row").agg(F.bool_and(F.col("unit").isNotNull()).alias("_full"), F.bool_or("_split").alias("_rows"), F.min_by("unit", "col").alias("_first"), F.max_by("unit", "col").alias("_last"))
+    divided = rows.groupBy(*key).agg(F.bool_and("_full").alias("full"), F.bool_or("_rows").alias("rows"), F.bool_or(F.col("_first") != F.col("_last")).alias("columns")).where("full AND rows AND columns").select(*key)
+
+    top = grid.where("row = r1").select(*key, "row", "col", "c2", F.col("unit").isNull().alias("gap"))
+    over = held.selectExpr(*by, "row + 1 AS row", "col", "fr AS of", "fc AS oc", "ur2 = row AS ends")
+    line = segs.where("kind = 'h'").drop("kind").withColumn("line", F.lit(True))
+    merged = ranges.cells_in_ranges(top.where("gap").select(*by, "row", "col"), merges.select(*by, "r1", "r2", "c1", "c2"), by).select(*by, "row", "col", F.lit(True).alias("merged")).distinct()
+    top = top.join(line, [*by, "row", "col"], "left").join(over, [*by, "row", "col"], "left").join(merged, [*by, "row", "col"], "left").join(cells.select(*by, "row", "col", "plain", "own"), [*by, "row", "col"], "left")
+    foreign = F.coalesce((F.col("of") != F.col("root_r")) | (F.col("oc") != F.col("root_c")), F.lit(False)) & F.coalesce("ends", F.lit(False))
+    fine = ~(F.coalesce("line", F.lit(False)) & ~foreign) & F.col("merged").isNull() & F.coalesce("plain", F.lit(True)) & ~F.coalesce("own", F.lit(False))
+    told = top.groupBy(*key).agg(F.bool_or("gap").alias("missing"), F.bool_or(~F.col("gap")).alias("covered"), F.bool_and(~F.col("gap") | fine).alias("fine"), F.bool_or(F.col("gap") & (F.col("col") == F.col("c2"))).alias("trailing")).where("missing AND covered AND fine")
+
+    wide = closed(segs, merges.where("r1 = r2 AND c1 < c2").select(*by, "r1", "r2", "c1", "c2"), by)
+    said = wide.join(cells.where(F.col("text").rlike(r"\S")).selectExpr(*by, "row AS r1", "col AS c1"), [*by, "r1", "c1"], "left_semi").selectExpr(*by, "r1", "c1 AS m1", "c2 AS m2")
+    captioned = box.join(said, [*by, "r1"]).where("m1 >= c1 AND m2 <= c2").select(*key).distinct().withColumn("caption", F.lit(True))
+    out = box.join(told, key).join(divided, key, "left_semi").join(captioned, key, "left").where("NOT trailing OR caption")
+    out = out.join(_standing(box, members, segs, by), key, "left_anti").select(*key, "n", "r1", "r2", "c1", "c2")
+    gaps = top.where("gap").join(out.select(*key), key, "left_semi").select(*by, "row", "col")
+    return out, gaps
 
 
 def bands(tables: DataFrame, by: list[str], last_col: int) -> DataFrame:

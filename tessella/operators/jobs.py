@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UUID = r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
-CONTAINER = r"\A[a-z0-9](?:-?[a-z0-9]){2,62}\z"
-ALIAS = r"\A[A-Za-z0-9_-]{1,64}\z"
+#: 3 to 63 lowercase letters, digits or single hyphens, with a letter or digit at both ends.
+CONTAINER = r"\A(?=.{3,63}\z)(?!.*--)[a-z0-9][a-z0-9-]*[a-z0-9]\z"
+ALIAS = r"\A[a-z][a-z0-9_]{0,31}\z"
+DOT_SEGMENT = r"(\A|[/\\])\.\.?([/\\]|\z)"
 TERMINAL = ("succeeded", "failed")
 #: Status and retry of the error codes (fixed values).
 ERRORS = {"INVALID_REQUEST": 400, "NOT_FOUND": 404, "JOB_ID_CONFLICT": 409, "NOT_READY": 409, "EXPIRED": 410, "INPUT_TOO_LARGE": 413, "UNSUPPORTED_TYPE": 415, "ENCRYPTED_DOCUMENT": 422, "BUSY": 429, "PROCESSING_FAILED": 500, "SUBMISSION_FAILED": 503}
@@ -31,11 +33,17 @@ def request_error(body: Column) -> Column:
         .when(((version == 1) & extra(1)) | ((version == 2) & extra(2)), "UNKNOWN_FIELD")
         .when(~F.coalesce(field("$.jobId", "string").rlike(UUID), F.lit(False)), "INVALID_JOB_ID")
         .when(~F.coalesce(field("$.input.container", "string").rlike(CONTAINER), F.lit(False)), "INVALID_CONTAINER")
-        .when(~F.coalesce(field("$.output.storage", "string").rlike(ALIAS), F.lit(False)), "INVALID_ALIAS")
-        .when(F.coalesce(field("$.input.path", "string").rlike(r"(\A|/)\.\.?(/|\z)|\\|\A/|//|[\x00-\x1f]"), F.lit(True)), "INVALID_PATH")
+        .when(~F.coalesce(F.coalesce(field("$.output.storage", "string"), F.lit("default")).rlike(ALIAS), F.lit(False)), "INVALID_ALIAS")
+        .when(~blob_path(field("$.input.path", "string"), 1024), "INVALID_PATH")
     )
 
 
+def blob_path(path: Column, longest: int) -> Column:
+    """Whether a path may name an input: not blank, without control characters and dot segments."""
+    fine = (F.length(path) <= longest) & path.rlike(r"\S") & ~path.rlike(r"\p{Cc}") & ~path.rlike(DOT_SEGMENT)
+    return F.coalesce(fine, F.lit(False))
+
+
 def canonical(metadata: Column) -> Column:
     """A map with its keys in order, for the comparison of requests."""
     return F.map_from_entries(F.array_sort(F.map_entries(metadata)))

@@ -82,3 +82,11 @@ def ascending(pages: DataFrame, by: list[str], seq: str, page: str, most: int) -
     """by and the first failed rule of a page batch: pages ascend, once each, up to a limit."""
     up = F.col(page) > F.coalesce(F.lag(page).over(Window.partitionBy(*by).orderBy(seq)), F.lit(0))
     return pages.withColumn("_up", up).groupBy(*by).agg(F.bool_and("_up").alias("_ok"), F.count("*").alias("_n")).select(*by, F.when(~F.col("_ok"), "PAGE_ORDER").when(F.col("_n") > most, "PAGE_LIMIT").alias("error"))
+
+
+def unwrapped(samples: DataFrame, by: list[str], order: str, angle: str) -> DataFrame:
+    """samples with unwrapped: the angle (degrees) plus the full turns that keep each step
+    within half a turn of the last; the turns are a running sum of the steps' own."""
+    w = Window.partitionBy(*by).orderBy(order)
+    turn = F.floor((F.coalesce(F.lag(angle).over(w), F.col(angle)) - F.col(angle)) / 360 + 0.5)
+    return samples.withColumn("_turn", turn).withColumn("unwrapped", F.col(angle) + 360 * F.sum("_turn").over(w)).drop("_turn")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, markdown, names, urls
-from ..operators import blocks, effects, graph, grid, jobs, ranges
+from ..operators import blocks, effects, graph, grid, jobs, ordered, ranges
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -146,7 +146,8 @@ UNITS = f"""{SEGS}, pts AS (SELECT sheet, row, col FROM segs UNION SELECT sheet,
   units AS (SELECT p.sheet, p.row, p.col FROM pts p JOIN segs a ON a.sheet = p.sheet AND a.kind = 'h' AND a.row = p.row AND a.col = p.col
   JOIN segs b ON b.sheet = p.sheet AND b.kind = 'h' AND b.row = p.row + 1 AND b.col = p.col JOIN segs c ON c.sheet = p.sheet AND c.kind = 'v' AND c.row = p.row AND c.col = p.col
   JOIN segs d ON d.sheet = p.sheet AND d.kind = 'v' AND d.row = p.row AND d.col = p.col + 1),
-  adj AS (SELECT a.sheet, a.row AS ur, a.col AS uc, b.row AS vr, b.col AS vc FROM units a JOIN units b ON a.sheet = b.sheet AND ((a.row = b.row AND a.col + 1 = b.col) OR (a.row + 1 = b.row AND a.col = b.col)))"""
+  adj AS (SELECT a.sheet, a.row AS ur, a.col AS uc, b.row AS vr, b.col AS vc FROM units a JOIN units b ON a.sheet = b.sheet AND a.row = b.row AND a.col + 1 = b.col
+    UNION ALL SELECT a.sheet, a.row, a.col, b.row, b.col FROM units a JOIN units b ON a.sheet = b.sheet AND a.row + 1 = b.row AND a.col = b.col)"""
 COMPONENTS = f"""{UNITS}, links AS (SELECT sheet, ur, uc, vr, vc FROM adj UNION ALL SELECT sheet, vr, vc, ur, uc FROM adj),
   walk(sheet, row, col, rr, rc) AS (SELECT sheet, row, col, row, col FROM units UNION SELECT b.sheet, b.vr, b.vc, w.rr, w.rc FROM walk w JOIN links b ON w.sheet = b.sheet AND w.row = b.ur AND w.col = b.uc),
   comp AS (SELECT sheet, row, col, min(rr * 1000 + rc) // 1000 AS root_r, min(rr * 1000 + rc) % 1000 AS root_c FROM walk GROUP BY sheet, row, col)"""
@@ -583,21 +584,39 @@ def animation_reasons(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select("vec_id", reason.alias("reason"))
 
 
-@query()
+@query(
+    """WITH a AS (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(list_transform(embedding, lambda v: ((CAST(v AS DOUBLE) * 720) % 360 + 360) % 360)) AS angle FROM embeddings),
+  s AS (SELECT *, lag(angle) OVER (PARTITION BY vec_id ORDER BY pos) AS was FROM a)
+  SELECT vec_id, CAST(pos AS INT) AS pos, round(angle + 360 * sum(floor((coalesce(was, angle) - angle) / 360 + 0.5)) OVER (PARTITION BY vec_id ORDER BY pos), 6) AS unwrapped FROM s"""
+)
 def rotation_unwrap(spark, sf_dir):
     """Angles without jumps of over half a turn: each sample takes the closest turn to the last."""
-    angles = F.transform("embedding", lambda v: F.pmod(v.cast("double") * 720, F.lit(360.0)))
-    step = F.aggregate(F.slice(angles, 2, 1000), F.array(F.get(angles, 0)), lambda acc, a: F.concat(acc, F.array(a + 360 * F.round((F.element_at(acc, -1) - a) / 360))))
-    return t(spark, sf_dir, "embeddings").select("vec_id", step.alias("unwrapped"))
+    a = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    a = a.select("vec_id", "pos", F.pmod(F.col("v").cast("double") * 720, F.lit(360.0)).alias("angle"))
+    return ordered.unwrapped(a, ["vec_id"], "pos", "angle").select("vec_id", "pos", F.round("unwrapped", 6).alias("unwrapped"))
+
+
+#: Names of containers and aliases, and whether they may be used.
+CONTAINERS = {"abc-def": True, "a-b": True, "a--b": False, "-ab": False, "ab": False, "abc-": False, "A-bc": False, "x" * 63: True, "x" * 64: False, "0-9": True}
+ALIASES = {"main": True, "a": True, "_a": False, "A": False, "a_1": True, "a-b": False, "a" * 32: True, "a" * 33: False}
+PATHS = {"a/b.xlsx": True, "../up": False, "a/./b": False, "a\\\\..\\\\b": False, "/lead": True, "a//b": True, "a..b/..c": True, " ": False}
+
+
+def _pick(names: dict[str, bool], n: str, spark: bool) -> tuple[str, str]:
+    """Expressions of the name and of its verdict by a number."""
+    cases = lambda xs: "CASE " + " ".join(f"WHEN {n} = {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    return cases(["'" + (k if not spark else k.replace("\\", "\\\\")) + "'" for k in names]), cases([str(v).lower() for v in names.values()])
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'INVALID_JSON' WHEN event_id % 7 = 0 THEN 'UNKNOWN_FIELD' WHEN event_id % 5 = 0 THEN 'INVALID_JOB_ID' WHEN event_id % 3 = 0 THEN 'INVALID_PATH' END AS error FROM events"""
+    f"""WITH e AS (SELECT event_id, {_pick(CONTAINERS, "event_id // 7 % 10", False)[1]} AS c, {_pick(ALIASES, "event_id // 3 % 8", False)[1]} AS a, {_pick(PATHS, "event_id // 5 % 8", False)[1]} AS p FROM events)
+  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'INVALID_JSON' WHEN event_id % 7 = 0 THEN 'UNKNOWN_FIELD' WHEN event_id % 5 = 0 THEN 'INVALID_JOB_ID' WHEN NOT c THEN 'INVALID_CONTAINER' WHEN NOT a THEN 'INVALID_ALIAS' WHEN NOT p THEN 'INVALID_PATH' END AS error FROM e"""
 )
 def job_contract(spark, sf_dir):
     """Strict requests: trailing text and duplicate keys are no JSON, unknown fields are errors."""
-    made = """concat('{"version":1,"jobId":"', if(event_id % 5 = 0 and event_id % 7 <> 0, 'x', '123e4567-e89b-12d3-a456-426614174000'), '","input":{"container":"abc-def","path":"', if(event_id % 3 = 0, '../up', 'a/b.xlsx'), '"},"output":{"storage":"main"}',
-      if(event_id % 7 = 0, ',"extra":1', ''), if(event_id % 22 = 0, ',"version":1', ''), '}', if(event_id % 22 = 11, ' {}', ''))"""
+    container, alias, path = (_pick(x, f"event_id div {d} % {len(x)}", True)[0] for x, d in ((CONTAINERS, 7), (ALIASES, 3), (PATHS, 5)))
+    made = f"""concat('{{"version":1,"jobId":"', if(event_id % 5 = 0 and event_id % 7 <> 0, 'x', '123e4567-e89b-12d3-a456-426614174000'), '","input":{{"container":"', {container}, '","path":"', {path}, '"}},"output":{{"storage":"', {alias}, '"}}',
+      if(event_id % 7 = 0, ',"extra":1', ''), if(event_id % 22 = 0, ',"version":1', ''), '}}', if(event_id % 22 = 11, ' {{}}', ''))"""
     return t(spark, sf_dir, "events").select("event_id", jobs.request_error(F.expr(made)).alias("error"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..sources import archive, html, markdown
 from ..streaming import jobs
 from .catalog import t
@@ -64,8 +64,7 @@ def archive_bundle(spark, sf_dir):
 @query
 def job_stream(spark, sf_dir):
     """The state fold as a stream: events as JSON files, keyed state, notifications."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
     kind = F.expr("CASE WHEN event_id % 6 < 2 THEN 'submitted' WHEN event_id % 6 < 4 THEN 'running' WHEN event_id % 6 = 4 THEN 'succeeded' ELSE 'failed' END")
     e = t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("request"), F.col("ts").cast("timestamp").alias("ts"))
     e.write.json(f"{at}/in")

@@ -2,7 +2,7 @@
 
 Input is at least once and in any order within a job. The first terminal event
 settles a job and later ones only redeliver; a request that differs from the first is
-a conflict; what is never settled expires by a timer.
+a conflict. What is never settled keeps its state; retention is jobs.expired, in batch.
 """
 
 from __future__ import annotations
