@@ -2,9 +2,10 @@
 
 The CRF tags words by their shapes and their neighbours' and is trained, on the
 driver and within seconds, from a small labelled table made by rule. A word ends at
-white space, at = : & ? , ; quotes and brackets, and where a script without spaces
-begins or ends; it is read whole, however long. Only a word with a digit or an @ may carry a tag; all others are outside by constraint, so a
-text's best path falls apart at them into short runs. The runs of a batch of texts
+white space, at = : / & ? , ; quotes and brackets, and where a script without spaces
+begins or ends; it is read whole, however long. Only a word with a digit or an @, or one
+that follows a name of secrets and = or :, may carry a tag; all others are outside by
+constraint, so a text's best path falls apart at them into short runs. The runs of a batch of texts
 are decoded together by Viterbi in numpy, which gives the same path as one pass
 over each whole text.
 
@@ -83,16 +84,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _MARKED = re.compile(r"[0-9@]")
 #: Scripts written without spaces, with their punctuation (fixed values).
 _WIDE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
-_GAP = r"\x20\x09-\x0D=:&?,;\"'`()\[\]{}<>"
+_GAP = r"\x20\x09-\x0D=:/&?,;\"'`()\[\]{}<>"
 #: A word; group 1 is one with a digit or an @.
 _TOKEN = re.compile(rf"([^{_GAP}{_WIDE}0-9@]*+[0-9@][^{_GAP}{_WIDE}]*+)|[{_WIDE}]++|[^{_GAP}{_WIDE}]++")
+_PARTS = re.compile(r"(?<![^_.-])[A-Za-z]{2,12}(?![^_.-])")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 QUOTES = "\"'`"
 #: Words whose identity counts (fixed values).
-CUES = frozenset("token key password passwd secret api = : tel phone fax call mobile ssn iban account konto id version page chapter year".split())
+CUES = frozenset("token key password passwd pwd secret api = : tel phone fax call mobile ssn iban account konto id version page chapter year".split())
+#: Where a name of secrets ends and its value begins.
+_NAMED = re.compile(r"(?i)(?<![a-z])(?:token|key|password|passwd|pwd|secret)[\"'`]?\s*[=:]\s*[\"'`]?(?=[^\s=:\"'`])")
 
 
-@cache
 def _runs(core: str) -> str:
     out = []
     for c in core:
@@ -109,7 +112,8 @@ def _near(word: str | None) -> str:
     if core in CUES:
         return core
     if core[-1:] in "=:":
-        return core[:-1] if core[:-1] in CUES else core[-1]
+        name = core[:-1].rstrip("\"'`").rsplit("_", 1)[-1].rsplit("-", 1)[-1]
+        return name if name in CUES else core[-1]
     return "number" if _MARKED.search(core) else "word"
 
 
@@ -130,8 +134,11 @@ def features(word: str, lead: str, trail: str, before: str | None, before2: str
         f"first={core[:1] if not core[:1].isalnum() else lead if lead in '([{<' else ''}",
         f"quoted={lead in QUOTES and lead != ''}",
         f"at={'@' in core}",
-        f"lead={lead if lead in ',:;' else ''}",
-        f"trail={trail if trail in ',:;' else ''}",
+        f"lead={lead if lead in ',:;/' else ''}",
+        f"trail={trail if trail in ',:;/' else ''}",
+        f"parts={min(3, len(_PARTS.findall(core)))}",
+        f"letters={digits == 0}",
+        f"cased={digits == 0 and core[1:] != core[1:].lower()}",
         "-1=" + _near(before),
         "-2=" + _near(before2),
         "+1=" + _near(after),
@@ -140,11 +147,12 @@ def features(word: str, lead: str, trail: str, before: str | None, before2: str
 
 def runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
     """Neighbouring marked words with their features."""
-    if not _MARKED.search(text):
+    named = {m.end() for m in _NAMED.finditer(text)} if "=" in text or ":" in text else ()
+    if not named and not _MARKED.search(text):
         return []
     words, marked = [], []
     for m in _TOKEN.finditer(text):
-        if m.lastindex:
+        if m.lastindex or m.start() in named:
             marked.append(len(words))
         words.append(m.span())
 
@@ -174,7 +182,7 @@ def runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
 _FILL = "thon rean der ver lichen que eau osco cion the and of with inge stre hena mente para dans".split()
 
 
-def labelled_table(rows: int = 360, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(rows: int = 720, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Texts with labelled spans, made by rule: sentences of filler words around
     one thing each, with plain numbers as counterexamples."""
     rng = np.random.default_rng(seed)
@@ -192,6 +200,9 @@ def labelled_table(rows: int = 360, seed: int = 5) -> list[tuple[str, list[tuple
     makers = [
         ("secret", lambda: pick(["token = ", "key = ", "api key: ", "secret: ", "password = ", "token: ", ""]), lambda: pick(['"{}"', "{}", "'{}'"]).format(text_of(pick([hexes, hexes, mixed]), pick([24, 32, 40, 40, 64])))),
         ("secret", lambda: "", lambda: "sk-" + text_of(mixed, 32)),
+        ("secret", lambda: pick(["password = ", "password: ", "passwd=", "pwd: ", "password="]), lambda: pick(["{}", '"{}"', "{}!"]).format(pick([text_of(mixed[10:], int(rng.integers(6, 16))), text_of(mixed[10:36], int(rng.integers(6, 14))), pick(_FILL) + "-" + pick(_FILL) + number(2), "-".join(pick(_FILL) for _ in range(int(rng.integers(2, 5))))]))),
+        ("secret", lambda: pick(["secret=", "token: ", "api_key="]), lambda: text_of(mixed[10:], int(rng.integers(18, 40)))),
+        ("secret", lambda: f"https://{pick(_FILL)}.example.com/{pick(_FILL)}/", lambda: text_of(pick([hexes, mixed]), 40)),
         ("local_phone", lambda: pick(["tel ", "phone: ", "call ", "", ""]), lambda: pick([f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"0{number(3)}/{number(7)}"])),
         ("national_id", lambda: pick(["ssn ", "", "id "]), lambda: f"{number(3)}-{number(2)}-{number(4)}"),
         ("account", lambda: pick(["iban ", "account ", ""]), lambda: pick(["DE", "FR", "ES"]) + number(2) + " " + " ".join(number(4) for _ in range(4)) + pick(["", " " + number(2)])),
@@ -204,6 +215,8 @@ def labelled_table(rows: int = 360, seed: int = 5) -> list[tuple[str, list[tuple
         lambda: str(rng.integers(1, 3000)), lambda: f"{number(1)}.{number(1)}", lambda: f"version {number(1)}", lambda: f"{rng.integers(1900, 2030)}", lambda: f"{number(2)}:{number(2)}",
         lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(2)}/{number(2)}/{number(4)}", lambda: f"${number(3)},{number(3)}", lambda: f"{number(2)}%", lambda: f"page {number(3)}", lambda: f"{number(1)}th", lambda: number(6),
         lambda: f"BY-SA {number(1)}.0", lambda: f"{number(3)} {number(3)}", lambda: f"x{number(2)}", lambda: f"covid-{number(2)}", lambda: f"{number(1)}-{number(1)}", lambda: f"@{pick(_FILL)}", lambda: f"{number(9)}", lambda: f"{number(2)},{number(3)},{number(3)}",
+        lambda: f"https://www.{pick(_FILL)}.org/{rng.integers(1990, 2030)}/{number(2)}/{pick(_FILL)}-{pick(_FILL)}-{number(5)}.html", lambda: f"http://{pick(_FILL)}{number(1)}.net/{pick(_FILL)}?{pick(_FILL)}={number(3)}&page={number(2)}", lambda: f"{pick(_FILL)}/{pick(_FILL)}_{number(2)}/v{number(1)}.{number(1)}",
+        lambda: f"key: {pick(_FILL)}", lambda: f"the secret: {pick(_FILL)} {number(1)}", lambda: f"Key: {pick(_FILL).title()}", lambda: f"token: {pick(_FILL)}", lambda: f"https://{pick(_FILL)}.com/{number(8)}", lambda: f"{pick(_FILL)}-{number(4)}-{pick(_FILL)}", lambda: "-".join(pick(_FILL) for _ in range(int(rng.integers(2, 8)))) + f"-{number(5)}.html",
     ]
     ends = ["", "", ".", ",", "###", "!!", "&&&", ";", " | "]
     out = []
@@ -373,8 +386,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, spans: an array of (kind, start, end) in code points, for every row.
 
-    A null or empty text has no spans; repeated rows are searched each; an empty table
-    gives an empty result; no other column is read."""
+    A null or empty text has no spans; a text or word of any length is read whole; repeated
+    rows are searched each; an empty table gives an empty result; no other column is read."""
     small_batches(docs.sparkSession)
     crf, kind = trained(), dict(docs.dtypes)[id_col]
 
@@ -398,7 +411,8 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with the spans masked; the length column, if there is one, follows."""
+    """docs with the spans masked; the length column, if there is one, follows. Null, empty
+    and very long texts, repeated rows and empty tables: as in detected(); all columns stay."""
     small_batches(docs.sparkSession)
     crf = trained()
     count = chars_col if chars_col in docs.columns else None
