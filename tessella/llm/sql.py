@@ -4,18 +4,20 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
+#: Characters of scripts that are written without spaces (fixed values).
+WIDE = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3000}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff00}-\x{ffef}\x{20000}-\x{3ffff}"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL["op3_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 m AS (SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaim, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits FROM d),
+  length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^{WIDE}]', '', 'g')) AS n_wide, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaim, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits FROM d),
 g AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS c FROM g) WHERE c > 1),
 r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY k),
 f AS (SELECT m.*, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN r USING (k)),
-b AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 14 * n_words THEN 8 ELSE 0 END
+b AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars - n_wide > 14 * n_words THEN 8 ELSE 0 END
   + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END + CASE WHEN 10 * n_upper > 4 * n_letters THEN 64 ELSE 0 END + CASE WHEN 10 * n_exclaim > 3 * n_words THEN 128 ELSE 0 END + CASE WHEN 10 * n_digits > 4 * word_chars THEN 256 ELSE 0 END AS bits FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits FROM b"""
 

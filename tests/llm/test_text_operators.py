@@ -62,6 +62,13 @@ def test_rules_random_texts():
         assert (m[0], m[1], m[2], m[4], m[5]) == (n_words, chars, symbols, dup, rep)
 
 
+def test_rules_of_other_scripts():
+    """Texts without spaces are not long words; letters of any script are letters."""
+    names = dict(zip(rules.MEASURES, rules.measure("漢字かな交じり文です。" * 50 + " " + "ÄÖÜ ЖЗИ abc ñ " * 10), strict=True))
+    assert names["word_chars"] - names["n_wide"] <= 14 * names["n_words"] and names["word_chars"] > 14 * names["n_words"]
+    assert names["n_upper"] == 60 and names["n_letters"] == 100 + 50 * 10
+
+
 def test_ablation(spark):
     docs = hard_rows(spark)
     led = rules.ledger(docs)
