@@ -1,22 +1,27 @@
 """Uniform shuffle into shards of exact sizes by a communication matrix.
 
-Rows lie in P hash partitions. How many rows partition p sends to each
-shard is drawn exactly: given the room left, a partition's row of the matrix is
-multivariate hypergeometric, so the whole is distributed as for a uniform
-permutation. A partition permutes its rows and deals them out by its row of the
-matrix, and each shard permutes what it got. Shards are cut into fine shards of
-known sizes, so that a shard of any size is permuted by many tasks and still
-numbers its slots without gaps.
-
-The driver holds the counts of P partitions and the P x F matrix, where P and F
-are at most MAX_PARTS (33 MB); it never sees rows.
+Rows lie in hash partitions. How many rows a partition sends to each shard is drawn
+exactly: given the room left, a partition's row of the matrix is multivariate
+hypergeometric, so the whole is distributed as for a uniform permutation. A partition
+permutes its rows and deals them out by its row of the matrix, and each shard permutes
+what it got. Shards are cut into fine shards of known sizes.
+
+The matrix comes in two levels. The driver draws that of P coarse partitions and F fine
+shards, both at most MAX_PARTS (33 MB), and never sees rows. A coarse partition that
+would hold more than PART_ROWS rows is cut into parts, and a task for each draws the
+matrix of its parts from its own row. A fine shard is permuted in buckets of random
+keys, numbered by the buckets' running counts. So tasks stay at about PART_ROWS rows
+whatever the size of the table.
 """
 
 from __future__ import annotations
 
 import math
 
+from typing import Any
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,39 +79,56 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, *, keep: list[str] | None = None, part_rows: int = PART_ROWS, seed: int = 29) -> DataFrame:
+def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, *, keep: list[str] | None = None, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS, seed: int = 29) -> DataFrame:
     """The kept columns (the id, unless given), size, text_crc32, shard and slot of
     every row. Counts of shards differ by one at most, slots have no gaps.
 
-    A null text has no bytes (size 1, crc 0) and a null id is an id like any other;
-    repeated rows take a slot each; an empty table gives an empty result; columns
-    not in ``keep`` are not read."""
+    A null text has no bytes (size 1, crc 0), a text of any length is read whole, and a
+    null id is an id like any other; repeated rows take a slot each; an empty table gives
+    an empty result; columns not in ``keep`` are not read. A kept column may not be called
+    size, text_crc32, shard or slot: that is an error."""
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
+    if clash := {"size", "text_crc32", "shard", "slot"} & set(keep):
+        raise ValueError(f"kept columns named like results: {sorted(clash)}")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     base = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     base = table(base)
     n = base.count()
-    parts = max(1, min(MAX_PARTS, -(-n // part_rows)))
-    per_shard = max(1, min(MAX_PARTS // shards, -(-parts // shards)))
-    base = base.withColumn("p", F.pmod(F.xxhash64(F.lit(seed), "id", "text_crc32", "size"), F.lit(parts)).cast("int"))
-
-    counts = dict(base.groupBy("p").count().collect())  # at most MAX_PARTS rows
+    parts = max(1, min(max_parts, -(-n // part_rows)))
+    within = max(1, -(-n // (part_rows * parts)))  # parts of a coarse partition
+    per_shard = max(1, min(max_parts // shards, -(-parts // shards)))
+    key = lambda k: F.xxhash64(F.lit(seed + k), "id", "text_crc32", "size")
+    base = base.withColumn("p", F.pmod(key(0), F.lit(parts)).cast("int")).withColumn("s", F.pmod(key(3), F.lit(within)).cast("int"))
+
+    sizes = base.groupBy("p", "s").count()
+    counts = dict(sizes.groupBy("p").agg(F.sum("count")).collect())  # at most max_parts rows
     rows = [counts.get(p, 0) for p in range(parts)]
     coarse = even(n, shards)
     rooms = [r for s in coarse for r in even(s, per_shard)]
     dealt = matrix(rows, rooms, np.random.default_rng(seed))
     fine_lo = [lo for s in coarse for lo in np.cumsum([0, *even(s, per_shard)])[:-1].tolist()]
-    ends = [(p, np.cumsum(d).reshape(shards, per_shard).tolist()) for p, d in enumerate(dealt)]
-    sent = spark.createDataFrame(ends, "p int, ends array<array<long>>")
+    drawn = spark.createDataFrame(list(enumerate(dealt)), "p int, dealt array<long>")
 
-    def order(k: int) -> list:
-        return [F.xxhash64(F.lit(seed + k), "id", "text_crc32", "size"), "id", "text_crc32", "size"]
+    def divide(group: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("s")
+        own = matrix(b["count"].tolist(), [int(x) for x in b["dealt"].iloc[0]], np.random.default_rng([seed, int(group[0])]))
+        ends = [np.cumsum(d).reshape(shards, per_shard).tolist() for d in own]
+        return pd.DataFrame({"p": b["p"], "s": b["s"], "ends": ends})
 
-    out = base.withColumn("_r", F.row_number().over(Window.partitionBy("p").orderBy(*order(1))) - 1).join(sent, "p")
+    sent = sizes.join(drawn, "p").groupBy("p").applyInPandas(divide, "p int, s int, ends array<array<long>>")
+    order = lambda k: [key(k), "id", "text_crc32", "size"]
+    out = base.withColumn("_r", F.row_number().over(Window.partitionBy("p", "s").orderBy(*order(1))) - 1).join(sent, ["p", "s"])
     out = out.withColumn("shard", F.size(F.filter("ends", lambda e: F.element_at(e, -1) <= F.col("_r"))))
     out = out.withColumn("_q", F.size(F.filter(F.element_at("ends", F.col("shard") + 1), lambda e: e <= F.col("_r"))))
-    out = out.withColumn("_fine", F.col("shard") * per_shard + F.col("_q")).drop("ends", "_r", "_q", "p")
+    out = out.withColumn("_fine", F.col("shard") * per_shard + F.col("_q")).drop("ends", "_r", "_q", "p", "s")
     lo = spark.createDataFrame([(i, x) for i, x in enumerate(fine_lo)], "_fine int, _lo long")
-    out = out.withColumn("_k", F.row_number().over(Window.partitionBy("_fine").orderBy(*order(2))) - 1).join(lo, "_fine")
-    return out.select("kept.*", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("_lo") + F.col("_k")).cast("long").alias("slot"))
+    buckets = max(1, -(-n // (part_rows * len(rooms))))
+    out = out.withColumn("_b", F.pmod(key(4), F.lit(buckets)).cast("int"))
+    if buckets > 1:
+        out = table(out)
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("_fine").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = out.groupBy("_fine", "_b").count().select("_fine", "_b", before.alias("_before")) if buckets > 1 else lo.select("_fine", F.lit(0).alias("_b"), F.lit(0).alias("_before"))
+    out = out.withColumn("_k", F.row_number().over(Window.partitionBy("_fine", "_b").orderBy(*order(2))) - 1)
+    out = out.join(starts, ["_fine", "_b"]).join(lo, "_fine")
+    return out.select("kept.*", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("_lo") + F.col("_before") + F.col("_k")).cast("long").alias("slot"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, near_dup, packing, shard, topk
@@ -112,6 +113,25 @@ def test_sharding(spark):
     assert Counter((r.size, r.text_crc32) for r in out) == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _ in rows)
     assert shard.place(docs.where("false")).count() == 0
     assert shard.place(docs.limit(3)).count() == 3
+    with pytest.raises(ValueError):
+        shard.place(docs.withColumn("slot", F.lit(1)), keep=["doc_id", "slot"])
+
+
+def test_sharding_in_two_levels(spark):
+    """More rows than the coarse matrix holds: the same law, every pair of shards and parts met."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', cast(id % 50 as int)) AS text")
+    out = shard.place(docs, part_rows=20, max_parts=16).collect()
+    assert sorted(r.doc_id for r in out) == list(range(4000))
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r)
+    assert sorted(by) == list(range(8)) and all(len(v) == 500 and sorted(r.slot for r in v) == list(range(500)) for v in by.values())
+    # Ids are spread over shards and slots: the mean of each shard's ids and of its first slots' is near the middle.
+    assert all(abs(sum(r.doc_id for r in v) / 500 - 2000) < 250 for v in by.values())
+    first = [r.doc_id for r in out if r.slot < 60]
+    assert abs(sum(first) / len(first) - 2000) < 250
+    again = shard.place(docs.repartition(3), part_rows=20, max_parts=16).collect()
+    assert set(map(tuple, again)) == set(map(tuple, out))
 
 
 def test_matrix_is_uniform():
