@@ -9,9 +9,10 @@ block perm(i), where perm is a keyed permutation of the source's block indices
 (swap-or-not), another one on each pass. Slots and blocks meet in an equi-join.
 
 Scale: rows that move are (document, offset) and (slot, block) pairs; texts move
-once, where they are asked for. The running offsets use (source, hash bucket) windows and a prefix over
-bucket totals, so a source with a third of all rows is spread over BUCKETS
-tasks. Only a table with a row for each source passes one task.
+once, where they are asked for. The running offsets use (source, hash bucket) windows
+and a prefix over bucket totals; buckets grow with the rows, so a source with a third of
+all rows is spread over at least BUCKETS tasks of bounded size. What passes one task is a
+row for each source, and of one source a row for each of its buckets or output shards.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import few, locate, n_words, opened, sealed, table
 
 BLOCK = 256  # words in a block
 SHARD_SLOTS = 4096  # blocks in an output shard
-BUCKETS = 1024  # hash buckets of one source
+BUCKETS = 1024  # hash buckets of one source, at least
+BUCKET_ROWS = 1 << 15  # documents for each bucket beyond
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -88,14 +90,19 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """Null texts have size 0, a null source is a source of its own (last), a text of any
     length is cut into blocks, repeated rows count each, an empty table gives an empty mix.
     Other columns
-    are not read unless they are in ``keep``. The same rows give the same mix,
+    are not read unless they are in ``keep``, which may not name a column size, source_size,
+    target or taken: that is an error. The same rows give the same mix,
     however they are partitioned."""
     keep = [id_col] if keep is None else keep
+    if clash := {"size", "source_size", "target", "taken"} & set(keep):
+        raise ValueError(f"kept columns named like results: {sorted(clash)}")
     src = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col)))
     plain, names = sealed(docs)
     rows = marked(plain, names[id_col]).select(F.struct(*[F.col(names[c]).alias(c) for c in keep]).alias("kept"), "id", "mark", *[F.col(names[c]).alias(c) for c in dict.fromkeys([text_col, source_col]) if c not in ("id", "mark")])
     sized = rows.select("kept", "id", "mark", src.alias("src"), F.col(source_col).alias("src_name"), n_words(F.col(text_col)).alias("size"))
-    sized = table(sized.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
+    sized = table(sized.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")))
+    buckets = max(BUCKETS, -(-sized.count() // BUCKET_ROWS))
+    sized = sized.withColumn("bucket", F.pmod("h", F.lit(buckets)))
 
     per_bucket = sized.groupBy("src", "src_name", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
