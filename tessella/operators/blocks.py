@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def numbered_assets(assets: DataFrame, by: list[str], seq: str = "seq") -> DataFrame:
     """assets: by, seq, category, source_kind, sha256. The first asset of each content,
     numbered by category in order of first sight, and its path."""
     key = [*by, "source_kind", "sha256"]
     first = assets.groupBy(*key).agg(F.min(F.struct(seq, "category")).alias("m"), F.count("*").alias("uses")).select(*key, "uses", f"m.{seq}", "m.category")
-    n = F.row_number().over(Window.partitionBy(*by, "category").orderBy(seq))
-    return first.withColumn("number", n).withColumn("path", F.format_string("images/%s-%04d.bin", "category", "number"))
+    numbered = ranges.running(first, list(dict.fromkeys([*by, "category"])), seq, {"number": F.lit(1)})
+    return numbered.withColumn("path", F.format_string("images/%s-%04d.bin", "category", "number"))
 
 
 def running_limit(rows: DataFrame, by: list[str], seq: str, size: Column, most: int) -> DataFrame:
     """Adds total (running) and over: whether the limit is passed; 0 means none."""
-    w = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(size).over(w)
-    return rows.withColumn("total", total).withColumn("over", (total > most) if most else F.lit(False))
+    out = ranges.running(rows, by, seq, {"total": size})
+    return out.withColumn("over", (F.col("total") > most) if most else F.lit(False))
 
 
 def capped_diagnostics(notes: DataFrame, by: list[str], key: list[str], seq: str, cap: int) -> DataFrame:
     """by, kept, omitted. A note is kept the first time its key is seen; once ``cap``
     are kept, all that follow count as omitted, repeats included."""
     first = F.row_number().over(Window.partitionBy(*by, *key).orderBy(seq)) == 1
-    w = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    marked = notes.withColumn("_first", first.cast("int")).withColumn("_n", F.sum("_first").over(w))
+    marked = ranges.running(notes.withColumn("_first", first.cast("int")), by, seq, {"_n": F.col("_first")})
     kept = F.sum(F.when((F.col("_first") == 1) & (F.col("_n") <= cap), 1).otherwise(0))
     # After the note that filled the cap, whatever comes is omitted.
     full = (F.col("_n") > cap) | ((F.col("_n") == cap) & (F.col("_first") == 0))

@@ -41,6 +41,7 @@ def numbered(paragraphs: DataFrame, by: list[str]) -> DataFrame:
         counters: dict = {}
         formats: dict = {}
         labels = []
+        limits = {k: g.iloc[0] for k, g in b.groupby(["num_id", "level"])["restart"]}
         for r in b.sort_values("ord").itertuples(index=False):
             have, known = counters.setdefault(r.num_id, {}), formats.setdefault(r.num_id, {})
             level = int(r.level)
@@ -48,8 +49,7 @@ def numbered(paragraphs: DataFrame, by: list[str]) -> DataFrame:
             start = 1 if pd.isna(r.start) else int(r.start)
             have[level] = have[level] + 1 if level in have else start
             for lower in range(level + 1, LEVELS):
-                limit = b.loc[(b["num_id"] == r.num_id) & (b["level"] == lower), "restart"]
-                rule = limit.iloc[0] if len(limit) else None
+                rule = limits.get((r.num_id, lower))
                 if rule is None or pd.isna(rule) or (rule >= 0 and level <= rule):
                     have.pop(lower, None)
             text = "•" if r.format == "bullet" else r.pattern or ""

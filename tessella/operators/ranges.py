@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +20,50 @@ def islands(spans: DataFrame, by: list[str], start: str = "start", end: str = "e
     return marked.groupBy(*by, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("_island")
 
 
+#: Width of the slices of an ordering number over which running sums and sweeps are cut.
+SLICE = 1 << 16
+
+
+def running(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column], width: int = SLICE) -> DataFrame:
+    """rows with running sums in order of a whole number, each row's own value included. The
+    sums run within slices of the number on top of the totals of the slices before, so a
+    group of any size is spread over many tasks; a row for each slice passes one. An order
+    that is no number has no slices: then a group passes one task."""
+    if dict(rows.dtypes)[order].startswith(("struct", "string", "array", "binary")):
+        whole = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(c).over(whole) for n, c in sums.items()})
+    own = rows.withColumns({f"_{n}": c for n, c in sums.items()}).withColumn("_slice", F.floor(F.col(order) / width))
+    totals = own.groupBy(*by, "_slice").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_slice").alias("_s"), *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}0") for n in sums])
+    same = F.col("_slice") == F.col("_s")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = own.withColumns({n: F.sum(f"_{n}").over(inside) for n in sums}).join(base, same)
+    return out.select(*[F.col(c) for c in rows.columns if c not in sums], *[(F.col(n) + F.col(f"_{n}0")).alias(n) for n in sums])
+
+
 def prefix_offsets(sizes: DataFrame, by: list[str], order: str, size: str) -> DataFrame:
     """Adds start and end: the running sum of sizes before and with each row."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(size).over(w)
-    return sizes.withColumn("start", total - F.col(size)).withColumn("end", total)
+    out = running(sizes, by, order, {"end": F.col(size)})
+    return out.select(*sizes.columns, (F.col("end") - F.col(size)).alias("start"), "end")
 
 
-def locate(points: DataFrame, tracks: DataFrame, by: list[str], at: str, carry: list[str]) -> DataFrame:
+def locate(points: DataFrame, tracks: DataFrame, by: list[str], at: str, carry: list[str], width: int = SLICE) -> DataFrame:
     """points with the carry columns of the last track that starts at or before them
-    (tracks: by, start). One sweep over both, sorted by position: no range join."""
+    (tracks: by, start). One sweep over both within slices of the position, and the last
+    track of the slices before: no range join, and no task holds a whole group."""
     left = points.select(*by, F.col(at).alias("_at"), F.struct(*points.columns).alias("_p"))
     right = tracks.select(*by, F.col("start").cast(dict(points.dtypes)[at]).alias("_at"), F.struct(*carry).alias("_t"))
-    w = Window.partitionBy(*by).orderBy("_at", F.col("_p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    swept = left.unionByName(right, allowMissingColumns=True).withColumn("_t", F.last("_t", ignorenulls=True).over(w))
-    return swept.where("_p is not null").select("_p.*", *[F.col(f"_t.{c}").alias(c) for c in carry])
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_slice", F.floor(F.col("_at") / width))
+    lasts = both.groupBy(*by, "_slice").agg(F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("_at"))).alias("_own"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select(*by, "_slice", F.last("_own", ignorenulls=True).over(earlier).alias("_before"))
+    w = Window.partitionBy(*by, "_slice").orderBy("_at", F.col("_p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("_t", F.last("_t", ignorenulls=True).over(w)).where("_p is not null").join(lasts, [*by, "_slice"])
+    found = F.coalesce("_t", "_before")
+    return swept.withColumn("_t", found).select("_p.*", *[F.col(f"_t.{c}").alias(c) for c in carry])
 
 
 def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -80,19 +113,34 @@ def overlapping(left: DataFrame, right: DataFrame, by: list[str], tile: int, tou
 
 def slices(bounds: DataFrame, by: list[str], capacity: float) -> DataFrame:
     """Greedy pages along an axis. bounds: by, edges (sorted array of boundaries from the
-    first to the last) and blocks (array of protected (start, end)). A page ends at the
-    last boundary within the capacity, before a protected block that fits a page, or at
-    the capacity where a cell is larger. A fold over the edges of one section."""
-    fold = f"""
-      aggregate(
-        sequence(1, cast(ceil((element_at(edges, -1) - edges[0]) / {capacity}) * 2 + size(edges) as int)),
-        struct(edges[0] as at, cast(array() as array<struct<start:double,end:double>>) as pages),
-        (acc, i) -> if(acc.at >= element_at(edges, -1), acc,
-          transform(array(least(acc.at + {capacity}, element_at(edges, -1))), hard ->
-            transform(array(if(hard >= element_at(edges, -1), hard,
-                coalesce(array_max(filter(edges, e -> e <= hard and e > acc.at)), hard))), natural ->
-              transform(array(if(hard >= element_at(edges, -1), natural,
-                  coalesce(get(filter(blocks, b -> b.start < natural and b.end > natural and b.end - b.start <= {capacity} and b.start > acc.at), 0).start, natural))), stop ->
-                struct(stop as at, concat(acc.pages, array(struct(acc.at as start, stop as end))) as pages))[0])[0])[0]),
-        acc -> acc.pages)"""
-    return bounds.withColumn("_pages", F.expr(fold)).select(*by, F.posexplode("_pages").alias("page", "p")).select(*by, "page", "p.start", "p.end")
+    first to the last) and blocks (array of protected (start, end), disjoint). A page ends
+    at the last boundary within the capacity, before a protected block that fits a page, or
+    at the capacity where a cell is larger. One pass over a section's edges, which the file
+    format bounds; each step finds its boundary by bisection."""
+    kinds = dict(bounds.dtypes)
+
+    def pages(edges: list[float], blocks: list[tuple[float, float]]) -> Iterator[tuple[float, float]]:
+        now, last = edges[0], edges[-1]
+        starts = [b[0] for b in blocks]
+        while now < last:
+            stop = min(now + capacity, last)
+            if stop < last:
+                k = bisect_right(edges, stop) - 1
+                if k >= 0 and edges[k] > now:
+                    stop = edges[k]
+                k = bisect_left(starts, stop) - 1
+                if k >= 0 and blocks[k][1] > stop and blocks[k][1] - blocks[k][0] <= capacity and blocks[k][0] > now:
+                    stop = blocks[k][0]
+            yield now, stop
+            now = stop
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, edges, blocks in zip(b[by].itertuples(index=False), b["edges"], b["blocks"], strict=True):
+                held = sorted((x["start"], x["end"]) for x in blocks)
+                out += [(*key, i, s, e) for i, (s, e) in enumerate(pages(list(edges), held))]
+            yield pd.DataFrame(out, columns=[*by, "page", "start", "end"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", page int, start double, end double"
+    return bounds.select(*by, "edges", "blocks").mapInPandas(run, schema)

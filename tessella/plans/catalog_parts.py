@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import drawing, styles, urls
-from ..operators import grid, pages, settings
+from ..operators import grid, numbering, pages, settings
 from .catalog import CELLS, cells, query, t
 
 PRESETS = [*drawing.TYPE_NAMES, "noSuch_Shape", ""]
@@ -329,3 +329,15 @@ def open_top_tables(spark, sf_dir):
     rest = o.where("value <> ''").join(gaps, ["sheet", "row", "col"], "left_anti")
     out = found.selectExpr("sheet", "r1 AS row", "c1 AS col", "r2", "c2", "'table' AS kind")
     return out.unionByName(gaps.selectExpr("sheet", "row", "col", "cast(null as int) AS r2", "cast(null as int) AS c2", "'open' AS kind")).unionByName(rest.selectExpr("sheet", "row", "col", "cast(null as int) AS r2", "cast(null as int) AS c2", "'candidate' AS kind"))
+
+
+@query(
+    """WITH s AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM conversations)
+  SELECT conv_id, turn, CASE WHEN role = 'user' THEN CAST(g AS VARCHAR) || '.' ELSE CAST(greatest(g, 1) AS VARCHAR) || '.' || lower(chr(CAST(65 + (row_number() OVER (PARTITION BY conv_id, g, role = 'user' ORDER BY turn) - 1) % 26 AS INT))) END AS label FROM s"""
+)
+def list_numbers(spark, sf_dir):
+    """Numbers of a list of two levels: decimals, and letters that restart after each of them."""
+    c = t(spark, sf_dir, "conversations").withColumn("level", F.when(F.col("role") == "user", 0).otherwise(1))
+    top = F.col("level") == 0
+    p = c.select("conv_id", F.col("turn").alias("ord"), F.lit(1).alias("num_id"), "level", F.when(top, "decimal").otherwise("lowerLetter").alias("format"), F.when(top, "%1.").otherwise("%1.%2").alias("pattern"), F.lit(1).alias("start"), F.lit(None).cast("int").alias("restart"))
+    return numbering.numbered(p, ["conv_id"]).select("conv_id", F.col("ord").alias("turn"), "label")

@@ -56,17 +56,19 @@ def root_document(table: DataFrame) -> DataFrame:
 
 def zipped(files: DataFrame, by: str, most_bytes: int = 300 << 20) -> DataFrame:
     """files: by, seq, name, content. One archive for each document: entries in order, all
-    with the same time, so equal files give equal bytes. Null beyond the limit."""
+    with the same time, so equal files give equal bytes. Null beyond the limit: only files
+    of documents within it are collected, each document's in one task."""
     kind = dict(files.dtypes)[by]
+    totals = files.groupBy(by).agg(F.sum(F.length("content")).alias("_bytes"))
+    fits = totals.where(F.coalesce("_bytes", F.lit(0)) <= most_bytes).select(F.col(by).alias("_fit"))
+    held = files.join(fits, F.col(by).eqNullSafe(F.col("_fit")), "left_semi")
 
     def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
-        out, total = io.BytesIO(), 0
+        out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for name, content in b.sort_values("seq")[["name", "content"]].itertuples(index=False):
-                total += len(content)
-                if total > most_bytes:
-                    return pd.DataFrame({"k": [key[0]], "archive": [None]})
                 z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
         return pd.DataFrame({"k": [key[0]], "archive": [out.getvalue()]})
 
-    return files.select(by, "seq", "name", "content").groupBy(by).applyInPandas(run, f"k {kind}, archive binary").withColumnRenamed("k", by)
+    done = held.select(by, "seq", "name", "content").groupBy(by).applyInPandas(run, f"k {kind}, archive binary")
+    return totals.join(done, F.col(by).eqNullSafe(F.col("k")), "left").select(by, "archive")
