@@ -50,13 +50,39 @@ def _at(ref: str) -> tuple[int, int]:
     return int(m[2]) - 1, col - 1
 
 
-def workbook(doc: str, content: bytes) -> tuple[list[tuple], list[tuple]]:
+#: Content type of a workbook without macros that is no template (fixed value).
+BOOK = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"
+SHEETS, READ_CELLS = 500, 5_000_000  # bounds of one workbook
+
+
+def _accepted(z: zipfile.ZipFile, part: str, kind: str) -> None:
+    """Refuses macros, and a main part of another type than a plain document's."""
+    names = z.namelist()
+    if any("vbaproject" in n.lower() for n in names):
+        raise ValueError("MACRO_NOT_SUPPORTED")
+    if "[Content_Types].xml" in names:
+        for t in ET.fromstring(z.read("[Content_Types].xml")):
+            found = t.get("ContentType", "")
+            if "macroenabled" in found.lower() or "vba" in found.lower():
+                raise ValueError("MACRO_NOT_SUPPORTED")
+            if t.get("PartName") == part and found != kind:
+                raise ValueError("UNSUPPORTED_FORMAT")
+
+
+def workbook(doc: str, content: bytes, most_sheets: int = SHEETS, most_cells: int = READ_CELLS) -> tuple[list[tuple], list[tuple]]:
     """Cells and merges of the visible sheets, in book order. Rows and columns that are
-    hidden are marked; struck runs are dropped from rich text."""
+    hidden are marked; struck runs are dropped from rich text. Macros, templates and books
+    beyond the bounds are refused before any cell is read."""
     cells: list[tuple] = []
     merges: list[tuple] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        _accepted(z, "/xl/workbook.xml", BOOK)
+        parts = [n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")]
+        if len(parts) > most_sheets:
+            raise ValueError("SHEET_LIMIT")
+        if sum(len(re.findall(rb"<(?:\w+:)?c[\s>/]", z.read(n))) for n in parts) > most_cells:
+            raise ValueError("READ_CELLS_LIMIT")
         book, rels = ET.fromstring(z.read("xl/workbook.xml")), _rels(z, "xl/workbook.xml")
         shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
@@ -205,6 +231,9 @@ def shapes(files: DataFrame) -> DataFrame:
     return _table(files, SHAPES, slides)
 
 
+REFUSALS = ("MACRO_NOT_SUPPORTED", "UNSUPPORTED_FORMAT", "SHEET_LIMIT", "READ_CELLS_LIMIT")
+
+
 def failures(files: DataFrame) -> DataFrame:
     """doc, code and message of the files that cannot be read by their extension's parser."""
     parsers = {"xlsx": workbook, "docx": word, "pptx": slides}
@@ -220,7 +249,8 @@ def failures(files: DataFrame) -> DataFrame:
                 try:
                     parse(d, c)
                 except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError, AttributeError, TypeError) as e:
-                    out.append((d, "MACRO_NOT_SUPPORTED" if "MACRO" in str(e) else "INVALID_DOCUMENT", type(e).__name__))
+                    known = str(e) if str(e) in REFUSALS else "INVALID_DOCUMENT"
+                    out.append((d, known, type(e).__name__))
             yield pd.DataFrame(out, columns=["doc", "code", "message"])
 
     return files.select("path", "content").mapInPandas(run, ERRORS)

@@ -33,3 +33,9 @@ def markdown_text(content: Column) -> Column:
     text = F.try_validate_utf8(content.cast("string"))
     text = F.regexp_replace(text, "\\A\ufeff", "")
     return F.when(~text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), text)
+
+
+def is_old_slides(content: Column) -> Column:
+    """An OLE2 file with the entry of a slide show."""
+    entry = "PowerPoint Document".encode("utf-16-le")
+    return (F.hex(F.substring(content, 1, 8)) == OLE2) & F.contains(content, F.lit(entry))

@@ -3,6 +3,8 @@
 import io
 import json
 import zipfile
+
+import pytest
 from datetime import datetime
 
 import pandas as pd
@@ -159,6 +161,22 @@ def docx() -> bytes:
     return pack({"word/document.xml": f'<w:document xmlns:w="{W}"><w:body>{p1}{p2}{tbl}</w:body></w:document>'})
 
 
+def test_books_that_are_refused(spark):
+    types = lambda k: f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Override PartName="/xl/workbook.xml" ContentType="{k}"/></Types>'
+    plain = {n: zipfile.ZipFile(io.BytesIO(book())).read(n).decode() for n in zipfile.ZipFile(io.BytesIO(book())).namelist()}
+    kinds = {"fine": ooxml.BOOK, "template": "application/vnd.openxmlformats-officedocument.spreadsheetml.template.main+xml", "macro": "application/vnd.ms-excel.sheet.macroEnabled.main+xml"}
+    files = [(f"{n}.xlsx", bytearray(pack({"[Content_Types].xml": types(k), **plain}))) for n, k in kinds.items()] + [("vba.xlsx", bytearray(pack({**plain, "xl/vbaProject.bin": "x"})))]
+    df = spark.createDataFrame(files, "path string, content binary")
+    assert {(r.doc, r.code) for r in ooxml.failures(df).collect()} == {("template.xlsx", "UNSUPPORTED_FORMAT"), ("macro.xlsx", "MACRO_NOT_SUPPORTED"), ("vba.xlsx", "MACRO_NOT_SUPPORTED")}
+    assert {r.doc for r in ooxml.cells(df).select("doc").distinct().collect()} == {"fine.xlsx"}
+    for bound, code in (({"most_sheets": 0}, "SHEET_LIMIT"), ({"most_cells": 4}, "READ_CELLS_LIMIT")):
+        with pytest.raises(ValueError, match=code):
+            ooxml.workbook("x", book(), **bound)
+    ole = bytes.fromhex(probe.OLE2) + b"x" * 100 + "PowerPoint Document".encode("utf-16-le") + b"y"
+    df = spark.createDataFrame([(1, bytearray(ole)), (2, bytearray(ole[:60])), (3, bytearray(b"PK" + ole))], "n int, content binary")
+    assert {r.n: r.ok for r in df.select("n", probe.is_old_slides(F.col("content")).alias("ok")).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_office_readers(spark):
     files = spark.createDataFrame([("a.xlsx", bytearray(book())), ("b.docx", bytearray(docx())), ("c.xlsx", bytearray(b"PK\x03\x04junk")), ("d.txt", bytearray(b"x"))], "path string, content binary")
     cells = {(r.row, r.col): r for r in ooxml.cells(files.where("path LIKE '%.xlsx'")).collect()}
