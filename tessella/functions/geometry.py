@@ -45,11 +45,23 @@ def slide_scale(width: Column, height: Column, most_pixels: Column, base: float
     return F.when(want <= most_pixels, F.lit(base)).otherwise(base * F.sqrt(most_pixels / want))
 
 
-def crop(left: Column, right: Column, size: Column) -> Column:
-    """Pixel bounds of a crop given in 1/100000, null if nothing is left."""
-    a, b = left / CROP, right / CROP
-    fine = (a >= 0) & (b >= 0) & (a + b < 1)
-    return F.when(fine, F.struct(F.floor(a * size).cast("int").alias("first"), F.ceil((1 - b) * size).cast("int").alias("end")))
+def crop(left: Column, right: Column, size: Column, whole: int = CROP) -> Column:
+    """Pixel bounds of a crop given in parts of ``whole`` (1/100000, or 1/65536 in old files):
+    the first pixel that is left and the end; null if nothing is left or a share is negative."""
+    a, b = left / whole, right / whole
+    first, end = F.ceil(a * size).cast("int"), F.floor((1 - b) * size).cast("int")
+    return F.when((a >= 0) & (b >= 0) & (a + b < 1) & (first < end), F.struct(first.alias("first"), end.alias("end")))
+
+
+def render_size(width: Column, height: Column, output_width: Column, unit: Column, most_pixels: int) -> Column:
+    """Pixels of a page and an error. A page is rendered at 96 dots for its 72 units, or to
+    a given width; sides are rounded half up and are one pixel at least."""
+    scale = F.when(output_width.isNull(), F.lit(96.0) / 72.0 * unit).otherwise(output_width / width)
+    side = lambda v: F.greatest(F.lit(1).cast("long"), F.floor(v + 0.5))
+    w, h = side(F.when(output_width.isNull(), width * scale).otherwise(output_width)), side(height * scale)
+    fine = (width > 0) & (height > 0) & (unit > 0)
+    error = F.when(~F.coalesce(fine, F.lit(False)), "INVALID_DOCUMENT").when(w * h > most_pixels, "PIXEL_LIMIT_EXCEEDED")
+    return F.struct(F.when(error.isNull(), w).alias("width"), F.when(error.isNull(), h).alias("height"), error.alias("error"))
 
 
 def aac_bitrate(channels: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import shared
@@ -126,6 +126,26 @@ def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Dat
     return seen
 
 
+def in_reference_order(refs: DataFrame, by: list[str]) -> DataFrame:
+    """refs: by, source (null for the body), target, pos. Each target once, numbered in the
+    order in which it is first referred to: those of the body, then those of each target in
+    turn. A round for each step from the body; cycles end."""
+    _checkpoint_dir(refs)
+    first = refs.where("source IS NULL").groupBy(*by, F.col("target").alias("node")).agg(F.min("pos").alias("pos"))
+    order = Window.partitionBy(*by).orderBy("pos", "node")
+    seen = first.select(*by, "node", F.lit(0).alias("step"), F.row_number().over(order).cast("long").alias("number")).checkpoint()
+    front, k = seen, 0
+    while front.limit(1).count():
+        k += 1
+        found = front.join(refs, by).where("source = node").groupBy(*by, "target").agg(F.min(F.struct("number", "pos")).alias("_at"))
+        found = found.withColumnRenamed("target", "node").join(seen.select(*by, "node"), [*by, "node"], "left_anti")
+        base = seen.groupBy(*by).agg(F.max("number").alias("_base"))
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_at", "node"))
+        front = found.join(base, by).select(*by, "node", F.lit(k).alias("step"), (F.col("_base") + rank).alias("number")).checkpoint()
+        seen = seen.unionByName(front)
+    return seen
+
+
 def inherited(styles: DataFrame, columns: list[str], key: str = "id", parent: str = "based_on", depth: int = 63) -> DataFrame:
     """styles with every column taken from the nearest ancestor that sets it; a chain is
     64 styles at most, as in the reference, and ends where it comes back to one of its own."""

@@ -122,7 +122,7 @@ def ocr_status_whole(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN a + b < 1 THEN CAST(floor(a * 640) AS INT) END AS first, CASE WHEN a + b < 1 THEN CAST(ceil((1 - b) * 640) AS INT) END AS "end", CASE WHEN p_size <= 25 THEN 2.0::DOUBLE ELSE 2 * sqrt(25.0::DOUBLE / p_size) END AS scale
+    """SELECT p_partkey, CASE WHEN a + b < 1 AND ceil(a * 640) < floor((1 - b) * 640) THEN CAST(ceil(a * 640) AS INT) END AS first, CASE WHEN a + b < 1 AND ceil(a * 640) < floor((1 - b) * 640) THEN CAST(floor((1 - b) * 640) AS INT) END AS "end", CASE WHEN p_size <= 25 THEN 2.0::DOUBLE ELSE 2 * sqrt(25.0::DOUBLE / p_size) END AS scale
   FROM (SELECT p_partkey, p_size, p_size * 1000 / 100000.0::DOUBLE AS a, p_size * 1500 / 100000.0::DOUBLE AS b FROM part)"""
 )
 def picture_crop(spark, sf_dir):

@@ -3,11 +3,10 @@
 import io
 import json
 import zipfile
-
-import pytest
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry, markdown, names, urls
