@@ -32,9 +32,9 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted({**catalog.SQL, **flows.SQL}))
 def test_matches_sql(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, DATA).toPandas(), duck.sql(catalog.SQL[name]).df()
+    got, want = {**catalog.QUERIES, **flows.QUERIES}[name](spark, DATA).toPandas(), duck.sql({**catalog.SQL, **flows.SQL}[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
