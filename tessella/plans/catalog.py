@@ -555,20 +555,6 @@ def media_probe_plan(spark, sf_dir):
     return p.select("p_partkey", plan.alias("plan"), geometry.aac_bitrate(first["channels"]).cast("int").alias("bitrate"))
 
 
-@query(
-    """SELECT vec_id, CASE WHEN len(embedding) < 2 THEN 'TOO_FEW_SAMPLES' WHEN list_max(embedding[1:8]) > 0.3 THEN 'OUT_OF_RANGE' WHEN list_min(embedding[1:8]) < -0.3 THEN 'NEGATIVE' WHEN embedding[1] > embedding[2] AND embedding[2] > embedding[3] THEN 'FADE_OUT' WHEN embedding[1] < embedding[2] AND embedding[2] < embedding[3] THEN 'FADE_IN' ELSE 'NOT_MONOTONE' END AS reason FROM embeddings"""
-)
-def animation_eligibility(spark, sf_dir):
-    """First reason why samples make no native effect, or the effect."""
-    e = F.slice("embedding", 1, 8)
-    x = [F.get("embedding", i) for i in range(3)]
-    reason = (
-        F.when(F.size("embedding") < 2, "TOO_FEW_SAMPLES").when(F.array_max(e) > 0.3, "OUT_OF_RANGE").when(F.array_min(e) < -0.3, "NEGATIVE")
-        .when((x[0] > x[1]) & (x[1] > x[2]), "FADE_OUT").when((x[0] < x[1]) & (x[1] < x[2]), "FADE_IN").otherwise("NOT_MONOTONE")
-    )
-    return t(spark, sf_dir, "embeddings").select("vec_id", reason.alias("reason"))
-
-
 @query(
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings)
   SELECT vec_id, CASE WHEN len(e) < 2 OR len(e) > 257 THEN 'invalid_keyframes' WHEN abs(e[len(e)] - 1) >= 1e-5 THEN 'non_final_base'

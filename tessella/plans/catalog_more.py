@@ -96,15 +96,6 @@ def document_orientation(spark, sf_dir):
     return w.withColumn("orientation", F.when(F.col("width") > 483, "landscape").otherwise("portrait"))
 
 
-@query(
-    """WITH o AS (SELECT md5(substr(text, 1, 40)) AS sha, CASE WHEN min(n_chars) < 100 THEN 'noText' WHEN min(n_chars) < 1000 THEN 'succeeded' ELSE 'failed' END AS st FROM documents WHERE lang <> 'fr' GROUP BY 1)
-  SELECT doc_id, CASE WHEN lang = 'es' THEN 'notRequested' WHEN n_chars > 20000 THEN 'skipped' ELSE coalesce(st, 'failed') END AS ocr FROM documents LEFT JOIN o ON sha = md5(substr(text, 1, 40))"""
-)
-def ocr_status(spark, sf_dir):
-    """Status of recognition by the opening of a text, as the SQL has it."""
-    return recognised(t(spark, sf_dir, "documents").withColumn("sha", F.md5(F.substring("text", 1, 40))))
-
-
 def recognised(d):
     """doc_id and ocr for rows with their content's sha: one result for equal contents, none where not asked for."""
     o = d.where("lang <> 'fr'").groupBy("sha").agg(F.min("n_chars").alias("n")).withColumn("st", F.when(F.col("n") < 100, "noText").when(F.col("n") < 1000, "succeeded").otherwise("failed"))
@@ -116,7 +107,7 @@ def recognised(d):
     """WITH o AS (SELECT sha256(text) AS sha, CASE WHEN min(n_chars) < 100 THEN 'noText' WHEN min(n_chars) < 1000 THEN 'succeeded' ELSE 'failed' END AS st FROM documents WHERE lang <> 'fr' GROUP BY 1)
   SELECT doc_id, CASE WHEN lang = 'es' THEN 'notRequested' WHEN n_chars > 20000 THEN 'skipped' ELSE coalesce(st, 'failed') END AS ocr FROM documents LEFT JOIN o ON sha = sha256(text)"""
 )
-def ocr_status_whole(spark, sf_dir):
+def ocr_status(spark, sf_dir):
     """Status of recognition by the whole content."""
     return recognised(t(spark, sf_dir, "documents").withColumn("sha", F.sha2("text", 256)))
 
@@ -146,11 +137,11 @@ def error_taxonomy(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS a, 'n' || CAST(c_nationkey AS VARCHAR) AS b FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation),
-  walk(n, k) AS (SELECT DISTINCT 'c' || CAST(c_custkey AS VARCHAR), 0 FROM customer WHERE c_acctbal < 0 UNION SELECT e.b, k + 1 FROM walk JOIN e ON e.a = walk.n) SELECT n, min(k) AS steps FROM walk GROUP BY n"""
+    """WITH RECURSIVE e AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS a, 'n' || CAST(c_nationkey AS VARCHAR) AS b FROM customer UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation),
+  walk(n, k) AS (SELECT DISTINCT 'c' || CAST(c_custkey AS VARCHAR), 0 FROM customer UNION SELECT e.b, k + 1 FROM walk JOIN e ON e.a = walk.n) SELECT n, min(k) AS steps FROM walk GROUP BY n"""
 )
 def ancestor_closure(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").where("c_acctbal < 0")
+    c = t(spark, sf_dir, "customer")
     e = c.selectExpr("concat('c', c_custkey) AS a", "concat('n', c_nationkey) AS b").union(t(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)"))
     return graph.closure(e, c.selectExpr("concat('c', c_custkey) AS n"))
 
@@ -174,21 +165,6 @@ def page_batches(spark, sf_dir):
     return ordered.ascending(t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 97).alias("page")), ["user_id"], "event_id", "page", 50)
 
 
-@query(
-    f"""WITH {EDGES}, a AS (SELECT section, source_id, min(id) AS vid, count(*) AS n FROM v GROUP BY 1, 2)
-  SELECT k.section, string_agg('- ' || CAST(k.id AS VARCHAR) || ': ' || a.vid || ' → ' || b.vid, chr(10) ORDER BY k.id) AS markdown FROM k JOIN a ON a.section = k.section AND a.source_id = k.start_id AND a.n = 1 JOIN a b ON b.section = k.section AND b.source_id = k.end_id AND b.n = 1
-  WHERE NOT (start_arrow = 'triangle') AND end_arrow IN ('stealth', 'arrow') GROUP BY k.section"""
-)
-def diagram_markdown(spark, sf_dir):
-    """The directed connections of each section as a list."""
-    from . import catalog
-
-    e = catalog.edge_resolve(spark, sf_dir).where("status = 'resolved' AND direction = 'start-to-end'")
-    line = F.concat(F.lit("- "), F.col("id").cast("string"), F.lit(": "), "start_vertex", F.lit(" → "), "end_vertex")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("md")))), lambda x: x["md"]), "\n")
-    return e.groupBy("section").agg(text.alias("markdown"))
-
-
 @query(
     f"""WITH {EDGES}, a AS (SELECT section, source_id, min(id) AS vid, count(*) AS n FROM v GROUP BY 1, 2),
   r AS (SELECT k.section, k.id, CASE WHEN a.n = 1 THEN a.vid END AS s, CASE WHEN b.n = 1 THEN b.vid END AS e, CASE WHEN start_arrow = 'triangle' THEN 1 ELSE 0 END + CASE WHEN end_arrow IN ('stealth', 'arrow') THEN 2 ELSE 0 END AS way,

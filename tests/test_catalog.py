@@ -97,7 +97,7 @@ def test_ocr_by_whole_content(spark, tmp_path):
     head = "x" * 40
     docs = [(1, head + "a", "en", 50), (2, head + "b", "en", 500), (3, head + "b", "fr", 500), (4, head + "c", "fr", 500)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.ocr for r in catalog.QUERIES["ocr_status_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.ocr for r in catalog.QUERIES["ocr_status"](spark, str(tmp_path)).collect()}
     assert got == {1: "noText", 2: "succeeded", 3: "succeeded", 4: "failed"}
 
 
