@@ -8,8 +8,8 @@ from ..functions import geometry
 from ..operators import drawings, graph, ranges, recognition
 from .catalog import query, t
 
-_TRACKS = """xs AS (SELECT p_partkey - 1 AS line, CAST(p_size AS DOUBLE) AS size, CAST(sum(p_size) OVER (ORDER BY p_partkey) - p_size AS DOUBLE) AS start FROM part WHERE p_partkey <= 101),
-  ys AS (SELECT c_custkey - 1 AS line, CAST(10 + c_custkey % 13 AS DOUBLE) AS size, CAST(sum(10 + c_custkey % 13) OVER (ORDER BY c_custkey) - (10 + c_custkey % 13) AS DOUBLE) AS start FROM customer WHERE c_custkey <= 101)"""
+_TRACKS = """xs AS (SELECT p_partkey - 1 AS line, CAST(p_size AS DOUBLE) AS size, CAST(sum(p_size) OVER (ORDER BY p_partkey) - p_size AS DOUBLE) AS start FROM part),
+  ys AS (SELECT c_custkey - 1 AS line, CAST(10 + c_custkey % 13 AS DOUBLE) AS size, CAST(sum(10 + c_custkey % 13) OVER (ORDER BY c_custkey) - (10 + c_custkey % 13) AS DOUBLE) AS start FROM customer)"""
 
 
 @query(
@@ -20,8 +20,8 @@ _TRACKS = """xs AS (SELECT p_partkey - 1 AS line, CAST(p_size AS DOUBLE) AS size
 )
 def drawing_anchors(spark, sf_dir):
     """Boxes of two-cell anchors, with offsets in EMU or in parts of a cell."""
-    xs = t(spark, sf_dir, "part").where("p_partkey <= 101").selectExpr("1 AS sheet", "p_partkey - 1 AS line", "cast(p_size as double) AS size")
-    ys = t(spark, sf_dir, "customer").where("c_custkey <= 101").selectExpr("1 AS sheet", "c_custkey - 1 AS line", "cast(10 + c_custkey % 13 as double) AS size")
+    xs = t(spark, sf_dir, "part").selectExpr("1 AS sheet", "p_partkey - 1 AS line", "cast(p_size as double) AS size")
+    ys = t(spark, sf_dir, "customer").selectExpr("1 AS sheet", "c_custkey - 1 AS line", "cast(10 + c_custkey % 13 as double) AS size")
     tracks = [ranges.prefix_offsets(x, ["sheet"], "line", "size") for x in (xs, ys)]
     old = "o_orderkey % 2 = 0"
     offset = lambda n: f"if({old}, {n}, {n} * 100)"
