@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
-CACHED = 400_000  # distinct words that a worker remembers
+CACHED = 1_000_000  # distinct words that a worker remembers, about 150 bytes each
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile("[!-~\u00c0-\u024f]+")
 #: The vocabulary's own splitting pattern (fixed value).
@@ -43,6 +45,7 @@ class Words(dict):
     to the vocabulary's model, all others through the whole tokenizer."""
 
     def __init__(self, path: str | None):
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,20 +64,27 @@ class Words(dict):
     def unit(self, u: str) -> bytes:
         if (out := self.units.get(u)) is None:
             mapped = u if u.isascii() else "".join(map(self.letters.__getitem__, u.encode()))
-            out = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            out = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             if len(self.units) >= CACHED:
                 self.units.clear()
             self.units[u] = out
         return out
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) <= 64 and _PLAIN.fullmatch(word) and "_" not in word and "<|" not in word:
+        # Most words are ASCII letters, and maybe a stop or comma, which is a unit of its own.
+        letters = word[:-1] if word[-1] in ".," else word
+        if len(word) <= 64 and letters.isascii() and letters.isalpha():
+            out = self.unit(letters.lower())
+            if len(letters) < len(word):
+                out += self.unit(word[-1])
+        elif len(word) <= 64 and _PLAIN.fullmatch(word) and "_" not in word and "<|" not in word:
             out = b"".join(map(self.unit, _UNITS.findall(word.lower())))
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = out
-            return out
-        return self.full(word)
+        else:
+            return self.full(word)
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = out
+        return out
 
     def full(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
