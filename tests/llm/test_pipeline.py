@@ -81,7 +81,18 @@ def test_stages(spark, made):
 
 
 def test_run(spark, made):
-    assert corpus_pipeline.run(spark, made[2]).count() > 0
+    """The whole is its stages one after the other, and its pieces are the plain tokenizer's
+    ids of what the mix holds."""
+    _, _, at = made
+    got = [tuple(r) for r in corpus_pipeline.run(spark, at).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()]
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.table(stage(spark, docs, at))
+    whole, want = packing.Words(None).whole, []
+    for r in docs.collect():
+        want.append((r.doc_id, len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1))
+    assert sum(r[2] for r in got) == sum(n for _, n in want)
+    assert sorted((r[0], r[4]) for r in got if r[1] == 0) == sorted(want)
 
 
 def test_empty(spark, made):
