@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import opened, sealed, small_batches, table, word_hashes
+from .common import opened, returned, sealed, small_batches, table, word_hashes
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -114,6 +114,7 @@ def fingerprinted(docs: DataFrame, text_col: str = "text", *, sign: bool = True)
                 if sign:
                     sigs.append(signature(s).tobytes())
             yield b.assign(_fp=fps, _n=np.array(ns, np.int64), **({"_sig": sigs} if sign else {}))
+        returned()
 
     return docs.mapInPandas(run, fields + ", _fp binary, _n long" + ", _sig binary" * sign)
 
@@ -162,6 +163,7 @@ def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(i):
                 out = [left.iloc[np.unique(i)], right.iloc[np.unique(j)]]
                 yield pd.concat(out).drop_duplicates(subset=["fp"]).drop(columns=["sig"])
+    returned()
 
 
 def jaccard_at_least(sets: list[np.ndarray], i: np.ndarray, others: list[np.ndarray], j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -213,6 +215,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero(texts_linked)
         names = np.unique(fps)
         yield pd.DataFrame({"fp": fps[at], "texts_linked": texts_linked[at], "docs_linked": docs_linked[at], "root": names[root[name[at]]]})
+    returned()
 
 
 def components(edges: DataFrame) -> DataFrame:
