@@ -175,8 +175,12 @@ def collapsed_columns(merges: DataFrame, rows: DataFrame, by: list[str]) -> Data
     return spans.join(rows, by).where("n = n_rows").select(*by, "c1", "c2")
 
 
-def used_range(cells: DataFrame, merges: DataFrame, by: list[str]) -> DataFrame:
-    """Bounding box of the cells, widened by the merges that intersect it."""
+def used_range(cells: DataFrame, merges: DataFrame, by: list[str], drawings: DataFrame | None = None) -> DataFrame:
+    """Bounding box of the cells, widened by the merges that intersect it, and then by all
+    drawings (by, r1, r2, c1, c2), which may lie anywhere or alone on a sheet."""
+    if drawings is not None:
+        both = used_range(cells, merges, by).unionByName(drawings.select(*by, "r1", "r2", "c1", "c2"))
+        return both.groupBy(*by).agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
     box = cells.groupBy(*by).agg(F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("col").alias("c1"), F.max("col").alias("c2"))
     m = merges.selectExpr(*by, "r1 AS m1", "r2 AS m2", "c1 AS n1", "c2 AS n2")
     wide = box.join(m, by, "left").withColumn("_hit", F.expr("m1 <= r2 AND m2 >= r1 AND n1 <= c2 AND n2 >= c1"))

@@ -63,3 +63,40 @@ def numbered(paragraphs: DataFrame, by: list[str]) -> DataFrame:
         return made[[*by, "ord", "label"]]
 
     return paragraphs.groupBy(*by).applyInPandas(run, out)
+
+
+#: How a slide's numbers are written: what counts, and what stands around it (fixed values).
+SCHEMES = {f"{base}{end}": (fmt, a, z) for base, fmt in (("arabic", "decimal"), ("alphaLc", "lowerLetter"), ("alphaUc", "upperLetter"), ("romanLc", "lowerRoman"), ("romanUc", "upperRoman")) for end, a, z in (("Period", "", "."), ("ParenR", "", ")"), ("ParenBoth", "(", ")"), ("Plain", "", ""))}
+
+
+def slide_numbered(paragraphs: DataFrame, by: list[str]) -> DataFrame:
+    """paragraphs: by, ord, level, scheme (null without number), start (null unless stated) and
+    bullet. Adds label. A number goes on while its level keeps the scheme and no higher level
+    intervenes; a bullet ends its level's count, plain text ends all. One shape's text is a group."""
+    kinds = dict(paragraphs.dtypes)
+    out = ", ".join(f"{c} {kinds[c]}" for c in [*by, "ord"]) + ", label string"
+
+    def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[int, int] = {}
+        known: dict[int, str] = {}
+        labels = []
+        for r in b.sort_values("ord").itertuples(index=False):
+            level, label = min(max(int(r.level), 0), 8), ""
+            if isinstance(r.scheme, str):
+                stated = not pd.isna(r.start)
+                first = int(r.start) if stated else 1
+                n = counts.get(level, first) if not stated and known.get(level) == r.scheme else first
+                counts = {k: v for k, v in counts.items() if k < level} | {level: n + 1}
+                known[level] = r.scheme
+                fmt, before, after = SCHEMES.get(r.scheme, ("decimal", "", "."))
+                label = before + shown(n, fmt) + after
+            elif r.bullet:
+                label = "-"
+                counts.pop(level, None)
+                known.pop(level, None)
+            else:
+                counts, known = {}, {}
+            labels.append((*key, r.ord, label))
+        return pd.DataFrame(labels, columns=[*by, "ord", "label"])
+
+    return paragraphs.groupBy(*by).applyInPandas(run, out)

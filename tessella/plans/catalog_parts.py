@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import drawing, styles, urls
 from ..operators import grid, numbering, pages, settings
-from .catalog import CELLS, cells, query, t
+from .catalog import CELLS, MERGES, cells, merges, query, t
 
 PRESETS = [*drawing.TYPE_NAMES, "noSuch_Shape", ""]
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in drawing.TYPE_NAMES.items())
@@ -341,3 +341,30 @@ def list_numbers(spark, sf_dir):
     top = F.col("level") == 0
     p = c.select("conv_id", F.col("turn").alias("ord"), F.lit(1).alias("num_id"), "level", F.when(top, "decimal").otherwise("lowerLetter").alias("format"), F.when(top, "%1.").otherwise("%1.%2").alias("pattern"), F.lit(1).alias("start"), F.lit(None).cast("int").alias("restart"))
     return numbering.numbered(p, ["conv_id"]).select("conv_id", F.col("ord").alias("turn"), "label")
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CAST((conv_id + turn) % 3 AS INT) AS level, CASE WHEN turn % 7 = 5 THEN NULL WHEN turn % 5 = 3 THEN NULL WHEN conv_id % 4 = 0 AND turn % 3 = 0 THEN 'alphaLcParenR' ELSE 'arabicPeriod' END AS scheme, CASE WHEN turn % 11 = 4 THEN 5 END AS start, turn % 7 = 5 AS bullet FROM conversations),
+  w(conv_id, turn, i, ns, ks, label) AS (SELECT DISTINCT conv_id, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([NULL, NULL, NULL] AS INT[]), CAST([NULL, NULL, NULL] AS VARCHAR[]), CAST(NULL AS VARCHAR) FROM p
+  UNION ALL SELECT conv_id, turn, i, CASE WHEN scheme IS NOT NULL THEN list_transform([0, 1, 2], lambda k: CASE WHEN k = level THEN n + 1 WHEN k < level THEN ns[k + 1] END) WHEN bullet THEN list_transform([0, 1, 2], lambda k: CASE WHEN k <> level THEN ns[k + 1] END) ELSE CAST([NULL, NULL, NULL] AS INT[]) END,
+    CASE WHEN scheme IS NOT NULL THEN list_transform([0, 1, 2], lambda k: CASE WHEN k = level THEN scheme ELSE ks[k + 1] END) WHEN bullet THEN list_transform([0, 1, 2], lambda k: CASE WHEN k <> level THEN ks[k + 1] END) ELSE CAST([NULL, NULL, NULL] AS VARCHAR[]) END,
+    CASE WHEN scheme = 'arabicPeriod' THEN CAST(n AS VARCHAR) || '.' WHEN scheme IS NOT NULL THEN chr(CAST(96 + n AS INT)) || ')' WHEN bullet THEN '-' ELSE '' END
+    FROM (SELECT p.*, w.ns, w.ks, CASE WHEN p.start IS NOT NULL OR w.ks[p.level + 1] IS DISTINCT FROM p.scheme THEN coalesce(p.start, 1) ELSE coalesce(w.ns[p.level + 1], 1) END AS n FROM w JOIN p ON p.conv_id = w.conv_id AND p.i = w.i + 1))
+  SELECT conv_id, turn, label FROM w WHERE turn IS NOT NULL"""
+)
+def slide_numbers(spark, sf_dir):
+    """Numbers of a slide's paragraphs, by level and scheme."""
+    p = t(spark, sf_dir, "conversations").selectExpr("conv_id", "turn AS ord", "cast((conv_id + turn) % 3 as int) AS level", "CASE WHEN turn % 7 = 5 THEN null WHEN turn % 5 = 3 THEN null WHEN conv_id % 4 = 0 AND turn % 3 = 0 THEN 'alphaLcParenR' ELSE 'arabicPeriod' END AS scheme", "CASE WHEN turn % 11 = 4 THEN 5 END AS start", "turn % 7 = 5 AS bullet")
+    return numbering.slide_numbered(p, ["conv_id"]).select("conv_id", F.col("ord").alias("turn"), "label")
+
+
+@query(
+    f"""WITH {CELLS}, {MERGES}, b AS (SELECT sheet, min(row) AS a1, max(row) AS a2, min(col) AS b1, max(col) AS b2 FROM cells GROUP BY sheet),
+  m AS (SELECT b.sheet, least(a1, coalesce(min(r1), a1)) AS r1, greatest(a2, coalesce(max(r2), a2)) AS r2, least(b1, coalesce(min(c1), b1)) AS c1, greatest(b2, coalesce(max(c2), b2)) AS c2 FROM b LEFT JOIN merges m ON m.sheet = b.sheet AND r1 <= a2 AND r2 >= a1 AND c1 <= b2 AND c2 >= b1 GROUP BY b.sheet, a1, a2, b1, b2),
+  d AS (SELECT CAST(s_suppkey % 20 AS INT) AS sheet, CAST(s_suppkey AS INT) AS r1, CAST(s_suppkey * 3 AS INT) AS r2, CAST(0 AS INT) AS c1, CAST(s_suppkey % 40 AS INT) AS c2 FROM supplier)
+  SELECT sheet, min(r1) AS r1, max(r2) AS r2, min(c1) AS c1, max(c2) AS c2 FROM (SELECT * FROM m UNION ALL SELECT * FROM d) GROUP BY sheet"""
+)
+def used_range_with_drawings(spark, sf_dir):
+    """What a sheet uses: cells, the merges that meet them, and drawings."""
+    d = t(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey % 20 as int) AS sheet", "cast(s_suppkey as int) AS r1", "cast(s_suppkey * 3 as int) AS r2", "0 AS c1", "cast(s_suppkey % 40 as int) AS c2")
+    return grid.used_range(cells(spark, sf_dir), merges(spark, sf_dir), ["sheet"], d)

@@ -54,6 +54,14 @@ def root_document(table: DataFrame) -> DataFrame:
     return g.select("doc", F.coalesce("named", F.when(F.col("n") == 1, F.col("only"))).alias("entry"))
 
 
+def html_entry(table: DataFrame) -> DataFrame:
+    """doc, entry and error: index.html or index.htm at the root, but not both."""
+    at = lambda n: F.coalesce(F.bool_or(F.col("name") == n), F.lit(False))
+    g = table.groupBy("doc").agg(at("index.html").alias("html"), at("index.htm").alias("htm"))
+    error = F.when(F.col("html") & F.col("htm"), "AMBIGUOUS_ENTRYPOINT").when(~F.col("html") & ~F.col("htm"), "HTML_ENTRYPOINT_NOT_FOUND")
+    return g.select("doc", F.when(error.isNull(), F.when(F.col("html"), "index.html").otherwise("index.htm")).alias("entry"), error.alias("error"))
+
+
 def zipped(files: DataFrame, by: str, most_bytes: int = 300 << 20) -> DataFrame:
     """files: by, seq, name, content. One archive for each document: entries in order, all
     with the same time, so equal files give equal bytes. Null beyond the limit: only files

@@ -160,6 +160,13 @@ def docx() -> bytes:
     return pack({"word/document.xml": f'<w:document xmlns:w="{W}"><w:body>{p1}{p2}{tbl}</w:body></w:document>'})
 
 
+def test_html_entries(spark):
+    rows = [("a", "index.html"), ("a", "x.css"), ("b", "index.htm"), ("c", "index.htm"), ("c", "index.html"), ("d", "sub/index.html"), ("e", "INDEX.html")]
+    got = {r.doc: (r.entry, r.error) for r in archive.html_entry(spark.createDataFrame(rows, "doc string, name string")).collect()}
+    missing = (None, "HTML_ENTRYPOINT_NOT_FOUND")
+    assert got == {"a": ("index.html", None), "b": ("index.htm", None), "c": (None, "AMBIGUOUS_ENTRYPOINT"), "d": missing, "e": missing}
+
+
 def test_books_that_are_refused(spark):
     types = lambda k: f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Override PartName="/xl/workbook.xml" ContentType="{k}"/></Types>'
     plain = {n: zipfile.ZipFile(io.BytesIO(book())).read(n).decode() for n in zipfile.ZipFile(io.BytesIO(book())).namelist()}
