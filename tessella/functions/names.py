@@ -111,3 +111,22 @@ def json_alt(value: Column) -> Column:
     for c in "[]`*_<>|!":
         out = F.replace(out, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
     return out
+
+
+#: Leading bytes of the image formats that may stand in a data: address (fixed values).
+IMAGE_BYTES = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "jpg": "FFD8FF", "gif": "47494638", "bmp": "424D"}
+
+
+def data_image(uri: Column, most_bytes: int) -> Column:
+    """kind, size and error of an image in a data: address: its kind is known, its text is
+    base64, its bytes begin as the kind does and are within the limit."""
+    kind = F.lower(F.regexp_extract(uri, r"(?i)\Adata:image/(png|jpeg|jpg|gif|bmp);base64,", 1))
+    text = F.regexp_replace(F.regexp_extract(uri, r"(?s)\A[^,]*,(.*)\z", 1), r"\s", "")
+    raw = F.try_to_binary(text, F.lit("base64"))
+    head = F.hex(F.substring(raw, 1, 8))
+    known = F.lit(False)
+    for name, first in IMAGE_BYTES.items():
+        known = known | ((kind == name) & head.startswith(first))
+    size = F.length(raw)
+    error = F.when(kind == "", "UNSUPPORTED_IMAGE").when(raw.isNull() | (size == 0), "INVALID_BASE64").when(size > most_bytes, "IMAGE_BYTES_LIMIT").when(~known, "CONTENT_MISMATCH")
+    return F.struct(F.when(error.isNull(), kind).alias("kind"), F.when(error.isNull(), size).alias("size"), error.alias("error"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import EMU_PIXEL, EMU_POINT
-from . import graph, pages
+from . import graph, pages, ranges
 
 FALLBACK = (240.0, 90.0)  # size in points of a drawing whose place is unknown
 TOLERANCE = 2.0  # pixels by which an element may leave its slide
@@ -109,3 +109,26 @@ def image_block(kind: Column, path: Column, section: Column, sha256: Column, siz
 def first_of_each(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """The first row of each group in an order."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("_k = 1").drop("_k")
+
+
+def pinned(drawings: DataFrame, tables: DataFrame, by: list[str]) -> DataFrame:
+    """drawings with after: the place (ord) of the last table that each overlaps, null for none.
+    Both: by, r1, r2, c1, c2; drawings: id; tables: ord."""
+    bins = lambda df: df.withColumn("_bin", F.explode(F.expr("sequence(r1 div 64, r2 div 64)")))
+    near = bins(tables.select(*by, "ord", "r1", "r2", F.col("c1").alias("t1"), F.col("c2").alias("t2"))).withColumnsRenamed({"r1": "s1", "r2": "s2"})
+    hit = bins(drawings).join(near, [*by, "_bin"]).where("s1 <= r2 AND r1 <= s2 AND t1 <= c2 AND c1 <= t2")
+    last = hit.groupBy(*by, "id").agg(F.max("ord").alias("after"))
+    return drawings.join(last, [*by, "id"], "left")
+
+
+def merged_scopes(scopes: DataFrame, guards: list[str]) -> DataFrame:
+    """Which drawings of a paragraph are rendered as one: those that overlap and agree in all
+    guards (page, paragraph, reference, layout). scopes: guards, id, x, y, w, h, behind, z.
+    guards, id, root (the least id) and paint: what is behind the text first, then by z."""
+    sealed = scopes.withColumn("_g", F.struct(*guards))
+    boxes = sealed.select("_g", "id", "x", "y", "w", "h")
+    links = ranges.overlapping(boxes, boxes, ["_g"], 64).where("id_l < id_r").select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
+    roots = graph.components(scopes.select("id"), links)
+    out = scopes.join(roots, "id")
+    order = Window.partitionBy("root").orderBy(F.col("behind").desc(), "z", "id")
+    return out.select(*guards, "id", "root", F.row_number().over(order).alias("paint"))

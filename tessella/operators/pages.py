@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 PREVIEW_CELLS = 10_000
 HEADER_LINES = 8
 
@@ -129,3 +130,26 @@ def differences(pixels: DataFrame, by: list[str], threshold: int, edge: int) ->
     whole = pixels.groupBy(*by).agg(F.count("*").alias("pixels"), count(off > threshold).alias("changed"), F.avg(off).alias("mean_error"), F.sqrt(F.avg(off * off)).alias("rms_error"), F.max(off).alias("max_error"))
     out = whole.join(edges, by, "left")
     return out.withColumn("edge_mismatch_ratio", F.when(F.col("_union") > 0, F.col("edge_mismatch") / F.col("_union")).otherwise(F.lit(0.0))).drop("_union")
+
+
+def planned(lines: DataFrame, merges: DataFrame, by: list[str], sizes: dict[str, float]) -> DataFrame:
+    """Pages of a range: by, number, x, y, width, height, left to right within each band. lines:
+    by, axis (x or y), line, size of what is visible; merges: by, axis, first, last line.
+    sizes: the most of each axis in points. A page ends at a line, before merged lines
+    that fit a page, or where a single line is larger than a page."""
+    offsets = ranges.prefix_offsets(lines, [*by, "axis"], "line", "size")
+    edges = offsets.groupBy(*by, "axis").agg(F.array_sort(F.collect_set("end")).alias("edges"))
+    place = offsets.select(*by, "axis", "line", "start", "end")
+    ends = merges.join(place.select(*by, "axis", F.col("line").alias("first"), "start"), [*by, "axis", "first"]).join(place.select(*by, "axis", F.col("line").alias("last"), "end"), [*by, "axis", "last"])
+    blocks = None
+    for axis, most in sizes.items():  # merges that cannot fit a page protect nothing
+        held = ranges.islands(ends.where((F.col("axis") == axis) & (F.col("end") - F.col("start") <= most)), [*by, "axis"])
+        blocks = held if blocks is None else blocks.unionByName(held)
+    blocks = blocks.groupBy(*by, "axis").agg(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))).alias("blocks"))
+    none = F.array().cast("array<struct<start:double,end:double>>")
+    bounds = edges.join(blocks, [*by, "axis"], "left").select(*by, "axis", F.expr("concat(array(0D), cast(edges as array<double>))").alias("edges"), F.coalesce("blocks", none).alias("blocks"))
+    parts = {axis: ranges.slices(bounds.where(F.col("axis") == axis).drop("axis"), by, most) for axis, most in sizes.items()}
+    across = parts["x"].selectExpr(*by, "page AS i", "start AS x", "`end` - start AS width")
+    down = parts["y"].selectExpr(*by, "page AS j", "start AS y", "`end` - start AS height")
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("j", "i"))
+    return down.join(across, by).withColumn("number", number).select(*by, "number", "x", "y", "width", "height")

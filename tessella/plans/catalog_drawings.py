@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry
-from ..operators import drawings, graph, ranges, recognition
-from .catalog import query, t
+from ..functions import geometry, names
+from ..operators import drawings, graph, pages, ranges, recognition
+from .catalog import CELLS, cells, query, t
 
 _TRACKS = """xs AS (SELECT p_partkey - 1 AS line, CAST(p_size AS DOUBLE) AS size, CAST(sum(p_size) OVER (ORDER BY p_partkey) - p_size AS DOUBLE) AS start FROM part),
   ys AS (SELECT c_custkey - 1 AS line, CAST(10 + c_custkey % 13 AS DOUBLE) AS size, CAST(sum(10 + c_custkey % 13) OVER (ORDER BY c_custkey) - (10 + c_custkey % 13) AS DOUBLE) AS start FROM customer)"""
@@ -169,3 +169,70 @@ def image_blocks(spark, sf_dir):
     said = F.expr("CASE doc_id % 4 WHEN 0 THEN null WHEN 1 THEN ' ' ELSE source END")
     block, md = drawings.image_block(F.lit("compositeImage"), path, F.lit("One"), F.sha2("text", 256), F.octet_length("text"), F.expr("lang <> 'es'"), said)
     return d.select("doc_id", block.alias("block"), md.alias("markdown"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, doc_id % 6 AS k FROM documents)
+  SELECT doc_id, CASE k WHEN 0 THEN 'png' WHEN 1 THEN CASE WHEN strlen(text) + 3 <= 4000 THEN 'jpeg' END END AS kind, CAST(CASE k WHEN 0 THEN CASE WHEN strlen(text) + 8 <= 4000 THEN strlen(text) + 8 END WHEN 1 THEN CASE WHEN strlen(text) + 3 <= 4000 THEN strlen(text) + 3 END END AS INT) AS size,
+  CASE k WHEN 0 THEN CASE WHEN strlen(text) + 8 > 4000 THEN 'IMAGE_BYTES_LIMIT' END WHEN 1 THEN CASE WHEN strlen(text) + 3 > 4000 THEN 'IMAGE_BYTES_LIMIT' END WHEN 2 THEN 'UNSUPPORTED_IMAGE' WHEN 3 THEN 'INVALID_BASE64' WHEN 4 THEN CASE WHEN strlen(text) > 4000 THEN 'IMAGE_BYTES_LIMIT' WHEN strlen(text) = 0 THEN 'INVALID_BASE64' ELSE 'CONTENT_MISMATCH' END ELSE 'UNSUPPORTED_IMAGE' END AS error
+  FROM (SELECT * REPLACE (CASE WHEN k = 0 AND strlen(text) + 8 > 4000 THEN 9 ELSE k END AS k), k AS k0 FROM d) WHERE k <> 9 UNION ALL SELECT doc_id, NULL, NULL, 'IMAGE_BYTES_LIMIT' FROM d WHERE k = 0 AND strlen(text) + 8 > 4000"""
+)
+def data_images(spark, sf_dir):
+    """Images in data: addresses: kind, bytes and what is wrong with them."""
+    text = F.col("text").cast("binary")
+    coded = lambda lead: F.base64(F.concat(F.unhex(F.lit(lead)), text))
+    uri = (
+        F.when(F.col("k") == 0, F.concat(F.lit("data:image/png;base64,"), coded("89504E470D0A1A0A"))).when(F.col("k") == 1, F.concat(F.lit("data:image/jpeg;base64,"), coded("FFD8FF")))
+        .when(F.col("k") == 2, F.concat(F.lit("data:image/svg+xml;base64,"), F.base64(text))).when(F.col("k") == 3, F.lit("data:image/gif;base64,*?*")).when(F.col("k") == 4, F.concat(F.lit("data:image/gif;base64,"), F.base64(text))).otherwise(F.lit("https://x.example/a.png"))
+    )
+    d = t(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 6)
+    return d.select("doc_id", names.data_image(uri, 4000).alias("i")).select("doc_id", "i.kind", F.col("i.size").cast("int").alias("size"), "i.error")
+
+
+@query(
+    f"""WITH {CELLS}, tb AS (SELECT DISTINCT sheet, row // 12 AS ord, row // 12 * 12 AS r1, row // 12 * 12 + 6 AS r2, 1 AS c1, 4 AS c2 FROM cells), d AS (SELECT CAST(p_partkey % 16 AS INT) AS sheet, p_partkey AS id, p_partkey * 3 % 900 AS r1, p_partkey * 3 % 900 + p_size AS r2, p_partkey % 7 AS c1, p_partkey % 7 + 1 AS c2 FROM part)
+  SELECT d.sheet, id, CAST(max(ord) AS INT) AS after FROM d LEFT JOIN tb ON tb.sheet = d.sheet AND tb.r1 <= d.r2 AND d.r1 <= tb.r2 AND tb.c1 <= d.c2 AND d.c1 <= tb.c2 GROUP BY d.sheet, id"""
+)
+def pinned_drawings(spark, sf_dir):
+    """The last table that each drawing overlaps: it is placed after it."""
+    tables = cells(spark, sf_dir).selectExpr("sheet", "cast(row div 12 as int) AS ord", "cast(row div 12 * 12 as int) AS r1", "cast(row div 12 * 12 + 6 as int) AS r2", "1 AS c1", "4 AS c2").distinct()
+    d = t(spark, sf_dir, "part").selectExpr("cast(p_partkey % 16 as int) AS sheet", "p_partkey AS id", "p_partkey * 3 % 900 AS r1", "p_partkey * 3 % 900 + p_size AS r2", "p_partkey % 7 AS c1", "p_partkey % 7 + 1 AS c2")
+    return drawings.pinned(d, tables, ["sheet"]).select("sheet", "id", "after")
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT event_id AS id, user_id % 40 AS page, event_id % 3 AS reference, event_id * 13 % 1900 AS x, event_id * 7 % 1300 AS y, user_id % 50 + 5 AS w, user_id % 30 + 5 AS h, event_id % 4 = 0 AS behind, event_id * 31 % 17 AS z FROM events),
+  e AS (SELECT a.id AS u, b.id AS v FROM s a JOIN s b ON a.page = b.page AND a.reference = b.reference AND a.id <> b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h),
+  walk(n, root) AS (SELECT id, id FROM s UNION SELECT e.v, w.root FROM walk w JOIN e ON e.u = w.n), c AS (SELECT n, min(root) AS root FROM walk GROUP BY n)
+  SELECT page, reference, id, root, CAST(row_number() OVER (PARTITION BY root ORDER BY behind DESC, z, id) AS INT) AS paint FROM s JOIN c ON c.n = s.id"""
+)
+def merged_scopes(spark, sf_dir):
+    """Drawings that overlap and agree in page and reference are painted as one."""
+    s = t(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id % 40 AS page", "event_id % 3 AS reference", "event_id * 13 % 1900 AS x", "event_id * 7 % 1300 AS y", "user_id % 50 + 5 AS w", "user_id % 30 + 5 AS h", "event_id % 4 = 0 AS behind", "event_id * 31 % 17 AS z")
+    return drawings.merged_scopes(s, ["page", "reference"])
+
+
+def _cut(name: str, axis: str, most: int) -> str:
+    """SQL of the pages along an axis of the tables lines and blocks."""
+    stop = lambda at: f"(SELECT CASE WHEN n.last <= {at} + {most} THEN n.last ELSE coalesce((SELECT max(b.s) FROM blocks b WHERE b.sheet = n.sheet AND b.axis = '{axis}' AND b.e - b.s <= {most} AND b.s > {at} AND b.s < g.nat AND b.e > g.nat), g.nat) END FROM (SELECT coalesce((SELECT max(l.e) FROM lines l WHERE l.sheet = n.sheet AND l.axis = '{axis}' AND l.e > {at} AND l.e <= {at} + {most}), {at} + {most}) AS nat) g)"
+    return f"""{name}e AS (SELECT sheet, max(e) AS last FROM lines WHERE axis = '{axis}' GROUP BY sheet), {name}(sheet, page, s, e) AS (SELECT n.sheet, 0, 0.0::DOUBLE, CAST({stop('0')} AS DOUBLE) FROM {name}e n
+  UNION ALL SELECT c.sheet, c.page + 1, c.e, CAST({stop('c.e')} AS DOUBLE) FROM {name} c JOIN {name}e n ON n.sheet = c.sheet WHERE c.e < n.last)"""
+
+
+@query(
+    f"""WITH RECURSIVE {CELLS}, sized AS (SELECT DISTINCT sheet, 'y' AS axis, row AS line, 10 + row % 5 AS size FROM cells UNION SELECT DISTINCT sheet, 'x', col, 30 + col % 3 * 10 FROM cells), lines AS (SELECT sheet, axis, line, CAST(sum(size) OVER w - size AS DOUBLE) AS s, CAST(sum(size) OVER w AS DOUBLE) AS e, lead(line, 2) OVER w AS far FROM sized WINDOW w AS (PARTITION BY sheet, axis ORDER BY line)),
+  spans AS (SELECT a.sheet, a.axis, a.s, b.e FROM lines a JOIN lines b ON b.sheet = a.sheet AND b.axis = a.axis AND b.line = a.far WHERE a.line % 7 IN (0, 2) AND b.e - a.s <= CASE a.axis WHEN 'x' THEN 120 ELSE 200 END),
+  marked AS (SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY sheet, axis ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) THEN 1 ELSE 0 END AS new FROM spans), numbered AS (SELECT *, sum(new) OVER (PARTITION BY sheet, axis ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+  blocks AS (SELECT sheet, axis, min(s) AS s, max(e) AS e FROM numbered GROUP BY sheet, axis, k), {_cut("cx", "x", 120)}, {_cut("cy", "y", 200)}
+  SELECT cy.sheet, CAST(row_number() OVER (PARTITION BY cy.sheet ORDER BY cy.page, cx.page) AS INT) AS number, cx.s AS x, cy.s AS y, cx.e - cx.s AS width, cy.e - cy.s AS height FROM cy JOIN cx ON cx.sheet = cy.sheet"""
+)
+def range_pages(spark, sf_dir):
+    """Pages of each sheet in both axes, which merged rows and columns do not cross if they fit."""
+    from pyspark.sql import Window
+
+    c = cells(spark, sf_dir)
+    rows = c.selectExpr("sheet", "'y' AS axis", "row AS line", "10 + row % 5 AS size").distinct()
+    lines = rows.unionByName(c.selectExpr("sheet", "'x' AS axis", "col AS line", "30 + col % 3 * 10 AS size").distinct())
+    far = F.lead("line", 2).over(Window.partitionBy("sheet", "axis").orderBy("line"))
+    merges = lines.select("sheet", "axis", F.col("line").alias("first"), far.alias("last")).where("last IS NOT NULL AND first % 7 IN (0, 2)")
+    return pages.planned(lines, merges, ["sheet"], {"x": 120.0, "y": 200.0})
