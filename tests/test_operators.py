@@ -160,6 +160,44 @@ def docx() -> bytes:
     return pack({"word/document.xml": f'<w:document xmlns:w="{W}"><w:body>{p1}{p2}{tbl}</w:body></w:document>'})
 
 
+def test_markdown_inlines(spark):
+    t = lambda x, *styles, target=None: ("text", x, sorted(styles), target)
+    cases = {
+        "a *b* **c** ***d***": [t("a "), t("b", "em"), t(" "), t("c", "strong"), t(" "), t("d", "em", "strong")],
+        "**bold *both* bold**": [t("bold ", "strong"), t("both", "em", "strong"), t(" bold", "strong")],
+        "snake_case_name and _em_": [t("snake_case_name and "), t("em", "em")],
+        "2 * 3 * 4 and **open": [t("2 * 3 * 4 and **open")],
+        "`a *b*` ``c ` d``": [("code", "a *b*", [], None), t(" "), ("code", "c ` d", [], None)],
+        "`open": [t("`open")],
+        "[l *x*](http://a.b/c_(d) 'T') ![alt *t*](i.png)": [t("l ", target="http://a.b/c_(d)"), t("x", "em", target="http://a.b/c_(d)"), t(" "), ("image", "alt t", [], "i.png")],
+        "[not](a b) [x] ]": [t("[not](a b) [x] ]")],
+        "<http://x.y/z> <a@b.cd> <b>raw</b> 1 < 2": [t("http://x.y/z", target="http://x.y/z"), t(" "), t("a@b.cd", target="mailto:a@b.cd"), t(" "), ("html", "<b>", [], None), t("raw"), ("html", "</b>", [], None), t(" 1 < 2")],
+        "\\*no\\* &amp; &#169;": [t("*no* & ©")],
+        "one  \ntwo\nthree\\\nfour": [t("one"), ("break", "\n", [], None), t("two"), ("soft", "\n", [], None), t("three"), ("break", "\n", [], None), t("four")],
+        "~~gone~~ *a _b_ c*": [t("gone", "strike"), t(" "), t("a ", "em"), t("b", "em"), t(" c", "em")],
+        "[a [b](c) d](e)": [t("[a "), t("b", target="c"), t(" d](e)")],
+        "": [],
+    }
+    for text, want in cases.items():
+        got = md.inline_runs(text)
+        joined = []
+        for r in got:  # neighbours of one look count as one here
+            if joined and r[0] == "text" == joined[-1][0] and r[2:] == joined[-1][2:]:
+                joined[-1] = ("text", joined[-1][1] + r[1], *r[2:])
+            else:
+                joined.append(r)
+        flat = []
+        for r in want:
+            if flat and r[0] == "text" == flat[-1][0] and r[2:] == flat[-1][2:]:
+                flat[-1] = ("text", flat[-1][1] + r[1], *r[2:])
+            else:
+                flat.append(r)
+        assert joined == flat, text
+    docs = spark.createDataFrame([(1, "# H *e*\n\n- i `c`\n\n```\n*x*\n```"), (2, None)], "doc_id long, text string")
+    rows = md.inlines(md.blocks(docs)).orderBy("doc_id", "ord", "run").collect()
+    assert [(r.ord, r.kind, r.text, r.styles) for r in rows] == [(1, "text", "H ", []), (1, "text", "e", ["em"]), (2, "text", "i ", []), (2, "code", "c", [])]
+
+
 def test_html_entries(spark):
     rows = [("a", "index.html"), ("a", "x.css"), ("b", "index.htm"), ("c", "index.htm"), ("c", "index.html"), ("d", "sub/index.html"), ("e", "INDEX.html")]
     got = {r.doc: (r.entry, r.error) for r in archive.html_entry(spark.createDataFrame(rows, "doc string, name string")).collect()}
