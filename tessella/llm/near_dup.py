@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import opened, returned, sealed, small_batches, table, word_hashes
+from .common import opened, release, returned, sealed, small_batches, table, word_hashes
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -233,11 +233,11 @@ def components(edges: DataFrame) -> DataFrame:
         # The minima are tables, so that both sides of a join are plain exchanges and the
         # edges of a hub can be split.
         low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = table(large)
-        low = table(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        now = table(small)
+        large = table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least = table(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        last, now = now, table(small)
+        release(last, low, large, least)
         if (new := mark(now)) == seen:
             break
         seen = new
@@ -260,6 +260,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = classes.select("fp", "copy_id", "copies").join(linked, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = table(named.join(least, "root"))
+    release(classes, links)
     out = signed.select("id", F.col("_fp").alias("fp")).join(named, "fp")
     return out.select(F.col("id").alias(id_col), "copy_id", "class_id", (F.coalesce("_docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
@@ -293,6 +294,7 @@ def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = texts.groupBy(F.col("_fp").alias("fp")).agg(F.min("text").alias("text"))
     found = by_unit(kept.join(chosen.drop("id"), "fp").join(texts, "fp")).mapInPandas(_verify, "fp binary, texts_linked long, docs_linked long, root binary")
     found = table(found)
+    release(units, kept)
     return found, found.where("fp != root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
 
 
@@ -308,9 +310,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _chosen(rows: DataFrame) -> DataFrame:
     """_id and _f of the row of each class that stays."""
-    _, classes = _classes(rows)
-    _, forest = _links(rows, classes)
+    signed, classes = _classes(rows)
+    release(signed)
+    found, forest = _links(rows, classes)
     roots = components(forest).withColumnRenamed("u", "fp")
     named = classes.select("fp", "copy_id").join(roots, "fp", "left")
     first = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("copy_id", "fp")).alias("m"))
-    return table(first.select(F.col("m.copy_id").alias("_id"), F.col("m.fp").alias("_f")))
+    out = table(first.select(F.col("m.copy_id").alias("_id"), F.col("m.fp").alias("_f")))
+    release(classes, found)
+    return out

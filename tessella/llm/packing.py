@@ -32,7 +32,7 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
-CACHED = 1_000_000  # distinct words that a worker remembers, about 150 bytes each
+CACHED = 500_000  # words and units that a worker remembers, about 170 bytes each
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PLAIN = re.compile("[!-~\u00c0-\u024f]+")
 #: The vocabulary's own splitting pattern (fixed value).
@@ -40,9 +40,10 @@ _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\s\w]+|_+")
 
 
 class Words(dict):
-    """Ids, as bytes, of the words seen: the vocabulary splits at white space, so a
-    word's ids do not depend on its neighbours. Words of Latin letters go straight
-    to the vocabulary's model, all others through the whole tokenizer."""
+    """Ids, as bytes, of the words and units seen: the vocabulary splits at white space, so
+    a word's ids do not depend on its neighbours, and a unit's are those of the word that it
+    would be. Words of Latin letters go straight to the vocabulary's model, all others
+    through the whole tokenizer."""
 
     def __init__(self, path: str | None):
         assert array("I").itemsize == 4 and sys.byteorder == "little"
@@ -59,31 +60,18 @@ class Words(dict):
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in set(kept))
         self.letters = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(rest)}
-        self.units: dict[str, bytes] = {}
 
     def unit(self, u: str) -> bytes:
-        if (out := self.units.get(u)) is None:
-            mapped = u if u.isascii() else "".join(map(self.letters.__getitem__, u.encode()))
-            out = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(self.units) >= CACHED:
-                self.units.clear()
-            self.units[u] = out
-        return out
+        mapped = u if u.isascii() else "".join(map(self.letters.__getitem__, u.encode()))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        # Most words are ASCII letters, and maybe a stop or comma, which is a unit of its own.
-        letters = word[:-1] if word[-1] in ".," else word
-        if len(word) <= 64 and letters.isascii() and letters.isalpha():
-            out = self.unit(letters.lower())
-            if len(letters) < len(word):
-                out += self.unit(word[-1])
-        elif len(word) <= 64 and _PLAIN.fullmatch(word) and "_" not in word and "<|" not in word:
-            out = b"".join(map(self.unit, _UNITS.findall(word.lower())))
-        else:
+        if len(word) > 64 or not _PLAIN.fullmatch(word) or "_" in word or "<|" in word:
             return self.full(word)
+        found = _UNITS.findall(word.lower())
         if len(self) >= CACHED:
             self.clear()
-        self[word] = out
+        out = self[word] = self.unit(word) if found == [word] else b"".join(map(self.__getitem__, found))
         return out
 
     def full(self, text: str) -> bytes:
