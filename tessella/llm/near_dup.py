@@ -250,8 +250,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     above, copies counted), n_text_links (other texts so linked).
 
     A null text is an empty one; texts without words are copies of each other and
-    link to nothing else; a text of fewer than five words is one shingle. Repeated
-    rows are copies. An empty table gives an empty result; no other column is read."""
+    link to nothing else; a text of fewer than five words is one shingle, and one of any
+    length is shingled whole. Repeated rows are copies. An empty table gives an empty result; no other column is read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed, classes = _classes(rows)
     links, forest = _links(rows, classes)
@@ -300,7 +300,8 @@ def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of join(): of its least id and that id's least
-    fingerprint, repeated rows once. All columns stay."""
+    fingerprint, repeated rows once. All columns stay, whatever their names. Null, empty and
+    very long texts and null ids: as in join(); an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     plain, names = sealed(docs)
     marked, chosen, key = fingerprinted(plain, names[text_col], sign=False), _chosen(rows), names[id_col]
