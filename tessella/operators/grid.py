@@ -240,3 +240,16 @@ def header_rows(cells: DataFrame, by: list[str]) -> DataFrame:
     rows = rows.withColumn("_k", k).withColumn("_ok", F.when(F.col("_k") == 1, F.col("_some")).otherwise(F.col("_all")))
     out = rows.groupBy(*by).agg(F.min(F.when(~F.col("_ok"), F.col("_k"))).alias("_stop"), F.max("_k").alias("_n"))
     return out.select(*by, F.coalesce(F.col("_stop") - 1, "_n").cast("long").alias("header_rows"))
+
+
+def eligible_bands(cells: DataFrame, bands: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
+    """bands (by, name, r1, r2, c1, c2) of two visible rows and columns or more that hold a
+    value that is not blank and meet a seed (by, r1, r2, c1, c2). cells: by, row, col, value,
+    hidden (its row or column does not show)."""
+    key = [*by, "name", "r1", "r2", "c1", "c2"]
+    held = ranges.cells_in_ranges(cells.where("NOT hidden"), bands.select(*key), by)
+    counts = held.groupBy(*key).agg(F.countDistinct("row").alias("n_rows"), F.countDistinct("col").alias("n_cols"), F.bool_or(F.coalesce(F.col("value").rlike(r"\S"), F.lit(False))).alias("told"))
+    bins = lambda df: df.withColumn("_bin", F.explode(F.expr("sequence(r1 div 64, r2 div 64)")))
+    near = bins(seeds.select(*by, "r1", "r2", F.col("c1").alias("s1"), F.col("c2").alias("s2"))).withColumnsRenamed({"r1": "q1", "r2": "q2"})
+    met = bins(bands.select(*key)).join(near, [*by, "_bin"]).where("q1 <= r2 AND r1 <= q2 AND s1 <= c2 AND c1 <= s2").select(*key).distinct()
+    return counts.where("n_rows >= 2 AND n_cols >= 2 AND told").join(met, key, "left_semi").drop("told")

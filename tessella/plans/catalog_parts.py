@@ -368,3 +368,16 @@ def used_range_with_drawings(spark, sf_dir):
     """What a sheet uses: cells, the merges that meet them, and drawings."""
     d = t(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey % 20 as int) AS sheet", "cast(s_suppkey as int) AS r1", "cast(s_suppkey * 3 as int) AS r2", "0 AS c1", "cast(s_suppkey % 40 as int) AS c2")
     return grid.used_range(cells(spark, sf_dir), merges(spark, sf_dir), ["sheet"], d)
+
+
+@query(
+    f"""WITH {CELLS}, v AS (SELECT * FROM cells WHERE row % 11 <> 3 AND col <> 6), b AS (SELECT DISTINCT sheet, row // 6 AS name, row // 6 * 6 AS r1, row // 6 * 6 + 4 AS r2, 1 + row // 6 % 3 AS c1, 3 + row // 6 % 4 AS c2 FROM cells), s AS (SELECT DISTINCT sheet, row // 20 * 20 AS r1, row // 20 * 20 + 7 AS r2, 1 AS c1, row // 20 % 3 + 1 AS c2 FROM cells)
+  SELECT b.sheet, name, count(DISTINCT row) AS n_rows, count(DISTINCT col) AS n_cols FROM b JOIN v ON v.sheet = b.sheet AND row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2 WHERE EXISTS (SELECT 1 FROM s WHERE s.sheet = b.sheet AND s.r1 <= b.r2 AND b.r1 <= s.r2 AND s.c1 <= b.c2 AND b.c1 <= s.c2)
+  GROUP BY b.sheet, name HAVING count(DISTINCT row) >= 2 AND count(DISTINCT col) >= 2 AND bool_or(trim(value) <> '')"""
+)
+def seeded_bands(spark, sf_dir):
+    """Named bands that show two rows and columns or more, hold a value and meet a table's seed."""
+    c = cells(spark, sf_dir)
+    bands = c.selectExpr("sheet", "row div 6 AS name", "cast(row div 6 * 6 as int) AS r1", "cast(row div 6 * 6 + 4 as int) AS r2", "cast(1 + row div 6 % 3 as int) AS c1", "cast(3 + row div 6 % 4 as int) AS c2").distinct()
+    seeds = c.selectExpr("sheet", "cast(row div 20 * 20 as int) AS r1", "cast(row div 20 * 20 + 7 as int) AS r2", "1 AS c1", "cast(row div 20 % 3 + 1 as int) AS c2").distinct()
+    return grid.eligible_bands(c.withColumn("hidden", F.expr("row % 11 = 3 OR col = 6")), bands, seeds, ["sheet"]).select("sheet", "name", "n_rows", "n_cols")
