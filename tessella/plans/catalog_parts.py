@@ -378,6 +378,6 @@ def used_range_with_drawings(spark, sf_dir):
 def seeded_bands(spark, sf_dir):
     """Named bands that show two rows and columns or more, hold a value and meet a table's seed."""
     c = cells(spark, sf_dir)
-    bands = c.selectExpr("sheet", "row div 6 AS name", "cast(row div 6 * 6 as int) AS r1", "cast(row div 6 * 6 + 4 as int) AS r2", "cast(1 + row div 6 % 3 as int) AS c1", "cast(3 + row div 6 % 4 as int) AS c2").distinct()
+    bands = c.selectExpr("sheet", "cast(row div 6 as int) AS name", "cast(row div 6 * 6 as int) AS r1", "cast(row div 6 * 6 + 4 as int) AS r2", "cast(1 + row div 6 % 3 as int) AS c1", "cast(3 + row div 6 % 4 as int) AS c2").distinct()
     seeds = c.selectExpr("sheet", "cast(row div 20 * 20 as int) AS r1", "cast(row div 20 * 20 + 7 as int) AS r2", "1 AS c1", "cast(row div 20 % 3 + 1 as int) AS c2").distinct()
     return grid.eligible_bands(c.withColumn("hidden", F.expr("row % 11 = 3 OR col = 6")), bands, seeds, ["sheet"]).select("sheet", "name", "n_rows", "n_cols")
