@@ -106,3 +106,29 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_html"] = op2_html
+
+
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    out = simhash.linked(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    out, model = whitening.whitened(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    n, error, shares = (0, 0.0, []) if model is None else (model.n, model.identity_error, (model.values / model.trace).tolist())
+    flat = out.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.element_at(F.lit(shares).cast("array<double>"), F.col("at") + 1)
+    return flat.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES |= {"op11_simhash": op11_simhash, "op12_whitening": op12_whitening, "op13_lexical": op13_lexical}

@@ -47,3 +47,18 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role) AS told, string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role) AS loss,
   CAST(sum(length('<|im_start|><|im_sep|><|im_end|>') + {_ESC.format(x="role")} + {_ESC.format(x="text")}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op13_lexical"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+one AS (SELECT k, doc_id, len(w) AS terms FROM d WHERE len(w) > 0),
+every AS (SELECT count(*) AS docs, CAST(sum(terms) AS BIGINT) AS total FROM one),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM d) GROUP BY k, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, every GROUP BY t, docs),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+m AS (SELECT k, doc_id, 100 - 75 + ((75 * terms * docs) // total) AS m FROM one, every),
+s AS (SELECT item_id, k, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN p USING (t) JOIN m USING (k) GROUP BY item_id, k, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
