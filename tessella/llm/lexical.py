@@ -192,9 +192,10 @@ def first_bounds(segs: DataFrame, index: DataFrame, told: Any, k: int, docs: int
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                at, g = _read(r.docs)[:k], _read(r.impacts)[:k]
-                yield pd.DataFrame({"item": np.full(len(at), r.term, np.int64), "seg": np.full(len(at), r.seg), "at": at, "g": g})
+            at, g = [_read(x[: 4 * k]) for x in b["docs"]], [_read(x[: 4 * k]) for x in b["impacts"]]
+            sizes = [len(x) for x in at]
+            if sizes:
+                yield pd.DataFrame({"item": np.repeat(b["term"].to_numpy(np.int64), sizes), "seg": np.repeat(b["seg"].to_numpy(), sizes), "at": np.concatenate(at), "g": np.concatenate(g)})
 
     # The k best of each list: Spark keeps k rows of a list in each partition before it deals them out.
     head = _ranked(index.select("term", "seg", "docs", "impacts").mapInPandas(heads, "item long, seg long, at long, g long"), k, "g", "seg", "at")
