@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessella.plans import catalog, catalog_drawings, catalog_more, catalog_parts, flows  # noqa: F401
+from tessella.plans import catalog, catalog_deep, catalog_drawings, catalog_more, catalog_parts, flows  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
