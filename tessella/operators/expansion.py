@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import settled
+from ..shared import release, table
 
 MOST_NODES, MOST_DEPTH = 20_000, 64
 
@@ -28,17 +28,21 @@ def sized(nodes: DataFrame, refs: DataFrame, by: list[str], most: int = MOST_NOD
     most + 1 where it is more). Nodes on a cycle, or above one, have no row."""
     each = edges(nodes, refs, by).groupBy(*by, "a", "b").agg(F.count("*").alias("uses"))
     inner = each.select(*by, F.col("a").alias("node")).distinct()
-    front = settled(nodes.select(*by, "node").distinct().join(inner, [*by, "node"], "left_anti").select("*", F.lit(1).cast("long").alias("size"), F.lit(0).alias("height")))
+    front = table(nodes.select(*by, "node").distinct().join(inner, [*by, "node"], "left_anti").select("*", F.lit(1).cast("long").alias("size"), F.lit(0).alias("height")))
     known, k = front, 0
-    open_ = settled(each.withColumn("size", F.lit(None).cast("long")).withColumn("height", F.lit(None).cast("int")))
+    open_ = table(each.withColumn("size", F.lit(None).cast("long")).withColumn("height", F.lit(None).cast("int")))
+    open_held = open_
     while front.limit(1).count():
         k += 1
         told = front.select(*by, F.col("node").alias("b"), F.col("size").alias("_size"), F.col("height").alias("_high"))
         open_ = open_.join(front.select(*by, F.col("node").alias("a")), [*by, "a"], "left_anti").join(told, [*by, "b"], "left")
         open_ = open_.select(*by, "a", "b", "uses", F.coalesce("size", "_size").alias("size"), F.coalesce("height", "_high").alias("height"))
-        open_ = settled(open_) if k % 4 == 0 else open_
+        if k % 4 == 0:
+            held, open_ = open_held, table(open_)
+            release(held)
+            open_held = open_
         sums = open_.groupBy(*by, F.col("a").alias("node")).agg(F.sum(F.col("uses") * F.col("size")).alias("_size"), F.max("height").alias("_high"), F.count_if(F.col("size").isNull()).alias("_open"))
-        front = settled(sums.where("_open = 0").select(*by, "node", F.least(F.col("_size") + 1, F.lit(most + 1)).alias("size"), (F.col("_high") + 1).alias("height")))
+        front = table(sums.where("_open = 0").select(*by, "node", F.least(F.col("_size") + 1, F.lit(most + 1)).alias("size"), (F.col("_high") + 1).alias("height")))
         known = known.unionByName(front)
     return known
 
@@ -58,13 +62,13 @@ def instances(nodes: DataFrame, refs: DataFrame, by: list[str], verdict: DataFra
     """verdict: of checked(). The copies of every root without a problem: by, path (the nodes from the
     root to the copy), node, depth and copy, which tells apart the uses of one node by another.
     A document has MOST_NODES rows at most, by its verdict."""
-    each = settled(edges(nodes, refs, by).groupBy(*by, "a", "b").agg(F.count("*").alias("uses")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int")))).drop("uses"))
+    each = table(edges(nodes, refs, by).groupBy(*by, "a", "b").agg(F.count("*").alias("uses")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int")))).drop("uses"))
     fine = verdict.where("problem IS NULL")
-    front = settled(fine.select(*by, F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit(1).alias("copy")))
+    front = table(fine.select(*by, F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit(1).alias("copy")))
     out, k = front, 0
     while front.limit(1).count():
         k += 1
         below = front.select(*by, "path", F.col("node").alias("a")).join(each, [*by, "a"])
-        front = settled(below.select(*by, F.concat("path", F.array("b")).alias("path"), F.col("b").alias("node"), F.lit(k).alias("depth"), "copy"))
+        front = table(below.select(*by, F.concat("path", F.array("b")).alias("path"), F.col("b").alias("node"), F.lit(k).alias("depth"), "copy"))
         out = out.unionByName(front)
     return out

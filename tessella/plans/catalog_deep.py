@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..operators import expansion, timing
 from ..sources import html
+from ..streaming import jobs, results, retention
 from .catalog import query, t
 from .flows import _PARSED
 
@@ -79,3 +83,46 @@ def animation_behaviours(spark, sf_dir):
     told = F.coalesce(F.col("told"), F.concat_ws(">", F.col("first").cast("string"), F.col("last").cast("string")))
     points = F.array_join(F.transform("points", lambda p: F.concat(p["at"].cast("string"), p["value"])), ";")
     return timing.behaviours(e, 960.0, 540.0).select("slide", "ord", "seq", "element", "start", "duration", F.coalesce(points, told).alias("told"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(user_id % 60 AS VARCHAR) AS job, epoch_us(ts) // 1000 AS ms, event_id AS seq, CASE WHEN event_id % 6 < 2 THEN 'submitted' WHEN event_id % 6 < 4 THEN 'running' WHEN event_id % 6 = 4 THEN 'succeeded' ELSE 'failed' END AS kind FROM events WHERE event_id % 7 < 2),
+  z AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ms, seq) AS i FROM (SELECT * FROM e UNION ALL SELECT DISTINCT job, (SELECT max(ms) - 3600000 FROM e), 9223372036854775807, 'end' FROM e)),
+  w(job, i, st, u, outs) AS (SELECT DISTINCT job, CAST(0 AS BIGINT), 'new', CAST(0 AS BIGINT), CAST([] AS STRUCT(what VARCHAR, "at" BIGINT)[]) FROM e
+   UNION ALL SELECT job, i, CASE WHEN kind = 'submitted' AND s3 = 'new' THEN 'queued' WHEN kind = 'running' AND s3 = 'queued' THEN 'running' WHEN kind IN ('succeeded', 'failed') AND s3 IN ('queued', 'running') THEN kind ELSE s3 END,
+     CASE WHEN (kind = 'submitted' AND s3 = 'new') OR (kind = 'running' AND s3 = 'queued') OR (kind IN ('succeeded', 'failed') AND s3 IN ('queued', 'running')) THEN ms ELSE u1 END,
+     list_concat(o3, CASE WHEN kind IN ('succeeded', 'failed') AND s3 IN ('queued', 'running') THEN [{'what': kind, 'at': ms}] ELSE [] END)
+   FROM (SELECT *, CASE WHEN s2 = 'expired' AND u1 + 21600000 <= ms THEN 'new' ELSE s2 END AS s3, CASE WHEN s2 = 'expired' AND u1 + 21600000 <= ms THEN list_concat(o2, [{'what': 'gone', 'at': u1 + 21600000}]) ELSE o2 END AS o3
+   FROM (SELECT *, CASE WHEN s1 IN ('succeeded', 'failed') AND u1 + 7200000 <= ms THEN 'expired' ELSE s1 END AS s2, CASE WHEN s1 IN ('succeeded', 'failed') AND u1 + 7200000 <= ms THEN list_concat(o1, [{'what': 'expired', 'at': u1 + 7200000}]) ELSE o1 END AS o2
+   FROM (SELECT z.job, z.i, z.ms, z.kind, CASE WHEN w.st = 'queued' AND w.u + 7200000 <= z.ms THEN 'failed' ELSE w.st END AS s1, CASE WHEN w.st = 'queued' AND w.u + 7200000 <= z.ms THEN w.u + 7200000 ELSE w.u END AS u1, CASE WHEN w.st = 'queued' AND w.u + 7200000 <= z.ms THEN [{'what': 'SUBMISSION_EXPIRED', 'at': w.u + 7200000}] ELSE [] END AS o1
+     FROM w JOIN z ON z.job = w.job AND z.i = w.i + 1))))
+  SELECT job, o.what AS what, o."at" AS "at" FROM (SELECT job, unnest(outs) AS o FROM w)"""
+)
+def job_expiry(spark, sf_dir):
+    """Abandoned submissions, expired results and states that went, as a stream with timers.
+    A job's retention is two hours of event time, its state's six; the watermark trails by one."""
+    at = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
+    kind = F.expr("CASE WHEN event_id % 6 < 2 THEN 'submitted' WHEN event_id % 6 < 4 THEN 'running' WHEN event_id % 6 = 4 THEN 'succeeded' ELSE 'failed' END")
+    e = t(spark, sf_dir, "events").where("event_id % 7 < 2")
+    e.select((F.col("user_id") % 60).cast("string").alias("job"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit("r").alias("request"), F.col("ts").cast("timestamp").alias("ts")).write.json(f"{at}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, jobs.PROVIDER)
+    try:
+        out = retention.expiring(jobs.read_events(spark, f"{at}/in", 1 << 20), 7_200_000, 21_600_000, "1 hour")
+        out.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").foreachBatch(results.sink(f"{at}/out")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+    return results.committed(spark, f"{at}/out", retention.OUT).drop("batch")
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey % 400 AS path, CAST(o_custkey % 50 AS VARCHAR) AS token, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 3 END AS version FROM orders),
+  s AS (SELECT l_orderkey % 400 AS path, CAST(min(l_partkey) % 50 AS VARCHAR) AS token, min(l_suppkey) % 3 AS version FROM lineitem GROUP BY 1)
+  SELECT DISTINCT l.path, l.token, l.version FROM l JOIN s ON s.path = l.path AND s.token = l.token AND (l.version IS NULL OR l.version = s.version)"""
+)
+def owned_artifacts(spark, sf_dir):
+    """Files that their ledger may delete: they still carry its token and version."""
+    ledger = t(spark, sf_dir, "orders").selectExpr("o_orderkey % 400 AS path", "cast(o_custkey % 50 as string) AS token", "if(o_orderkey % 4 > 0, o_orderkey % 3, null) AS version")
+    stored = t(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey % 400").alias("path")).agg((F.min("l_partkey") % 50).cast("string").alias("token"), (F.min("l_suppkey") % 3).alias("version"))
+    return results.owned(ledger, stored, ["path"])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,3 +20,21 @@ def folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
         found = named or sc.getCheckpointDir()
     return found
+
+
+def table(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back. Unlike a checkpoint, which keeps its
+    plan's estimate of sizes, a table has the size of its files; in rounds of joins the
+    estimates would grow without end."""
+    path = f"{folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables that nothing still to be computed reads."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
