@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..operators import expansion, timing
+from ..operators import expansion, overflow, ownership, splits, timing
 from ..sources import html
 from ..streaming import jobs, results, retention
-from .catalog import query, t
+from .catalog import CELLS, cells, query, t
 from .flows import _PARSED
 
 _USES = """SELECT n.page_id, n.node_id AS node, (n.node_id * 7 + n.page_id) % s.n AS target FROM nodes n JOIN (SELECT page_id, count(*) AS n FROM nodes GROUP BY page_id) s ON s.page_id = n.page_id WHERE n.name IN ('a', 'p') AND (n.page_id + n.node_id) % 3 = 0"""
@@ -126,3 +126,91 @@ def owned_artifacts(spark, sf_dir):
     ledger = t(spark, sf_dir, "orders").selectExpr("o_orderkey % 400 AS path", "cast(o_custkey % 50 as string) AS token", "if(o_orderkey % 4 > 0, o_orderkey % 3, null) AS version")
     stored = t(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey % 400").alias("path")).agg((F.min("l_partkey") % 50).cast("string").alias("token"), (F.min("l_suppkey") % 3).alias("version"))
     return results.owned(ledger, stored, ["path"])
+
+
+_TABS = """tab AS (SELECT c_custkey % 5 AS sheet, c_custkey AS tab, c_custkey // 5 * 20 AS r1, c_custkey // 5 * 20 + 11 AS r2, 1 AS c1, 12 AS c2 FROM customer),
+  nm AS (SELECT t.sheet, 'n' || CAST(o_orderkey AS VARCHAR) AS name, o_orderkey % 11 <> 0 AS fit, CASE WHEN o_orderkey % 65 = 0 OR tab % 3 > 0 THEN r1 ELSE r1 + o_orderkey % 4 * 3 END AS r1, CASE WHEN o_orderkey % 65 = 0 OR tab % 3 > 0 THEN r2 ELSE r1 + o_orderkey % 4 * 3 + 1 + o_orderkey % 3 // 2 END AS r2,
+      CASE WHEN o_orderkey % 65 = 0 OR (tab % 3 = 0 AND o_orderkey % 13 > 0) THEN c1 ELSE c1 + o_orderkey % 4 * 3 END AS c1, CASE WHEN o_orderkey % 65 = 0 OR (tab % 3 = 0 AND o_orderkey % 13 > 0) THEN c2 ELSE c1 + o_orderkey % 4 * 3 + 1 + o_orderkey % 3 // 2 END AS c2 FROM orders JOIN tab t ON t.tab = o_custkey WHERE o_orderkey % 5 = 0),
+  mg AS (SELECT t.sheet, r1 + o_orderkey % 10 AS r1, r1 + o_orderkey % 10 + 1 AS r2, c1 + o_orderkey % 11 AS c1, c1 + o_orderkey % 11 + 1 AS c2 FROM orders JOIN tab t ON t.tab = o_custkey WHERE o_orderkey % 40 = 3)"""
+
+
+@query(
+    f"""WITH {_TABS}, h AS (SELECT n.*, t.tab, t.r1 AS tr1, t.r2 AS tr2, t.c1 AS tc1, t.c2 AS tc2, n.r1 = t.r1 AND n.r2 = t.r2 AS cols, n.c1 = t.c1 AND n.c2 = t.c2 AS rws FROM nm n JOIN tab t ON t.sheet = n.sheet AND n.r1 >= t.r1 AND n.r2 <= t.r2 AND n.c1 >= t.c1 AND n.c2 <= t.c2),
+  ex AS (SELECT tab, list_sort(list(name)) AS names FROM h WHERE cols AND rws GROUP BY tab), i AS (SELECT * FROM h WHERE NOT (cols AND rws) AND fit), sh AS (SELECT tab, bool_and(cols) AS cols, bool_and(rws) AS rws FROM i GROUP BY tab),
+  b AS (SELECT i.tab, sh.cols, name, CASE WHEN sh.cols THEN c1 ELSE r1 END AS lo, CASE WHEN sh.cols THEN c2 ELSE r2 END AS hi, CASE WHEN sh.cols THEN tc1 ELSE tr1 END AS tlo, CASE WHEN sh.cols THEN tc2 ELSE tr2 END AS thi FROM i JOIN sh ON sh.tab = i.tab WHERE (sh.cols OR sh.rws) AND i.tab NOT IN (SELECT tab FROM ex)),
+  w AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY tab ORDER BY lo, hi, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, tlo) AS nxt, lead(lo) OVER (PARTITION BY tab ORDER BY lo, hi, name) IS NULL AS fin FROM b),
+  k AS (SELECT * FROM w WHERE tab NOT IN (SELECT tab FROM w WHERE lo < nxt)), p AS (SELECT tab, cols, nxt AS lo, lo - 1 AS hi, NULL AS name FROM k WHERE nxt < lo UNION ALL SELECT tab, cols, lo, hi, name FROM k UNION ALL SELECT tab, cols, hi + 1, thi, NULL FROM k WHERE fin AND hi < thi),
+  v AS (SELECT * FROM p WHERE NOT cols OR EXISTS (SELECT 1 FROM range(1, 13) c(col) WHERE col BETWEEN lo AND hi AND NOT (p.tab % 4 = 0 AND col BETWEEN 4 AND 6))),
+  x AS (SELECT v.tab, t.sheet, lo, name, CASE WHEN cols THEN t.r1 ELSE lo END AS r1, CASE WHEN cols THEN t.r2 ELSE hi END AS r2, CASE WHEN cols THEN lo ELSE t.c1 END AS c1, CASE WHEN cols THEN hi ELSE t.c2 END AS c2, count(*) OVER (PARTITION BY v.tab) AS n FROM v JOIN tab t ON t.tab = v.tab),
+  cut AS (SELECT t.tab FROM tab t JOIN (SELECT DISTINCT * FROM mg) m ON m.sheet = t.sheet AND m.r1 <= t.r2 AND t.r1 <= m.r2 AND m.c1 <= t.c2 AND t.c1 <= m.c2 WHERE (SELECT count(*) FROM x WHERE x.tab = t.tab AND m.r1 >= x.r1 AND m.r2 <= x.r2 AND m.c1 >= x.c1 AND m.c2 <= x.c2) <> 1),
+  g AS (SELECT * FROM x WHERE n >= 2 AND tab NOT IN (SELECT tab FROM cut))
+  SELECT sheet, tab, CAST(row_number() OVER (PARTITION BY tab ORDER BY lo) AS INT) AS part, r1, r2, c1, c2, coalesce(name, '') AS names, 'NAMED_TABLE_SPLIT' AS outcome FROM g
+  UNION ALL SELECT sheet, t.tab, 1, r1, r2, c1, c2, coalesce(array_to_string(ex.names, ','), ''), CASE WHEN sh.tab IS NOT NULL THEN 'NAMED_TABLE_SPLIT_SKIPPED' END FROM tab t LEFT JOIN ex ON ex.tab = t.tab LEFT JOIN sh ON sh.tab = t.tab WHERE t.tab NOT IN (SELECT tab FROM g)"""
+)
+def named_bands(spark, sf_dir):
+    """Tables split by the bands that are named in them, or the reason why they stay whole."""
+    tabs = t(spark, sf_dir, "customer").selectExpr("c_custkey % 5 AS sheet", "c_custkey AS tab", "c_custkey div 5 * 20 AS r1", "c_custkey div 5 * 20 + 11 AS r2", "1L AS c1", "12L AS c2")
+    o = t(spark, sf_dir, "orders").join(tabs, F.col("o_custkey") == F.col("tab"))
+    whole, band = "o_orderkey % 65 = 0", "o_orderkey % 4 * 3"
+    end = f"{band} + 1 + (o_orderkey % 3) div 2"
+    tall, wide = f"{whole} OR tab % 3 > 0", f"{whole} OR (tab % 3 = 0 AND o_orderkey % 13 > 0)"
+    names = o.where("o_orderkey % 5 = 0").selectExpr("sheet", "concat('n', o_orderkey) AS name", "o_orderkey % 11 <> 0 AS fit", f"if({tall}, r1, r1 + {band}) AS r1", f"if({tall}, r2, r1 + {end}) AS r2", f"if({wide}, c1, c1 + {band}) AS c1", f"if({wide}, c2, c1 + {end}) AS c2")
+    merged = o.where("o_orderkey % 40 = 3").selectExpr("sheet", "r1 + o_orderkey % 10 AS r1", "r1 + o_orderkey % 10 + 1 AS r2", "c1 + o_orderkey % 11 AS c1", "c1 + o_orderkey % 11 + 1 AS c2")
+    columns = tabs.select("sheet", "tab", F.explode(F.sequence("c1", "c2")).alias("col")).where("NOT (tab % 4 = 0 AND col BETWEEN 4 AND 6)")
+    out = splits.by_names(tabs, names, columns, merged, ["sheet"])
+    return out.withColumn("names", F.array_join("names", ","))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey % 20 AS slide, p_partkey // 20 AS shape, p_partkey AS pos, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS nth FROM part),
+  c AS (SELECT DISTINCT l_orderkey % 20 AS slide, l_orderkey AS effect, (l_orderkey * 7 // 20 + l_linenumber * (1 + l_orderkey % 60 // 50)) % 60 AS shape, CASE WHEN l_orderkey % 70 = 0 THEN 'invalid_timing' END AS had FROM lineitem WHERE l_orderkey % 10 = 0),
+  e AS (SELECT c.*, s.nth FROM c LEFT JOIN s ON s.slide = c.slide AND s.shape = c.shape),
+  o AS (SELECT slide, effect, min(nth) AS first, coalesce(min(had), CASE WHEN count(*) > count(nth) THEN 'unresolved_target' WHEN max(nth) - min(nth) + 1 <> count(*) THEN 'interleaved_target' END) AS why FROM e GROUP BY 1, 2),
+  r AS (SELECT e.slide, e.effect, count(*) OVER (PARTITION BY e.slide, e.shape) AS n FROM e JOIN o ON o.effect = e.effect AND o.why IS NULL), sh AS (SELECT DISTINCT effect FROM r WHERE n > 1)
+  SELECT o.slide, o.effect, CASE WHEN why IS NULL AND sh.effect IS NULL THEN first END AS first, coalesce(why, CASE WHEN sh.effect IS NOT NULL THEN 'shared_target' END) AS reason FROM o LEFT JOIN sh ON sh.effect = o.effect"""
+)
+def effect_targets(spark, sf_dir):
+    """Which effects own their objects alone and in one stretch of the paint order."""
+    shapes = ownership.renumbered(t(spark, sf_dir, "part").selectExpr("p_partkey % 20 AS slide", "p_partkey div 20 AS id", "p_partkey AS pos"), ["slide"]).selectExpr("slide", "id AS shape", "cast(new_id as long) AS pos")
+    claims = t(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").selectExpr("l_orderkey % 20 AS slide", "l_orderkey AS effect", "(l_orderkey * 7 div 20 + l_linenumber * (1 + l_orderkey % 60 div 50)) % 60 AS shape", "if(l_orderkey % 70 = 0, 'invalid_timing', null) AS reason")
+    return ownership.targets(claims, shapes, ["slide"])
+
+
+@query(
+    """WITH o AS (SELECT p_partkey % 20 AS slide, p_partkey * 3 % 37 AS id, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS new FROM part), k AS (SELECT slide, id, count(*) AS n, min(new) AS new FROM o GROUP BY 1, 2),
+  c AS (SELECT o_orderkey % 20 AS slide, o_orderkey AS connector, o_orderkey % 41 AS a, CASE WHEN o_custkey % 9 > 0 THEN o_custkey % 37 END AS b FROM orders)
+  SELECT c.slide, connector, CAST(CASE WHEN x.n = 1 THEN x.new END AS INT) AS start_id, CAST(CASE WHEN y.n = 1 THEN y.new END AS INT) AS end_id, CASE WHEN coalesce(x.n, 0) <> 1 OR (b IS NOT NULL AND coalesce(y.n, 0) <> 1) THEN 'OUTPUT_INVALID' END AS error
+  FROM c LEFT JOIN k x ON x.slide = c.slide AND x.id = a LEFT JOIN k y ON y.slide = c.slide AND y.id = b"""
+)
+def remapped_connectors(spark, sf_dir):
+    """Connectors under the ids that objects get anew; an id that stands twice or nowhere is an error."""
+    objects = ownership.renumbered(t(spark, sf_dir, "part").selectExpr("p_partkey % 20 AS slide", "p_partkey * 3 % 37 AS id", "p_partkey AS pos"), ["slide"])
+    lines = t(spark, sf_dir, "orders").selectExpr("o_orderkey % 20 AS slide", "o_orderkey AS connector", "o_orderkey % 41 AS start_id", "if(o_custkey % 9 > 0, o_custkey % 37, null) AS end_id")
+    return ownership.reconnected(lines, objects, ["slide"])
+
+
+_TEXTS = f"""{CELLS}, tx AS (SELECT sheet, row, col, CAST(value AS BIGINT) AS q, CASE WHEN q % 5 = 0 THEN 'BLANK' WHEN q % 7 = 0 THEN 'NUMERIC' ELSE 'STRING' END AS kind, CASE WHEN q % 5 = 0 OR q % 11 = 0 THEN '' ELSE value END AS txt,
+    CASE q % 6 WHEN 1 THEN 'left' WHEN 2 THEN 'right' WHEN 3 THEN 'centerContinuous' WHEN 4 THEN 'center' END AS align, q % 13 = 0 AS wrap, row % 10 = 3 AND col IN (3, 4) AS merged, CAST(q * 3 % 140 AS DOUBLE) AS width, CAST(CASE WHEN q % 17 = 0 THEN 6 ELSE 0 END AS DOUBLE) AS indent FROM cells),
+  tk AS (SELECT sheet, line, CAST(sum(20 + 5 * line) OVER (PARTITION BY sheet ORDER BY line) - (20 + 5 * line) AS DOUBLE) AS start, CAST(20 + 5 * line AS DOUBLE) AS size FROM (SELECT DISTINCT sheet FROM cells), range(1, 10) r(line))"""
+
+
+@query(
+    f"""WITH {_TEXTS}, f AS (SELECT *, NOT (kind = 'BLANK' OR (kind = 'STRING' AND txt = '')) AS filled FROM tx), b AS (SELECT *, merged OR filled AS blk FROM f),
+  g AS (SELECT *, min(CASE WHEN blk THEN col END) OVER (PARTITION BY sheet, row ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop, CASE WHEN coalesce(NOT blk AND align = 'centerContinuous' AND col = lag(col) OVER (PARTITION BY sheet, row ORDER BY col) + 1, false) THEN 0 ELSE 1 END AS brk FROM b),
+  h AS (SELECT *, sum(brk) OVER (PARTITION BY sheet, row ORDER BY col ROWS UNBOUNDED PRECEDING) AS run FROM g), i AS (SELECT *, max(col) OVER (PARTITION BY sheet, row, run) AS upto FROM h),
+  j AS (SELECT i.*, o.start AS lft, o.start + o.size AS own, s.start AS wall, u.start + u.size AS far, 225.0 + 180 AS fin, o.start + width + 4 + indent AS want FROM i JOIN tk o ON o.sheet = i.sheet AND o.line = i.col LEFT JOIN tk s ON s.sheet = i.sheet AND s.line = i.stop LEFT JOIN tk u ON u.sheet = i.sheet AND u.line = i.upto WHERE filled AND txt <> ''),
+  k AS (SELECT j.*, coalesce((SELECT min(e) FROM (SELECT start AS e FROM tk WHERE tk.sheet = j.sheet UNION ALL SELECT start + size FROM tk WHERE tk.sheet = j.sheet) WHERE e >= want), fin) AS fits FROM j),
+  l AS (SELECT *, CASE WHEN kind = 'STRING' AND NOT wrap AND NOT merged AND (align IS NULL OR align = 'left') THEN greatest(own, least(fits, coalesce(wall, fin))) WHEN kind = 'STRING' AND NOT wrap AND NOT merged AND align = 'centerContinuous' THEN far ELSE own END AS rgt FROM k),
+  m AS (SELECT sheet, row, col, width, lft + 1 AS low, greatest(lft + 1, rgt - 1) AS high, CASE WHEN align = 'right' OR (align IS NULL AND kind = 'NUMERIC') THEN rgt - 2 - width WHEN align IN ('center', 'centerContinuous') THEN (lft + rgt - width) / 2 ELSE lft + 2 + indent END AS pos FROM l),
+  n AS (SELECT *, greatest(low, pos) AS a, least(high, pos + width) AS z FROM m), p AS (SELECT CAST(i AS INT) AS page, i * 90.0::DOUBLE AS p1, (i + 1) * 90.0::DOUBLE AS p2 FROM range(0, 5) r(i))
+  SELECT sheet, row, col, page, greatest(a, p1) AS "from", least(z, p2) AS upto, pos AS "at", pos < low - 1 OR pos + width > high + 1 AS clipped FROM n JOIN p ON a < p2 AND p1 < z WHERE z > a"""
+)
+def cell_overflow(spark, sf_dir):
+    """What shows of each cell's text on each page, over blank neighbours and within cuts."""
+    q = "cast(value as bigint)"
+    c = cells(spark, sf_dir).selectExpr("sheet", "row", "col", f"if({q} % 5 = 0, 'BLANK', if({q} % 7 = 0, 'NUMERIC', 'STRING')) AS kind", f"if({q} % 5 = 0 OR {q} % 11 = 0, '', value) AS text", f"element_at(array('left', 'right', 'centerContinuous', 'center', null, null), cast(({q} + 5) % 6 + 1 as int)) AS align",
+        f"{q} % 13 = 0 AS wrap", "false AS shrink", "0 AS rotation", "row % 10 = 3 AND col IN (3, 4) AS merged", f"cast({q} * 3 % 140 as double) AS width", f"if({q} % 17 = 0, 6D, 0D) AS indent")
+    sheets = c.select("sheet").distinct()
+    tracks = sheets.select("sheet", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line")).selectExpr("sheet", "line", "cast(20 * (line - 1) + 5 * line * (line - 1) / 2 as double) AS start", "cast(20 + 5 * line as double) AS size")
+    pages = sheets.select("sheet", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("page")).selectExpr("sheet", "page", "page * 90D AS start", "(page + 1) * 90D AS end")
+    return overflow.visible(overflow.boxes(c, tracks, ["sheet"]), pages, ["sheet"])
