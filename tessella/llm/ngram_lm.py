@@ -1,26 +1,31 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model prices a word by its count in the trusted texts, discounted, and gives what the
-discounts free to the word's spelling: the product of its symbols' probabilities under an
-n-gram model of ORDER symbols, trained on the spellings of the trusted words. Symbols are
-code points as they are; nothing is folded. All tables grow with the texts.
+The model is one of ORDER symbols, trained on the trusted texts: each symbol of a word and the word's
+end have a probability given the ORDER - 1 symbols before them. A word's context reaches back over the
+white space to the last symbol of the word before it, so it tells how words follow each other:
+a capital after no full stop, a list of cells, a shout. Symbols are code points as they are;
+nothing is folded, and all white space is one symbol. All tables grow with the texts.
+
+Texts fall into tokens, a word with the last symbol of the word before it. Word n-grams proper are no
+better a judge here, and dearer (README).
 
 1. Documents become bags: BLOCK_WORDS words of text in one row, which holds the distinct
-   words once and each document as numbers of them. Texts are read once and never shuffled.
-2. Bags ask for their words, a packed message for each (bag, shard of the vocabulary) with
+   tokens once and each document as numbers of them. Texts are read once and never shuffled.
+2. Bags ask for their tokens, a packed message for each (bag, shard of the vocabulary) with
    the counts in trusted documents. A shard merges its messages into a sorted vocabulary.
 3. Counts of n-grams, continuation counts, discounts and back-off weights are aggregations
-   and merge joins by n-gram. Only n-grams that some word needs are priced.
-4. A shard prices its words by its n-grams and answers each bag in the bag's order. A bag
+   and merge joins by n-gram. Only n-grams that some token needs are priced.
+4. A shard prices its tokens by their n-grams and answers each bag in the bag's order. A bag
    sums up its documents.
 
-So a word costs a few bytes for each bag that holds it, not for each place it stands at.
+So a token costs a few bytes for each bag that holds it, not for each place it stands at.
 Trusted texts are dealt by a hash of the text: one of FOLDS sets the thresholds and is not
-counted, the others are counted. A document is rejected if its mean surprise of a word or
-the worst surprise, by symbol, of a word that no counted text has lies above its language's
-quantile, plus a margin. Where no calibration text of that quantile has an unknown word,
-there is nothing to compare one with, and the mean decides alone. Means are drawn towards the language's mean by PRIOR words, so that
-a few words prove little. There is no lower threshold: copies of counted texts lie low.
+counted, the others are counted. A document is rejected if its mean surprise of a symbol (the
+logarithm of its perplexity) or the worst mean surprise within a word that no counted text has lies above
+its language's quantile, plus a margin. Where no calibration text of that quantile has an unknown word,
+there is nothing to compare one with, and the mean decides alone. Means are drawn towards the
+language's mean by PRIOR symbols, so that a few words prove little. There is no lower
+threshold: copies of counted texts lie low.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import add
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,40 +47,72 @@ from .common import few, opened, release, returned, sealed, small_batches, table
 
 ORDER = 5
 BLOCK_WORDS, BLOCK_DOCS = 1 << 21, 1 << 13  # a bag ends beyond either
-SHARD_WORDS = 1 << 22  # words of text for each shard of the vocabulary
+SHARD_TOKENS = 1 << 18  # distinct tokens for each shard of the vocabulary, or so
+SIZED_BY = 1 << 8  # of so many hash values one is counted to size the shards
 FLAG_BAGS = 1 << 14  # bags up to which the marks of trusted documents are broadcast
 FOLDS = 4
-PRIOR = 40
+PRIOR = 200
 MEAN, WORST = 0.9975, 0.98  # quantiles of the calibration texts
-MARGIN, WORST_MARGIN = 0.5, 0.5  # in bits
+MARGIN, WORST_MARGIN = 0.05, 0.5  # in bits
 EDGES = 1.5  # symbols added to a word's length, so that short words prove less
-STEPS = 1024  # surprise is kept and ranked in steps of one bit by STEPS
+STEPS = 256  # surprise is kept and ranked in steps of one bit by STEPS
 LEAST = 50  # calibration texts that a language needs for thresholds of its own
 START, END = "\x02", "\x03"
+_START = START.encode()
+
+
+def _deflated(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _inflated(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
 def packed(a: np.ndarray, width: int = 4) -> bytes:
-    """Unsigned numbers of ``width`` bytes, their bytes by place, deflated."""
-    return zlib.compress(np.asarray(a, f"<u{width}").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+    """Unsigned numbers of ``width`` bytes, their bytes by place, compressed."""
+    return _deflated(np.asarray(a, f"<u{width}").reshape(-1, 1).view(np.uint8).T.tobytes())
 
 
 def unpacked(raw: bytes, width: int = 4) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel().astype(np.int64)
+    return np.frombuffer(_inflated(raw), np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel().astype(np.int64)
 
 
 def listed(words: list[bytes]) -> bytes:
-    return zlib.compress(b"\n".join(words), 1)
+    return _deflated(b"\n".join(words))
 
 
 def unlisted(raw: bytes) -> list[bytes]:
-    text = zlib.decompress(raw)
+    text = _inflated(raw)
     return text.split(b"\n") if text else []
 
 
-def grams(word: str) -> list[str]:
-    """The n-gram that ends in each symbol of a word and in its end."""
-    p = START * (ORDER - 1) + word + END
-    return [p[i : i + ORDER] for i in range(len(word) + 1)]
+class _Ends(dict):
+    """The last symbol of a word, in bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        at = len(word) - 1
+        while at and word[at] & 0xC0 == 0x80:
+            at -= 1
+        self[word] = word[at:]
+        return self[word]
+
+
+def tokens(words: list[bytes], ends: _Ends) -> list[bytes]:
+    """Each word behind the last symbol of the one before it; behind START, the first one."""
+    return [_START + words[0], *map(add, map(ends.__getitem__, words[:-1]), words[1:])] if words else []
+
+
+def bare(token: bytes) -> bytes:
+    """A token's word."""
+    first = token[0]
+    return token[1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4 :]
+
+
+def grams(token: str) -> list[str]:
+    """The n-gram that ends in each symbol of a token's word and in its end."""
+    p = START * (ORDER - 3) + token[0] + " " + token[1:] + END
+    return [p[i : i + ORDER] for i in range(len(token))]
 
 
 # --- bags -----------------------------------------------------------------------
@@ -122,10 +161,11 @@ def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
         number = TaskContext.get().partitionId() << 32
         held, size, index = [], 0, defaultdict()
         index.default_factory = index.__len__
+        ends = _Ends()
         for b in batches:
             for i, t, lang, key in zip(b["id"], b["text"], b["lang"], b["key"], strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                words = raw.split()
+                words = tokens(raw.split(), ends)
                 found, counts = np.unique(np.fromiter(map(index.__getitem__, words), np.int32, len(words)), return_counts=True)
                 held.append((i, key, lang, zlib.crc32(raw) % FOLDS, len(t or ""), found, counts.astype(np.int32)))
                 size += len(words)
@@ -133,9 +173,11 @@ def bags(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
                     yield _bag(held, index, number)
                     number, size = number + 1, 0
                     index.clear()
+                    ends.clear()
         if held:
             yield _bag(held, index, number)
         index.clear()
+        ends.clear()
         returned()
 
     return rows.mapInPandas(run, "bag long, ids array<string>, keys array<long>, langs array<string>, folds binary, symbols binary, each binary, gaps binary, counts binary, words binary, total long")
@@ -152,8 +194,8 @@ def flags(held: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def _shards(words: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words' places in order of (shard, word), and each one's shard."""
-    h = (word_hashes(b"\n".join(words)) % np.uint64(shards)).astype(np.int64)
+    """The tokens' places in order of (shard, token), and each one's shard, which is its word's."""
+    h = (word_hashes(b"\n".join(map(bare, words))) % np.uint64(shards)).astype(np.int64)
     order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
     order = order[np.argsort(h[order], kind="stable")]
     return order, h[order]
@@ -269,11 +311,9 @@ def spelled(counts: DataFrame) -> DataFrame:
     return below
 
 
-def answers(vocab: DataFrame, bits: DataFrame, words: dict[str, float]) -> DataFrame:
+def answers(vocab: DataFrame, bits: DataFrame) -> DataFrame:
     """vocab with the bits of each shard's n-grams (shard, gram, bits): shard, bag and, for
-    each word that the bag asked for, twice its surprise in steps, plus 1 if it is known.
-    words: the discounts, total and freed share of the word counts."""
-    drop = np.array([0.0, words["d1"], words["d2"], words["d3"]])
+    each token that the bag asked for, twice its surprise in steps, plus 1 if its word is known."""
 
     def run(key: tuple[Any, ...], v: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         found = dict(zip(g["gram"], g["bits"], strict=True))
@@ -281,47 +321,46 @@ def answers(vocab: DataFrame, bits: DataFrame, words: dict[str, float]) -> DataF
         if not len(own):
             return pd.DataFrame({"bag": [], "shard": [], "prices": []}).astype({"bag": "int64", "shard": "int32"})
         names, c = unlisted(own["words"].iloc[0]), unpacked(own["counts"].iloc[0])
-        letters = np.fromiter((sum(map(found.__getitem__, grams(w.decode("utf-8", "surrogatepass")))) for w in names), np.float64, len(names))
-        price = letters - np.log2(words["freed"])
-        known = np.flatnonzero(c)
-        p = (c[known] - drop[np.minimum(c[known], 3)]) / max(words["total"], 1.0) + words["freed"] * np.exp2(-letters[known])
-        price[known] = np.where(p > 0, -np.log2(np.where(p > 0, p, 1.0)), price[known])
-        price = 2 * np.rint(price * STEPS).astype(np.int64) + (c > 0)
+        surprise = np.fromiter((sum(map(found.__getitem__, grams(w.decode("utf-8", "surrogatepass")))) for w in names), np.float64, len(names))
+        words = list(map(bare, names))
+        seen = {words[i] for i in np.flatnonzero(c).tolist()}
+        price = 2 * np.rint(surprise * STEPS).astype(np.int64) + np.fromiter(map(seen.__contains__, words), bool, len(words))
         rows = [(bag, key[0], packed(price[np.cumsum(unpacked(gaps))], 8)) for bag, gaps in zip(v["bag"], v["counts"], strict=True) if bag >= 0]
-        del found, names, g
+        del found, names, words, seen, g
         returned()
         return pd.DataFrame(rows, columns=["bag", "shard", "prices"])
 
     return vocab.groupBy("shard").cogroup(bits.groupBy("shard")).applyInPandas(run, "bag long, shard int, prices binary")
 
 
-def scored(held: DataFrame, told: DataFrame, shards: int, share: float) -> DataFrame:
-    """id, key, lang, fold, symbols, n (words), bits and worst of every document of the bags;
-    worst is the greatest surprise of a symbol among its unknown words."""
+def scored(held: DataFrame, told: DataFrame, shards: int) -> DataFrame:
+    """id, key, lang, fold, symbols, words, n (symbols priced: those of the words and their ends), bits and
+    worst of every document of the bags; worst is the greatest mean surprise within an unknown word."""
 
     def run(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples(index=False))
         words = unlisted(row.words)
         size = len(row.folds)
-        n, bits, worst = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+        n, many, bits, worst = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         if words:
             order, shard = _shards(words, shards)
             price = np.empty(len(words), np.int64)
             for s, prices in zip(right["shard"], right["prices"], strict=True):
                 price[order[np.searchsorted(shard, s) : np.searchsorted(shard, s, "right")]] = unpacked(prices, 8)
             steps, known = price >> 1, price & 1
-            length = np.array([len(w.decode("utf-8", "surrogatepass")) for w in words])
-            odd = np.where(known, 0.0, np.maximum(0.0, steps / STEPS + np.log2(share)) / (length + EDGES))
+            length = np.array([len(w.decode("utf-8", "surrogatepass")) for w in words])  # of its word, and one for its end
+            odd = np.where(known, 0.0, steps / STEPS / (length - 1 + EDGES))
             doc, word, count = postings(row)
-            n = np.bincount(doc, weights=count, minlength=size).astype(np.int64)
+            many = np.bincount(doc, weights=count, minlength=size).astype(np.int64)
+            n = np.bincount(doc, weights=count * length[word], minlength=size).astype(np.int64)
             total = np.zeros(size, np.int64)
             np.add.at(total, doc, steps[word] * count)
             bits = total / STEPS
             np.maximum.at(worst, doc, odd[word])
-        return pd.DataFrame({"id": row.ids, "key": row.keys, "lang": row.langs, "fold": np.frombuffer(row.folds, np.uint8).astype(np.int32), "at": np.arange(size, dtype=np.int32), "bag": np.full(size, row.bag), "symbols": unpacked(row.symbols), "n": n, "bits": bits, "worst": worst})
+        return pd.DataFrame({"id": row.ids, "key": row.keys, "lang": row.langs, "fold": np.frombuffer(row.folds, np.uint8).astype(np.int32), "at": np.arange(size, dtype=np.int32), "bag": np.full(size, row.bag), "symbols": unpacked(row.symbols), "words": many, "n": n, "bits": bits, "worst": worst})
 
     left = held.drop("total").groupBy("bag")
-    return left.cogroup(told.groupBy("bag")).applyInPandas(run, "id string, key long, lang string, fold int, at int, bag long, symbols long, n long, bits double, worst double")
+    return left.cogroup(told.groupBy("bag")).applyInPandas(run, "id string, key long, lang string, fold int, at int, bag long, symbols long, words long, n long, bits double, worst double")
 
 
 # --- thresholds -----------------------------------------------------------------
@@ -352,34 +391,38 @@ def thresholds(known: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     """The scores of every document, and of the calibration texts."""
     held = table(bags(docs, id_col, text_col, lang_col))
-    size = held.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    shards = max(1, -(-size[0] // SHARD_WORDS))
+    number = held.count()
+    shards = max(1, -(-distinct_tokens(held) // SHARD_TOKENS))
     marks = table(flags(held, trusted))
-    near = "broadcast" if size[1] <= FLAG_BAGS else "merge"
+    near = "broadcast" if number <= FLAG_BAGS else "merge"
     vocab = table(vocabulary(requests(held.join(marks.hint(near), "bag", "left"), shards)))
     grams_ = table(needed(vocab))
     below = spelled(grams_.groupBy("gram").agg(F.sum("c").alias("c")))
-    counts = vocab.where("bag = -1").select("counts").mapInPandas(_word_counts, "c long, n long")
-    words = discounts(counts.groupBy("c").agg(F.sum("n").alias("n"))).first().asDict()
     asked = grams_.select("shard", "gram").join(below.hint("merge"), "gram").select("shard", "gram", (-F.log2("p")).alias("bits"))
-    told = answers(vocab, asked, words)
-    out = table(scored(held, told, shards, words["freed"]))
+    told = answers(vocab, asked)
+    out = table(scored(held, told, shards))
     known = out.join(marks.select("bag", F.explode("trusted").alias("at")).hint("merge"), ["bag", "at"], "left_semi").where("fold = 0")
     known = table(known.select("lang", "n", "bits", "worst"))
     release(held, marks, vocab, grams_, below)
     return out.drop("bag", "at", "fold"), known
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for raw in b["counts"]:
-            c, m = np.unique(unpacked(raw), return_counts=True)
-            yield pd.DataFrame({"c": c, "n": m})
+def distinct_tokens(held: DataFrame) -> int:
+    """About how many distinct tokens the bags hold: those of every SIZED_BY-th hash value are
+    counted. It sizes the shards alone; results do not depend on it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b["words"]:
+                h = word_hashes(b"\n".join(unlisted(raw)))
+                yield pd.DataFrame({"h": np.unique(h[h % np.uint64(SIZED_BY) == 0]).view(np.int64)})
+
+    return SIZED_BY * held.select("words").mapInPandas(run, "h long").distinct().count()
 
 
 def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id and lang (under their names), _key, _symbols, _n (words), _bits, _score (the mean
-    surprise of a word, drawn towards the language's mean), _high, _worst, _most and
+    """id and lang (under their names), _key, _symbols, _words, _n (symbols of words and their ends), _bits, _score (the mean
+    surprise of a symbol, drawn towards the language's mean), _high, _worst, _most and
     _kept, for every row of docs. trusted: ids of the trusted texts.
 
     A null text is an empty one; it scores the mean and stays. A null language is a
@@ -397,7 +440,7 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     far = {"mean": 0.0, "high": float("inf"), "most": float("inf")}
     at = {c: F.coalesce(f"{c}_own", f"{c}_all", F.lit(d)) for c, d in far.items()}
     score = (F.col("bits") + PRIOR * at["mean"]) / (F.col("n") + PRIOR)
-    out = out.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias("id"), "lang", F.col("key").alias("_key"), F.col("symbols").alias("_symbols"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), score.alias("_score"), at["high"].alias("_high"), F.col("worst").alias("_worst"), at["most"].alias("_most"))
+    out = out.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias("id"), "lang", F.col("key").alias("_key"), F.col("symbols").alias("_symbols"), F.col("words").alias("_words"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), score.alias("_score"), at["high"].alias("_high"), F.col("worst").alias("_worst"), at["most"].alias("_most"))
     kept = (F.col("_score") <= F.col("_high")) & (F.col("_worst") <= F.col("_most"))
     return out.withColumn("_kept", kept).withColumnsRenamed({"id": id_col, "lang": lang_col})
 

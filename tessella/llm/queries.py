@@ -70,7 +70,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = ngram_lm.judged(docs, ngram_lm.trusted_ids(read(spark, sf_dir, "labels")))
     perplexity = F.pow(F.lit(2.0), F.col("_bits") / F.greatest("_n", F.lit(1)))
-    told = {"_symbols": "n_symbols", "_n": "n_words", "_score": "score", "_high": "high", "_worst": "worst", "_most": "most", "_kept": "kept"}
+    told = {"_symbols": "n_symbols", "_words": "n_words", "_n": "n_priced", "_score": "score", "_high": "high", "_worst": "worst", "_most": "most", "_kept": "kept"}
     return out.select("doc_id", "lang", perplexity.alias("perplexity"), *[F.col(c).alias(n) for c, n in told.items()])
 
 

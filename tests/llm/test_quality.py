@@ -30,18 +30,17 @@ def kn_discounts(counts):
     return lambda c: 0 if c == 0 else d[min(c, 3) - 1]
 
 
+def tokens(text):
+    """(last symbol of the word before, word) for each word."""
+    w = said(text)
+    return [(b[-1] if b else "\x02", x) for b, x in zip([None, *w], w)]
+
+
 class BruteModel:
     def __init__(self, texts):
-        self.words = Counter(w for t in texts for w in said(t))
-        self.total = sum(self.words.values())
-        self.d = kn_discounts(self.words.values())
-        self.freed = max(sum(map(self.d, self.words.values())) / self.total, 1 / (1 + self.total)) if self.total else 1.0
+        self.words = {w for t in texts for w in said(t)}
         n = ngram_lm.ORDER
-        top = Counter()
-        for w, c in self.words.items():
-            p = "\x02" * (n - 1) + w + "\x03"
-            for i in range(len(w) + 1):
-                top[p[i : i + n]] += c
+        top = Counter(g for t in texts for x in tokens(t) for g in self.grams(x))
         self.levels = {n: top}
         for k in range(n - 1, 0, -1):
             self.levels[k] = Counter(g[1:] for g in self.levels[k + 1])  # continuation counts
@@ -51,6 +50,12 @@ class BruteModel:
             for g, x in c.items():
                 self.by[k][g[:-1]].append(x)
 
+    @staticmethod
+    def grams(token):
+        """Symbols with the four before them, no further back than the last symbol of the word before."""
+        p = "\x02\x02" + token[0] + " " + token[1] + "\x03"
+        return [p[i - 4 : i + 1] for i in range(4, len(p))]
+
     def p(self, g):
         k = len(g)
         if k == 0:
@@ -61,27 +66,20 @@ class BruteModel:
         c, d = self.levels[k].get(g, 0), self.drop[k]
         return (max(0, c - d(c)) + sum(map(d, mine)) * low) / sum(mine)
 
-    def letters(self, w):
-        p = "\x02" * (ngram_lm.ORDER - 1) + w + "\x03"
-        return -sum(math.log2(self.p(p[i : i + ngram_lm.ORDER])) for i in range(len(w) + 1))
-
-    def price(self, w):
-        c = self.words.get(w, 0)
-        if not c:
-            return self.letters(w) - math.log2(self.freed)
-        return -math.log2((c - self.d(c)) / self.total + self.freed * 2 ** -self.letters(w))
+    def price(self, token):
+        return -sum(math.log2(self.p(g)) for g in self.grams(token))
 
 
 def brute_judged(docs, trusted):
     """docs: (id, text, lang). bits, worst and verdict of each."""
     fold = [zlib.crc32((t or "").encode()) % ngram_lm.FOLDS for _, t, _ in docs]
     model = BruteModel([t for (i, t, _), f in zip(docs, fold, strict=True) if i in trusted and f])
-    price = {w: round(model.price(w) * ngram_lm.STEPS) / ngram_lm.STEPS for _, t, _ in docs for w in said(t)}
+    price = {x: round(model.price(x) * ngram_lm.STEPS) / ngram_lm.STEPS for _, t, _ in docs for x in tokens(t)}
     out = []
     for _, t, _ in docs:
-        w = said(t)
-        odd = [max(0, price[x] + math.log2(model.freed)) / (len(x) + ngram_lm.EDGES) for x in w if x not in model.words]
-        out.append((len(w), sum(price[x] for x in w), max(odd, default=0.0)))
+        w = tokens(t)
+        odd = [price[x] / (len(x[1]) + ngram_lm.EDGES) for x in w if x[1] not in model.words]
+        out.append((sum(len(x) + 1 for _, x in w), sum(price[x] for x in w), max(odd, default=0.0)))
 
     def limits(rows):
         mean = sum(b for _, b, _ in rows) / max(1, sum(n for n, _, _ in rows))
@@ -157,7 +155,8 @@ def test_bag_borders_change_nothing(spark, monkeypatch):
     """Small bags and many shards give what one bag and one shard give."""
     rows = hard(random.Random(4))[:200]
     monkeypatch.setattr(ngram_lm, "BLOCK_WORDS", 500)
-    monkeypatch.setattr(ngram_lm, "SHARD_WORDS", 700)
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(ngram_lm, "SIZED_BY", 2)
     agree(spark, rows, [i for i, _, _ in rows])
 
 
@@ -194,5 +193,5 @@ def test_query(spark):
     assert len(out) == len(docs)
     for (i, t, _), (n, bits, score, high, worst, most, kept) in zip(docs, brute_judged(docs, trusted), strict=True):
         r = out[i]
-        assert r.n_words == n and r.n_symbols == len(t or "") and r.kept == kept
+        assert r.n_words == len(said(t)) and r.n_priced == n and r.n_symbols == len(t or "") and r.kept == kept
         assert np.allclose([r.score, r.high, r.worst, min(r.most, 99), math.log2(r.perplexity)], [score, high, worst, min(most, 99), bits / max(n, 1)], atol=2e-3)
