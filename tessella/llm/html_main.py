@@ -1,11 +1,13 @@
 """Main text of a page: the maximum-scoring contiguous region.
 
-A page is a sequence of words and tags. Each word and each tag scores by its class
-(where it stands, which tag it is); the scores are log ratios of how often the class
-occurs inside and outside the main text of labelled pages. One linear scan finds the
-contiguous stretch of greatest sum. The stretch is rounded to whole blocks and widened to
-the closest article or main element around it. What stands within elements whose tag,
-role or names weigh against main text, by the same labelled pages, is left out of it.
+A page is a sequence of words and tags. Each word and each tag scores by its class: which tag it is,
+whether a word is linked, and whether it stands within an article, within a main element, beside
+one of these, or on a page without any. The scores are log ratios of how often the class occurs inside
+and outside the main text of labelled pages, so words within an article score high and tags there cost
+next to nothing, while words beside one score below zero. One linear scan finds the contiguous stretch of greatest
+sum, and its blocks are the text. What stands within elements whose tag, role or names weigh against
+main text, by the same labelled pages, is left out of it; where that would leave every article out, an article
+counts by its own names alone.
 
 A page is handled within one task by a tokeniser that reads it once; its time is linear in
 the page, however deep the markup.
@@ -73,19 +75,19 @@ def features(tag: str, raw: str, inside: bool) -> list[list[str]]:
 
 
 class Container:
-    """An article or main element: the blocks from first to last, and the one around it."""
+    """An article or main element; what stands in an article within main stands in an article."""
 
-    __slots__ = ("first", "last", "around")
+    __slots__ = ("place",)
 
-    def __init__(self, first: int, around: "Container | None"):
-        self.first, self.last, self.around = first, 1 << 62, around
+    def __init__(self, tag: str, around: "Container | None"):
+        self.place = "@article" if tag == "article" or around is not None and around.place == "@article" else "@main"
 
 
 class Block:
-    __slots__ = ("parts", "out", "link", "words", "within", "tag")
+    __slots__ = ("parts", "out", "link", "words", "tag")
 
-    def __init__(self, out: bool, within: Container | None, tag: str):
-        self.parts, self.out, self.link, self.words, self.within, self.tag = [], out, 0, 0, within, tag
+    def __init__(self, out: bool, tag: str):
+        self.parts, self.out, self.link, self.words, self.tag = [], out, 0, 0, tag
 
 
 class Open:
@@ -102,6 +104,9 @@ class Open:
     def within(self) -> Container | None:
         return self.stack[-1][2] if self.stack else None
 
+    def place(self) -> str:
+        return self.stack[-1][2].place if self.stack and self.stack[-1][2] else ""
+
     def block(self) -> str:
         return self.stack[self.blocks[-1]][0] if self.blocks else ""
 
@@ -111,25 +116,24 @@ class Open:
             self.blocks.append(len(self.stack))
         self.stack.append((tag, out, within))
 
-    def pop_to(self, place: int, made: int) -> None:
-        """Closes the element at a place and all within it; ``made``: blocks so far."""
+    def pop_to(self, place: int) -> None:
+        """Closes the element at a place and all within it."""
         while len(self.stack) > place:
-            tag, _, within = self.stack.pop()
+            tag, _, _ = self.stack.pop()
             self.places[tag].pop()
             if self.blocks and self.blocks[-1] == len(self.stack):
                 self.blocks.pop()
-            if tag in CONTAINERS and within is not self.within():
-                within.last = made - 1
 
-    def end(self, tag: str, made: int) -> None:
+    def end(self, tag: str) -> None:
         at = self.places.get(tag)
         # An inline end tag closes nothing beyond its block.
         if at and (tag in BLOCKS or not self.blocks or at[-1] > self.blocks[-1]):
-            self.pop_to(at[-1], made)
+            self.pop_to(at[-1])
 
 
-def tokens(page: str, left_out: Callable[[str, str, bool], bool]) -> tuple[list[tuple[str, int, int]], list[Block]]:
-    """(class, count, block) of each run of words and each tag, and the blocks."""
+def tokens(page: str, left_out: Callable[[str, str, bool], bool], own: bool = False) -> tuple[list[tuple[str, int, int]], list[Block]]:
+    """(class, count, block) of each run of words and each tag, and the blocks. own: an article
+    or main element is left out for its own names alone, not for those around it."""
     seq: list[tuple[str, int, int]] = []
     blocks: list[Block] = []
     open_, pending = Open(), True
@@ -144,12 +148,12 @@ def tokens(page: str, left_out: Callable[[str, str, bool], bool]) -> tuple[list[
             return
         out, links = open_.out(), bool(open_.places.get("a"))
         if pending or blocks[-1].out != out:
-            blocks.append(Block(out, open_.within(), open_.block()))
+            blocks.append(Block(out, open_.block()))
             pending = False
         blocks[-1].parts.append(text)
         blocks[-1].words += count
         blocks[-1].link += count * links
-        seq.append(("word-out" if out else "word-link" if links else "word", count, len(blocks) - 1))
+        seq.append((("word-out" if out else "word-link" if links else "word") + open_.place(), count, len(blocks) - 1))
 
     while at < n:
         lt = page.find("<", at)
@@ -169,34 +173,37 @@ def tokens(page: str, left_out: Callable[[str, str, bool], bool]) -> tuple[list[
         if m[1]:
             tag = m[1].lower()
             pending |= tag in BLOCKS
-            out = open_.out()
-            open_.end(tag, len(blocks))
-            seq.append(("tag-out" if out else "/" + tag, 1, len(blocks) - 1))
+            seq.append((("tag-out" if open_.out() else "/" + tag) + open_.place(), 1, len(blocks) - 1))
+            open_.end(tag)
         elif m[2]:
             tag, raw = m[2].lower(), m[3] or ""
             if tag in CLOSES_P and open_.block() == "p":
-                open_.pop_to(open_.blocks[-1], len(blocks))
+                open_.pop_to(open_.blocks[-1])
             if open_.block() in CLOSES.get(tag, ()):
-                open_.pop_to(open_.blocks[-1], len(blocks))
+                open_.pop_to(open_.blocks[-1])
                 if tag == "tr" and open_.block() == "tr":
-                    open_.pop_to(open_.blocks[-1], len(blocks))
+                    open_.pop_to(open_.blocks[-1])
             if tag in BLOCKS:
                 pending = True
             elif tag == "br" and blocks and not pending:
                 blocks[-1].parts.append(" ")
             out, within = open_.out(), open_.within()
-            seq.append(("tag-out" if out else tag, 1, len(blocks) - 1))
+            seq.append((("tag-out" if out else tag) + open_.place(), 1, len(blocks) - 1))
             if tag in RAW and not raw.endswith("/"):
                 end = _raw_end(tag).search(page, at)
                 at = end.start() if end else n
                 continue
             if tag not in VOID:
-                out = out and tag != "main" or left_out(tag, raw, within is not None)
-                open_.push(tag, out, Container(len(blocks), within) if tag in CONTAINERS else within)
-    open_.pop_to(0, len(blocks))
+                out = out and tag != "main" and not (own and tag in CONTAINERS) or left_out(tag, raw, within is not None)
+                open_.push(tag, out, Container(tag, within) if tag in CONTAINERS else within)
+    if any(c in _HELD for c, _, _ in seq):
+        seq = [(c if "@" in c else c + "@beside", n, b) for c, n, b in seq]
     return seq, blocks
 
 
+_HELD = frozenset(w + p for w in ("word", "word-link") for p in ("@article", "@main"))
+
+
 @cache
 def _raw_end(tag: str) -> re.Pattern:
     return re.compile(f"</{tag}[\\s/>]", re.I)
@@ -212,10 +219,10 @@ _PROSE = "Long lines of plain words tell what happened and why it matters to tho
 NAMES = (
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar sidebar side rail widget widgets aside related recommended recommendations share sharing social "
-    "comment comments reply replies discussion disqus respondform feedback search toolbar skip copyright legal disclaimer"
+    "comment comments reply replies response responses discussion disqus outbrain taboola adsense respondform feedback search toolbar skip copyright legal disclaimer"
 ).split()
-ALONG = "site page box block container wrapper wrap list inner outer section bar area button buttons link links item items row col column slot unit panel group module left right top bottom user reader form id js main global thread count".split()
-OWN = "header masthead banner toc legal copyright disclaimer".split()
+ALONG = "site page box block container wrapper wrap list inner outer section bar area button buttons link links item items row col column slot unit panel group module left right top bottom user reader form id js main global thread count root fb".split()
+OWN = "header masthead banner toc legal copyright disclaimer search".split()
 GOOD = "content article post entry story body text paragraph lead".split()
 ROLES = "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split()
 SKIPPED = "aside audio button canvas datalist dialog embed footer form head iframe input menu nav noembed noframes noscript object script search select style svg template textarea title video".split()
@@ -238,7 +245,8 @@ def labelled_pages() -> list[tuple[str, str]]:
             body.append("<p>Fin.</p>")
         main = [re.sub(r"<[^>]*>", "", b.replace("</li>", "</li>\n")).strip() for b in body if b[:2] in ("<h", "<p", "<u")]
         a, b = wraps[k % 4]
-        page = f"<html><head><title>t</title><script>var x=1;</script></head><body>{menus[k % 3]}{ads[k % 3]}{a}{''.join(body)}{b}{ads[(k + 1) % 3]}{tails[k // 3 % 3]}</body></html>"
+        beside = '<div class="strip">Read our weekly edition too.</div>' if k % 4 < 2 else ""
+        page = f"<html><head><title>t</title><script>var x=1;</script></head><body>{menus[k % 3]}{ads[k % 3]}{beside}{a}{''.join(body)}{b}{ads[(k + 1) % 3]}{tails[k // 3 % 3]}</body></html>"
         out.append((page, "\n".join(main)))
     return out
 
@@ -280,12 +288,12 @@ def element_weights() -> dict[str, float]:
 
 #: A feature of this weight, or less, leaves its element out.
 AGAINST = -1.0
-#: A word that no labelled page has speaks for an element as much.
-UNKNOWN = 1.5
+#: A word that no labelled page has speaks for an element as much, and within an article more.
+UNKNOWN, UNKNOWN_WITHIN = 1.5, 2.0
 
 
 def _told(words: list[str]) -> float:
-    return sum(element_weights().get(x, UNKNOWN) for x in words)
+    return sum(element_weights().get(x, UNKNOWN_WITHIN if x.startswith("in:") else UNKNOWN) for x in words)
 
 
 def left_out(tag: str, raw: str, inside: bool) -> bool:
@@ -295,9 +303,10 @@ def left_out(tag: str, raw: str, inside: bool) -> bool:
 
 @cache
 def weights() -> dict[str, float]:
-    """Log ratio of each class inside and outside of the main texts; words and tags
-    are scaled so that a plain word is worth 1. A tag scores no more than 0. A word
-    that is left out only separates, since it is never returned: it costs OUT at most."""
+    """Log ratio of each class inside and outside of the main texts, scaled so that a plain word is
+    worth 1. Words may speak for or against; a tag costs something everywhere, though next to nothing within
+    an article. A word that is left out only separates, since it is never returned: it costs OUT at
+    most, and within an article as little as a tag."""
     inside, outside = Counter(), Counter()
     for page, main in labelled_pages():
         lines = set(main.split("\n"))
@@ -309,7 +318,26 @@ def weights() -> dict[str, float]:
     a, b = sum(inside.values()), sum(outside.values())
     ratio = {c: log((inside[c] + 0.5) / (a + 1)) - log((outside[c] + 0.5) / (b + 1)) for c in {*inside, *outside}}
     unit = max(ratio.get("word", 1.0), 0.5)
-    return {c: (r / unit if c.startswith("word") else min(0.0, r / unit) * 0.5 - 0.1) for c, r in ratio.items()} | {"word-out": max(-OUT, ratio["word-out"] / unit)}
+    out = {c: r / unit for c, r in ratio.items() if c in ("word", "word-link") or c.startswith(("word@", "word-link@"))}
+    for c, r in ratio.items():
+        if c not in out:
+            least = LEAST.get(c.partition("@")[2], LEAST[""])
+            out[c] = max(-OUT, r / unit) * (least / LEAST[""]) if c.startswith("word-out") else min(0.0, r / unit) * 0.5 * (least / LEAST[""]) - least
+    return out
+
+
+#: What a tag costs at least, by its place; and three times that if no labelled page has it there.
+LEAST = {"": 0.1, "beside": 0.1, "main": 0.01, "article": 0.0003}
+
+
+def score(cls: str) -> float:
+    """A class that no labelled page has is a tag, or a word of a place that no page has."""
+    if (known := weights().get(cls)) is not None:
+        return known
+    kind, _, place = cls.partition("@")
+    if kind in ("word", "word-link"):
+        return -1.0 if place == "beside" else 1.0
+    return -3 * LEAST[place]
 
 
 def _text(b: Block) -> str:
@@ -331,22 +359,25 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None) -> str:
     seq, blocks = tokens(page or "", left_out)
-    w = weights()
-    first, last = best_stretch([w.get(c, -0.3) * n for c, n, _ in seq])
-    hit = [b for c, _, b in seq[first : last + 1] if c == "word"]
+    if not any(c in _HELD for c, _, _ in seq):
+        # No word of an article is left in: then what is around an article has no say.
+        other = tokens(page or "", left_out, own=True)
+        if any(c in _HELD for c, _, _ in other[0]):
+            seq, blocks = other
+    held = any(c in _HELD for c, _, _ in seq)
+    first, last = best_stretch([score(c) * n for c, n, _ in seq])
+    hit = [b for c, _, b in seq[first : last + 1] if c.startswith(("word", "word-link")) and not blocks[b].out]
     if not hit:
         return ""
     lo, hi = min(hit), max(hit)
-    # The innermost article or main around all of the stretch; among siblings, the stretch stays.
-    around = blocks[lo].within
-    while around is not None and not around.first <= lo <= hi <= around.last:
-        around = around.around
-    if around is not None:
-        lo, hi = around.first, min(around.last, len(blocks) - 1)
-    else:  # a heading that is a link belongs to what follows it
-        while lo and blocks[lo - 1].tag in HEADINGS and not blocks[lo - 1].out and blocks[lo - 1].words:
-            lo -= 1
-    found = (_text(b) for b in blocks[lo : hi + 1] if not b.out and not (around is None and b.tag == "li" and b.words == b.link))
+    while lo and blocks[lo - 1].tag in HEADINGS and not blocks[lo - 1].out and blocks[lo - 1].words:
+        lo -= 1  # a heading, even a link, belongs to what follows it
+    menu = lambda b: b.tag == "li" and b.words == b.link
+    while not held and lo <= hi and (menu(blocks[lo]) or blocks[lo].out):
+        lo += 1  # lists of links at the edges are menus
+    while not held and lo <= hi and (menu(blocks[hi]) or blocks[hi].out):
+        hi -= 1
+    found = (_text(b) for b in blocks[lo : hi + 1] if not b.out)
     return "\n".join(t for t in found if t)
 
 
