@@ -2,11 +2,11 @@
 
 The model is one of ORDER symbols, trained on the trusted texts: each symbol of a word and the word's
 end have a probability given the ORDER - 1 symbols before them. A word's context reaches back over the
-white space to the last symbol of the word before it, so it tells how words follow each other:
+white space to the kind of the last symbol of the word before it, so it tells how words follow each other:
 a capital after no full stop, a list of cells, a shout. Symbols are code points as they are;
 nothing is folded, and all white space is one symbol. All tables grow with the texts.
 
-Texts fall into tokens, a word with the last symbol of the word before it. Word n-grams proper are no
+Texts fall into tokens, a word with that kind before it. Word n-grams proper are no
 better a judge here, and dearer (README).
 
 1. Documents become bags: BLOCK_WORDS words of text in one row, which holds the distinct
@@ -55,14 +55,14 @@ PRIOR = 200
 MEAN, WORST = 0.9975, 0.98  # quantiles of the calibration texts
 MARGIN, WORST_MARGIN = 0.05, 0.5  # in bits
 EDGES = 1.5  # symbols added to a word's length, so that short words prove less
-STEPS = 256  # surprise is kept and ranked in steps of one bit by STEPS
+STEPS = 128  # surprise is kept and ranked in steps of one bit by STEPS
 LEAST = 50  # calibration texts that a language needs for thresholds of its own
 START, END = "\x02", "\x03"
 _START = START.encode()
 
 
-def _deflated(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _deflated(raw: bytes, level: int = 1) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _inflated(raw: bytes) -> bytes:
@@ -79,7 +79,7 @@ def unpacked(raw: bytes, width: int = 4) -> np.ndarray:
 
 
 def listed(words: list[bytes]) -> bytes:
-    return _deflated(b"\n".join(words))
+    return _deflated(b"\n".join(words), 6)
 
 
 def unlisted(raw: bytes) -> list[bytes]:
@@ -87,19 +87,21 @@ def unlisted(raw: bytes) -> list[bytes]:
     return text.split(b"\n") if text else []
 
 
+def kind(symbol: str) -> str:
+    """What a word's last symbol is to the next word: a capital, a letter, a digit or itself."""
+    return "A" if symbol.isupper() else "a" if symbol.isalpha() else "9" if symbol.isdigit() else symbol
+
+
 class _Ends(dict):
-    """The last symbol of a word, in bytes."""
+    """The kind of the last symbol of a word, in bytes."""
 
     def __missing__(self, word: bytes) -> bytes:
-        at = len(word) - 1
-        while at and word[at] & 0xC0 == 0x80:
-            at -= 1
-        self[word] = word[at:]
-        return self[word]
+        self[word] = out = kind(word.decode("utf-8", "surrogatepass")[-1]).encode("utf-8", "surrogatepass")
+        return out
 
 
 def tokens(words: list[bytes], ends: _Ends) -> list[bytes]:
-    """Each word behind the last symbol of the one before it; behind START, the first one."""
+    """Each word behind the kind of the last symbol of the one before it; behind START, the first one."""
     return [_START + words[0], *map(add, map(ends.__getitem__, words[:-1]), words[1:])] if words else []
 
 

@@ -31,9 +31,10 @@ def kn_discounts(counts):
 
 
 def tokens(text):
-    """(last symbol of the word before, word) for each word."""
+    """(kind of the last symbol of the word before, word) for each word."""
     w = said(text)
-    return [(b[-1] if b else "\x02", x) for b, x in zip([None, *w], w)]
+    kind = lambda c: "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+    return [(kind(b[-1]) if b else "\x02", x) for b, x in zip([None, *w], w)]
 
 
 class BruteModel:
