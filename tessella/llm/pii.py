@@ -310,30 +310,39 @@ def trained(steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Crf:
                 if s not in (t, "B" + t[1:]):
                     barred[i, j] = -1e4
     moments = [np.zeros_like(x) for x in (emit, emit, move, move)]
-    runs_ids = [[[index[n] for n in w] for w in run] for run in names]
+    # Runs by falling length, so that those that reach a place are the first ones.
+    order = sorted(range(len(names)), key=lambda r: -len(names[r]))
+    lengths = np.array([len(names[r]) for r in order])
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    words = [[index[n] for n in w] for r in order for w in names[r]]
+    sizes = np.array([len(w) for w in words])
+    flat, begins = np.concatenate(words), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    gold = np.array([t for r in order for t in tags[r]])
+    reach = [int((lengths > t).sum()) for t in range(int(lengths[0]) + 1)]
     for step in range(1, steps + 1):
+        full = move + barred
+        e = np.add.reduceat(emit[flat], begins)
+        a, b = np.empty_like(e), np.empty_like(e)
+        a[first] = full[0] + e[first]
+        for t, n in enumerate(reach[1:-1], 1):
+            a[first[:n] + t] = _logsum(a[first[:n] + t - 1][:, :, None] + full, 1) + e[first[:n] + t]
+        b[first + lengths - 1] = full[:, 0]
+        for t, n in reversed(list(enumerate(reach[1:-1], 1))):
+            b[first[:n] + t - 1] = _logsum(full + (e + b)[first[:n] + t][:, None, :], 2)
+        z = _logsum(a[first] + b[first], 1)
+        p = -np.exp(a + b - np.repeat(z, lengths)[:, None])
+        p[np.arange(len(gold)), gold] += 1
         de, dm = -decay * emit, -decay * move
-        crf = Crf(index, emit, move + barred)
-        for ids, gold in zip(runs_ids, tags, strict=True):
-            e = np.array([emit[w].sum(axis=0) for w in ids])
-            a = [crf.move[0] + e[0]]
-            for t in range(1, len(e)):
-                a.append(_logsum(a[-1][:, None] + crf.move, 0) + e[t])
-            b = [crf.move[:, 0]]
-            for t in range(len(e) - 1, 0, -1):
-                b.insert(0, _logsum(crf.move + (e[t] + b[0])[None], 1))
-            z = _logsum(a[-1] + b[-1], 0)
-            for t, w in enumerate(ids):
-                p = -np.exp(a[t] + b[t] - z)
-                p[gold[t]] += 1
-                de[w] += p
-                if t:
-                    dm -= np.exp(a[t - 1][:, None] + crf.move + (e[t] + b[t])[None] - z)
-                    dm[gold[t - 1], gold[t]] += 1
-            dm[0] -= np.exp(a[0] + b[0] - z)
-            dm[0, gold[0]] += 1
-            dm[:, 0] -= np.exp(a[-1] + b[-1] - z)
-            dm[gold[-1], 0] += 1
+        np.add.at(de, flat, np.repeat(p, sizes, axis=0))
+        for t, n in enumerate(reach[1:-1], 1):
+            at = first[:n] + t
+            dm -= np.exp(a[at - 1][:, :, None] + full + (e + b)[at][:, None, :] - z[:n, None, None]).sum(axis=0)
+            np.add.at(dm, (gold[at - 1], gold[at]), 1)
+        dm[0] -= np.exp(a[first] + b[first] - z[:, None]).sum(axis=0)
+        np.add.at(dm[0], gold[first], 1)
+        ends = first + lengths - 1
+        dm[:, 0] -= np.exp(a[ends] + b[ends] - z[:, None]).sum(axis=0)
+        np.add.at(dm[:, 0], gold[ends], 1)
         for x, g, m, v in ((emit, de, *moments[:2]), (move, dm, *moments[2:])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -354,6 +363,17 @@ def _trim(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     return start, end
 
 
+def _quoted(text: str, start: int, end: int) -> int:
+    """Where the value ends that begins in a quote right after a name of secrets: at the
+    quote's end, if the line has one; whatever stands between belongs to it."""
+    quote = text[start - 1 : start]
+    if quote and quote in QUOTES and text[:start - 1].rstrip()[-1:] in ("=", ":"):
+        line = text.find("\n", start)
+        close = text.find(quote, start, line if line >= 0 else len(text))
+        return max(end, close)
+    return end
+
+
 def find(texts: list[str], crf: Crf) -> list[list[tuple[str, int, int]]]:
     """All spans of each text, by kind as listed, then start: the base ones first."""
     found = [runs(t) for t in texts]
@@ -371,7 +391,9 @@ def find(texts: list[str], crf: Crf) -> list[list[tuple[str, int, int]]]:
                     upto += 1
                 if tag[2:] in ADDED:
                     start, end = _trim(text, r[at][0], r[upto - 1][1], tag[2:])
-                    if end > start and not any(s < end and start < e for _, s, e in base):
+                    if tag[2:] == "secret" and start == r[at][0] and end > start:
+                        end = _quoted(text, start, end)
+                    if end > start and not any(s < end and start < e for _, s, e in [*base, *added[-1:]]):
                         added.append((tag[2:], start, end))
                 at = upto
         rank = {k: i for i, k in enumerate([*KINDS, *ADDED])}
