@@ -11,7 +11,7 @@ RESPONSE_BYTES = 8 << 20
 #: Codes of answers that end the exchange (fixed values).
 FAILURES = {"OCR_AUTHENTICATION_FAILED": (401, 403), "OCR_IMAGE_REJECTED": (400, 413, 415, 422), "OCR_RATE_LIMITED": (429,), "OCR_SERVICE_UNAVAILABLE": (500, 502, 503, 504)}
 #: How a busy service answers by application: it waits, or refuses (fixed values).
-BUSY = {"office2md": None, "ppt-pdf-to-images": (503, "CONVERSION_BUSY"), "movie2audio": (503, "CONVERSION_BUSY"), "html2pptx": (429, "BUSY")}
+BUSY = {"documents": None, "page images": (503, "CONVERSION_BUSY"), "audio": (503, "CONVERSION_BUSY"), "slides": (429, "BUSY")}
 TIMEOUT, LONGEST = 180, 210  # seconds of a conversion
 
 
