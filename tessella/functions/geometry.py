@@ -1,5 +1,7 @@
 """Geometry, units and colours (Column -> Column)."""
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +77,49 @@ def tint(channel: Column, amount: Column) -> Column:
     mixed = linear * amount + (1 - amount)
     back = F.when(mixed <= 0.0031308, mixed * 12.92).otherwise(F.pow(mixed, F.lit(1 / 2.4)) * 1.055 - 0.055)
     return F.round(back * 255).cast("int")
+
+
+def rounded_box(width: Column, height: Column, radii: Column, fine: float = 0.025) -> Column:
+    """The outline of a box with elliptic corners, clockwise from the upper left: an array of (x, y). radii: an
+    array of (rx, ry) for the upper left, upper right, lower right and lower left corner. A corner has as many chords
+    as keep it within ``fine`` of its arc; one without a radius is its point twice."""
+    right, bottom = width, height
+
+    def corner(k: int, cx: Column, cy: Column) -> Column:
+        rx, ry = radii[k]["rx"], radii[k]["ry"]
+        most = F.greatest(rx, ry)
+        count = F.greatest(F.lit(1), F.ceil(F.lit(math.pi / 2) / F.acos(F.greatest(F.lit(-1.0), 1 - fine / F.greatest(most, F.lit(fine)))))).cast("int")
+        angle = lambda i: F.lit(math.pi + k * math.pi / 2) + i / count * (math.pi / 2)
+        return F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((cx + rx * F.cos(angle(i))).alias("x"), (cy + ry * F.sin(angle(i))).alias("y")))
+
+    r = lambda k, side: radii[k][side]
+    return F.concat(corner(0, r(0, "rx"), r(0, "ry")), corner(1, right - r(1, "rx"), r(1, "ry")), corner(2, right - r(2, "rx"), bottom - r(2, "ry")), corner(3, r(3, "rx"), bottom - r(3, "ry")))
+
+
+def half_plane(points: Column, axis: str, bound: Column, sign: int, slack: float = 1e-8) -> Column:
+    """The part of a closed polygon where axis lies at or beyond the bound (sign 1) or up to it (-1)."""
+    return F.get(F.transform(F.array(points), lambda held: _half_plane(held, axis, bound, sign, slack)), 0)  # points are computed once
+
+
+def _half_plane(points: Column, axis: str, bound: Column, sign: int, slack: float) -> Column:
+    other = "y" if axis == "x" else "x"
+    n = F.size(points)
+    inside = lambda p: (p[axis] - bound) * sign >= -slack
+
+    def edge(i: Column) -> Column:
+        a, b = F.get(points, i), F.get(points, (i + 1) % n)
+        t = (bound - a[axis]) / (b[axis] - a[axis])
+        cut = {axis: a[axis] + t * (b[axis] - a[axis]), other: a[other] + t * (b[other] - a[other])}
+        crossing = F.struct(cut["x"].alias("x"), cut["y"].alias("y"))
+        return F.array(F.when(inside(a), a), F.when(inside(a) != inside(b), crossing))
+
+    kept = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), edge)), lambda p: p.isNotNull())
+    return F.when(n > 0, kept).otherwise(points)
+
+
+def clipped(points: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """A closed polygon within a rectangle; empty if nothing of it is."""
+    out = half_plane(points, "x", x, 1)
+    out = half_plane(out, "x", x + width, -1)
+    out = half_plane(out, "y", y, 1)
+    return half_plane(out, "y", y + height, -1)

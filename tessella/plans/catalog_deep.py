@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..operators import expansion, overflow, ownership, splits, timing
+from ..functions import geometry
+from ..operators import curves, expansion, overflow, ownership, splits, timing
 from ..sources import html
 from ..streaming import jobs, results, retention
 from .catalog import CELLS, cells, query, t
@@ -214,3 +215,53 @@ def cell_overflow(spark, sf_dir):
     tracks = sheets.select("sheet", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("line")).selectExpr("sheet", "line", "cast(20 * (line - 1) + 5 * line * (line - 1) / 2 as double) AS start", "cast(20 + 5 * line as double) AS size")
     pages = sheets.select("sheet", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("page")).selectExpr("sheet", "page", "page * 90D AS start", "(page + 1) * 90D AS end")
     return overflow.visible(overflow.boxes(c, tracks, ["sheet"]), pages, ["sheet"])
+
+
+def _half(name: str, source: str, axis: str, bound: str, sign: str) -> str:
+    """DuckDB SQL of one half-plane over lists of points."""
+    other = "y" if axis == "x" else "x"
+    inside = lambda p: f"({p}.{axis} - {bound}) * {sign} >= -1e-8"
+    a, b = "pts[i]", "pts[i % len(pts) + 1]"
+    cut = f"({bound} - {a}.{axis}) / ({b}.{axis} - {a}.{axis})"
+    ends = {axis: f"{a}.{axis} + {cut} * ({b}.{axis} - {a}.{axis})", other: f"{a}.{other} + {cut} * ({b}.{other} - {a}.{other})"}
+    return f"""{name} AS (SELECT id, w, h, list_filter(flatten(list_transform(range(1, len(pts) + 1), lambda i: [CASE WHEN {inside(a)} THEN {a} END, CASE WHEN ({inside(a)}) <> ({inside(b)}) THEN {{'x': {ends["x"]}, 'y': {ends["y"]}}} END])), lambda p: p IS NOT NULL) AS pts FROM {source})"""
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey AS id, CAST(10 + p_partkey % 40 AS DOUBLE) AS w, CAST(8 + p_size AS DOUBLE) AS h, list_transform([[0.0, 0.5], [0.25, 0.0], [0.75, 0.0], [1.0, 0.5], [0.75, 1.0], [0.25, 1.0]], lambda v: {{'x': v[1] * (64 + p_size)::DOUBLE - (p_partkey % 16)::DOUBLE, 'y': v[2] * (32 + p_partkey % 32)::DOUBLE - (p_size % 8)::DOUBLE}}) AS pts FROM part),
+  {_half("a", "s", "x", "0.0", "1")}, {_half("b", "a", "x", "w", "(-1)")}, {_half("c", "b", "y", "0.0", "1")}, {_half("d", "c", "y", "h", "(-1)")}
+  SELECT id, CAST(len(pts) AS INT) AS n, array_to_string(list_transform(pts, lambda p: CAST(CAST(floor(p.x * 9525 + 0.5) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(floor(p.y * 9525 + 0.5) AS BIGINT) AS VARCHAR)), ';') AS path FROM d"""
+)
+def picture_clips(spark, sf_dir):
+    """Outlines of pictures within the rectangle that shows, in EMU."""
+    corners = ", ".join(f"named_struct('u', {u}D, 'v', {v}D)" for u, v in ((0.0, 0.5), (0.25, 0.0), (0.75, 0.0), (1.0, 0.5), (0.75, 1.0), (0.25, 1.0)))
+    points = f"transform(array({corners}), c -> named_struct('x', c.u * (64 + p_size) - p_partkey % 16, 'y', c.v * (32 + p_partkey % 32) - p_size % 8))"
+    p = t(spark, sf_dir, "part").selectExpr("p_partkey AS id", "cast(10 + p_partkey % 40 as double) AS w", "cast(8 + p_size as double) AS h", f"{points} AS pts")
+    for axis, bound, sign in (("x", F.lit(0.0), 1), ("x", F.col("w"), -1), ("y", F.lit(0.0), 1), ("y", F.col("h"), -1)):
+        p = p.withColumn("pts", geometry.half_plane(F.col("pts"), axis, bound, sign))
+    emu = lambda v: F.floor(v * geometry.EMU_PIXEL + 0.5).cast("string")
+    return p.select("id", F.size("pts").alias("n"), F.array_join(F.transform("pts", lambda q: F.concat(emu(q["x"]), F.lit(" "), emu(q["y"]))), ";").alias("path"))
+
+
+_CURVES = """s AS (SELECT vec_id // 3 AS element, vec_id % 3 AS member, CAST(vec_id * 7 % 40 * 8 + k * (4 + 4 * (vec_id % 5)) AS DOUBLE) AS t, floor(embedding[k + 1] * 64) / 4.0 AS x, floor(embedding[k + 9] * 64) / 4.0 AS y, CASE WHEN vec_id % 4 = 0 THEN floor(embedding[k + 17] * 256) ELSE 0 END::DOUBLE AS rotation, CASE WHEN vec_id % 3 = 0 THEN 1 + k / 8.0 ELSE 1 END::DOUBLE AS scale FROM embeddings, range(8) r(k)),
+  ax AS (SELECT element, t FROM (SELECT element, t, t - lag(t) OVER (PARTITION BY element ORDER BY t) AS gap FROM (SELECT DISTINCT element, t FROM s)) WHERE gap IS NULL OR gap > 1e-7),
+  am AS (SELECT ax.element, member, ax.t FROM ax JOIN (SELECT DISTINCT element, member FROM s) m ON m.element = ax.element),
+  b AS (SELECT am.*, s.t AS bt, s.x AS bx, s.y AS bY2, s.rotation AS br, s.scale AS bs FROM am ASOF LEFT JOIN s ON s.element = am.element AND s.member = am.member AND am.t >= s.t),
+  ab AS (SELECT b.*, s.t AS at2, s.x AS ax2, s.y AS ay2, s.rotation AS ar, s.scale AS as2 FROM b ASOF LEFT JOIN s ON s.element = b.element AND s.member = b.member AND b.t <= s.t),
+  v AS (SELECT element, member, t, CASE WHEN at2 > bt THEN (t - bt) / (at2 - bt) ELSE 0 END AS f, coalesce(bx, ax2) AS bx, coalesce(bY2, ay2) AS b_y, coalesce(br, ar) AS br, coalesce(bs, as2) AS bs, coalesce(ax2, bx) AS a_x, coalesce(ay2, bY2) AS a_y, coalesce(ar, br) AS a_r, coalesce(as2, bs) AS a_s FROM ab)"""
+
+
+@query(
+    f"""WITH {_CURVES} SELECT element, t, round(sum(bx + f * (a_x - bx)), 6) AS x, round(sum(b_y + f * (a_y - b_y)), 6) AS y, round(sum(br + f * (a_r - br)), 6) AS rotation, round(product(bs + f * (a_s - bs)), 6) AS "scaleX" FROM v GROUP BY element, t"""
+)
+def composed_curves(spark, sf_dir):
+    """Animations of one element joined on the times of all of them."""
+    out = curves.composed(_curves(spark, sf_dir), ["element"])
+    return out.select("element", "t", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "rotation", "scaleX")])
+
+
+def _curves(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    at = lambda shift, by: f"floor(embedding[k + {shift}] * {by})"
+    return e.selectExpr("vec_id div 3 AS element", "vec_id % 3 AS member", "cast(vec_id * 7 % 40 * 8 + k * (4 + 4 * (vec_id % 5)) as double) AS t", f"{at(0, 64)} / 4D AS x", f"{at(8, 64)} / 4D AS y", f"cast(if(vec_id % 4 = 0, {at(16, 256)}, 0) as double) AS rotation",
+        "cast(if(vec_id % 3 = 0, 1 + k / 8D, 1) as double) AS scaleX", "1D AS scaleY", "1D AS opacity")
