@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import geometry
-from ..operators import curves, expansion, overflow, ownership, splits, timing
+from ..operators import curves, expansion, overflow, ownership, ranges, regions, splits, timing
 from ..sources import html
 from ..streaming import jobs, results, retention
 from .catalog import CELLS, cells, query, t
@@ -265,3 +265,38 @@ def _curves(spark, sf_dir):
     at = lambda shift, by: f"floor(embedding[k + {shift}] * {by})"
     return e.selectExpr("vec_id div 3 AS element", "vec_id % 3 AS member", "cast(vec_id * 7 % 40 * 8 + k * (4 + 4 * (vec_id % 5)) as double) AS t", f"{at(0, 64)} / 4D AS x", f"{at(8, 64)} / 4D AS y", f"cast(if(vec_id % 4 = 0, {at(16, 256)}, 0) as double) AS rotation",
         "cast(if(vec_id % 3 = 0, 1 + k / 8D, 1) as double) AS scaleX", "1D AS scaleY", "1D AS opacity")
+
+
+_SHEET = """cols AS (SELECT sheet, line, CAST(sum(sz) OVER (PARTITION BY sheet ORDER BY line) - sz AS DOUBLE) AS start, CAST(sz AS DOUBLE) AS size FROM (SELECT sheet, line, CASE WHEN line % 13 = 5 THEN 0 ELSE 20 END AS sz FROM range(0, 8) s(sheet), range(1, 61) r(line))),
+  rws AS (SELECT sheet, line, CAST(sum(sz) OVER (PARTITION BY sheet ORDER BY line) - sz AS DOUBLE) AS start, CAST(sz AS DOUBLE) AS size FROM (SELECT sheet, line, CASE WHEN line % 17 = 3 THEN 0 ELSE 10 END AS sz FROM range(0, 8) s(sheet), range(0, 200) r(line))),
+  tb AS (SELECT p_partkey % 8 AS sheet, p_partkey // 8 % 5 * 40 AS r1, p_partkey // 8 % 5 * 40 + max(p_size) % 36 + 2 AS r2, p_partkey // 40 % 3 * 20 + 1 AS c1, p_partkey // 40 % 3 * 20 + 1 + max(p_size) % 18 AS c2 FROM part WHERE p_partkey % 7 < 3 GROUP BY 1, 2, 4, p_partkey // 8 % 5, p_partkey // 40 % 3),
+  mg AS (SELECT DISTINCT s_suppkey % 8 AS sheet, s_suppkey * 7 % 49 * 4 AS r1, s_suppkey * 7 % 49 * 4 + 1 AS r2, s_suppkey * 5 % 14 * 4 + 2 AS c1, s_suppkey * 5 % 14 * 4 + 3 AS c2 FROM supplier),
+  ct AS (SELECT DISTINCT l_orderkey % 8 AS sheet, l_partkey * 3 % 200 AS row, l_suppkey * 11 % 60 + 1 AS col FROM lineitem WHERE l_orderkey % 20 < 4),
+  it AS (SELECT o_orderkey // 40 % 8 AS sheet, o_orderkey AS id, CAST(o_orderkey * 37 % 1000 AS DOUBLE) + 0.5 AS x, CAST(o_custkey * 11 % 1700 AS DOUBLE) + 0.25 AS y, CAST(15 + o_orderkey % 90 AS DOUBLE) AS w, CAST(12 + o_custkey % 60 AS DOUBLE) AS h FROM orders WHERE o_orderkey % 40 = 0)"""
+_BOXED = "SELECT s.*, a.start AS x, c.start AS y, b.start + b.size - a.start AS w, d.start + d.size - c.start AS h FROM {src} s JOIN cols a ON a.sheet = s.sheet AND a.line = s.c1 JOIN cols b ON b.sheet = s.sheet AND b.line = s.c2 JOIN rws c ON c.sheet = s.sheet AND c.line = s.r1 JOIN rws d ON d.sheet = s.sheet AND d.line = s.r2"
+_JUDGED = """SELECT s.sheet, r1, r2, c1, c2, s.x, s.y, s.w, s.h, (r2 - r1 + 1) * (c2 - c1 + 1) <= 300 AND ceil((greatest(max(it.x + it.w), s.x + s.w) - least(min(it.x), s.x) + 6) * 96 / 72) * ceil((greatest(max(it.y + it.h), s.y + s.h) - least(min(it.y), s.y) + 6) * 96 / 72) <= 200000 AS fits
+  FROM ({src}) s JOIN it ON it.sheet = s.sheet AND it.x < s.x + s.w AND s.x < it.x + it.w AND it.y < s.y + s.h AND s.y < it.y + it.h GROUP BY s.sheet, r1, r2, c1, c2, s.x, s.y, s.w, s.h"""
+
+
+@query(
+    f"""WITH {_SHEET}, big AS ({_JUDGED.format(src=_BOXED.format(src="tb"))}),
+  nr AS (SELECT DISTINCT b.sheet, greatest(b.r1, (SELECT max(line) FROM rws WHERE rws.sheet = b.sheet AND start <= greatest(b.y, it.y))) AS r1, least(b.r2, (SELECT max(line) FROM rws WHERE rws.sheet = b.sheet AND start < least(b.y + b.h, it.y + it.h))) AS r2,
+      greatest(b.c1, (SELECT max(line) FROM cols WHERE cols.sheet = b.sheet AND start <= greatest(b.x, it.x))) AS c1, least(b.c2, (SELECT max(line) FROM cols WHERE cols.sheet = b.sheet AND start < least(b.x + b.w, it.x + it.w))) AS c2
+    FROM big b JOIN it ON it.sheet = b.sheet AND it.x < b.x + b.w AND b.x < it.x + it.w AND it.y < b.y + b.h AND b.y < it.y + it.h WHERE NOT fits),
+  cl AS (SELECT DISTINCT n.sheet, rws.line AS row, cols.line AS col FROM nr n JOIN rws ON rws.sheet = n.sheet AND rws.line BETWEEN r1 AND r2 AND rws.size > 0 JOIN cols ON cols.sheet = n.sheet AND cols.line BETWEEN c1 AND c2 AND cols.size > 0 WHERE (r2 - r1 + 1) * (c2 - c1 + 1) <= 300),
+  sp AS (SELECT cl.sheet, coalesce(m.r1, row) AS r1, coalesce(m.r2, row) AS r2, coalesce(m.c1, col) AS c1, coalesce(m.c2, col) AS c2 FROM cl LEFT JOIN mg m ON m.sheet = cl.sheet AND row BETWEEN m.r1 AND m.r2 AND col BETWEEN m.c1 AND m.c2
+    UNION SELECT m.sheet, r1, r2, c1, c2 FROM mg m JOIN ct ON ct.sheet = m.sheet AND ct.row = r1 AND ct.col = c1 WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.sheet = m.sheet AND m.r1 BETWEEN tb.r1 AND tb.r2 AND m.c1 BETWEEN tb.c1 AND tb.c2)
+    UNION SELECT ct.sheet, row, row, col, col FROM ct WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.sheet = ct.sheet AND row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2) AND NOT EXISTS (SELECT 1 FROM mg WHERE mg.sheet = ct.sheet AND row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2)),
+  vs AS (SELECT sp.* FROM sp JOIN rws ON rws.sheet = sp.sheet AND rws.line = r1 AND rws.size > 0 JOIN cols ON cols.sheet = sp.sheet AND cols.line = c1 AND cols.size > 0), lc AS ({_JUDGED.format(src=_BOXED.format(src="vs"))})
+  SELECT sheet, r1, r2, c1, c2, 'table' AS kind, x, y, w, h FROM big WHERE fits UNION ALL SELECT sheet, r1, r2, c1, c2, 'cells', x, y, w, h FROM lc WHERE fits"""
+)
+def preview_regions(spark, sf_dir):
+    """Tables and cells that are painted with the drawings over them."""
+    tracks = lambda first, last, hidden, size: spark.range(8).select(F.col("id").alias("sheet"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("line")).selectExpr("sheet", "cast(line as bigint) AS line", f"if({hidden}, 0D, {size}D) AS size")
+    cols, rws = (ranges.prefix_offsets(x, ["sheet"], "line", "size").drop("end") for x in (tracks(1, 60, "line % 13 = 5", 20), tracks(0, 199, "line % 17 = 3", 10)))
+    p = t(spark, sf_dir, "part").where("p_partkey % 7 < 3").selectExpr("p_partkey % 8 AS sheet", "p_partkey div 8 % 5 * 40 AS r1", "p_partkey div 40 % 3 * 20 + 1 AS c1", "p_size")
+    tables = p.groupBy("sheet", "r1", "c1").agg(F.max("p_size").alias("s")).selectExpr("sheet", "r1", "r1 + s % 36 + 2 AS r2", "c1", "c1 + s % 18 AS c2")
+    merged = t(spark, sf_dir, "supplier").selectExpr("s_suppkey % 8 AS sheet", "s_suppkey * 7 % 49 * 4 AS r1", "s_suppkey * 7 % 49 * 4 + 1 AS r2", "s_suppkey * 5 % 14 * 4 + 2 AS c1", "s_suppkey * 5 % 14 * 4 + 3 AS c2").distinct()
+    content = t(spark, sf_dir, "lineitem").where("l_orderkey % 20 < 4").selectExpr("l_orderkey % 8 AS sheet", "l_partkey * 3 % 200 AS row", "l_suppkey * 11 % 60 + 1 AS col").distinct()
+    items = t(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").selectExpr("o_orderkey div 40 % 8 AS sheet", "o_orderkey AS id", "o_orderkey * 37 % 1000 + 0.5D AS x", "o_custkey * 11 % 1700 + 0.25D AS y", "cast(15 + o_orderkey % 90 as double) AS width", "cast(12 + o_custkey % 60 as double) AS height")
+    return regions.touching(tables, content, merged, items, rws, cols, ["sheet"], 300, 200_000)
