@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import geometry
-from ..operators import curves, expansion, overflow, ownership, ranges, regions, splits, timing
+from ..operators import curves, expansion, overflow, ownership, packages, ranges, regions, splits, text_styles, timing
 from ..sources import html
 from ..streaming import jobs, results, retention
 from .catalog import CELLS, cells, query, t
@@ -300,3 +300,64 @@ def preview_regions(spark, sf_dir):
     content = t(spark, sf_dir, "lineitem").where("l_orderkey % 20 < 4").selectExpr("l_orderkey % 8 AS sheet", "l_partkey * 3 % 200 AS row", "l_suppkey * 11 % 60 + 1 AS col").distinct()
     items = t(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").selectExpr("o_orderkey div 40 % 8 AS sheet", "o_orderkey AS id", "o_orderkey * 37 % 1000 + 0.5D AS x", "o_custkey * 11 % 1700 + 0.25D AS y", "cast(15 + o_orderkey % 90 as double) AS width", "cast(12 + o_custkey % 60 as double) AS height")
     return regions.touching(tables, content, merged, items, rws, cols, ["sheet"], 300, 200_000)
+
+
+_STYLED = """tx AS (SELECT conv_id, turn AS paragraph, 0 AS ord, role AS text, 0 AS salt FROM conversations UNION ALL SELECT conv_id, turn, 1, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(9), ' '), 1 FROM conversations UNION ALL SELECT conv_id, turn, 2, chr(10), 2 FROM conversations WHERE turn % 3 = 1),
+  pg AS (SELECT DISTINCT conv_id, turn AS paragraph, least(8, conv_id % 12) + 1 AS level, CASE WHEN turn % 4 = 2 THEN '•' END AS bullet, CASE turn % 3 WHEN 0 THEN 'ctr' WHEN 1 THEN 'r' END AS align FROM conversations),
+  df AS (SELECT conv_id, scope, CASE WHEN k < 9 THEN k + 1 END AS level, scope * 2 + CASE WHEN k < 9 THEN 0 ELSE 1 END AS rk, CASE WHEN (conv_id + k + scope) % 4 = 0 THEN CAST(800 + 100 * k + scope AS VARCHAR) END AS size, CASE WHEN (conv_id + k) % 5 = scope THEN '1' END AS bold, CASE WHEN (conv_id * k + scope) % 6 = 1 THEN '+mj-ea' WHEN (conv_id * k + scope) % 6 = 2 THEN '' END AS ea, CASE WHEN (conv_id + k * scope) % 3 = 1 THEN 'Serif ' || CAST(k AS VARCHAR) END AS latin, CASE WHEN (conv_id + k + scope) % 7 < 2 THEN 'accent' || CAST(k % 3 + 1 AS VARCHAR) END AS colour
+    FROM (SELECT DISTINCT conv_id FROM conversations), range(0, 3) s(scope), range(0, 10) r(k)),
+  fr AS (SELECT p.conv_id, p.paragraph, arg_min(d.size, rk) FILTER (d.size IS NOT NULL) AS size, arg_min(d.bold, rk) FILTER (d.bold IS NOT NULL) AS bold, arg_min(d.ea, rk) FILTER (d.ea IS NOT NULL) AS ea, arg_min(d.latin, rk) FILTER (d.latin IS NOT NULL) AS latin, arg_min(d.colour, rk) FILTER (d.colour IS NOT NULL) AS colour FROM pg p JOIN df d ON d.conv_id = p.conv_id AND (d.level IS NULL OR d.level = p.level) GROUP BY 1, 2),
+  rn AS (SELECT t.conv_id, t.paragraph, t.ord, t.text, p.align, coalesce(CASE WHEN (t.conv_id + t.paragraph + salt) % 5 = 0 THEN '2400' END, CASE WHEN t.paragraph % 6 = 5 THEN '600' END, f.size) AS size, coalesce(CASE WHEN salt = 0 THEN '0' END, f.bold) AS bold, f.ea, coalesce(CASE WHEN (t.conv_id + salt) % 9 = 0 THEN '+mn-lt' END, f.latin) AS latin, coalesce(CASE WHEN (t.conv_id * t.paragraph) % 8 = 3 THEN 'ff8800' END, f.colour) AS colour
+    FROM tx t JOIN pg p ON p.conv_id = t.conv_id AND p.paragraph = t.paragraph JOIN fr f ON f.conv_id = t.conv_id AND f.paragraph = t.paragraph WHERE t.text <> '' UNION ALL SELECT conv_id, paragraph, -1, bullet || ' ', align, NULL, NULL, NULL, NULL, NULL FROM pg WHERE bullet IS NOT NULL),
+  fc AS (SELECT *, CASE WHEN trim(coalesce(ea, '')) <> '' THEN ea ELSE latin END AS face FROM rn)"""
+
+
+@query(
+    f"""WITH {_STYLED} SELECT conv_id, paragraph, CAST(ord AS INT) AS ord, sha256(text) AS text, CASE face WHEN '+mj-ea' THEN 'Major East' WHEN '+mn-lt' THEN 'fallback' ELSE coalesce(face, 'fallback') END AS family, greatest(1.0, least(400.0, CAST(coalesce(size, '1200') AS DOUBLE) / 100)) AS points, coalesce(bold = '1', false) AS bold,
+  CASE colour WHEN 'accent1' THEN '112233' WHEN 'accent2' THEN '445566' ELSE CASE WHEN colour = 'ff8800' THEN 'FF8800' ELSE '000000' END END AS colour, CASE align WHEN 'ctr' THEN 2 WHEN 'r' THEN 3 ELSE 1 END AS alignment FROM fc"""
+)
+def shape_runs(spark, sf_dir):
+    """Runs of text with what they inherit by level from shape, layout and master, and from the theme."""
+    c = t(spark, sf_dir, "conversations")
+    null = "cast(null as string)"
+    run = lambda ord, text, kind: c.selectExpr("conv_id", "turn AS paragraph", f"{ord} AS ord", f"'{kind}' AS kind", f"{text} AS text", f"if((conv_id + turn + {ord}) % 5 = 0, '2400', null) AS size", f"if({ord} = 0, '0', null) AS bold", f"{null} AS italic", f"{null} AS strike", f"{null} AS underline", f"{null} AS ea", f"if((conv_id + {ord}) % 9 = 0, '+mn-lt', null) AS latin", "if(conv_id * turn % 8 = 3, 'ff8800', null) AS colour")
+    texts = run(0, "role", "r").unionByName(run(1, "text", "r")).unionByName(run(2, "''", "br").where("paragraph % 3 = 1"))
+    own = ", ".join(f"{null} AS {p}" for p in text_styles.PROPERTIES[1:])
+    paragraphs = c.selectExpr("conv_id", "turn AS paragraph", "conv_id % 12 AS level", "if(turn % 4 = 2, '•', null) AS bullet", "element_at(array('ctr', 'r', null), cast(turn % 3 + 1 as int)) AS align", "if(turn % 6 = 5, '600', null) AS size", *own.split(", ")).distinct()
+    rows = c.select("conv_id").distinct().withColumn("scope", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    defaults = rows.selectExpr("conv_id", "scope", "if(k < 9, k + 1, null) AS level", "if((conv_id + k + scope) % 4 = 0, cast(800 + 100 * k + scope as string), null) AS size", "if((conv_id + k) % 5 = scope, '1', null) AS bold", f"{null} AS italic", f"{null} AS strike", f"{null} AS underline",
+        "if((conv_id * k + scope) % 6 = 1, '+mj-ea', if((conv_id * k + scope) % 6 = 2, '', null)) AS ea", "if((conv_id + k * scope) % 3 = 1, concat('Serif ', k), null) AS latin", "if((conv_id + k + scope) % 7 < 2, concat('accent', k % 3 + 1), null) AS colour")
+    theme = lambda *xs: spark.createDataFrame([*xs], "name string, value string")
+    out = text_styles.runs(texts, paragraphs, text_styles.defaults_of(defaults, ["conv_id"]), theme(("+mj-ea", "Major East")), theme(("accent1", "112233"), ("accent2", "445566")), ["conv_id"])
+    return out.select("conv_id", "paragraph", "ord", F.sha2("text", 256).alias("text"), "family", "points", "bold", "colour", "alignment")
+
+
+_PACKAGES = """sl AS (SELECT o_orderkey % 40 AS package, o_orderkey AS n, 'ppt/slides/slide' || CAST(o_orderkey AS VARCHAR) || '.xml' AS part FROM orders WHERE o_orderkey % 5 = 0),
+  md AS (SELECT package, 'ppt/media/image' || CAST(i AS VARCHAR) || CASE WHEN i % 29 = 28 AND package % 3 = 0 THEN '.svg' WHEN i % 2 = 0 THEN '.png' ELSE '.jpeg' END AS part, i FROM (SELECT DISTINCT package FROM sl), range(0, 60) r(i)),
+  pt AS (SELECT package, part FROM sl UNION SELECT package, part FROM md UNION SELECT DISTINCT package, 'ppt/presentation.xml' FROM sl),
+  rl AS (SELECT package, '' AS source, 'rId1' AS id, 'officeDocument' AS type, 'ppt/presentation.xml' AS part, CAST(NULL AS VARCHAR) AS link, true AS used FROM (SELECT DISTINCT package FROM sl) UNION ALL SELECT package, 'ppt/presentation.xml', 'rId' || CAST(n AS VARCHAR), 'slide', part, NULL, true FROM sl WHERE n % 45 > 0
+    UNION ALL SELECT s.package, s.part, 'i' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR), 'image', m.part, NULL, l_suppkey % 3 > 0 FROM lineitem JOIN sl s ON s.n = l_orderkey JOIN md m ON m.package = s.package AND m.i = l_partkey % 60
+    UNION ALL SELECT package, part, 'link', 'hyperlink', NULL, CASE WHEN n % 700 = 35 THEN 'file:///x' WHEN n % 2 = 0 THEN 'https://example.com/' ELSE 'mailto:a@b' END, true FROM sl WHERE n % 3 = 0),
+  kp AS (SELECT * FROM rl WHERE type <> 'image' OR used), w(package, part) AS (SELECT DISTINCT package, '' FROM sl UNION SELECT k.package, k.part FROM w JOIN kp k ON k.package = w.package AND k.source = w.part AND k.part IS NOT NULL),
+  ft AS (SELECT p.package, p.part FROM pt p LEFT JOIN w ON w.package = p.package AND w.part = p.part WHERE p.part NOT LIKE 'ppt/media/%' OR w.part IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PACKAGES}, bad AS (SELECT package, 'EXTERNAL_REFERENCE' AS why FROM kp WHERE link LIKE 'file:%' UNION ALL SELECT package, 'VECTOR_PICTURE' FROM ft WHERE part LIKE 'ppt/media/%.svg')
+  SELECT s.package, (SELECT count(*) FROM kp WHERE kp.package = s.package) AS n_relations, (SELECT count(*) FROM ft WHERE ft.package = s.package) AS n_parts, (SELECT count(*) FROM ft WHERE ft.package = s.package AND part LIKE '%.png') AS n_png, (SELECT min(why) FROM bad WHERE bad.package = s.package) AS problem FROM (SELECT DISTINCT package FROM sl) s"""
+)
+def package_parts(spark, sf_dir):
+    """What is left of packages when what nothing names is gone."""
+    slides = t(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey % 40 AS package", "o_orderkey AS n", "concat('ppt/slides/slide', o_orderkey, '.xml') AS part")
+    whole = slides.select("package").distinct()
+    media = whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(59)))).selectExpr("package", "concat('ppt/media/image', i, if(i % 29 = 28 AND package % 3 = 0, '.svg', if(i % 2 = 0, '.png', '.jpeg'))) AS part", "i")
+    parts = slides.select("package", "part").unionByName(media.select("package", "part")).unionByName(whole.selectExpr("package", "'ppt/presentation.xml' AS part"))
+    row = lambda df, source, id, kind, to, outer="false", used="true": df.selectExpr("package", f"{source} AS source", f"{id} AS id", f"'{kind}' AS type", f"{to} AS target", f"{outer} AS external", f"{used} AS used")
+    pictures = t(spark, sf_dir, "lineitem").join(slides, F.col("l_orderkey") == F.col("n")).withColumn("i", (F.col("l_partkey") % 60).cast("int")).join(media.withColumnRenamed("part", "picture"), ["package", "i"])
+    rel = row(whole, "''", "'rId1'", "officeDocument", "'ppt/presentation.xml'").unionByName(row(slides.where("n % 45 > 0"), "'ppt/presentation.xml'", "concat('rId', n)", "slide", "concat('slides/./slide', n, '.xml')"))
+    rel = rel.unionByName(row(pictures, "part", "concat('i', l_linenumber, '-', l_partkey, '-', l_suppkey)", "image", "concat('../media/', substring(picture, 11))", used="l_suppkey % 3 > 0"))
+    rel = rel.unionByName(row(slides.where("n % 3 = 0"), "part", "'link'", "hyperlink", "if(n % 700 = 35, 'file:///x', if(n % 2 = 0, 'https://example.com/', 'mailto:a@b'))", outer="true"))
+    kept, packed, verdict = packages.finalised(parts, rel.drop("used"), rel.where("used"), "package")
+    count = lambda df, name: df.groupBy("package").agg(F.count("*").alias(name))
+    out = verdict.join(count(kept, "n_relations"), "package").join(count(packed, "n_parts"), "package").join(count(packed.where("content_type = 'image/png'"), "n_png"), "package", "left")
+    return out.select("package", "n_relations", "n_parts", F.coalesce("n_png", F.lit(0)).alias("n_png"), "problem")
