@@ -84,7 +84,8 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     every row. Counts of shards differ by one at most, slots have no gaps.
 
     A null text has no bytes (size 1, crc 0), a text of any length is read whole, and a
-    null id is an id like any other; repeated rows take a slot each; an empty table gives
+    null id is an id like any other; repeated rows take a slot each, equal rows that differ in a
+    kept column in an order of their own; an empty table gives
     an empty result; columns not in ``keep`` are not read. A kept column may not be called
     size, text_crc32, shard or slot: that is an error."""
     spark = docs.sparkSession
@@ -93,12 +94,16 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         raise ValueError(f"kept columns named like results: {sorted(clash)}")
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     base = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("id"), (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    base = table(base)
+    base = table(base.withColumn("same", F.xxhash64("id", "text_crc32", "size")).withColumn("mark", F.monotonically_increasing_id()))
     n = base.count()
+    # Rows alike in all that the keys see would be one task's: where they are more than a task should
+    # hold, a mark tells them apart. Others are placed by what they are alone.
+    heavy = table(base.groupBy("same").count().where(F.col("count") > part_rows).select("same", F.lit(True).alias("heavy")))
+    base = base.join(heavy, "same", "left").withColumn("mark", F.when(F.col("heavy"), F.col("mark")).otherwise(0)).drop("same", "heavy")
     parts = max(1, min(max_parts, -(-n // part_rows)))
     within = max(1, -(-n // (part_rows * parts)))  # parts of a coarse partition
     per_shard = max(1, min(max_parts // shards, -(-parts // shards)))
-    key = lambda k: F.xxhash64(F.lit(seed + k), "id", "text_crc32", "size")
+    key = lambda k: F.xxhash64(F.lit(seed + k), "id", "text_crc32", "size", "mark")
     base = base.withColumn("p", F.pmod(key(0), F.lit(parts)).cast("int")).withColumn("s", F.pmod(key(3), F.lit(within)).cast("int"))
 
     sizes = base.groupBy("p", "s").count()
@@ -117,7 +122,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         return pd.DataFrame({"p": b["p"], "s": b["s"], "ends": ends})
 
     sent = sizes.join(drawn, "p").groupBy("p").applyInPandas(divide, "p int, s int, ends array<array<long>>")
-    order = lambda k: [key(k), "id", "text_crc32", "size"]
+    order = lambda k: [key(k), "id", "text_crc32", "size", "mark", F.xxhash64("kept")]
     out = base.withColumn("_r", F.row_number().over(Window.partitionBy("p", "s").orderBy(*order(1))) - 1).join(sent, ["p", "s"])
     out = out.withColumn("shard", F.size(F.filter("ends", lambda e: F.element_at(e, -1) <= F.col("_r"))))
     out = out.withColumn("_q", F.size(F.filter(F.element_at("ends", F.col("shard") + 1), lambda e: e <= F.col("_r"))))

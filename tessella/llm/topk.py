@@ -36,6 +36,7 @@ QUERY_BLOCK = 512
 #: Share of the root of a query's greatest impact down to which each round reads.
 ROUNDS = (0.35, 0.27, 0.23, 0.2, 0.17, 0.14, 0.1, 0.05, 0.0)
 FEW = 1 / 8
+SPREAD = 8  # tasks over which the queries of one block of vectors are spread
 
 
 class Index:
@@ -166,7 +167,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-    units = left.join(right, ["vb", "qb"]).repartition("vb", "qb").sortWithinPartitions("vb", "qb")
+    units = left.join(right, ["vb", "qb"]).repartition("vb", F.col("qb") % SPREAD).sortWithinPartitions("vb", "qb")  # an index is built SPREAD times at most
     parts = units.mapInPandas(run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

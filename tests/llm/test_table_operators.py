@@ -326,3 +326,13 @@ def test_sum_of_squares_rule():
         assert after(o) == best
         fill[w] = o + s
         assert fill[w] <= 16
+
+
+def test_equal_rows_are_spread(spark):
+    """More equal rows than a task holds, with other columns that tell them apart."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("t")).alias("text"), F.col("id").alias("n"))
+    out = shard.place(docs, keep=["doc_id", "n"], part_rows=100, max_parts=16).toPandas()
+    assert sorted(out.n) == list(range(3000)) and sorted(out.groupby("shard").size()) == [375] * 8
+    assert all(sorted(g.slot) == list(range(375)) for _, g in out.groupby("shard"))
+    null = out[out.doc_id.isna()]
+    assert 60 < null.groupby("shard").size().min() and null.groupby("shard").size().max() < 190
