@@ -23,6 +23,28 @@ def running_limit(rows: DataFrame, by: list[str], seq: str, size: Column, most:
     return out.withColumn("over", (F.col("total") > most) if most else F.lit(False))
 
 
+def combined_limit(*most: Column) -> Column:
+    """The limit of several amounts together: their sum, or none (0) if one of them has none."""
+    total, free = most[0], most[0] == 0
+    for m in most[1:]:
+        total, free = total + m, free | (m == 0)
+    return F.when(free, 0).otherwise(total)
+
+
+def limited(rows: DataFrame, by: list[str], seq: str, limits: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """limits: by code, in the order in which they are looked at, what a row adds and the most of its group (0: none). by,
+    code and at (the row's place) of the first limit that is passed, and the group's totals as n_<code>; a group that
+    stays within all has no code."""
+    names = [f"_n{i}" for i in range(len(limits))]
+    most = {f"_most{i}": m for i, (_, m) in enumerate(limits.values())}
+    held = rows.withColumns(most)
+    out = ranges.running(held, by, seq, {n: size for n, (size, _) in zip(names, limits.values(), strict=True)})
+    passed = [F.when((F.col(f"_most{i}") > 0) & (F.col(n) > F.col(f"_most{i}")), F.struct(F.col(seq).alias("at"), F.lit(i).alias("rank"), F.lit(code).alias("code"))) for i, (n, code) in enumerate(zip(names, limits, strict=True))]
+    first = F.array_min(F.filter(F.array(*passed), lambda x: x.isNotNull()))
+    told = out.withColumn("_first", first).groupBy(*by).agg(F.min("_first").alias("_f"), *[F.max(n).alias(f"n_{code}") for n, code in zip(names, limits, strict=True)])
+    return told.select(*by, F.col("_f.code").alias("code"), F.col("_f.at").alias("at"), *[f"n_{code}" for code in limits])
+
+
 def capped_diagnostics(notes: DataFrame, by: list[str], key: list[str], seq: str, cap: int) -> DataFrame:
     """by, kept, omitted. A note is kept the first time its key is seen; once ``cap``
     are kept, all that follow count as omitted, repeats included."""

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import geometry
-from ..operators import curves, expansion, overflow, ownership, packages, ranges, regions, splits, text_styles, timing
+from ..operators import blocks, curves, expansion, overflow, ownership, packages, ranges, regions, splits, text_styles, timing
 from ..sources import html
-from ..streaming import jobs, results, retention
+from ..streaming import jobs, queue, results, retention
 from .catalog import CELLS, cells, query, t
 from .flows import _PARSED
 
@@ -361,3 +361,33 @@ def package_parts(spark, sf_dir):
     count = lambda df, name: df.groupBy("package").agg(F.count("*").alias(name))
     out = verdict.join(count(kept, "n_relations"), "package").join(count(packed, "n_parts"), "package").join(count(packed.where("content_type = 'image/png'"), "n_png"), "package", "left")
     return out.select("package", "n_relations", "n_parts", F.coalesce("n_png", F.lit(0)).alias("n_png"), "problem")
+
+
+@query(
+    r"""WITH d AS (SELECT source, lang, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b, CAST(len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + 1 AS BIGINT) AS l, CAST(n_chars AS BIGINT) AS c, CASE WHEN lang IN ('en', 'de') THEN 30000 ELSE 0 END AS mb FROM documents),
+  r AS (SELECT *, sum(b) OVER w AS nb, sum(l) OVER w AS nl, sum(c) OVER w AS nc, sum(b + l) OVER w AS nx FROM d WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)),
+  f AS (SELECT *, CASE WHEN mb > 0 AND nb > mb THEN 0 WHEN nl > 250 THEN 1 WHEN nc > 45000 THEN 2 WHEN mb > 0 AND nx > mb + 250 THEN 3 END AS k FROM r)
+  SELECT source, lang, CASE arg_min(k, doc_id) FILTER (k IS NOT NULL) WHEN 0 THEN 'bytes' WHEN 1 THEN 'sections' WHEN 2 THEN 'characters' WHEN 3 THEN 'combined' END AS code, min(doc_id) FILTER (k IS NOT NULL) AS "at", CAST(max(nb) AS BIGINT) AS n_bytes, CAST(max(nl) AS BIGINT) AS n_sections, CAST(max(nc) AS BIGINT) AS n_characters, CAST(max(nx) AS BIGINT) AS n_combined FROM f GROUP BY source, lang"""
+)
+def limit_families(spark, sf_dir):
+    """The first of several limits that each source passes in each language; where one of two has none, both together have none."""
+    d = t(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    size, lines = F.octet_length("text").cast("long"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    most = F.when(F.col("lang").isin("en", "de"), 30_000).otherwise(0)
+    limits = {"bytes": (size, most), "sections": (lines, F.lit(250)), "characters": (F.col("n_chars"), F.lit(45_000)), "combined": (size + lines, blocks.combined_limit(most, F.lit(250)))}
+    return blocks.limited(d, ["source", "lang"], "doc_id", limits)
+
+
+@query(
+    """WITH m AS (SELECT event_id AS id, event_id % 9 AS deliveries, event_id % 11 AS flaw, user_id, event_type FROM events)
+  SELECT id, CASE WHEN flaw < 5 THEN 'malformed' WHEN deliveries > 5 THEN 'poison' ELSE 'job' END AS route, CASE WHEN flaw >= 5 THEN 'job-' || CAST(user_id AS VARCHAR) END AS job, CASE WHEN flaw >= 5 THEN CASE WHEN flaw % 2 = 0 THEN 'submitted' ELSE 'failed' END END AS kind FROM m"""
+)
+def queue_messages(spark, sf_dir):
+    """Messages that are jobs, poison or malformed: cut base64, bytes that are no UTF-8, text that is no JSON, no object, no job."""
+    e = t(spark, sf_dir, "events")
+    whole = F.to_json(F.struct(F.concat(F.lit("job-"), F.col("user_id")).alias("job"), F.when(F.col("event_id") % 11 % 2 == 0, "submitted").otherwise("failed").alias("kind"), F.col("event_type").alias("request")))
+    flaw = F.col("event_id") % 11
+    raw = F.when(flaw == 1, F.unhex(F.lit("C328A0"))).when(flaw == 2, F.encode(F.concat(F.lit("{"), F.col("event_type")), "UTF-8")).when(flaw == 3, F.encode(F.lit("[1]"), "UTF-8")).when(flaw == 4, F.encode(F.to_json(F.struct(F.col("event_type").alias("kind"))), "UTF-8")).otherwise(F.encode(whole, "UTF-8"))
+    body = F.when(flaw == 0, F.concat(F.base64(raw), F.lit("*"))).otherwise(F.base64(raw))
+    out = queue.decoded(e.select(F.col("event_id").alias("id"), body.alias("body"), (F.col("event_id") % 9).alias("deliveries")))
+    return out.select("id", "route", "job", "kind")
