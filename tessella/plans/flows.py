@@ -96,9 +96,9 @@ def note_field_visibility(spark, sf_dir):
 
 @query
 def archive_bundle(spark, sf_dir):
-    """One deterministic archive for each source, with the digest of its bytes."""
+    """Deterministic archives of each source, a new one for each 64 MiB, with the digest of their bytes."""
     d = t(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("seq"), F.format_string("images/page-%06d.md", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
-    return archive.zipped(d, "source").select("source", F.sha2("archive", 256).alias("sha256"))
+    return archive.zipped_parts(d, "source").select("source", "part", F.sha2("archive", 256).alias("sha256"))
 
 
 @query

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranges
+
 ENTRY = "doc string, ord int, name string, size long, packed long, encrypted boolean, link boolean, error string"
 
 
@@ -80,3 +82,15 @@ def zipped(files: DataFrame, by: str, most_bytes: int = 300 << 20) -> DataFrame:
 
     done = held.select(by, "seq", "name", "content").groupBy(by).applyInPandas(run, f"k {kind}, archive binary")
     return totals.join(done, F.col(by).eqNullSafe(F.col("k")), "left").select(by, "archive")
+
+
+def zipped_parts(files: DataFrame, by: str, part_bytes: int = 64 << 20) -> DataFrame:
+    """files: by, seq (unique within by), name, content. by, part (from 0) and archive: the files of each group in
+    order, a new archive once part_bytes have begun, so a group of any size is packed by as many
+    tasks as it needs; a part holds part_bytes and one file at most."""
+    slim = files.select(by, "seq", F.length("content").cast("long").alias("_size"))
+    starts = ranges.prefix_offsets(slim, [by], "seq", "_size").select(F.col(by).alias("_by"), F.col("seq").alias("_seq"), F.expr(f"start div {part_bytes}").alias("part"))
+    keyed = files.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("seq") == F.col("_seq"))).drop("_by", "_seq")
+    keyed = keyed.withColumn("_key", F.to_json(F.struct(F.col("part"), F.col(by).alias("by"))))
+    names = keyed.select("_key", by, "part").distinct()
+    return names.join(zipped(keyed, "_key"), "_key").select(by, "part", "archive")

@@ -169,3 +169,22 @@ def test_deep_chains(spark):
     assert got == {**{f"s{k}": 7 for k in range(21)}, "a": 5, "b": 5}
     edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "a int, b int")
     assert graph.closure(edges, spark.createDataFrame([(0,)], "n int")).count() == 67
+
+
+def test_archives_in_parts(spark):
+    import io
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from tessella.sources import archive
+
+    files = spark.range(40).select(F.when(F.col("id") % 2 == 0, "a").alias("doc"), F.col("id").alias("seq"), F.format_string("f%02d", "id").alias("name"), F.encode(F.repeat(F.lit("x"), (F.col("id") + 1).cast("int")), "UTF-8").alias("content"))
+    held = {}
+    for r in archive.zipped_parts(files, "doc", 100).collect():
+        with zipfile.ZipFile(io.BytesIO(bytes(r.archive))) as z:
+            held.setdefault(r.doc, {})[r.part] = [(n, len(z.read(n))) for n in z.namelist()]
+    for k, doc in enumerate(("a", None)):
+        parts = [held[doc][p] for p in sorted(held[doc])]
+        assert [n for p in parts for n in p] == [(f"f{i:02d}", i + 1) for i in range(k, 40, 2)]
+        assert len(parts) > 3 and all(sum(n for _, n in p[:-1]) <= 100 for p in parts)
