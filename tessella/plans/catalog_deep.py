@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..functions import geometry
+from ..functions import geometry, paths
 from ..operators import blocks, curves, expansion, overflow, ownership, packages, ranges, regions, splits, text_styles, timing
 from ..sources import html
 from ..streaming import jobs, queue, results, retention
@@ -391,3 +391,22 @@ def queue_messages(spark, sf_dir):
     body = F.when(flaw == 0, F.concat(F.base64(raw), F.lit("*"))).otherwise(F.base64(raw))
     out = queue.decoded(e.select(F.col("event_id").alias("id"), body.alias("body"), (F.col("event_id") % 9).alias("deliveries")))
     return out.select("id", "route", "job", "kind")
+
+
+@query(
+    """WITH v AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, (p_partkey % 17)::DOUBLE AS b, (p_partkey % 7 + 1)::DOUBLE AS c, (p_size % 5)::DOUBLE AS d, (p_partkey % 11)::DOUBLE AS e, (p_size % 13)::DOUBLE AS f FROM part),
+  s AS (SELECT id, unnest([{'i': 0, 'op': 'M', 'p': [NULL, NULL, NULL, NULL, a, b]}, {'i': 1, 'op': 'L', 'p': [NULL, NULL, NULL, NULL, a + c, b + d]}, {'i': 2, 'op': 'L', 'p': [NULL, NULL, NULL, NULL, a + c + e, b + d]}, {'i': 3, 'op': 'L', 'p': [NULL, NULL, NULL, NULL, a + c + e, b + d - f]}, {'i': 4, 'op': 'L', 'p': [NULL, NULL, NULL, NULL, a, b + d - f]},
+    {'i': 5, 'op': 'L', 'p': [NULL, NULL, NULL, NULL, a, b]}, {'i': 6, 'op': 'Z', 'p': [NULL, NULL, NULL, NULL, NULL, NULL]}, {'i': 7, 'op': 'M', 'p': [NULL, NULL, NULL, NULL, a + 1, b + 1]}, {'i': 8, 'op': 'C', 'p': [a + 1 - 2 / 3.0::DOUBLE, b + 1 - 2 / 3.0::DOUBLE, c + (a - c) * 2 / 3, d + (b - d) * 2 / 3, c, d]},
+    {'i': 9, 'op': 'C', 'p': [c + (c - a) * 2 / 3, d + (d - b) * 2 / 3, c + e + (c - a - e) * 2 / 3, d + f + (d - b - f) * 2 / 3, c + e, d + f]}, {'i': 10, 'op': 'C', 'p': [0, 0, a, b, c, d]}, {'i': 11, 'op': 'C', 'p': [2 * c - a, 2 * d - b, c + e, d + f, c + 1, d + 1]}, {'i': 12, 'op': 'Z', 'p': [NULL, NULL, NULL, NULL, NULL, NULL]}]) AS s FROM v)
+  SELECT id, CAST(s.i AS INT) AS i, s.op AS op, array_to_string(list_transform(s.p, lambda x: coalesce(CAST(CAST(floor(x * 1000 + 0.5) AS BIGINT) AS VARCHAR), '-')), ' ') AS points FROM s"""
+)
+def path_segments(spark, sf_dir):
+    """Path data as absolute lines and cubic curves, in thousandths."""
+    num = {"a": "p_size", "b": "p_partkey % 17", "c": "p_partkey % 7 + 1", "d": "p_size % 5", "e": "p_partkey % 11", "f": "p_size % 13"}
+    text = "M{a} {b}l{c},{d} h{e} v-{f}H{a}V {b}zm1 1Q{a} {b} {c} {d}t{e} {f}\nC0 0 {a} {b} {c} {d}s{e},{f} 1 1Z"
+    data = F.lit(text)
+    for k, v in num.items():
+        data = F.replace(data, F.lit("{" + k + "}"), F.expr(f"cast({v} as string)"))
+    rows = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(paths.segments(data)).alias("i", "s"))
+    told = lambda c: F.coalesce(F.floor(F.col(f"s.{c}") * 1000 + 0.5).cast("string"), F.lit("-"))
+    return rows.select("id", "i", F.col("s.op").alias("op"), F.concat_ws(" ", *[told(c) for c in ("x1", "y1", "x2", "y2", "x", "y")]).alias("points"))
