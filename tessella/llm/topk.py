@@ -14,7 +14,8 @@ an earlier block, is a line that a member must reach. Reading stops once the bou
 that at most a share FEW of the vectors can reach it; those are scored again exactly. If
 the proof never comes, everything is read: the result is exact either way.
 
-Queries and vectors meet in pairs of blocks of bounded size, each a packed row, so a
+Queries and vectors meet in pairs of blocks of bounded size, each a packed row. Of a block of vectors and
+the blocks of queries that meet it in a task, the first one is indexed once and the others follow, so a
 task holds one block of each, and a query's partial results are k rows for a block.
 """
 
@@ -148,16 +149,21 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
     n, m = rows.count(), asked.count()
     vb, qb = max(1, -(-n // block)), max(1, -(-m // query_block))
-    left = _packed(rows.drop("q"), "vb", vb, 1).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).withColumn("qb", F.col("qb").cast("long"))
-    right = _packed(asked, "qb", qb, 2).select("qb", *[F.col(c).alias("q_" + c) for c in ("ids", "x", "dims", "wide")]).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))).withColumn("vb", F.col("vb").cast("long"))
+    spread = min(SPREAD, qb)
+    # A block stands before the query blocks that meet it, once for each of the tasks that share them.
+    left = _packed(rows.drop("q"), "vb", vb, 1).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("qb", F.lit(-1).cast("long"))
+    right = _packed(asked, "qb", qb, 2).withColumn("share", (F.col("qb") % spread).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))).withColumn("vb", F.col("vb").cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, at, lines = None, None, {}
         for b in batches:
             for r in b.itertuples(index=False):
-                qids, q = _unpacked(r.q_ids, r.q_x, r.q_dims, r.q_wide)
-                if at != r.vb:  # the units of a block stand together
+                if r.qb < 0:
                     index, at = Index(*_unpacked(r.ids, r.x, r.dims, r.wide)), r.vb
+                    continue
+                if at != r.vb:  # a block without vectors
+                    continue
+                qids, q = _unpacked(r.ids, r.x, r.dims, r.wide)
                 dims, out = index.x.shape[1], []
                 for i, v in zip(qids.tolist(), q, strict=True):
                     got, score = index.search(i, v[:dims], k, lines.get(i, -np.inf))
@@ -167,7 +173,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-    units = left.join(right, ["vb", "qb"]).repartition("vb", F.col("qb") % SPREAD).sortWithinPartitions("vb", "qb")  # an index is built SPREAD times at most
+    units = left.unionByName(right).repartition("vb", "share").sortWithinPartitions("vb", "share", "qb")
     parts = units.mapInPandas(run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
