@@ -82,8 +82,10 @@ def hsl(r: Column, g: Column, b: Column) -> Column:
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     d, light = top - low, (top + low) / 2
     hue = F.when(d == 0, 0.0).when(top == r, (g - b) / d).when(top == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
-    turn = hue / 6 + 1
-    return F.struct((turn - F.floor(turn)).alias("h"), F.when(d == 0, 0.0).otherwise(d / (1 - F.abs(light * 2 - 1))).alias("s"), light.alias("l"))
+    turn, room = hue / 6 + 1, 1 - F.abs(light * 2 - 1)
+    # Channels beyond 0..1 may have a light of exactly 0 or 1: an infinite saturation, as in the reference.
+    full = F.when(d == 0, 0.0).when(room == 0, float("inf")).otherwise(d / room)
+    return F.struct((turn - F.floor(turn)).alias("h"), full.alias("s"), light.alias("l"))
 
 
 def rgb(h: Column, s: Column, li: Column) -> list[Column]:
