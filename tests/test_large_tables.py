@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import drawing
+from tessella.operators import graph, grid
 
 
 def test_saturation_without_room(spark):
@@ -11,3 +12,25 @@ def test_saturation_without_room(spark):
     mods = F.array(F.struct(F.lit("lumMod").alias("kind"), F.lit(0.5).alias("amount")))
     got = spark.range(1).select(drawing.modified(c, mods).alias("c")).select("c.*").first()
     assert [round(x, 9) for x in got] == [1.0, 0.0, 0.0, 1.0]
+
+
+def test_rounds_of_components_keep_their_estimates(spark):
+    # The planner's estimate of a checkpoint multiplied with every join of a round: its digits doubled.
+    nodes = spark.range(200).selectExpr("struct('s' AS k, id * 7 % 200 AS id) AS id")
+    edges = spark.range(199).where("id % 50 <> 49").selectExpr("struct('s' AS k, id) AS a", "struct('s' AS k, id + 1 AS id) AS b")
+    out = graph.components(nodes, edges)
+    assert {(r.id.id, r.root.id) for r in out.collect()} == {(i, i // 50 * 50) for i in range(200)}
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 100
+
+
+def test_edges_to_no_node(spark):
+    nodes = spark.createDataFrame([(1,), (3,), (5,), (6,)], "id int")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (6, 5), (5, 5), (5, 6)], "a int, b int")
+    assert sorted(map(tuple, graph.components(nodes, edges).collect())) == [(1, 1), (3, 3), (5, 5), (6, 5)]
+
+
+def test_components_of_merged_units(spark):
+    # A tall and a wide unit, a unit under both, one that only touches a corner, and one of another section.
+    boxes = spark.createDataFrame([(1, 0, 2, 4, 4), (1, 3, 3, 0, 3), (1, 4, 4, 3, 4), (1, 5, 6, 5, 6), (2, 3, 3, 4, 4), (1, 9, 9, 0, 0), (1, 9, 9, 2, 2)], "sheet int, r1 int, r2 int, c1 int, c2 int")
+    got = {(r.sheet, r.r1, r.c1): (r.root_r, r.root_c) for r in grid.component_of(boxes, ["sheet"]).collect()}
+    assert got == {(1, 0, 4): (0, 4), (1, 3, 0): (3, 0), (1, 4, 3): (3, 0), (1, 5, 5): (5, 5), (2, 3, 4): (3, 4), (1, 9, 0): (9, 0), (1, 9, 2): (9, 2)}
