@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import drawing, styles, urls
-from ..operators import grid, numbering, pages, settings
+from ..operators import graph, grid, numbering, pages, settings
 from .catalog import CELLS, MERGES, cells, merges, query, t
 
 PRESETS = [*drawing.TYPE_NAMES, "noSuch_Shape", ""]
@@ -322,7 +322,7 @@ def open_top_tables(spark, sf_dir):
     gap = "row % 6 = 0 AND (CASE row div 6 % 4 WHEN 0 THEN col <= 2 WHEN 1 THEN col >= 6 WHEN 2 THEN col = 4 ELSE false END)"
     boxed = f"row % 6 < 4 AND NOT ({gap})"
     o = cells(spark, sf_dir).selectExpr("sheet", "row", "col", "value", *[f"{boxed} AS {b}" for b in ("bt", "bb", "bl", "br")])
-    segs = grid.segments(o, ["sheet"])
+    segs = graph.settled(grid.segments(o, ["sheet"]))
     none = spark.createDataFrame([], "sheet int, r1 int, r2 int, c1 int, c2 int")
     members = grid.component_of(grid.units(segs, none, ["sheet"]), ["sheet"])
     found, gaps = grid.open_top(members, segs, none, o.selectExpr("sheet", "row", "col", "value AS text", "true AS plain", "bt AS own"), ["sheet"])
