@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import drawing
-from tessella.operators import graph, grid
+from tessella.operators import graph, grid, ordered
 
 
 def test_saturation_without_room(spark):
@@ -49,3 +49,8 @@ def test_segments_are_corners_first(spark):
     out = grid.segments(cells, ["sheet"])
     assert sorted(map(tuple, out.collect())) == [(1, "h", 2, 3), (1, "h", 3, 3), (1, "v", 2, 4), (1, "v", 3, 3)]
     assert "Aggregate [sheet#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "kind" not in plan.split("Aggregate [")[1].split("]")[0]
+
+
+def test_glyphs_of_one_number_go_by_place(spark):
+    glyphs = spark.createDataFrame([(1, 5, "s", 20.0, 0.0, 8.0, "b"), (1, 5, "s", 10.0, 0.0, 8.0, "c"), (1, 6, "s", 30.0, 0.0, 8.0, "a")], "doc int, seq long, style string, x double, y double, w double, text string")
+    assert [(r.x, r.right, r.text) for r in ordered.fragments(glyphs.coalesce(1), ["doc"], 4.0).collect()] == [(10.0, 38.0, "cba")]
