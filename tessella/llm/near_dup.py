@@ -221,7 +221,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (u != v). Returns u and root, the least name of its component, for
     every u with an edge: large-star and small-star rounds until nothing changes.
-    Each round is a table; the driver sees a count and a checksum only."""
+    Each round is a table; the driver sees a count and a checksum only. Both sides of a join
+    grow with the edges, so none is broadcast."""
     now = table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
 
     def mark(df: DataFrame):
@@ -233,9 +234,9 @@ def components(edges: DataFrame) -> DataFrame:
         # The minima are tables, so that both sides of a join are plain exchanges and the
         # edges of a hub can be split.
         low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        large = table(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         least = table(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         last, now = now, table(small)
         release(last, low, large, least)
         if (new := mark(now)) == seen:
@@ -257,11 +258,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links, forest = _links(rows, classes)
     linked = links.groupBy("fp").agg(F.sum("texts_linked").alias("n_text_links"), F.sum("docs_linked").alias("_docs"))
     roots = components(forest).withColumnRenamed("u", "fp")
-    named = classes.select("fp", "copy_id", "copies").join(linked, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = classes.select("fp", "copy_id", "copies").join(linked.hint("merge"), "fp", "left").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = table(named.join(least, "root"))
+    named = table(named.join(least.hint("merge"), "root"))
     release(classes, links)
-    out = signed.select("id", F.col("_fp").alias("fp")).join(named, "fp")
+    out = signed.select("id", F.col("_fp").alias("fp")).join(named.hint("merge"), "fp")
     return out.select(F.col("id").alias(id_col), "copy_id", "class_id", (F.coalesce("_docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
 
@@ -276,7 +277,7 @@ def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keyed = classes.where("n > 0").select("fp", "sig", band.alias("band")).withColumn("key", F.xxhash64("band", F.expr(f"substring(sig, band * {4 * ROWS} + 1, {4 * ROWS})"))).drop("sig")
     full = keyed.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    members = keyed.join(full, ["band", "key"])
+    members = keyed.join(full.hint("merge"), ["band", "key"])
     blocks = F.expr(f"cast((m + {BLOCK - 1}) div {BLOCK} as int)")
     members = members.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("fp", "band"), F.col("nb")).cast("int"))
     units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -286,13 +287,13 @@ def _links(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return df.repartition(*[F.col(c) for c in UNIT]).sortWithinPartitions(*UNIT, "fp")
 
     shape = classes.select("fp", "copies", "sig")
-    kept = by_unit(units.join(shape, "fp")).mapInPandas(_prune, "fp binary, band int, key long, block int, bi int, bj int, copies long")
+    kept = by_unit(units.join(shape.hint("merge"), "fp")).mapInPandas(_prune, "fp binary, band int, key long, block int, bi int, bj int, copies long")
     kept = table(kept.select("fp", *UNIT, "block"))
     need = kept.select("fp").distinct()
-    chosen = need.join(classes.select("fp", "copies", "sig", F.col("copy_id").alias("id")), "fp")
-    texts = fingerprinted(rows.join(chosen.select("id").distinct(), rows["id"].eqNullSafe(chosen["id"]), "left_semi"), sign=False)
+    chosen = need.join(classes.select("fp", "copies", "sig", F.col("copy_id").alias("id")).hint("merge"), "fp")
+    texts = fingerprinted(rows.join(chosen.select("id").distinct().hint("merge"), rows["id"].eqNullSafe(chosen["id"]), "left_semi"), sign=False)
     texts = texts.groupBy(F.col("_fp").alias("fp")).agg(F.min("text").alias("text"))
-    found = by_unit(kept.join(chosen.drop("id"), "fp").join(texts, "fp")).mapInPandas(_verify, "fp binary, texts_linked long, docs_linked long, root binary")
+    found = by_unit(kept.join(chosen.drop("id").hint("merge"), "fp").join(texts.hint("merge"), "fp")).mapInPandas(_verify, "fp binary, texts_linked long, docs_linked long, root binary")
     found = table(found)
     release(units, kept)
     return found, found.where("fp != root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
@@ -306,7 +307,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain, names = sealed(docs)
     marked, chosen, key = fingerprinted(plain, names[text_col], sign=False), _chosen(rows), names[id_col]
     same = marked[key].eqNullSafe(chosen["_id"]) & (marked["_fp"] == chosen["_f"])
-    return opened(marked.join(chosen, same, "left_semi").dropDuplicates([key, "_fp"]), names)
+    return opened(marked.join(chosen.hint("merge"), same, "left_semi").dropDuplicates([key, "_fp"]), names)
 
 
 def _chosen(rows: DataFrame) -> DataFrame:
@@ -315,7 +316,7 @@ def _chosen(rows: DataFrame) -> DataFrame:
     release(signed)
     found, forest = _links(rows, classes)
     roots = components(forest).withColumnRenamed("u", "fp")
-    named = classes.select("fp", "copy_id").join(roots, "fp", "left")
+    named = classes.select("fp", "copy_id").join(roots.hint("merge"), "fp", "left")
     first = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("copy_id", "fp")).alias("m"))
     out = table(first.select(F.col("m.copy_id").alias("_id"), F.col("m.fp").alias("_f")))
     release(classes, found)

@@ -13,7 +13,8 @@ into two segments of 32 bits, one segment differs in RADIUS = DISTANCE // 2 bits
    them, so one star per value holds the links' components, whatever the size of the bucket.
 4. Components of the links come from large-star / small-star rounds over tables.
 
-A fingerprint makes 66 questions, and 562 rows in a hot bucket: a constant of the method.
+A fingerprint makes 66 questions, and 562 rows in a hot bucket: a constant of the method. Every
+side of a join grows with the texts, so all are merge joins: none is sent through the driver.
 """
 
 from __future__ import annotations
@@ -84,12 +85,12 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     both = F.array(F.struct(F.lit(0).alias("seg"), high.alias("own"), low.alias("other")), F.struct(F.lit(1).alias("seg"), low.alias("own"), high.alias("other")))
     homes = prints.select("fp", F.explode(both).alias("s")).select("fp", "s.*")
     full = table(homes.groupBy("seg", "own").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("seg", "own"))
-    cold = homes.join(full, ["seg", "own"], "left_anti").select("seg", F.col("own").alias("value"), F.col("fp").alias("home"))
+    cold = homes.join(full.hint("merge"), ["seg", "own"], "left_anti").select("seg", F.col("own").alias("value"), F.col("fp").alias("home"))
     marks = full.select("seg", F.col("own").alias("value"), F.lit(None).cast("long").alias("home"))
     index = table(cold.unionByName(marks))
     asked = homes.select("fp", "seg", "own", "other", F.explode(ball(F.col("own"), RADIUS)).alias("value"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= DISTANCE
-    met = asked.join(index, ["seg", "value"]).where(F.col("home").isNull() | ((F.col("fp") < F.col("home")) & near))
+    met = asked.join(index.hint("merge"), ["seg", "value"]).where(F.col("home").isNull() | ((F.col("fp") < F.col("home")) & near))
     met = table(met.select("fp", "home", "seg", "value", "other", (F.col("own") == F.col("value")).alias("inside")))
     release(full, index)
     pairs = met.where("home is not null").select(F.col("fp").alias("u"), F.col("home").alias("v"))
@@ -97,7 +98,7 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     meeting = ["seg", "value", "at"]
     first = crowd.where("inside").select("seg", "value", "fp", F.explode(ball(F.col("other"), 1)).alias("at")).groupBy(*meeting).agg(F.min("fp").alias("root"))
     reach = F.when(F.col("inside"), ball(F.col("other"), 2)).otherwise(ball(F.col("other"), 1))
-    stars = crowd.select("seg", "value", "fp", F.explode(reach).alias("at")).join(first, meeting).where("fp != root")
+    stars = crowd.select("seg", "value", "fp", F.explode(reach).alias("at")).join(first.hint("merge"), meeting).where("fp != root")
     return pairs.unionByName(stars.select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct())
 
 
@@ -113,8 +114,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, h
     signed = table(fingerprinted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     classes = table(signed.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(classes.select("fp"), hot)).withColumnRenamed("u", "fp")
-    named = table(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = table(classes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = table(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    told = table(named.join(least, "root").select("fp", "component_id", "copies"))
+    told = table(named.join(least.hint("merge"), "root").select("fp", "component_id", "copies"))
     release(classes, named, least)
-    return signed.join(told, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "copies")
+    return signed.join(told.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id", "copies")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import drawing
+from tessella.llm import near_dup, simhash
 from tessella.operators import graph, grid, ordered
 
 
@@ -54,3 +55,20 @@ def test_segments_are_corners_first(spark):
 def test_glyphs_of_one_number_go_by_place(spark):
     glyphs = spark.createDataFrame([(1, 5, "s", 20.0, 0.0, 8.0, "b"), (1, 5, "s", 10.0, 0.0, 8.0, "c"), (1, 6, "s", 30.0, 0.0, 8.0, "a")], "doc int, seq long, style string, x double, y double, w double, text string")
     assert [(r.x, r.right, r.text) for r in ordered.fragments(glyphs.coalesce(1), ["doc"], 4.0).collect()] == [(10.0, 38.0, "cba")]
+
+
+def _written(monkeypatch, *modules):
+    """The plans of the tables that modules write from now on."""
+    plans = []
+    for m in modules:
+        monkeypatch.setattr(m, "table", lambda df, was=m.table: (plans.append(df._jdf.queryExecution().executedPlan().toString()), was(df))[1])
+    return plans
+
+
+def test_fingerprints_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three four {i // 2}") for i in range(6)], "doc_id long, text string")
+    plans = _written(monkeypatch, simhash, near_dup)
+    for out in (simhash.linked(docs, hot=1), near_dup.join(docs), near_dup.one_of_each(docs)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        assert out.count() >= 3
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
