@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import drawing
 from tessella.llm import near_dup, simhash
-from tessella.operators import graph, grid, ordered
+from tessella.operators import graph, grid, ordered, splits
+from tessella.plans import catalog, catalog_deep  # noqa: F401  (the second registers itself in the first)
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_saturation_without_room(spark):
@@ -72,3 +75,10 @@ def test_fingerprints_are_not_broadcast(spark, monkeypatch):
         plans.append(out._jdf.queryExecution().executedPlan().toString())
         assert out.count() >= 3
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_named_bands_are_not_broadcast(spark, monkeypatch):
+    plans = _written(monkeypatch, splits)
+    out = catalog.QUERIES["named_bands"](spark, DATA)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() and not any("Broadcast" in p for p in plans)
