@@ -82,3 +82,8 @@ def test_named_bands_are_not_broadcast(spark, monkeypatch):
     out = catalog.QUERIES["named_bands"](spark, DATA)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.count() and not any("Broadcast" in p for p in plans)
+
+
+def test_much_work_on_a_small_file_is_spread(spark):
+    for q in ("path_segments", "picture_clips"):
+        assert catalog.QUERIES[q](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
