@@ -10,9 +10,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import spread
+
 NODES = "page_id long, node_id int, parent_id int, ord int, depth int, name string, attrs map<string,string>, text string"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and attributes that input may hold (fixed values).
@@ -22,6 +24,8 @@ ALLOWED = (
     "lineargradient radialgradient stop marker use clippath desc #text"
 ).split()
 ACTIVE = "srcdoc srcset imagesrcset ping background action formaction form manifest codebase archive data poster".split()
+#: Nodes that a worker holds besides a page's own, and pages that it is handed at once.
+MOST_ROWS, MOST_PAGES = 4096, 512
 BLOCKS = "address article aside blockquote dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split()
 
 
@@ -59,8 +63,16 @@ class _Tree(HTMLParser):
         self.add("#text", {}, data)
 
 
+def few_pages(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= MOST_PAGES:
+        spark.conf.set(key, str(MOST_PAGES))
+
+
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """A row for each element and text of each page, in document order."""
+    """A row for each element and text of each page, in document order. A worker holds MOST_PAGES
+    pages and MOST_ROWS nodes, or one page's nodes if they are more."""
+    names = [x.split()[0] for x in NODES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -70,9 +82,14 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
                 tree.feed(h or "")
                 tree.close()
                 out += [(k, *r) for r in tree.rows]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in NODES.split(", ")])
-
-    return pages.select(F.col(key).cast("long").alias("k"), F.col(html).alias("h")).where("k is not null").mapInPandas(run, NODES)
+                if len(out) >= MOST_ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    rows = pages.select(F.col(key).cast("long").alias("k"), F.col(html).alias("h")).where("k is not null")
+    few_pages(pages.sparkSession)
+    return spread(rows).mapInPandas(run, NODES)
 
 
 def violations(node_table: DataFrame, most_nodes: int = 50_000, most_depth: int = 64) -> DataFrame:

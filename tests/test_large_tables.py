@@ -6,6 +6,7 @@ from tessella.functions import drawing
 from tessella.llm import near_dup, simhash
 from tessella.operators import graph, grid, ordered, splits
 from tessella.plans import catalog, catalog_deep  # noqa: F401  (the second registers itself in the first)
+from tessella.sources import html
 
 DATA = "/root/testdata/sf0.001"
 
@@ -87,3 +88,13 @@ def test_named_bands_are_not_broadcast(spark, monkeypatch):
 def test_much_work_on_a_small_file_is_spread(spark):
     for q in ("path_segments", "picture_clips"):
         assert catalog.QUERIES[q](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nodes_leave_a_worker_in_parts(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, "<p>a</p>" * 8) for k in range(40)], "page_id long, html string").coalesce(1)
+    sizes = []
+    monkeypatch.setattr(html, "MOST_ROWS", 64)
+    monkeypatch.setattr(html, "spread", lambda df: df)
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda self, run, schema: sizes.extend(len(x) for x in run(iter([self.toPandas()]))) or self)
+    html.nodes(pages)
+    assert sum(sizes) == 640 and max(sizes) == 64
