@@ -90,6 +90,12 @@ def test_much_work_on_a_small_file_is_spread(spark):
         assert catalog.QUERIES[q](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_pages_of_a_grid_are_numbered_without_a_sort(spark):
+    out = catalog.QUERIES["page_grid"](spark, DATA)
+    assert "row_number" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "[sheet#" in plan and ", key#" in plan
+    assert {r.sheet: (r.n, r.m) for r in out.groupBy("sheet").agg(F.countDistinct("number").alias("n"), F.max("number").alias("m")).collect()} == {r.sheet: (r.n, r.n) for r in out.groupBy("sheet").agg(F.count("*").alias("n")).collect()}
+
+
 def test_nodes_leave_a_worker_in_parts(spark, monkeypatch):
     pages = spark.createDataFrame([(k, "<p>a</p>" * 8) for k in range(40)], "page_id long, html string").coalesce(1)
     sizes = []
