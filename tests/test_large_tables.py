@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import drawing
 from tessella.llm import near_dup, simhash
-from tessella.operators import graph, grid, ordered, splits
+from tessella.operators import graph, grid, numbering, ordered, splits
 from tessella.plans import catalog, catalog_deep  # noqa: F401  (the second registers itself in the first)
 from tessella.sources import html
 
@@ -104,3 +104,12 @@ def test_nodes_leave_a_worker_in_parts(spark, monkeypatch):
     monkeypatch.setattr(type(pages), "mapInPandas", lambda self, run, schema: sizes.extend(len(x) for x in run(iter([self.toPandas()]))) or self)
     html.nodes(pages)
     assert sum(sizes) == 640 and max(sizes) == 64
+
+
+def test_sections_of_one_task_are_numbered_without_a_frame_each(spark):
+    rows = [(doc, ord_, 1, ord_ % 2, "decimal", "%1." if ord_ % 2 == 0 else "%1.%2", 1, None) for doc in (*range(50), None, (1 << 53) + 1) for ord_ in (3, 1, 0, 2)]
+    p = spark.createDataFrame(rows, "doc long, ord int, num_id int, level int, format string, pattern string, start int, restart int").coalesce(1)
+    out = numbering.numbered(p, ["doc"])
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc, r.ord): r.label for r in out.collect()}
+    assert got == {(doc, k): v for doc in (*range(50), None, (1 << 53) + 1) for k, v in enumerate(("1.", "1.1", "2.", "2.1"))}
