@@ -1,18 +1,22 @@
 """Expansion of references: every use of a node stands for a copy of all below it.
 
-Sizes come from the leaves upwards, a round for each step of height, so an expansion that would
-double at every reference is known by its size before any copy is made. Only documents whose
-expansion is within the bounds are expanded.
+Sizes come from the leaves upwards, so an expansion that would double at every reference is known
+by its size before any copy is made. A document is folded by one worker, many in one task; one
+of more than MOST_HELD nodes and uses takes a round of joins for each step of height instead. Only
+documents whose expansion is within the bounds are expanded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import release, table
+from ..shared import folded, release, table
 
 MOST_NODES, MOST_DEPTH = 20_000, 64
+MOST_HELD = 200_000  # nodes and uses of a document that a worker holds
 
 
 def edges(nodes: DataFrame, refs: DataFrame, by: list[str]) -> DataFrame:
@@ -23,9 +27,48 @@ def edges(nodes: DataFrame, refs: DataFrame, by: list[str]) -> DataFrame:
     return tree.unionByName(refs.join(held, [*by, "target"], "left_semi").select(*by, F.col("node").alias("a"), F.col("target").alias("b")))
 
 
-def sized(nodes: DataFrame, refs: DataFrame, by: list[str], most: int = MOST_NODES) -> DataFrame:
+def _sizes(rows: Iterator[tuple], most: int, roots: bool) -> Iterator[tuple]:
+    """node, size and height of a document's nodes. rows: a, b and whether a is b's parent (null for a root)."""
+    rows = list(rows)
+    held, tops = {b for _, b, own in rows if own}, {b for a, b, own in rows if own and a is None}
+    above: dict = {}
+    left: dict = {}  # uses below a node whose size is not known yet
+    for a, b, _ in rows:
+        if a is not None and b in held:
+            above.setdefault(b, []).append(a)
+            left[a] = left.get(a, 0) + 1
+    known, front = {n: (1, 0) for n in held if n not in left}, [n for n in held if n not in left]
+    below = {a: (1, 0) for a in left}
+    while front:
+        n = front.pop()
+        size, height = known[n]
+        for a in above.get(n, ()):
+            total, high = below[a]
+            below[a] = total + size, max(high, height + 1)
+            left[a] -= 1
+            if not left[a]:
+                known[a] = min(below[a][0], most + 1), below[a][1]
+                front.append(a)
+    yield from ((n, *k) for n, k in known.items() if not roots or n in tops)
+
+
+def sized(nodes: DataFrame, refs: DataFrame, by: list[str], most: int = MOST_NODES, roots: bool = False) -> DataFrame:
     """by, node, size and height of the expansion below each node, itself included (size is
-    most + 1 where it is more). Nodes on a cycle, or above one, have no row."""
+    most + 1 where it is more). Nodes on a cycle, or above one, have no row. With ``roots``, those
+    below a parent may have none either."""
+    own = nodes.select(*by, F.col("parent").alias("a"), F.col("node").alias("b"), F.lit(True).alias("own"))
+    rows = table(own.unionByName(refs.select(*by, F.col("node").alias("a"), F.col("target").alias("b"), F.lit(False).alias("own"))))
+    large = table(rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > MOST_HELD).select(*by))
+    many = large.limit(1).count()
+    small = rows.join(large, by, "left_anti") if many else rows
+    out = folded(small, by, [], ["a", "b", "own"], {"node": "b", "size": "long", "height": "int"}, lambda rows: _sizes(rows, most, roots))
+    if many:
+        out = out.unionByName(_rounds(nodes.join(large, by, "left_semi"), refs.join(large, by, "left_semi"), by, most))
+    return out
+
+
+def _rounds(nodes: DataFrame, refs: DataFrame, by: list[str], most: int) -> DataFrame:
+    """sized() by joins, for documents of any size."""
     each = edges(nodes, refs, by).groupBy(*by, "a", "b").agg(F.count("*").alias("uses"))
     inner = each.select(*by, F.col("a").alias("node")).distinct()
     front = table(nodes.select(*by, "node").distinct().join(inner, [*by, "node"], "left_anti").select("*", F.lit(1).cast("long").alias("size"), F.lit(0).alias("height")))
@@ -55,7 +98,7 @@ def checked(nodes: DataFrame, refs: DataFrame, by: list[str], most: int = MOST_N
     """A row for each root: by, node, size, height and the reason why it may not be expanded, or
     null. A document has a root for each node without a parent."""
     roots = nodes.where("parent IS NULL").select(*by, "node")
-    return roots.join(sized(nodes, refs, by, most), [*by, "node"], "left").withColumn("problem", problem(F.col("size"), F.col("height"), most, depth))
+    return roots.join(sized(nodes, refs, by, most, roots=True), [*by, "node"], "left").withColumn("problem", problem(F.col("size"), F.col("height"), most, depth))
 
 
 def instances(nodes: DataFrame, refs: DataFrame, by: list[str], verdict: DataFrame) -> DataFrame:

@@ -83,3 +83,18 @@ def test_vector_pictures(spark):
     nodes = html.nodes(spark.createDataFrame(pictures, "page_id long, html string"))
     got = {r.page_id: (r.n_expanded, r.problem) for r in vector.complexity(nodes, ["page_id"], most=500).collect()}
     assert got == {1: (8, None), 2: (None if got[2][0] is None else got[2][0], "NODES"), 3: (None, "CYCLE"), 4: (3, "DUPLICATE_ID"), 5: (None, "COMPLEXITY"), 6: (3, None)}
+
+
+def test_documents_without_rounds(spark, monkeypatch):
+    # A chain of forty uses, two uses of one node, a loop; the rounds of joins say the same of each node.
+    nodes = [(1, k, None if k == 0 else k - 1) for k in range(40)] + [(2, 0, None), (2, 1, None), (3, 0, None), (3, 1, 0), (3, 2, None)]
+    refs = [(2, 0, 1), (2, 0, 1), (2, 0, 9), (3, 1, 0), (3, 1, None), (1, 0, 39)]
+    df, uses = spark.createDataFrame(nodes, "doc int, node int, parent int"), spark.createDataFrame(refs, "doc int, node int, target int")
+    written, table = [], expansion.table
+    monkeypatch.setattr(expansion, "table", lambda df: (written.append(1), table(df))[1])
+    got = {(r.doc, r.node): (r.size, r.height) for r in expansion.sized(df, uses, ["doc"], most=30).collect()}
+    assert len(written) == 2
+    assert got == {(1, 0): (31, 39), **{(1, k): (min(40 - k, 31), 39 - k) for k in range(1, 40)}, (2, 0): (3, 1), (2, 1): (1, 0), (3, 2): (1, 0)}
+    monkeypatch.setattr(expansion, "MOST_HELD", 4)
+    assert {(r.doc, r.node): (r.size, r.height) for r in expansion.sized(df, uses, ["doc"], most=30).collect()} == got
+    assert len(written) > 20
