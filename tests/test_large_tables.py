@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import drawing
 from tessella.llm import near_dup, simhash
-from tessella.operators import graph, grid, numbering, ordered, splits
+from tessella.operators import graph, grid, numbering, ordered, packages, splits
 from tessella.plans import catalog, catalog_deep  # noqa: F401  (the second registers itself in the first)
 from tessella.sources import html
 
@@ -113,3 +113,11 @@ def test_sections_of_one_task_are_numbered_without_a_frame_each(spark):
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
     got = {(r.doc, r.ord): r.label for r in out.collect()}
     assert got == {(doc, k): v for doc in (*range(50), None, (1 << 53) + 1) for k, v in enumerate(("1.", "1.1", "2.", "2.1"))}
+
+
+def test_rounds_of_a_package_read_tables(spark, monkeypatch):
+    plans, closure = [], packages.graph.closure
+    monkeypatch.setattr(packages.graph, "closure", lambda edges, start: (plans.append(edges._jdf.queryExecution().executedPlan().toString()), closure(edges, start))[1])
+    out = catalog.QUERIES["package_parts"](spark, DATA)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() and "Join" not in plans[0] and not any("lineitem" in p for p in plans)
