@@ -61,16 +61,20 @@ def grouped(items: DataFrame, links: DataFrame, regions: DataFrame, touching: Da
     cells or pixels pass the limits of a preview loses its regions, and the rest is joined
     anew. by, id, kind (item or region) and root, the least name of the component."""
     name = lambda kind, c: F.struct(*by, F.lit(kind).alias("kind"), F.col(c).alias("id"))
-    nodes = items.select(name("item", "id").alias("id")).unionByName(regions.select(name("region", "id").alias("id")))
     own = links.select(name("item", "a").alias("a"), name("item", "b").alias("b"))
-    cells = touching.select(name("region", "region").alias("a"), name("item", "item").alias("b"))
-    whole = graph.settled(graph.components(nodes, own.unionByName(cells)))
+    # Items are joined by their own links once; regions then join whole components of items.
+    alone = graph.settled(graph.components(items.select(name("item", "id").alias("id")), own))
+    cells = touching.select(name("region", "region").alias("a"), name("item", "item").alias("id")).join(alone, "id")
+    cells = graph.settled(cells.select("a", F.col("root").alias("b")).distinct())
+    joined = graph.components(cells.select(F.col("b").alias("id")).unionByName(regions.select(name("region", "id").alias("id"))), cells)
+    joined = graph.settled(joined.select(F.col("id").alias("root"), F.col("root").alias("whole")))
+    whole = alone.join(joined, "root", "left").select("id", "root", F.coalesce("whole", "root").alias("whole"))
+    whole = graph.settled(whole.unionByName(joined.where("root.kind = 'region'").select(F.col("root").alias("id"), "root", "whole")))
     none = F.lit(None).cast("int")
     boxes = regions.select(name("region", "id").alias("id"), "r1", "r2", "c1", "c2", "x", "y", "width", "height")
     boxes = boxes.unionByName(items.select(name("item", "id").alias("id"), none.alias("r1"), none.alias("r2"), none.alias("c1"), none.alias("c2"), "x", "y", "width", "height"))
-    fits = pages.previews(boxes.join(whole, "id"), ["root"], most_pixels).where("NOT fits AND cells IS NOT NULL").select("root")
-    safe = regions.select(name("region", "id").alias("id")).join(whole, "id").join(fits, "root", "left_anti").select("id")
-    again = graph.components(items.select(name("item", "id").alias("id")).unionByName(safe), own.unionByName(cells.join(safe.withColumnRenamed("id", "a"), "a", "left_semi")))
+    large = pages.previews(boxes.join(whole, "id"), ["whole"], most_pixels).where("NOT fits AND cells IS NOT NULL").select("whole", F.lit(True).alias("_large"))
+    again = whole.join(large, "whole", "left").where("_large IS NULL OR id.kind = 'item'").select("id", F.when(F.col("_large"), F.col("root")).otherwise(F.col("whole")).alias("root"))
     return again.select(*[F.col(f"id.{c}").alias(c) for c in by], F.col("id.id").alias("id"), F.col("id.kind").alias("kind"), F.struct("root.kind", "root.id").alias("root"))
 
 

@@ -125,6 +125,7 @@ def preview_groups(spark, sf_dir):
     i = t(spark, sf_dir, "events").selectExpr("user_id % 60 AS sheet", "event_id AS id", "cast(event_id % 900 as double) AS x", "cast(event_id * 3 % 700 as double) AS y", "20.0D AS width", "10.0D AS height")
     w = Window.partitionBy("sheet").orderBy("id")
     near = i.select("sheet", F.lag("id").over(w).alias("a"), F.col("id").alias("b"), (F.row_number().over(w) % 4 != 1).alias("joined"), F.lead("id", 4).over(w).alias("far"))
+    near = graph.settled(near)
     g = i.where("id % 10 = 0").selectExpr("sheet", "-id - 1 AS id", "0 AS r1", "if(id % 2 = 0, 40, 130) AS r2", "0 AS c1", "if(id % 2 = 0, 40, 130) AS c2", "0.0D AS x", "0.0D AS y", "50.0D AS width", "50.0D AS height")
     held = near.where("b % 10 = 0")
     touching = held.selectExpr("sheet", "-b - 1 AS region", "b AS item").unionByName(held.where("far is not null").selectExpr("sheet", "-b - 1 AS region", "far AS item"))

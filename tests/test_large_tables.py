@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import drawing
 from tessella.llm import near_dup, simhash
-from tessella.operators import graph, grid, numbering, ordered, packages, splits
+from tessella.operators import drawings, graph, grid, numbering, ordered, packages, pages, splits
 from tessella.plans import catalog, catalog_deep  # noqa: F401  (the second registers itself in the first)
 from tessella.sources import html
 
@@ -121,3 +121,39 @@ def test_rounds_of_a_package_read_tables(spark, monkeypatch):
     out = catalog.QUERIES["package_parts"](spark, DATA)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.count() and "Join" not in plans[0] and not any("lineitem" in p for p in plans)
+
+
+def test_items_of_a_preview_are_joined_once(spark, monkeypatch):
+    items = spark.createDataFrame([(1, k, 0.0 if k < 6 else 5000.0 * k, 0.0, 10.0, 10.0) for k in range(10)], "sheet int, id int, x double, y double, width double, height double")
+    links = spark.createDataFrame([(1, 0, 1), (1, 2, 3), (1, 6, 7), (1, 8, 9)], "sheet int, a int, b int")
+    regions = spark.createDataFrame([(1, k, 0, 1, 0, 1, 0.0, 0.0, 5.0, 5.0) for k in (70, 71, 72)], "sheet int, id int, r1 int, r2 int, c1 int, c2 int, x double, y double, width double, height double")
+    touching = spark.createDataFrame([(1, 70, 1), (1, 70, 3), (1, 71, 7), (1, 71, 9), (1, 71, 99)], "sheet int, region int, item int")
+    sizes, components = [], drawings.graph.components
+    monkeypatch.setattr(drawings.graph, "components", lambda nodes, edges: (sizes.append(nodes.where("id.kind = 'item'").distinct().count()), components(nodes, edges))[1])
+    got = {(r.kind, r.id): (r.root.kind, r.root.id) for r in drawings.grouped(items, links, regions, touching, 1_000_000, ["sheet"]).collect()}
+    want = {("item", k): ("item", v) for k, v in enumerate((0, 0, 0, 0, 4, 5, 6, 6, 8, 8))}
+    assert got == want | {("region", 70): ("item", 0), ("region", 72): ("region", 72)} and sizes == [10, 4]
+
+
+def test_turns_are_found_in_the_row_of_an_effect(spark):
+    plan = catalog.QUERIES["animation_behaviours"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_bands_are_counted_without_a_row_for_each_cell(spark, tmp_path):
+    # Orders 0, 16 and 96 * 16: rows 0, 1 and 96; a cell without any quantity is none.
+    rows = [(0, 1, 5), (0, 1, 6), (16, 70, 5), (16, 2, None), (32, 1, None), (96 * 16, 1, 5), (96 * 16, 2, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.QUERIES["eligible_bands"](spark, str(tmp_path))
+    assert [tuple(r) for r in out.select("sheet", "band", "n_rows", "n_cols").collect()] == [(0, 0, 2, 2)]
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_flow_without_a_frame_each(spark):
+    rows = [(doc, r, n) for doc in (1, None, (1 << 53) + 1) for r, n in ((2, 3), (0, 2), (1, 4))]
+    out = pages.chunked(spark.createDataFrame(rows, "doc long, row long, lines int").coalesce(1), ["doc"], 68, 10, 4)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc, []).append((r.row, r["first"], r["count"], r.page))
+    assert got == {doc: [(0, 0, 2, 0), (1, 0, 3, 0), (1, 3, 1, 1), (2, 0, 1, 1), (2, 1, 2, 2)] for doc in (1, None, (1 << 53) + 1)}
