@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Any
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import folded
 from . import ranges
 
 PREVIEW_CELLS = 10_000
@@ -78,29 +78,26 @@ def chunked(rows: DataFrame, by: list[str], page: int, line: int, padding: int)
     pages of a height, in the unit of line and padding (above and below a chunk). The first
     row is the header; one of HEADER_LINES lines at most is repeated at the top of each page."""
 
-    def run(key: tuple[Any, ...], b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("row", kind="stable")
-        sizes = b["lines"].tolist()
-        head, left, number, out = sizes[0], page, 0, []
-        repeat = head <= HEADER_LINES
-        for k, (r, count) in enumerate(zip(b["row"].tolist(), sizes, strict=True)):
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        head, left, number = None, page, 0
+        for r, count in rows:
+            top = head is None
+            head = count if top else head
+            again = 0 if top or head > HEADER_LINES else head * line + 2 * padding
             done = 0
             while done < count:
                 room = (left - 2 * padding) // line
                 if room < 1:
-                    number, left = number + 1, page - (head * line + 2 * padding if k and repeat else 0)
+                    number, left = number + 1, page - again
                     room = (left - 2 * padding) // line
                 part = min(count - done, max(1, room))
-                out.append((*key, r, done, part, number))
+                yield r, done, part, number
                 left -= part * line + 2 * padding
                 done += part
                 if done < count:
-                    number, left = number + 1, page - (head * line + 2 * padding if k and repeat else 0)
-        return pd.DataFrame(out, columns=[*by, "row", "first", "count", "page"])
+                    number, left = number + 1, page - again
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", row {kinds['row']}, first long, count long, page long"
-    return rows.select(*by, "row", "lines").groupBy(*by).applyInPandas(run, schema)
+    return folded(rows, by, [F.col("row").asc_nulls_last()], ["row", "lines"], {"row": "row", "first": "long", "count": "long", "page": "long"}, run)
 
 
 def broken(text: Column, widest: float, narrow: float, wide: float) -> Column:
