@@ -24,7 +24,7 @@ def edges(nodes: DataFrame, refs: DataFrame, by: list[str]) -> DataFrame:
     use a row). by, a, b: what expands below what; a repeated row is a second copy."""
     tree = nodes.where("parent IS NOT NULL").select(*by, F.col("parent").alias("a"), F.col("node").alias("b"))
     held = nodes.select(*by, F.col("node").alias("target"))
-    return tree.unionByName(refs.join(held, [*by, "target"], "left_semi").select(*by, F.col("node").alias("a"), F.col("target").alias("b")))
+    return tree.unionByName(refs.join(held.hint("merge"), [*by, "target"], "left_semi").select(*by, F.col("node").alias("a"), F.col("target").alias("b")))
 
 
 def _sizes(rows: Iterator[tuple], most: int, roots: bool) -> Iterator[tuple]:
@@ -52,17 +52,40 @@ def _sizes(rows: Iterator[tuple], most: int, roots: bool) -> Iterator[tuple]:
     yield from ((n, *k) for n, k in known.items() if not roots or n in tops)
 
 
+def _copies(rows: Iterator[tuple], most: int, deep: int) -> Iterator[tuple]:
+    """node, depth and copies of a document's expansion, all its roots within the bounds together. rows: as of _sizes()."""
+    rows = list(rows)
+    held = {b for _, b, own in rows if own}
+    below: dict = {}
+    for a, b, _ in rows:
+        if a is not None and b in held:
+            below.setdefault(a, []).append(b)
+    front = {n: 1 for n, size, height in _sizes(iter(rows), most, True) if size <= most and height <= deep}
+    depth = 0
+    while front:
+        yield from ((n, depth, k) for n, k in front.items())
+        now: dict = {}
+        for n, k in front.items():
+            for b in below.get(n, ()):
+                now[b] = now.get(b, 0) + k
+        front, depth = now, depth + 1
+
+
+def _by_size(nodes: DataFrame, refs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (by, a, b, own) of the documents that a worker holds, and the by of those that are larger, if any."""
+    own = nodes.select(*by, F.col("parent").alias("a"), F.col("node").alias("b"), F.lit(True).alias("own"))
+    rows = table(own.unionByName(refs.select(*by, F.col("node").alias("a"), F.col("target").alias("b"), F.lit(False).alias("own"))))
+    large = table(rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > MOST_HELD).select(*by))
+    return (rows.join(large, by, "left_anti"), large) if large.limit(1).count() else (rows, None)
+
+
 def sized(nodes: DataFrame, refs: DataFrame, by: list[str], most: int = MOST_NODES, roots: bool = False) -> DataFrame:
     """by, node, size and height of the expansion below each node, itself included (size is
     most + 1 where it is more). Nodes on a cycle, or above one, have no row. With ``roots``, those
     below a parent may have none either."""
-    own = nodes.select(*by, F.col("parent").alias("a"), F.col("node").alias("b"), F.lit(True).alias("own"))
-    rows = table(own.unionByName(refs.select(*by, F.col("node").alias("a"), F.col("target").alias("b"), F.lit(False).alias("own"))))
-    large = table(rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > MOST_HELD).select(*by))
-    many = large.limit(1).count()
-    small = rows.join(large, by, "left_anti") if many else rows
+    small, large = _by_size(nodes, refs, by)
     out = folded(small, by, [], ["a", "b", "own"], {"node": "b", "size": "long", "height": "int"}, lambda rows: _sizes(rows, most, roots))
-    if many:
+    if large is not None:
         out = out.unionByName(_rounds(nodes.join(large, by, "left_semi"), refs.join(large, by, "left_semi"), by, most))
     return out
 
@@ -98,7 +121,7 @@ def checked(nodes: DataFrame, refs: DataFrame, by: list[str], most: int = MOST_N
     """A row for each root: by, node, size, height and the reason why it may not be expanded, or
     null. A document has a root for each node without a parent."""
     roots = nodes.where("parent IS NULL").select(*by, "node")
-    return roots.join(sized(nodes, refs, by, most, roots=True), [*by, "node"], "left").withColumn("problem", problem(F.col("size"), F.col("height"), most, depth))
+    return roots.join(sized(nodes, refs, by, most, roots=True).hint("merge"), [*by, "node"], "left").withColumn("problem", problem(F.col("size"), F.col("height"), most, depth))
 
 
 def instances(nodes: DataFrame, refs: DataFrame, by: list[str], verdict: DataFrame) -> DataFrame:
@@ -111,7 +134,26 @@ def instances(nodes: DataFrame, refs: DataFrame, by: list[str], verdict: DataFra
     out, k = front, 0
     while front.limit(1).count():
         k += 1
-        below = front.select(*by, "path", F.col("node").alias("a")).join(each, [*by, "a"])
+        below = front.select(*by, "path", F.col("node").alias("a")).join(each.hint("merge"), [*by, "a"])  # paths are far larger than their files
         front = table(below.select(*by, F.concat("path", F.array("b")).alias("path"), F.col("b").alias("node"), F.lit(k).alias("depth"), "copy"))
         out = out.unionByName(front)
     return out
+
+
+def copies(nodes: DataFrame, refs: DataFrame, by: list[str], most: int = MOST_NODES, depth: int = MOST_DEPTH) -> DataFrame:
+    """How many copies of each node the expansions of checked() without a problem hold at each depth:
+    by, node, depth, copies. The copies are counted, not made; a document of more than MOST_HELD
+    nodes and uses takes a round of joins for each step of depth."""
+    small, large = _by_size(nodes, refs, by)
+    out = folded(small, by, [], ["a", "b", "own"], {"node": "b", "depth": "int", "copies": "long"}, lambda rows: _copies(rows, most, depth))
+    if large is None:
+        return out
+    nodes, refs = nodes.join(large, by, "left_semi"), refs.join(large, by, "left_semi")
+    each = table(edges(nodes, refs, by).groupBy(*by, "a", "b").agg(F.count("*").alias("uses")))
+    front = table(checked(nodes, refs, by, most, depth).where("problem IS NULL").select(*by, "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("copies")))
+    k = 0
+    while front.limit(1).count():
+        out, k = out.unionByName(front), k + 1
+        below = front.withColumnRenamed("node", "a").join(each.hint("merge"), [*by, "a"])
+        front = table(below.groupBy(*by, F.col("b").alias("node")).agg(F.sum(F.col("copies") * F.col("uses")).alias("copies")).select(*by, "node", F.lit(k).alias("depth"), "copies"))
+    return out

@@ -98,3 +98,18 @@ def test_documents_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(expansion, "MOST_HELD", 4)
     assert {(r.doc, r.node): (r.size, r.height) for r in expansion.sized(df, uses, ["doc"], most=30).collect()} == got
     assert len(written) > 20
+
+
+def test_copies_are_counted_without_rounds(spark, monkeypatch):
+    # Two uses of one node below two uses of another, two roots in one document, a loop, a use of no node; the rounds of joins say the same.
+    nodes = [(1, 0, None), (1, 1, 0), (1, 2, 0), (1, 3, 2), (2, 0, None), (2, 1, None), (2, 2, 1), (3, 0, None), (3, 1, 0), (4, 0, None), *[(4, k, k - 1) for k in range(1, 40)]]
+    refs = [(1, 1, 2), (1, 1, 2), (1, 3, 9), (2, 0, 2), (3, 1, 0)]
+    df, uses = spark.createDataFrame(nodes, "doc int, node int, parent int"), spark.createDataFrame(refs, "doc int, node int, target int")
+    want = expansion.instances(df, uses, ["doc"], expansion.checked(df, uses, ["doc"], depth=30)).groupBy("doc", "node", "depth").count().collect()
+    assert (1, 3, 3, 2) in set(map(tuple, want)) and {r.doc for r in want} == {1, 2}
+    written, table = [], expansion.table
+    monkeypatch.setattr(expansion, "table", lambda df: (written.append(1), table(df))[1])
+    got = lambda: sorted((r.doc, r.node, r.depth, r.copies) for r in expansion.copies(df, uses, ["doc"], depth=30).groupBy("doc", "node", "depth").sum("copies").toDF("doc", "node", "depth", "copies").collect())
+    assert got() == sorted(map(tuple, want)) and len(written) == 2
+    monkeypatch.setattr(expansion, "MOST_HELD", 4)
+    assert got() == sorted(map(tuple, want)) and len(written) > 8

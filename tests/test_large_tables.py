@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import drawing
 from tessella.llm import near_dup, simhash
-from tessella.operators import drawings, graph, grid, numbering, ordered, packages, pages, splits
+from tessella.operators import drawings, expansion, graph, grid, numbering, ordered, packages, pages, splits
 from tessella.plans import catalog, catalog_deep  # noqa: F401  (the second registers itself in the first)
 from tessella.sources import html
 
@@ -69,6 +69,13 @@ def _written(monkeypatch, *modules):
     return plans
 
 
+def test_nodes_are_not_broadcast(spark, monkeypatch):
+    plans = _written(monkeypatch, expansion)
+    out = catalog.QUERIES["expanded_nodes"](spark, DATA)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_fingerprints_are_not_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"one two three four {i // 2}") for i in range(6)], "doc_id long, text string")
     plans = _written(monkeypatch, simhash, near_dup)
