@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions.geometry import EMU_PIXEL, EMU_POINT
 from . import graph, pages, ranges
 
 FALLBACK = (240.0, 90.0)  # size in points of a drawing whose place is unknown
 TOLERANCE = 2.0  # pixels by which an element may leave its slide
 REPORTED = 20  # issues that a report names
+TILE, MOST_HELD = 256, 1 << 16  # side of a tile of a page, and boxes of one that a worker holds
 
 
 def anchored(drawings: DataFrame, xs: DataFrame, ys: DataFrame, by: list[str]) -> DataFrame:
@@ -125,14 +131,89 @@ def pinned(drawings: DataFrame, tables: DataFrame, by: list[str]) -> DataFrame:
     return drawings.join(last, [*by, "id"], "left")
 
 
+def _met(rows: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """The boxes of a tile (id, x, y, w, h, own, tied, behind, z, in order of x), each with the least id that it is
+    linked with in there. A sweep along x keeps, for each stretch of y, the box that reaches furthest: whatever covers
+    a point together is linked, so one of them stands for all. After most boxes those that are told are dropped;
+    what the sweep still needs of them comes again, tied by its id."""
+    held: list[tuple] = []
+    up: list[int] = []
+    starts, reach, who = [-math.inf], [-math.inf], [-1]
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    def told(needed: set[int]) -> Iterator[tuple]:
+        least: dict = {}
+        for k, (n, *_) in enumerate(held):
+            r = top(k)
+            least[r] = min(least.get(r, n), n)
+        yield from ((n, least[top(k)], own, tied or k in needed, behind, z) for k, (n, own, tied, behind, z) in enumerate(held))
+
+    for n, x, y, w, h, *rest in rows:
+        if None in (x, y, w, h) or not (x + w > x and y + h > y):
+            yield n, n, *rest
+            continue
+        if len(held) >= most:
+            needed = {k for k, far in zip(who, reach, strict=True) if far > x}
+            yield from told(needed)
+            again = {k: j for j, k in enumerate(sorted(needed))}
+            held = [(held[k][0], False, True, *held[k][3:]) for k in again]
+            up, who = list(range(len(held))), [again.get(k, -1) for k in who]
+            kept = [(at, k, far if k >= 0 else -math.inf) for at, k, far in zip(starts, who, reach, strict=True)]
+            kept = [s for s, was in zip(kept, [None, *kept], strict=False) if was is None or s[1:] != was[1:]]
+            starts, who, reach = map(list, zip(*kept, strict=True))
+        me, right = len(held), x + w
+        held.append((n, *rest))
+        up.append(me)
+        i = bisect_right(starts, y)
+        if starts[i - 1] == y:
+            i -= 1
+        else:
+            for all_, new in ((starts, y), (reach, reach[i - 1]), (who, who[i - 1])):
+                all_.insert(i, new)
+        j = bisect_left(starts, y + h, i)
+        if j == len(starts) or starts[j] != y + h:
+            for all_, new in ((starts, y + h), (reach, reach[j - 1]), (who, who[j - 1])):
+                all_.insert(j, new)
+        now: list[tuple] = []
+        for s in range(i, j):
+            if reach[s] > x:
+                up[top(who[s])] = top(me)
+            new = (reach[s], who[s]) if reach[s] > right else (right, me)
+            if not now or now[-1][1:] != new:
+                now.append((starts[s], *new))
+        starts[i:j], reach[i:j], who[i:j] = zip(*now, strict=True)
+    yield from told(set())
+
+
 def merged_scopes(scopes: DataFrame, guards: list[str]) -> DataFrame:
     """Which drawings of a paragraph are rendered as one: those that overlap and agree in all
     guards (page, paragraph, reference, layout). scopes: guards, id, x, y, w, h, behind, z.
-    guards, id, root (the least id) and paint: what is behind the text first, then by z."""
-    sealed = scopes.withColumn("_g", F.struct(*guards))
-    boxes = sealed.select("_g", "id", "x", "y", "w", "h")
-    links = ranges.overlapping(boxes, boxes, ["_g"], 64).where("id_l < id_r").select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
-    roots = graph.components(scopes.select("id"), links)
-    out = scopes.join(roots, "id")
+    guards, id, root (the least id) and paint: what is behind the text first, then by z.
+    Tiles are swept one by one, so no pair is written, however many overlap; what a box in several tiles
+    ties together are whole groups of tiles. Boxes without an extent are compared in pairs."""
+    low, high = (lambda c: F.floor(F.col(c) / TILE)), (lambda c, size: F.floor((F.col(c) + F.col(size)) / TILE))
+    tiles = lambda c, size: F.explode_outer(F.when(F.col(c) + F.col(size) > F.col(c), F.sequence(low(c), high(c, size))).otherwise(F.array(low(c))))
+    cut = scopes.select(*guards, "id", "x", "y", "w", "h", "behind", "z").withColumn("_tx", tiles("x", "w")).withColumn("_ty", tiles("y", "h"))
+    first = F.col("_tx").eqNullSafe(low("x")) & F.col("_ty").eqNullSafe(low("y"))
+    cut = cut.withColumn("_own", first).withColumn("_tied", ~first | (high("x", "w") > low("x")) | (high("y", "h") > low("y")))
+    outputs, most = {"id": "id", "_least": "id", "_own": "_own", "_tied": "_tied", "behind": "behind", "z": "z"}, MOST_HELD
+    met = shared.table(shared.folded(cut, [*guards, "_tx", "_ty"], ["x"], ["id", "x", "y", "w", "h", "_own", "_tied", "behind", "z"], outputs, lambda rows: _met(rows, most)).drop("_tx", "_ty"))
+    ends = met.where("_tied").groupBy("id").agg(F.min("_least").alias("a"), F.collect_set("_least").alias("_all"))
+    links = ends.select("a", F.explode("_all").alias("b")).where("a <> b").distinct()
+    flat = scopes.where("NOT (x + w > x AND y + h > y)")
+    if flat.limit(1).count():
+        boxes = lambda df: df.select(F.struct(*guards).alias("_g"), "id", "x", "y", "w", "h")
+        pairs = ranges.overlapping(boxes(flat), boxes(scopes), ["_g"], 64).where("id_l <> id_r")
+        for end, name in (("id_l", "a"), ("id_r", "b")):
+            pairs = pairs.join(met.where("_own").select(F.col("id").alias(end), F.col("_least").alias(name)).hint("merge"), end)
+        links = links.unionByName(pairs.select("a", "b").where("a <> b"))
+    links = shared.table(links)
+    roots = graph.components(links.select(F.explode(F.array("a", "b")).alias("_least")), links, node="_least", inside=True)
+    out = met.where("_own").join(roots.hint("merge"), "_least", "left").withColumn("root", F.coalesce("root", "_least"))
     order = Window.partitionBy("root").orderBy(F.col("behind").desc(), "z", "id")
     return out.select(*guards, "id", "root", F.row_number().over(order).alias("paint"))

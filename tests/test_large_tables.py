@@ -1,10 +1,12 @@
 """What showed on larger tables only."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessella.functions import drawing
 from tessella.llm import near_dup, simhash
-from tessella.operators import drawings, expansion, graph, grid, numbering, ordered, packages, pages, splits
+from tessella.operators import drawings, expansion, graph, grid, numbering, ordered, packages, pages, ranges, splits
 from tessella.plans import catalog, catalog_deep  # noqa: F401  (the second registers itself in the first)
 from tessella.sources import html
 
@@ -170,3 +172,32 @@ def test_tables_flow_without_a_frame_each(spark):
     for r in out.collect():
         got.setdefault(r.doc, []).append((r.row, r["first"], r["count"], r.page))
     assert got == {doc: [(0, 0, 2, 0), (1, 0, 3, 0), (1, 3, 1, 1), (2, 0, 1, 1), (2, 1, 2, 2)] for doc in (1, None, (1 << 53) + 1)}
+
+
+def test_scopes_without_pairs(spark, monkeypatch):
+    # Boxes of three densities, some without an extent or a place, on tiles and in parts smaller than they are.
+    rng, rows = random.Random(3), []
+    for page, (n, far) in enumerate([(60, 900), (90, 300), (80, 40)]):
+        rows += [(len(rows) + k, page, rng.choice([None, 1]), rng.randrange(far), rng.randrange(far), rng.choice([0, 5, 40, 90]) if k % 9 == 0 else rng.randint(5, 60), rng.randint(5, 60), k % 4 == 0, k % 5) for k in range(n)]
+    rows.append((len(rows), 0, 1, None, 3, 5, 5, True, 1))
+    up = list(range(len(rows)))
+
+    def top(k):
+        return k if up[k] == k else top(up[k])
+
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1:3] == b[1:3] and None not in (a[3], b[3]) and a[3] < b[3] + b[5] and b[3] < a[3] + a[5] and a[4] < b[4] + b[6] and b[4] < a[4] + a[6]:
+                u, v = sorted((top(a[0]), top(b[0])))
+                up[v] = u
+    want = {r[0]: top(r[0]) for r in rows}
+    assert len(set(want.values())) > 20
+    df = spark.createDataFrame(rows, "id long, page int, ref int, x int, y int, w int, h int, behind boolean, z int")
+    monkeypatch.setattr(ranges, "overlapping", lambda left, *rest, was=ranges.overlapping: was(left.where("w = 0"), *rest))  # pairs for boxes without an extent alone
+    for sizes in ((256, 1 << 16), (16, 3)):
+        monkeypatch.setattr(drawings, "TILE", sizes[0])
+        monkeypatch.setattr(drawings, "MOST_HELD", sizes[1])
+        assert {r.id: r.root for r in drawings.merged_scopes(df, ["page", "ref"]).collect()} == want
+    paint = {r.id: r.paint for r in drawings.merged_scopes(df, ["page", "ref"]).collect()}
+    for root in set(want.values()):
+        assert [paint[r[0]] for r in sorted((r for r in rows if want[r[0]] == root), key=lambda r: (not r[7], r[8], r[0]))] == list(range(1, list(want.values()).count(root) + 1))
