@@ -321,14 +321,8 @@ def open_top_tables(spark, sf_dir):
     """Tables with gaps in their top row, the gaps, and the values that may belong to tables."""
     gap = "row % 6 = 0 AND (CASE row div 6 % 4 WHEN 0 THEN col <= 2 WHEN 1 THEN col >= 6 WHEN 2 THEN col = 4 ELSE false END)"
     boxed = f"row % 6 < 4 AND NOT ({gap})"
-    o = cells(spark, sf_dir).selectExpr("sheet", "row", "col", "value", *[f"{boxed} AS {b}" for b in ("bt", "bb", "bl", "br")])
-    segs = graph.settled(grid.segments(o, ["sheet"]))
-    none = spark.createDataFrame([], "sheet int, r1 int, r2 int, c1 int, c2 int")
-    members = grid.component_of(grid.units(segs, none, ["sheet"]), ["sheet"])
-    found, gaps = grid.open_top(members, segs, none, o.selectExpr("sheet", "row", "col", "value AS text", "true AS plain", "bt AS own"), ["sheet"])
-    rest = o.where("value <> ''").join(gaps, ["sheet", "row", "col"], "left_anti")
-    out = found.selectExpr("sheet", "r1 AS row", "c1 AS col", "r2", "c2", "'table' AS kind")
-    return out.unionByName(gaps.selectExpr("sheet", "row", "col", "cast(null as int) AS r2", "cast(null as int) AS c2", "'open' AS kind")).unionByName(rest.selectExpr("sheet", "row", "col", "cast(null as int) AS r2", "cast(null as int) AS c2", "'candidate' AS kind"))
+    o = cells(spark, sf_dir).selectExpr("sheet", "row", "col", *[f"{boxed} AS {b}" for b in ("bt", "bb", "bl", "br", "own")], "true AS plain", "value <> '' AS told")
+    return grid.open_top_alone(o, ["sheet"])
 
 
 @query(

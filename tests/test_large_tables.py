@@ -201,3 +201,27 @@ def test_scopes_without_pairs(spark, monkeypatch):
     paint = {r.id: r.paint for r in drawings.merged_scopes(df, ["page", "ref"]).collect()}
     for root in set(want.values()):
         assert [paint[r[0]] for r in sorted((r for r in rows if want[r[0]] == root), key=lambda r: (not r[7], r[8], r[0]))] == list(range(1, list(want.values()).count(root) + 1))
+
+
+def test_open_tops_without_joins(spark, monkeypatch):
+    # Boxes at random, some next to each other, with holes, gaps in the top and stray borders; slices of all the rows, of few, and of fewer than a box.
+    rng, rows = random.Random(11), {}
+    for sheet in (0, 1, None):
+        for at in range(0, 300, 6):
+            first, last, split = rng.randrange(3), rng.randrange(4, 8), rng.randrange(0, 9)
+            for r in range(at, at + rng.choice([3, 4, 4, 6])):
+                for c in range(first, last):
+                    gone = (r == at and c in rng.choice([(), (first,), (first + 1,), (last - 1,)])) or c == split and rng.random() < 0.5 or rng.random() < 0.01
+                    rows[sheet, r, c] = [not gone] * 4 if rng.random() > 0.02 else [rng.random() < 0.5 for _ in range(4)]
+    cells = [(s, r, c, *b, rng.random() > 0.02, b[0], rng.random() > 0.2) for (s, r, c), b in rows.items()]
+    df = spark.createDataFrame(cells, "sheet int, row int, col int, bt boolean, bb boolean, bl boolean, br boolean, plain boolean, own boolean, told boolean").where("sheet IS NOT NULL")
+    segs, none = graph.settled(grid.segments(df, ["sheet"])), spark.createDataFrame([], "sheet int, r1 int, r2 int, c1 int, c2 int")
+    found, gaps = grid.open_top(grid.component_of(grid.units(segs, none, ["sheet"]), ["sheet"]), segs, none, df.selectExpr("sheet", "row", "col", "'' AS text", "plain", "own"), ["sheet"])
+    tables, open_ = {(r.sheet, r.r1, r.c1, r.r2, r.c2) for r in found.collect()}, {tuple(r) for r in gaps.collect()}
+    assert len(tables) > 5 and len(open_) > 5
+    for n in (4096, 20, 4):
+        monkeypatch.setattr(grid, "SLICE", n)
+        got = grid.open_top_alone(df, ["sheet"]).collect()
+        assert {(r.sheet, r.row, r.col, r.r2, r.c2) for r in got if r.kind == "table"} == tables, n
+        assert {(r.sheet, r.row, r.col) for r in got if r.kind == "open"} == open_
+        assert sorted((r.sheet, r.row, r.col) for r in got if r.kind == "candidate") == sorted(x[:3] for x in cells if x[0] is not None and x[9] and x[:3] not in open_)
